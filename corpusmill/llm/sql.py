@@ -53,4 +53,24 @@ FROM o
 """
 
 
-ORACLE_SQL = {"op3_exact_dedup": EXACT_DEDUP, "op5_line_dedup": LINE_DEDUP, "op8_secrets": _secrets()}
+TOP_K = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(range(1, len(v.e) + 1), lambda i: q.e[i] * v.e[i])) AS BIGINT) AS score
+      FROM v AS q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+h AS (SELECT page_id, octet_length(encode(t)) AS payload_bytes, sha1(t) AS x, max(page_id) OVER (PARTITION BY t) AS first FROM p),
+b AS (SELECT *, array_to_string(list_transform(string_split(lower(x), ''), lambda c: lpad(CAST(bin(strpos('0123456789abcdef', c) - 1) AS VARCHAR), 4, '0')), '') AS bits FROM h)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(0, 5), lambda j: CAST(substring(bits, 5 * i + j + 1, 1) AS INTEGER) * (1 << (4 - j)))) AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
+"""
+
+ORACLE_SQL = {"op3_exact_dedup": EXACT_DEDUP, "op5_line_dedup": LINE_DEDUP, "op7_topk": TOP_K, "op8_secrets": _secrets(), "op10_warc": WARC}
