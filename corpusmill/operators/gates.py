@@ -142,7 +142,7 @@ def evaluate_gates(traces: DataFrame, cases: DataFrame) -> DataFrame:
             "bad_articles": F.concat(unsupported_articles(report, F.col("visible_snippets")), unsupported_standards(report, F.col("corpus"))),
             "quantities": unsupported_quantities(report, F.col("numbers")),
             "asserted": F.filter(T.sentences(report), lambda s: s.rlike(LIABILITY) & ~s.rlike(HEDGE)),
-            "loop": F.coalesce(F.array_max(F.transform("reasoning", loop_ratio)), F.lit(0.0)),
+            "loop": F.coalesce(F.array_max(F.transform("reasoning", lambda r: loop_ratio(r))), F.lit(0.0)),
             "longest": F.coalesce(F.array_max(F.transform("reasoning", lambda r: F.length(r))), F.lit(0)),
             "titles": F.array_join(T.sections(report).getField("title"), " "),
             "english": F.size(F.filter(_all(F.regexp_replace(report, CITATION, ""), "[A-Za-z]{4,}"), lambda w: F.lower(w) != "markdown")),

@@ -162,7 +162,7 @@ def coverage_check(fields: DataFrame, used: DataFrame) -> DataFrame:
 def evaluate_candidates(fields: DataFrame, claims: DataFrame, obligations: DataFrame, conflicts: DataFrame, reports: DataFrame, hidden: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
     """All seven checks: case_id, check, field, status."""
     used = used_fields(claims, fields, reports)
-    aligned = alignment(used, evidence).groupBy("case_id", "field").agg(worst_status(F.col("status")).alias("status")).select("case_id", F.lit("alignment").alias("check"), "field", "status")
+    aligned = alignment(used.where(T.present(F.col("value"))), evidence).groupBy("case_id", "field").agg(worst_status(F.col("status")).alias("status")).select("case_id", F.lit("alignment").alias("check"), "field", "status")
     checks = [
         coverage_check(fields, used),
         aligned,
