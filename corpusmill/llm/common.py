@@ -31,6 +31,17 @@ def pick(df: DataFrame, *wanted: str, **renamed: str) -> DataFrame:
     return plain.select([F.col(f"_{places[c]}").alias(new) for new, c in pairs])
 
 
+def numbered_columns(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with columns named by position, and where each name went (the first of equal names); see restored()."""
+    names = [f"_col{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), {c: n for c, n in reversed(list(zip(df.columns, names, strict=True)))}
+
+
+def restored(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Back to the columns before numbered_columns()."""
+    return df.select([F.col(f"_col{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def with_python_path(spark: SparkSession) -> None:
     """Let Python workers import this package when it is used from a checkout."""
     env = spark.sparkContext.environment

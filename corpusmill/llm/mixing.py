@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import pick, stash, with_python_path
+from corpusmill.llm.common import numbered_columns, pick, restored, stash, with_python_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 4096
@@ -187,8 +187,9 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataF
     """
     mixture = mix(docs, text_col=text_col, **options)
     runs = mixture.pieces.groupBy("seq", "pass").agg(F.collect_list(F.struct("word", "words")).alias("runs"))
-    numbered = docs.withColumn("_seq", F.monotonically_increasing_id())
-    out = numbered.join(runs.select(F.col("seq").alias("_seq"), F.col("runs").alias("_runs")), "_seq").withColumn(text_col, text_of_words(F.col(text_col), F.col("_runs")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    plain, at = numbered_columns(docs)
+    text = at[text_col]
+    out = plain.withColumn("seq", F.monotonically_increasing_id()).join(runs, "seq").withColumn(text, text_of_words(F.col(text), F.col("runs")))
+    if "n_chars" in at:
+        out = out.withColumn(at["n_chars"], F.char_length(text).cast(docs.schema["n_chars"].dataType))
+    return restored(out, docs.columns)
