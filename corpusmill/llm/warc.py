@@ -2,12 +2,13 @@
 
 Archives are written by Spark's text writer, whose line separator is the blank line that ends a
 record; they are read with the binaryFile source and parsed by Content-Length. Both work in any
-store that Spark reaches.
+store that Spark reaches. Files are gzipped whole.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -87,7 +88,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, pages_per_file:
     fields = F.concat_ws(EOL, F.lit("via: table"), F.concat(F.lit("page-id: "), F.col("page_id").cast("string")), F.lit(""))
     metadata = _record("metadata", _urn(F.lit("metadata"), F.col("seq")), fields, "application/warc-fields", uri, beside)
     records = rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    records.write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", 3 * pages_per_file).text(path)
+    records.write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", 3 * pages_per_file).option("compression", "gzip").text(path)
 
 
 def _lines(head: bytes) -> dict[str, str]:
@@ -120,7 +121,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
         for batch in batches:
             for data in batch["content"]:
                 rows = []
-                for head, block in parse_records(data):
+                for head, block in parse_records(gzip.decompress(data)):
                     kind = head["warc-type"]
                     size = digest = ok = payload = None
                     fields = {}
