@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import ASCII_SPACE, LOWER, UPPER, pick, stash
+from corpusmill.llm.common import ASCII_SPACE, LOWER, UPPER, numbered_columns, pick, restored, stash
 
 MAX_HOT = 4000  # rows of the broadcast list of frequent lines, at most
 TRACKED = 16384  # items of the sketch
@@ -60,6 +60,12 @@ def drop_bitmaps(dropped: DataFrame) -> DataFrame:
     return words.groupBy("doc_id", "th").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
 
 
+def document_bitmaps(rows: DataFrame, min_chars: int) -> DataFrame:
+    """rows(doc_id, th, text) -> m_id, m_th, dropped of the documents that lose a line."""
+    lines = stash(line_hashes(rows, min_chars), "lines")
+    return drop_bitmaps(dropped_lines(lines)).toDF("m_id", "m_th", "dropped")
+
+
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
     """One row per input row: doc_id, text, n_lines, n_dropped, dropped (sparse bitmap words; null: all lines stay).
 
@@ -71,13 +77,17 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("th", F.xxhash64("text"))
-    lines = stash(line_hashes(rows, min_chars), "lines")
-    maps = drop_bitmaps(dropped_lines(lines)).toDF("m_id", "m_th", "dropped")
+    maps = document_bitmaps(rows, min_chars)
     joined = rows.join(maps, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th")), "left")
-    n_dropped = F.coalesce(F.aggregate(F.map_values("dropped"), F.lit(0).cast("long"), lambda a, b: a + F.bit_count(b)), F.lit(0).cast("long"))
+    n_dropped = dropped_count(F.col("dropped"))
     return joined.select("doc_id", "text", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), n_dropped.alias("n_dropped"), "dropped")
 
 
+def dropped_count(dropped: Column) -> Column:
+    zero = F.lit(0).cast("long")
+    return F.coalesce(F.aggregate(F.map_values(dropped), zero, lambda a, b: a + F.bit_count(b)), zero)
+
+
 def kept_text(text: Column, dropped: Column) -> Column:
     """The lines that stay, joined by \\n."""
     word = lambda i: F.coalesce(F.try_element_at(dropped, F.floor(i / 64).cast("int")), F.lit(0).cast("long"))
@@ -89,3 +99,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """keep_bitmaps with kept_text: what is left of each text."""
     maps = keep_bitmaps(docs, id_col, text_col, min_chars)
     return maps.withColumn("kept_text", kept_text(F.col("text"), F.col("dropped")))
+
+
+def without_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
+    """The documents with all their columns and what is left of their texts; those that lose all their lines go.
+
+    n_chars, where there is such a column, follows the new text. The rest is as in keep_bitmaps.
+    """
+    plain, at = numbered_columns(docs)
+    doc_id, text = at[id_col], at[text_col]
+    hashed = plain.withColumn("th", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = hashed.select(F.col(doc_id).alias("doc_id"), "th", F.coalesce(F.col(text), F.lit("")).alias("text"))
+    joined = hashed.join(document_bitmaps(rows, min_chars), F.col(doc_id).eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th")), "left")
+    left = joined.where(F.col("dropped").isNull() | (dropped_count(F.col("dropped")) < F.size(F.split(F.col(text), "\n"))))
+    out = left.withColumn(text, kept_text(F.col(text), F.col("dropped")))
+    if "n_chars" in at:
+        out = out.withColumn(at["n_chars"], F.char_length(text).cast(docs.schema["n_chars"].dataType))
+    return restored(out, docs.columns)

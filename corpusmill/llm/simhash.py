@@ -4,7 +4,7 @@ If two fingerprints differ in at most tau bits and their bits are split into m p
 t_1..t_m that sum to tau - m + 1, some part differs in at most its threshold. Correlated bits share a
 part, and a dynamic programme gives each part its threshold (-1: skipped) from estimated candidate
 counts. Documents with one fingerprint are one class from the start; classes meet in buckets of one
-part's value and are verified there. A bucket yields a spanning forest of its links, never all pairs;
+part's value and are verified there. A bucket yields a minimum spanning forest of its links, never all pairs;
 one with too many members is split by the values of its remaining parts, thresholds chosen anew, which
 loses no link. Components come from alternating large-star and small-star joins.
 """
@@ -175,15 +175,27 @@ def signatures(rows: DataFrame, parts: list[tuple[list[int], int]], tau: int) ->
 
 
 def bucket_links(fp: np.ndarray, own: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as (member, root) places, of the links between own members and all members."""
-    label = np.arange(len(fp))
+    """Places (a, b) of the edges of a minimum spanning forest, by distance, of the links between own members and all members.
+
+    The forests of all buckets together hold one of the whole graph, so closest links are never lost.
+    """
+    rows = []
     for a in np.flatnonzero(own):
-        near = label[np.bitwise_count(fp ^ fp[a]) <= tau]
-        low = near.min()
-        if (near != low).any():
-            label[np.isin(label, near)] = low
-    moved = np.flatnonzero(label != np.arange(len(fp)))
-    return moved, label[moved]
+        distance = np.bitwise_count(fp ^ fp[a])
+        hits = np.flatnonzero(distance <= tau)
+        if len(hits) > 1:
+            rows.append((a, hits.astype(np.int32), distance[hits]))
+    label, us, vs = np.arange(len(fp)), [], []
+    for t in range(tau + 1) if rows else ():
+        for a, hits, distance in rows:
+            near = hits[distance <= t]
+            near = near[label[near] != label[a]]
+            if len(near):
+                old, first = np.unique(label[near], return_index=True)
+                us += near[first].tolist()
+                vs += [a] * len(first)
+                label[np.isin(label, old)] = label[a]
+    return np.array(us, dtype=np.int64), np.array(vs, dtype=np.int64)
 
 
 def verify_buckets(rows: DataFrame, tau: int) -> DataFrame:
@@ -199,9 +211,9 @@ def verify_buckets(rows: DataFrame, tau: int) -> DataFrame:
             fp, node, own = x.fp.to_numpy(dtype=np.int64).view(np.uint64), x.node.to_numpy(), x.own.to_numpy(dtype=bool)
             us, vs = [], []
             for a, b in zip(starts[stops - starts > 1], stops[stops - starts > 1], strict=True):
-                moved, root = bucket_links(fp[a:b], own[a:b], tau)
-                us.append(node[a:b][moved])
-                vs.append(node[a:b][root])
+                left, right = bucket_links(fp[a:b], own[a:b], tau)
+                us.append(node[a:b][left])
+                vs.append(node[a:b][right])
             u, v = (np.concatenate(z) if z else np.zeros(0, dtype=np.int64) for z in (us, vs))
             return pd.DataFrame({"u": u, "v": v}).query("u != v").drop_duplicates()
 
@@ -218,8 +230,8 @@ def verify_buckets(rows: DataFrame, tau: int) -> DataFrame:
     return dealt.mapInPandas(run, "u long, v long")
 
 
-def similar_classes(classes: DataFrame, tau: int, most: int = 4096) -> DataFrame:
-    """classes(fp, node), fp distinct -> stored edges (u, v) that connect all nodes at tau or fewer bits.
+def similar_classes(classes: DataFrame, tau: int, most: int = 2048) -> DataFrame:
+    """classes(fp, node) -> edges (u, v) at tau or fewer bits that connect all nodes which such links connect.
 
     most: members of a bucket that one task compares; larger buckets are split first.
     """
@@ -261,7 +273,65 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
-def simhash_components(docs: DataFrame, shingle_words: int = 5, tau: int = 3, id_col: str = "doc_id", text_col: str = "text", most: int = 4096) -> DataFrame:
+def shingle_sets(texts: DataFrame, shingle_words: int) -> DataFrame:
+    """texts(node, text) -> node, shingles: distinct hashes of the word shingles of whole texts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for batch in batches:
+            sets = []
+            for text in batch.text:
+                words = (text or "").encode("utf-8", "replace").lower().split()
+                n = max(len(words) - shingle_words + 1, min(len(words), 1))
+                sets.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle_words])) for i in range(n)], dtype=np.uint64)).view(np.int64))
+            yield pd.DataFrame({"node": batch.node, "shingles": sets})
+
+    return texts.mapInPandas(run, "node long, shingles array<long>")
+
+
+def similar_texts(edges: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """Edges (u, v) whose texts' shingle sets have a Jaccard similarity of at least `similarity`; texts(node, text) of nodes that edges name are read."""
+    edges = stash(edges, "edges")
+    nodes = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
+    sets = stash(shingle_sets(texts.join(nodes, "node", "left_semi"), shingle_words), "shingles")
+    both = edges.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v")
+
+
+def near_duplicate_components(
+    docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, print_words: int = 2, tau: int = 8, id_col: str = "doc_id", text_col: str = "text", most: int = 2048
+) -> DataFrame:
+    """One row per input row: doc_id, component_id over pairs whose Jaccard similarity on word shingles is at least `similarity`.
+
+    Fingerprints of print_words-word shingles within tau bits only propose pairs: a pair of 0.8 on
+    five-word shingles is some six bits apart there, and unrelated texts about 32. Rows of one text (case
+    of A-Z and white space aside) are one class. Null text counts as empty; empty texts are one class.
+    Null ids are linked too; a component of such rows alone has a null component_id.
+    """
+    with_python_path(docs.sparkSession)
+    rows = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for batch in batches:
+            texts = [t or "" for t in batch.text]
+            kinds = [xxhash.xxh64(b" ".join(t.encode("utf-8", "replace").lower().split())).intdigest() for t in texts]
+            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "fp": [fingerprint(t, print_words) for t in texts], "kind": np.array(kinds, dtype=np.uint64).view(np.int64)})
+
+    prints = stash(rows.mapInPandas(run, "doc_id long, fp long, kind long"), "fingerprints")
+    nameless = F.lit(NO_ID) + F.pmod(F.xxhash64("fp", "kind"), F.lit(1 << 40))
+    classes = stash(prints.groupBy("fp", "kind").agg(F.min("doc_id").alias("low")).select("fp", "kind", F.coalesce("low", nameless).alias("node")), "classes")
+    texts = rows.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text")
+    edges = similar_texts(similar_classes(classes.select("fp", "node"), tau, most), texts, shingle_words, similarity)
+    named = classes.join(components(edges), "node", "left").select(F.col("fp").alias("c_fp"), F.col("kind").alias("c_kind"), F.coalesce("root", "node").alias("component_id"))
+    joined = prints.join(named, (F.col("fp") == F.col("c_fp")) & (F.col("kind") == F.col("c_kind")))
+    return joined.select("doc_id", F.when(F.col("component_id") < NO_ID, F.col("component_id")).alias("component_id"))
+
+
+def simhash_components(docs: DataFrame, shingle_words: int = 5, tau: int = 3, id_col: str = "doc_id", text_col: str = "text", most: int = 2048) -> DataFrame:
     """One row per input row: doc_id, fp (signed), component_id, the smallest doc_id reachable over links.
 
     Texts are lower-cased in A-Z only, words are split at ASCII white space, and shingles count as often

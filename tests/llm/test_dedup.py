@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm import simhash as S
 from corpusmill.llm.common import pick
 from corpusmill.llm.exact_dedup import compact, exact_dedup, flush_runs
-from corpusmill.llm.line_dedup import dedup_lines, keep_bitmaps
+from corpusmill.llm.line_dedup import dedup_lines, keep_bitmaps, without_shared_lines
 
 
 def low(i):
@@ -59,7 +59,10 @@ def test_line_dedup_is_brute_force(make_docs):
     rows = [(i, "\n".join([f"own line number {i}", shared[i % 3], "short", shared[i % 2].upper(), "  " + shared[0] + "\t", f"own line number {i}"])) for i in range(60)]
     rows += [(100, None), (101, ""), (102, "\n\n"), (103, "A common line of words"), (104, "\n".join(f"line {i} of many in a long text" for i in range(400))), (105, "line 399 of many in a long text\r\n日本語の長い長い長い行です")]
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_text) for r in dedup_lines(make_docs(rows)).collect()}
-    assert got == line_dedup_by_hand(rows, 10)
+    want = line_dedup_by_hand(rows, 10)
+    assert got == want
+    left = {r[0]: r[1] for r in without_shared_lines(make_docs(rows)).collect()}
+    assert {i: t or "" for i, t in left.items()} == {i: t for i, (n, gone, t) in want.items() if gone < n}
 
 
 def test_repeated_rows_are_one_document(make_docs):
@@ -118,6 +121,40 @@ def test_similar_classes_lose_no_link(spark, tau, most):
     assert {(n, roots.get(n, n)) for n, _ in nodes} == components_by_hand(nodes, tau)
 
 
+def jaccard_components_by_hand(rows, least=0.8):
+    words = [(t or "").encode().lower().split() for _, t in rows]
+    sets = [{b" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))} for w in words]
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if words[i] == words[j] or (a or b) and len(a & b) >= least * len(a | b):
+                root = [root[j] if r == root[i] else r for r in root]
+    return {(d, min((x for (x, _), s in zip(rows, root, strict=True) if s == r and x is not None), default=None)) for (d, _), r in zip(rows, root, strict=True)}
+
+
+def test_near_duplicates_are_those_of_jaccard_similarity(make_docs):
+    r = np.random.default_rng(3)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    rows = []
+    for g in range(12):
+        base = list(r.choice(vocabulary, 300))
+        for _ in range(6):
+            w = list(base)
+            for at in r.choice(300, int(r.integers(0, 6)), replace=False):
+                w[at] = "changed"
+            rows.append((len(rows), " ".join(w)))
+        rows.append((len(rows), " ".join(base[:150] + list(r.choice(vocabulary, 150)))))
+    rows += [(900, None), (901, ""), (902, " "), (903, "two words"), (904, "Two  words"), (None, rows[0][1])]
+    got = {(x.doc_id, x.component_id) for x in S.near_duplicate_components(make_docs(rows)).collect()}
+    want = jaccard_components_by_hand(rows)
+    whole = dict(want)
+    assert all(whole[d] == whole[c] for d, c in got if d is not None), "no component joins what similarity does not"
+    dropped = [d for d, c in want if d is not None and d != c]
+    found = {d for d, c in got if d != c}
+    assert 904 in found and sum(d in found for d in dropped) >= 0.85 * len(dropped)
+    assert S.near_duplicate_components(make_docs(rows[:1]).limit(0)).count() == 0
+
+
 def test_chain_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "u long, v long")
     roots = {r.node: r.root for r in S.components(chain).collect()}

@@ -42,12 +42,11 @@ def test_no_shared_line_is_left(stages):
 
 
 def test_near_duplicates_leave_one_each(stages):
-    from corpusmill.llm.simhash import fingerprint
-
     before, after = stages["near_duplicates"]
-    prints = [fingerprint(r.text, 5) for r in after.collect()]
-    assert 0 < after.count() <= before.count() and len(set(prints)) == len(prints)
-    assert not any(bin((a ^ b) & (1 << 64) - 1).count("1") <= 3 for i, a in enumerate(prints) for b in prints[:i])
+    words = [(r.text or "").lower().split() for r in after.collect()]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for w in words]
+    left = sum(len(a & b) >= 0.8 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert 0 < after.count() <= before.count() and left <= 0.02 * len(sets)
 
 
 def test_mixture_and_packing_keep_words(stages):
