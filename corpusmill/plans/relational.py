@@ -262,7 +262,7 @@ def conv_last_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def conv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("role", F.length("text").cast("long").alias("c"))
-    sums = rows.groupBy("role").agg(F.count("*").alias("n"), F.avg("c").alias("mean_chars"), A.nearest_rank("c", 0.9).alias("p90_nearest"))
+    sums = rows.groupBy("role").agg(F.count("*").alias("n"), F.avg("c").alias("mean_chars"), A.nearest_rank("c", 0.9).cast("long").alias("p90_nearest"))
     return sums.join(A.exact_floor_percentile(rows, ["role"], "c", 0.9).withColumnRenamed("percentile", "p90_chars"), "role")
 
 

@@ -106,7 +106,7 @@ def stable_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     "ret8_term_hits",
     r"""WITH q AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+')[1:3] AS w FROM benchmark), t AS (SELECT item_id, unnest(w) AS term FROM q),
     d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+'))) AS term FROM documents), h AS (SELECT DISTINCT doc_id, term FROM d JOIN t USING (term))
-    SELECT doc_id, 0.2 + 0.1 * count(*) AS score FROM h GROUP BY doc_id""",
+    SELECT doc_id, 0.2e0 + 0.1e0 * count(*) AS score FROM h GROUP BY doc_id""",
 )
 def term_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's score rises with each distinct question term that it holds."""
