@@ -8,56 +8,54 @@ SNIPPET = ("r-1", "law", "交通法", "国家", "《交通法》第十七条 慢
 REPORT = "\n".join(f"## {t}\n车辆缓慢行驶。" for t in SECTIONS) + "\n依据《交通法》第十七条 [依据: r-1]\n车速 30 公里/小时"
 
 
-def run(spark, report=REPORT, **changes):
-    trace = {"key": "k", "case_id": "c", "status": "ok", "final_markdown": report, "visible_snippets": [SNIPPET], "tool_call_issues": [], "any_truncated": False, "retrieval_rounds": 1, "reasoning": ["短"]} | changes
-    traces = spark.createDataFrame([tuple(trace.values())], TRACE)
+HARD = {
+    "truncated_output": {"any_truncated": True},
+    "tool_call_unknown_tool": {"tool_call_issues": ["unknown_tool"]},
+    "tool_markup_in_report": {"final_markdown": REPORT + "<tool_call>"},
+    "citation_not_visible": {"final_markdown": REPORT + "[依据: r-9]"},
+    "article_not_in_visible_text": {"final_markdown": REPORT + "《交通法》第十八条"},
+    "sentencing_or_crime_language": {"final_markdown": REPORT + "判处罚金"},
+    "fabricated_quantity": {"final_markdown": REPORT + "时速 87 公里/小时"},
+    "privacy_leak": {"final_markdown": REPORT + " a.b@c.org"},
+    "no_report": {"status": "error"},
+}
+WARN = {
+    "no_retrieval_round": {"retrieval_rounds": 0},
+    "no_citations": {"final_markdown": REPORT.replace("[依据: r-1]", "")},
+    "liability_assertion_unhedged": {"final_markdown": REPORT + "\n甲方负全部责任。"},
+    "responsibility_ratio_claim": {"final_markdown": REPORT + "\n责任比例为三七"},
+    "unsupported_number": {"final_markdown": REPORT + "\n有 5 人在场"},
+    "plate_in_report": {"final_markdown": REPORT + "\n京A12345"},
+    "guidance_verbatim": {"final_markdown": REPORT + "\n请核对现场照片与监控录像的时间顺序是否一致"},
+    "meta_language": {"final_markdown": REPORT + "\n工具返回如上"},
+    "english_leakage": {"final_markdown": REPORT + "\n" + "word " * 9},
+    "unbalanced_bold": {"final_markdown": REPORT + "\n**半个"},
+    "missing_sections": {"final_markdown": REPORT.replace("## 致因分析", "## 其他")},
+    "tool_call_slow": {"tool_call_issues": ["slow"]},
+    "reasoning_loop": {"reasoning": ["重复的一段话反复出现" * 300]},
+}
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    """The clean trace and one changed trace per code, evaluated together."""
+    clean = {"key": "clean", "case_id": "c", "status": "ok", "final_markdown": REPORT, "visible_snippets": [SNIPPET], "tool_call_issues": [], "any_truncated": False, "retrieval_rounds": 1, "reasoning": ["短"]}
+    traces = [clean] + [clean | {"key": code} | change for code, change in (HARD | WARN).items()]
     cases = spark.createDataFrame([("c", {"车速": "30公里", "天气": "晴天"}, ["信息不足：请核对现场照片与监控录像的时间顺序是否一致"])], CASE)
-    return evaluate_gates(traces, cases).first()
+    return {r.key: r for r in evaluate_gates(spark.createDataFrame([tuple(t.values()) for t in traces], TRACE), cases).collect()}
 
 
-def test_clean_report_passes(spark):
-    row = run(spark)
+def test_clean_report_passes(rows):
+    row = rows["clean"]
     assert not row.hard_fail and row.hard == [] and row.warn == []
     assert row.fact_missing_fields == ["天气"] and row.fact_coverage == 0.5
 
 
-@pytest.mark.parametrize(
-    ("change", "code"),
-    [
-        ({"any_truncated": True}, "truncated_output"),
-        ({"tool_call_issues": ["unknown_tool"]}, "tool_call_unknown_tool"),
-        ({"report": REPORT + "<tool_call>"}, "tool_markup_in_report"),
-        ({"report": REPORT + "[依据: r-9]"}, "citation_not_visible"),
-        ({"report": REPORT + "《交通法》第十八条"}, "article_not_in_visible_text"),
-        ({"report": REPORT + "判处罚金"}, "sentencing_or_crime_language"),
-        ({"report": REPORT + "时速 87 公里/小时"}, "fabricated_quantity"),
-        ({"report": REPORT + " a.b@c.org"}, "privacy_leak"),
-    ],
-)
-def test_one_change_gives_one_hard_code(spark, change, code):
-    assert run(spark, **change).hard == [code]
-
-
-@pytest.mark.parametrize(
-    ("change", "code"),
-    [
-        ({"retrieval_rounds": 0}, "no_retrieval_round"),
-        ({"report": REPORT.replace("[依据: r-1]", "")}, "no_citations"),
-        ({"report": REPORT + "\n甲方负全部责任。"}, "liability_assertion_unhedged"),
-        ({"report": REPORT + "\n有 5 人在场"}, "unsupported_number"),
-        ({"report": REPORT + "\n京A12345"}, "plate_in_report"),
-        ({"report": REPORT + "\n请核对现场照片与监控录像的时间顺序是否一致"}, "guidance_verbatim"),
-        ({"report": REPORT + "\n**半个"}, "unbalanced_bold"),
-        ({"report": REPORT.replace("## 致因分析", "## 其他")}, "missing_sections"),
-        ({"tool_call_issues": ["slow"]}, "tool_call_slow"),
-        ({"reasoning": ["重复的一段话反复出现" * 300]}, "reasoning_loop"),
-    ],
-)
-def test_one_change_gives_one_warning(spark, change, code):
-    row = run(spark, **change)
-    assert row.hard == [] and row.warn == [code]
-
-
-def test_no_report_is_the_only_code(spark):
-    row = run(spark, status="error")
-    assert row.hard == ["no_report"] and row.hard_fail and row.warn == []
+@pytest.mark.parametrize("code", HARD)
+def test_one_change_gives_one_hard_code(rows, code):
+    assert rows[code].hard == [code] and rows[code].hard_fail and rows[code].warn == []
+
+
+@pytest.mark.parametrize("code", WARN)
+def test_one_change_gives_one_warning(rows, code):
+    assert rows[code].hard == [] and rows[code].warn == [code]
