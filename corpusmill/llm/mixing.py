@@ -90,7 +90,7 @@ def mix(
     Sources are taken by code point, null last, and weighed by `weights`, repeated; null is a source
     like any other. The per-source table goes to the driver: sources are a dimension, not data. Null
     text has no words. No word is taken more than `cap` times; a slot drawn beyond that stays empty.
-    seq numbers the rows as they are read; reruns on the same rows agree. An empty table, or one
+    seq numbers the rows as they are read, so docs must be a stored table; reruns on it agree. An empty table, or one
     without words, gives no pieces.
     """
     spark = docs.sparkSession
