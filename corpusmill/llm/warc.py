@@ -88,7 +88,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, pages_per_file:
     fields = F.concat_ws(EOL, F.lit("via: table"), F.concat(F.lit("page-id: "), F.col("page_id").cast("string")), F.lit(""))
     metadata = _record("metadata", _urn(F.lit("metadata"), F.col("seq")), fields, "application/warc-fields", uri, beside)
     records = rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    records.write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", 3 * pages_per_file).option("compression", "gzip").text(path)
+    records.write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", 3 * pages_per_file).options(compression="gzip", **{"zlib.compress.level": "BEST_SPEED"}).text(path)
 
 
 def _lines(head: bytes) -> dict[str, str]:
