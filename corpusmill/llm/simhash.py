@@ -25,7 +25,7 @@ from corpusmill.llm.common import cut, pick, stash, with_python_path
 
 BITS = 64
 NO_ID = (1 << 63) - (1 << 41)  # nodes from here on stand for classes whose ids are all null
-SIGNATURE_COST, CANDIDATE_COST = 1.0, 0.02
+SIGNATURE_COST, CANDIDATE_COST = 1.0, 0.2
 
 
 def fingerprint(text: str, shingle_words: int = 3, seed: int = 42) -> int:
@@ -174,33 +174,44 @@ def signatures(rows: DataFrame, parts: list[tuple[list[int], int]], tau: int) ->
     return rows.mapInPandas(run, BUCKET)
 
 
-def bucket_links(fp: np.ndarray, own: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (a, b) of the edges of a minimum spanning forest, by distance, of the links between own members and all members.
+def bucket_links(fp: np.ndarray, own: np.ndarray, tau: int, before: list[tuple[np.uint64, int]] = (), forests: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of the edges of minimum spanning forests, by distance, of the links between own members and all members.
 
-    The forests of all buckets together hold one of the whole graph, so closest links are never lost.
+    before: (mask, threshold) of the parts in front of this bucket's: a pair that meets in one of them is
+    left to it, and one between an own member and another is left to the smaller fingerprint's bucket. So
+    each pair counts in one place, and the forests of all buckets together hold one of the whole graph.
+    forests: how many, without a common edge, the next from what the ones before left.
     """
-    rows = []
+    rows, place = [], np.arange(len(fp))
     for a in np.flatnonzero(own):
         distance = np.bitwise_count(fp ^ fp[a])
-        hits = np.flatnonzero(distance <= tau)
-        if len(hits) > 1:
-            rows.append((a, hits.astype(np.int32), distance[hits]))
-    label, us, vs = np.arange(len(fp)), [], []
-    for t in range(tau + 1) if rows else ():
-        for a, hits, distance in rows:
-            near = hits[distance <= t]
-            near = near[label[near] != label[a]]
-            if len(near):
-                old, first = np.unique(label[near], return_index=True)
-                us += near[first].tolist()
-                vs += [a] * len(first)
-                label[np.isin(label, old)] = label[a]
+        hits = np.flatnonzero((distance <= tau) & np.where(own, place > a, fp > fp[a]))
+        for mask, t in before if len(hits) else ():
+            hits = hits[np.bitwise_count((fp[hits] ^ fp[a]) & mask) > t]
+        if len(hits):
+            rows.append((a, hits.astype(np.int32), distance[hits], np.ones(len(hits), dtype=bool)))
+    us, vs = [], []
+    for _ in range(forests if rows else 0):
+        label = place.copy()
+        for t in range(tau + 1):
+            for a, hits, distance, free in rows:
+                some = np.flatnonzero((distance <= t) & free)
+                some = some[label[hits[some]] != label[a]]
+                if len(some):
+                    old, first = np.unique(label[hits[some]], return_index=True)
+                    us += hits[some[first]].tolist()
+                    vs += [a] * len(first)
+                    free[some[first]] = False
+                    label[np.isin(label, old)] = label[a]
     return np.array(us, dtype=np.int64), np.array(vs, dtype=np.int64)
 
 
-def verify_buckets(rows: DataFrame, tau: int) -> DataFrame:
+def verify_buckets(rows: DataFrame, parts: list[tuple[list[int], int]], tau: int, forests: int = 1) -> DataFrame:
     """Edges (u, v) of nodes within each key; rows are dealt and sorted by key, so a bucket streams past once."""
 
+    plan = [(np.uint64(sum(1 << b for b in bits)), t) for bits, t in parts]
+    in_front = {1 << i: [p for p in plan[:i] if p[1] >= 0] for i in range(len(plan))}  # of buckets that were not split
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         carried = None
 
@@ -209,9 +220,10 @@ def verify_buckets(rows: DataFrame, tau: int) -> DataFrame:
             cuts = np.flatnonzero(np.diff(key)) + 1
             starts, stops = np.append(0, cuts), np.append(cuts, len(key))
             fp, node, own = x.fp.to_numpy(dtype=np.int64).view(np.uint64), x.node.to_numpy(), x.own.to_numpy(dtype=bool)
+            used = x.used.to_numpy()
             us, vs = [], []
             for a, b in zip(starts[stops - starts > 1], stops[stops - starts > 1], strict=True):
-                left, right = bucket_links(fp[a:b], own[a:b], tau)
+                left, right = bucket_links(fp[a:b], own[a:b], tau, in_front.get(int(used[a]), []), forests)
                 us.append(node[a:b][left])
                 vs.append(node[a:b][right])
             u, v = (np.concatenate(z) if z else np.zeros(0, dtype=np.int64) for z in (us, vs))
@@ -226,11 +238,11 @@ def verify_buckets(rows: DataFrame, tau: int) -> DataFrame:
         if carried is not None and len(carried):
             yield edges(carried)
 
-    dealt = rows.select("key", "fp", "node", "own").repartition("key").sortWithinPartitions("key")
+    dealt = rows.select("key", "fp", "node", "own", "used").repartition("key").sortWithinPartitions("key")
     return dealt.mapInPandas(run, "u long, v long")
 
 
-def similar_classes(classes: DataFrame, tau: int, most: int = 2048) -> DataFrame:
+def similar_classes(classes: DataFrame, tau: int, most: int = 2048, forests: int = 1) -> DataFrame:
     """classes(fp, node) -> edges (u, v) at tau or fewer bits that connect all nodes which such links connect.
 
     most: members of a bucket that one task compares; larger buckets are split first.
@@ -245,7 +257,7 @@ def similar_classes(classes: DataFrame, tau: int, most: int = 2048) -> DataFrame
         large = stash(signed.groupBy("key").count().where(F.col("count") > most).select("key"), "large-buckets")
         none = large.isEmpty()
         small = signed if none else signed.join(large, "key", "left_anti").unionByName(signed.join(large, "key", "left_semi").where(F.col("used") == full))
-        found.append(stash(verify_buckets(small, tau), "links"))
+        found.append(stash(verify_buckets(small, parts, tau, forests), "links"))
         if none:
             break
         rows = signed.join(large, "key", "left_semi").where(F.col("used") != full)
@@ -306,7 +318,8 @@ def near_duplicate_components(
     """One row per input row: doc_id, component_id over pairs whose Jaccard similarity on word shingles is at least `similarity`.
 
     Fingerprints of print_words-word shingles within tau bits only propose pairs: a pair of 0.8 on
-    five-word shingles is some six bits apart there, and unrelated texts about 32. Rows of one text (case
+    five-word shingles is some six bits apart there, and unrelated texts about 32. Two spanning forests
+    of the proposed pairs are verified, so a group holds together when some of its pairs fail. Rows of one text (case
     of A-Z and white space aside) are one class. Null text counts as empty; empty texts are one class.
     Null ids are linked too; a component of such rows alone has a null component_id.
     """
@@ -325,7 +338,7 @@ def near_duplicate_components(
     nameless = F.lit(NO_ID) + F.pmod(F.xxhash64("fp", "kind"), F.lit(1 << 40))
     classes = stash(prints.groupBy("fp", "kind").agg(F.min("doc_id").alias("low")).select("fp", "kind", F.coalesce("low", nameless).alias("node")), "classes")
     texts = rows.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text")
-    edges = similar_texts(similar_classes(classes.select("fp", "node"), tau, most), texts, shingle_words, similarity)
+    edges = similar_texts(similar_classes(classes.select("fp", "node"), tau, most, forests=2), texts, shingle_words, similarity)
     named = classes.join(components(edges), "node", "left").select(F.col("fp").alias("c_fp"), F.col("kind").alias("c_kind"), F.coalesce("root", "node").alias("component_id"))
     joined = prints.join(named, (F.col("fp") == F.col("c_fp")) & (F.col("kind") == F.col("c_kind")))
     return joined.select("doc_id", F.when(F.col("component_id") < NO_ID, F.col("component_id")).alias("component_id"))
