@@ -26,8 +26,10 @@ RECORD = "record_id string, type string, concurrent_to string, refers_to string,
 
 def base32_sha1(payload: Column) -> Column:
     """Upper-case base32 of the SHA-1: eight times twenty bits, each as four digits."""
-    digits = F.sha1(payload)
+    return F.get(F.transform(F.array(F.sha1(payload)), lambda digits: _base32(digits)), F.lit(0))
 
+
+def _base32(digits: Column) -> Column:
     def digit(i: Column) -> Column:
         bits = F.conv(F.substr(digits, (F.floor(i / 4) * 5 + 1).cast("int"), F.lit(5)), 16, 10).cast("int")
         return F.substr(F.lit(BASE32), (F.floor(bits / F.pow(F.lit(2), 15 - 5 * (i % 4))).cast("int") % 32) + 1, F.lit(1))
