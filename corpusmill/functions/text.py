@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,10 +23,19 @@ def present(value: Column) -> Column:
     return F.coalesce(F.length(compact(value)) > 0, F.lit(False))
 
 
-def grams(items: Column, n: int) -> Column:
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once per row, also where f uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
+
+
+def grams(items: Column, n: int, joiner: str = "") -> Column:
     """Arrays joined from n neighbouring items (strings); none if there are fewer than n."""
-    many = F.transform(F.sequence(F.lit(1), F.size(items) - n + 1), lambda i: F.array_join(F.slice(items, i, n), ""))
-    return F.when(F.size(items) >= n, many).otherwise(F.array().cast("array<string>"))
+
+    def of(xs: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.size(xs) - n + 1), lambda i: F.array_join(F.slice(xs, i, n), joiner))
+        return F.when(F.size(xs) >= n, many).otherwise(F.array().cast("array<string>"))
+
+    return bound(items, of)
 
 
 def char_grams(text: Column, n: int) -> Column:
@@ -34,14 +45,12 @@ def char_grams(text: Column, n: int) -> Column:
 
 
 def word_grams(words: Column, n: int) -> Column:
-    many = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, many).otherwise(F.array().cast("array<string>"))
+    return grams(words, n, " ")
 
 
 def duplicate_ratio(items: Column) -> Column:
     """The share of items that repeat an earlier one; 0 without items."""
-    n = F.size(items)
-    return F.when(n > 0, (n - F.size(F.array_distinct(items))) / n).otherwise(F.lit(0.0))
+    return bound(items, lambda xs: F.when(F.size(xs) > 0, (F.size(xs) - F.size(F.array_distinct(xs))) / F.size(xs)).otherwise(F.lit(0.0)))
 
 
 def words(text: Column) -> Column:
@@ -93,7 +102,7 @@ def coverage(value: Column, body: Column) -> Column:
     """Share of the value's distinct pairs of Han, letter and digit characters that the body holds; null if it has fewer than two such characters."""
     kept = F.regexp_replace(value, r"[^一-鿿A-Za-z0-9]", "")
     pairs = F.array_distinct(char_grams(kept, 2))
-    return F.when(F.size(pairs) > 0, F.size(F.filter(pairs, lambda g: F.contains(body, g))) / F.size(pairs))
+    return bound(F.struct(pairs.alias("p"), body.alias("b")), lambda v: F.when(F.size(v["p"]) > 0, F.size(F.filter(v["p"], lambda g: F.contains(v["b"], g))) / F.size(v["p"])))
 
 
 def pointer_tokens(ref: Column) -> Column:

@@ -112,7 +112,10 @@ def verbatim_clauses(report: Column, guidance: Column) -> Column:
 
 def field_coverage(accident: Column, report: Column, threshold: float = 0.6) -> Column:
     """struct<ratio, missing>: fields whose pairs of characters, or whole value, the report shows."""
-    body = T.compact(report)
+    return T.bound(T.compact(report), lambda body: _field_coverage(accident, body, threshold))
+
+
+def _field_coverage(accident: Column, body: Column, threshold: float) -> Column:
     fields = F.transform(F.map_entries(accident), lambda e: F.struct(e["key"].alias("field"), T.compact(e["value"]).alias("value"), T.coverage(e["value"], body).alias("hit")))
     measured = F.filter(fields, lambda f: (f["field"] != UNMEASURED_FIELD) & f["hit"].isNotNull())
     missing = F.filter(measured, lambda f: (f["hit"] < threshold) & ~F.contains(body, f["value"]))
