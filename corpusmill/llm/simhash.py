@@ -18,7 +18,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import cut, pick, stash, with_python_path
@@ -285,63 +285,117 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
-def shingle_sets(texts: DataFrame, shingle_words: int) -> DataFrame:
-    """texts(node, text) -> node, shingles: distinct hashes of the word shingles of whole texts."""
+def shingle_sets(rows: DataFrame, shingle_words: int) -> DataFrame:
+    """rows(doc_id, text) -> doc_id, node, shingles: the text's hash (case of A-Z and white space aside), and the distinct hashes of the word shingles of the whole text, in order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for batch in batches:
-            sets = []
+            nodes, sets = [], []
             for text in batch.text:
                 words = (text or "").encode("utf-8", "replace").lower().split()
-                n = max(len(words) - shingle_words + 1, min(len(words), 1))
-                sets.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle_words])) for i in range(n)], dtype=np.uint64)).view(np.int64))
-            yield pd.DataFrame({"node": batch.node, "shingles": sets})
+                joined = b" ".join(words)
+                ends = np.cumsum([len(w) + 1 for w in words])
+                stops = (ends - 1).tolist()[min(shingle_words, max(len(words), 1)) - 1 :] if words else []
+                hashes = [xxhash.xxh64_intdigest(joined[x:y]) for x, y in zip([0, *ends[:-1].tolist()], stops, strict=False)]
+                nodes.append(xxhash.xxh64_intdigest(joined))
+                sets.append(np.unique(np.array(hashes, dtype=np.uint64)).view(np.int64))
+            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "node": np.array(nodes, dtype=np.uint64).view(np.int64), "shingles": sets})
 
-    return texts.mapInPandas(run, "node long, shingles array<long>")
+    return rows.mapInPandas(run, "doc_id long, node long, shingles array<long>")
 
 
-def similar_texts(edges: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """Edges (u, v) whose texts' shingle sets have a Jaccard similarity of at least `similarity`; texts(node, text) of nodes that edges name are read."""
-    edges = stash(edges, "edges")
-    nodes = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
-    sets = stash(shingle_sets(texts.join(nodes, "node", "left_semi"), shingle_words), "shingles")
-    both = edges.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+def frequent_shingles(sets: DataFrame, least: int = 4, most: int = 200_000) -> pd.DataFrame:
+    """shingle, n: those that several texts of a batch share, by their counts; they only set the order in prefixes(), so counts may be rough."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            values, n = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *batch.shingles]), return_counts=True)
+            yield pd.DataFrame({"shingle": values[n >= least], "n": n[n >= least]})
+
+    counts = sets.select("shingles").mapInPandas(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    return counts.orderBy(F.desc("n"), "shingle").limit(most).toPandas()  # at most 200,000 rows
+
+
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """sets(node, shingles) -> shingle, node, size, place: the rarest shingles of each text, as many as needed.
+
+    Two sets of the similarity share at least similarity * size of either, so under one order of all
+    shingles the first size - ceil(similarity * size) + 1 of both have a common one. Any order will do;
+    frequent shingles are last, that few texts meet.
+    """
+    common = frequent_shingles(sets).sort_values("shingle")
+    shared = sets.sparkSession.sparkContext.broadcast((common.shingle.to_numpy(dtype=np.int64), common.n.to_numpy(dtype=np.int64)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, counts = shared.value
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                some = batch.iloc[at : at + 1000]
+                taken = [np.zeros(0, dtype=np.int64)]
+                for s in some.shingles:
+                    if len(known):
+                        where = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                        s = s[np.argsort(np.where(known[where] == s, counts[where], 0), kind="stable")]
+                    taken.append(s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1])
+                lengths, sizes = [len(t) for t in taken[1:]], [len(s) for s in some.shingles]
+                places = np.concatenate([np.zeros(0, dtype=np.int64), *[np.arange(n) for n in lengths]])
+                yield pd.DataFrame({"shingle": np.concatenate(taken), "node": np.repeat(some.node.to_numpy(), lengths), "size": np.repeat(sizes, lengths), "place": places})
+
+    return sets.mapInPandas(run, "shingle long, node long, size int, place int")
+
+
+def similar_texts(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) whose shingle sets have a Jaccard similarity of at least `similarity`; sets(node, shingles)."""
+    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    named = stash(sets.join(nodes, "node", "left_semi").select("node", "shingles"), "shingles")
+    both = pairs.join(named.toDF("u", "a"), "u").join(named.toDF("v", "b"), "v")
     shared = F.size(F.array_intersect("a", "b"))
     return both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
 
-def near_duplicate_components(
-    docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, print_words: int = 2, tau: int = 8, id_col: str = "doc_id", text_col: str = "text", most: int = 2048
-) -> DataFrame:
-    """One row per input row: doc_id, component_id over pairs whose Jaccard similarity on word shingles is at least `similarity`.
+def similar_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """sets(node, shingles), one row a node -> pairs (u, v), all at the similarity or above, that connect all nodes which such pairs connect.
 
-    Fingerprints of print_words-word shingles within tau bits only propose pairs: a pair of 0.8 on
-    five-word shingles is some six bits apart there, and unrelated texts about 32. Two spanning forests
-    of the proposed pairs are verified, so a group holds together when some of its pairs fail. Rows of one text (case
-    of A-Z and white space aside) are one class. Null text counts as empty; empty texts are one class.
-    Null ids are linked too; a component of such rows alone has a null component_id.
+    First each text meets the least and the greatest node of the prefix shingles that it shares most
+    often, which joins most of a group of copies by few pairs. Then every pair of nodes that are still
+    apart and share a prefix shingle is compared, so none is lost.
+    """
+    every = Window.partitionBy("shingle")
+    postings = prefixes(sets, similarity).select("*", F.min("node").over(every).alias("low"), F.max("node").over(every).alias("high"))
+    postings = stash(postings.where("low < high"), "postings")
+    ends = [postings.where(F.col(c) != F.col("node")).groupBy("node", F.col(c).alias("end")).count().groupBy("node").agg(F.max_by("end", F.struct("count", "end")).alias("end")) for c in ("low", "high")]
+    first = stash(ends[0].unionByName(ends[1]).select(F.greatest("node", "end").alias("u"), F.least("node", "end").alias("v")).distinct(), "pairs")
+    passed = stash(similar_texts(first, sets, similarity), "links")
+    apart = postings.join(components(passed), "node", "left").select("shingle", "node", "size", "place", F.coalesce("root", "node").alias("root"))
+    groups = apart.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
+    apart = stash(apart.join(groups, "shingle", "left_semi"), "apart")
+    a, b = (apart.select("shingle", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "size", "place", "root")]) for x in "ab")
+    least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("a_size") + F.col("b_size")) - 1e-9)
+    reach = 1 + F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place")) - 1  # shared from here on; at the first common shingle, all that is shared
+    near = a.join(b, "shingle").where((F.col("a_node") > F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & (reach >= least))
+    rest = stash(near.select(F.col("a_node").alias("u"), F.col("b_node").alias("v")).distinct().join(first, ["u", "v"], "left_anti"), "pairs")
+    return passed.unionByName(stash(similar_texts(rest, sets, similarity), "links"))
+
+
+def near_duplicate_components(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, component_id over all pairs whose Jaccard similarity on word shingles is at least `similarity`.
+
+    Exact: pairs come from a prefix filter, which no similar pair escapes. Rows of one text (case of A-Z
+    and white space aside) are one class. Null text counts as empty; empty texts are one class. Null ids
+    are linked too; a component of such rows alone has a null component_id.
     """
     with_python_path(docs.sparkSession)
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        for batch in batches:
-            texts = [t or "" for t in batch.text]
-            kinds = [xxhash.xxh64(b" ".join(t.encode("utf-8", "replace").lower().split())).intdigest() for t in texts]
-            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "fp": [fingerprint(t, print_words) for t in texts], "kind": np.array(kinds, dtype=np.uint64).view(np.int64)})
-
-    prints = stash(rows.mapInPandas(run, "doc_id long, fp long, kind long"), "fingerprints")
-    nameless = F.lit(NO_ID) + F.pmod(F.xxhash64("fp", "kind"), F.lit(1 << 40))
-    classes = stash(prints.groupBy("fp", "kind").agg(F.min("doc_id").alias("low")).select("fp", "kind", F.coalesce("low", nameless).alias("node")), "classes")
-    texts = rows.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text")
-    edges = similar_texts(similar_classes(classes.select("fp", "node"), tau, most, forests=2), texts, shingle_words, similarity)
-    named = classes.join(components(edges), "node", "left").select(F.col("fp").alias("c_fp"), F.col("kind").alias("c_kind"), F.coalesce("root", "node").alias("component_id"))
-    joined = prints.join(named, (F.col("fp") == F.col("c_fp")) & (F.col("kind") == F.col("c_kind")))
-    return joined.select("doc_id", F.when(F.col("component_id") < NO_ID, F.col("component_id")).alias("component_id"))
+    all_sets = stash(shingle_sets(rows, shingle_words).withColumn("row", F.monotonically_increasing_id()), "sets")
+    classes = stash(all_sets.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"), F.count("*").alias("n")), "classes")
+    repeated = all_sets.join(classes.where("n > 1").select("node", F.col("row").alias("kept")), "node").where("row <> kept").select("row")
+    sets = all_sets.join(repeated, "row", "left_anti").select("node", "shingles")
+    named = classes.select("node", "low").join(components(similar_pairs(sets, similarity)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    found = named.join(least, "root").select("node", "component_id")
+    return all_sets.select("doc_id", "node").join(found, "node").select("doc_id", "component_id")
 
 
 def simhash_components(docs: DataFrame, shingle_words: int = 5, tau: int = 3, id_col: str = "doc_id", text_col: str = "text", most: int = 2048) -> DataFrame:

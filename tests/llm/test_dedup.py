@@ -155,6 +155,32 @@ def test_near_duplicates_are_those_of_jaccard_similarity(make_docs):
     assert S.near_duplicate_components(make_docs(rows[:1]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["added", "cut", "replaced", "scattered"])
+def test_near_duplicates_find_every_kind_of_edit(make_docs, kind):
+    """Blocks added, cut off or replaced and scattered changes, at similarities of 0.80 to 0.95: none is missed."""
+    r = np.random.default_rng(5)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    rows = []
+    for g in range(40):
+        w, share = list(r.choice(vocabulary, 300)), (0.8, 0.85, 0.9, 0.95)[g % 4]
+        n = 296  # shingles
+        if kind == "added":
+            other = w + list(r.choice(vocabulary, int(n / share) - n))
+        elif kind == "cut":
+            other = w[: 300 - int(n * (1 - share))]
+        elif kind == "replaced":
+            lost = int(n * (1 - share) / (1 + share))
+            other = w[: 300 - lost] + list(r.choice(vocabulary, lost))
+        else:
+            other = list(w)
+            for at in range(10, 10 + 20 * int(n * (1 - share) / (1 + share) / 5), 20):
+                other[at] = "changed"
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(other))]
+    want = jaccard_components_by_hand(rows)
+    assert {d for d, c in want if d != c} == set(range(1, 80, 2))
+    assert {(x.doc_id, x.component_id) for x in S.near_duplicate_components(make_docs(rows)).collect()} == want
+
+
 def test_chain_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "u long, v long")
     roots = {r.node: r.root for r in S.components(chain).collect()}
