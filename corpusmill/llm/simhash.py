@@ -174,13 +174,12 @@ def signatures(rows: DataFrame, parts: list[tuple[list[int], int]], tau: int) ->
     return rows.mapInPandas(run, BUCKET)
 
 
-def bucket_links(fp: np.ndarray, own: np.ndarray, tau: int, before: list[tuple[np.uint64, int]] = (), forests: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Places (a, b) of the edges of minimum spanning forests, by distance, of the links between own members and all members.
+def bucket_links(fp: np.ndarray, own: np.ndarray, tau: int, before: list[tuple[np.uint64, int]] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of the edges of a minimum spanning forest, by distance, of the links between own members and all members.
 
     before: (mask, threshold) of the parts in front of this bucket's: a pair that meets in one of them is
     left to it, and one between an own member and another is left to the smaller fingerprint's bucket. So
     each pair counts in one place, and the forests of all buckets together hold one of the whole graph.
-    forests: how many, without a common edge, the next from what the ones before left.
     """
     rows, place = [], np.arange(len(fp))
     for a in np.flatnonzero(own):
@@ -189,24 +188,21 @@ def bucket_links(fp: np.ndarray, own: np.ndarray, tau: int, before: list[tuple[n
         for mask, t in before if len(hits) else ():
             hits = hits[np.bitwise_count((fp[hits] ^ fp[a]) & mask) > t]
         if len(hits):
-            rows.append((a, hits.astype(np.int32), distance[hits], np.ones(len(hits), dtype=bool)))
-    us, vs = [], []
-    for _ in range(forests if rows else 0):
-        label = place.copy()
-        for t in range(tau + 1):
-            for a, hits, distance, free in rows:
-                some = np.flatnonzero((distance <= t) & free)
-                some = some[label[hits[some]] != label[a]]
-                if len(some):
-                    old, first = np.unique(label[hits[some]], return_index=True)
-                    us += hits[some[first]].tolist()
-                    vs += [a] * len(first)
-                    free[some[first]] = False
-                    label[np.isin(label, old)] = label[a]
+            rows.append((a, hits.astype(np.int32), distance[hits]))
+    us, vs, label = [], [], place.copy()
+    for t in range(tau + 1 if rows else 0):
+        for a, hits, distance in rows:
+            some = np.flatnonzero(distance <= t)
+            some = some[label[hits[some]] != label[a]]
+            if len(some):
+                old, first = np.unique(label[hits[some]], return_index=True)
+                us += hits[some[first]].tolist()
+                vs += [a] * len(first)
+                label[np.isin(label, old)] = label[a]
     return np.array(us, dtype=np.int64), np.array(vs, dtype=np.int64)
 
 
-def verify_buckets(rows: DataFrame, parts: list[tuple[list[int], int]], tau: int, forests: int = 1) -> DataFrame:
+def verify_buckets(rows: DataFrame, parts: list[tuple[list[int], int]], tau: int) -> DataFrame:
     """Edges (u, v) of nodes within each key; rows are dealt and sorted by key, so a bucket streams past once."""
 
     plan = [(np.uint64(sum(1 << b for b in bits)), t) for bits, t in parts]
@@ -223,7 +219,7 @@ def verify_buckets(rows: DataFrame, parts: list[tuple[list[int], int]], tau: int
             used = x.used.to_numpy()
             us, vs = [], []
             for a, b in zip(starts[stops - starts > 1], stops[stops - starts > 1], strict=True):
-                left, right = bucket_links(fp[a:b], own[a:b], tau, in_front.get(int(used[a]), []), forests)
+                left, right = bucket_links(fp[a:b], own[a:b], tau, in_front.get(int(used[a]), []))
                 us.append(node[a:b][left])
                 vs.append(node[a:b][right])
             u, v = (np.concatenate(z) if z else np.zeros(0, dtype=np.int64) for z in (us, vs))
@@ -242,7 +238,7 @@ def verify_buckets(rows: DataFrame, parts: list[tuple[list[int], int]], tau: int
     return dealt.mapInPandas(run, "u long, v long")
 
 
-def similar_classes(classes: DataFrame, tau: int, most: int = 2048, forests: int = 1) -> DataFrame:
+def similar_classes(classes: DataFrame, tau: int, most: int = 2048) -> DataFrame:
     """classes(fp, node) -> edges (u, v) at tau or fewer bits that connect all nodes which such links connect.
 
     most: members of a bucket that one task compares; larger buckets are split first.
@@ -257,7 +253,7 @@ def similar_classes(classes: DataFrame, tau: int, most: int = 2048, forests: int
         large = stash(signed.groupBy("key").count().where(F.col("count") > most).select("key"), "large-buckets")
         none = large.isEmpty()
         small = signed if none else signed.join(large, "key", "left_anti").unionByName(signed.join(large, "key", "left_semi").where(F.col("used") == full))
-        found.append(stash(verify_buckets(small, parts, tau, forests), "links"))
+        found.append(stash(verify_buckets(small, parts, tau), "links"))
         if none:
             break
         rows = signed.join(large, "key", "left_semi").where(F.col("used") != full)

@@ -181,6 +181,24 @@ def test_near_duplicates_find_every_kind_of_edit(make_docs, kind):
     assert {(x.doc_id, x.component_id) for x in S.near_duplicate_components(make_docs(rows)).collect()} == want
 
 
+def test_a_pair_is_found_among_relatives_that_are_not_similar_enough(make_docs):
+    """Each pair of 0.82 lies in a family of 30 whose other members are below 0.8 to all."""
+    r = np.random.default_rng(8)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    rows = []
+    for _ in range(4):
+        base = list(r.choice(vocabulary, 300))
+        family = [list(base) for _ in range(30)]
+        for k, w in enumerate(family):
+            for at in range(20 + k % 20, 300, 40 if k > 1 else 56):
+                w[at] = f"own{k}"
+        rows += [(len(rows) + i, " ".join(w)) for i, w in enumerate(family)]
+    want = jaccard_components_by_hand(rows)
+    linked = [d for d, c in want if d != c]
+    assert len(linked) == 4
+    assert {(x.doc_id, x.component_id) for x in S.near_duplicate_components(make_docs(rows)).collect()} == want
+
+
 def test_chain_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "u long, v long")
     roots = {r.node: r.root for r in S.components(chain).collect()}
