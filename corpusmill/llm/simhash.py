@@ -134,15 +134,33 @@ def _mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _thresholds(parts: list[tuple[list[int], int]], used: int, tau: int) -> dict[int, int]:
-    """Of the parts that are left: those of the plan at first, later an even share of tau - m + 1."""
-    left = [i for i in range(len(parts)) if not used >> i & 1]
-    if not used:
-        return {i: parts[i][1] for i in left}
+MAX_BALL = 300  # flipped values per row and part
+
+
+def fine_parts(tau: int) -> list[list[int]]:
+    """All bits again in tau + 1 parts, so that some part of any link is equal."""
+    return [list(range(BITS))[i :: tau + 1] for i in range(tau + 1)]
+
+
+def _even(left: list[int], tau: int) -> dict[int, int]:
     whole, rest = divmod(tau - len(left) + 1, max(len(left), 1))
     return {i: whole + (k < rest) for k, i in enumerate(left)}
 
 
+def _thresholds(parts: list[tuple[list[int], int]], used: int, tau: int) -> dict[int, int]:
+    """Of the parts that are left: those of the plan at first, later an even share of tau - m + 1.
+
+    Where a part's ball would be too large, the bucket goes by fine_parts() instead, numbered from
+    len(parts) on; these too cover all bits, so every link of the bucket meets in one of them.
+    """
+    if not used:
+        return {i: t for i, (_, t) in enumerate(parts)}
+    shares = _even([i for i in range(len(parts)) if not used >> i & 1], tau)
+    if used >> len(parts) == 0 and all(ball_size(len(parts[i][0]), t) <= MAX_BALL for i, t in shares.items()):
+        return shares
+    return _even([len(parts) + i for i in range(tau + 1) if not used >> len(parts) + i & 1], tau)
+
+
 BUCKET = "key long, fp long, node long, own boolean, used int"
 
 
@@ -152,8 +170,9 @@ def signatures(rows: DataFrame, parts: list[tuple[list[int], int]], tau: int) ->
     own: the value is the fingerprint's own, here and in all steps before. Keys are hashes of the parts'
     values; a chance collision only adds candidates.
     """
-    masks = [np.uint64(sum(1 << b for b in bits)) for bits, _ in parts]
-    flips = {(i, t): _flips(bits, t) for i, (bits, _) in enumerate(parts) for t in range(tau + 1) if ball_size(len(bits), t) <= 300_000}
+    places = [bits for bits, _ in parts] + fine_parts(tau)
+    masks = [np.uint64(sum(1 << b for b in bits)) for bits in places]
+    flips = {(i, t): _flips(bits, t) for i, bits in enumerate(places) for t in range(tau + 1) if ball_size(len(bits), t) <= MAX_BALL or i < len(parts) and t <= parts[i][1]}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -247,16 +266,18 @@ def similar_classes(classes: DataFrame, tau: int, most: int = 2048) -> DataFrame
     n, moments = bit_moments(classes)
     parts = plan_parts(n, moments, tau)
     rows = classes.select(F.lit(0).cast("long").alias("key"), "fp", "node", F.lit(True).alias("own"), F.lit(0).alias("used"))
-    found, full = [], (1 << len(parts)) - 1
+    coarse, fine = (1 << len(parts)) - 1, ((1 << tau + 1) - 1) << len(parts)
+    spent = (F.col("used").bitwiseAND(F.lit(coarse)) == coarse) | (F.col("used").bitwiseAND(F.lit(fine)) == fine)
+    found = []
     while True:
         signed = stash(signatures(rows, parts, tau), "signatures")
         large = stash(signed.groupBy("key").count().where(F.col("count") > most).select("key"), "large-buckets")
         none = large.isEmpty()
-        small = signed if none else signed.join(large, "key", "left_anti").unionByName(signed.join(large, "key", "left_semi").where(F.col("used") == full))
+        small = signed if none else signed.join(large, "key", "left_anti").unionByName(signed.join(large, "key", "left_semi").where(spent))
         found.append(stash(verify_buckets(small, parts, tau), "links"))
         if none:
             break
-        rows = signed.join(large, "key", "left_semi").where(F.col("used") != full)
+        rows = signed.join(large, "key", "left_semi").where(~spent)
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)

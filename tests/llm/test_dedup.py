@@ -121,6 +121,19 @@ def test_similar_classes_lose_no_link(spark, tau, most):
     assert {(n, roots.get(n, n)) for n, _ in nodes} == components_by_hand(nodes, tau)
 
 
+def test_large_buckets_of_few_parts_are_split(spark, monkeypatch):
+    """Three parts with a radius of 8, as on millions of texts: the last part's ball would have 401,930 values."""
+    plan = [(list(range(22)), 2), (list(range(22, 43)), 2), (list(range(43, 64)), 2)]
+    monkeypatch.setattr(S, "plan_parts", lambda n, moments, tau: plan)
+    rng = np.random.default_rng(8)
+    centre = int(rng.integers(0, 1 << 62))
+    prints = {centre ^ sum(1 << int(b) for b in rng.choice(62, rng.integers(3, 8), replace=False)) for _ in range(60)}
+    nodes = [(n, fp) for n, fp in enumerate(sorted(prints))]
+    edges = S.similar_classes(spark.createDataFrame([(fp, n) for n, fp in nodes], "fp long, node long").coalesce(1), 8, 30)
+    roots = {r.node: r.root for r in S.components(edges).collect()}
+    assert {(n, roots.get(n, n)) for n, _ in nodes} == components_by_hand(nodes, 8)
+
+
 def jaccard_components_by_hand(rows, least=0.8):
     words = [(t or "").encode().lower().split() for _, t in rows]
     sets = [{b" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))} for w in words]
