@@ -18,7 +18,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import cut, pick, stash, with_python_path
@@ -365,7 +365,7 @@ def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
 
 def similar_texts(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs (u, v) whose shingle sets have a Jaccard similarity of at least `similarity`; sets(node, shingles)."""
-    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    nodes = stash(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "nodes")
     named = stash(sets.join(nodes, "node", "left_semi").select("node", "shingles"), "shingles")
     both = pairs.join(named.toDF("u", "a"), "u").join(named.toDF("v", "b"), "v")
     shared = F.size(F.array_intersect("a", "b"))
@@ -379,20 +379,25 @@ def similar_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     often, which joins most of a group of copies by few pairs. Then every pair of nodes that are still
     apart and share a prefix shingle is compared, so none is lost.
     """
-    every = Window.partitionBy("shingle")
-    postings = prefixes(sets, similarity).select("*", F.min("node").over(every).alias("low"), F.max("node").over(every).alias("high"))
-    postings = stash(postings.where("low < high"), "postings")
-    ends = [postings.where(F.col(c) != F.col("node")).groupBy("node", F.col(c).alias("end")).count().groupBy("node").agg(F.max_by("end", F.struct("count", "end")).alias("end")) for c in ("low", "high")]
+    every, posting = Window.partitionBy("shingle"), F.struct("node", "size", "place")
+    postings = prefixes(sets, similarity).select("*", F.min(posting).over(every).alias("low"), F.max(posting).over(every).alias("high"))
+    postings = stash(postings.where("low.node < high.node"), "postings")
+
+    def near(a: str, b: str) -> Column:
+        """Whether the shingles from this common one on are enough; at the first common shingle they are all that is shared."""
+        reach = F.least(F.col(f"{a}size") - F.col(f"{a}place"), F.col(f"{b}size") - F.col(f"{b}place"))
+        return reach >= F.ceil(F.lit(similarity / (1 + similarity)) * (F.col(f"{a}size") + F.col(f"{b}size")) - 1e-9)
+
+    met = [postings.where((F.col(f"{c}.node") != F.col("node")) & near("", f"{c}.")).groupBy("node", F.col(f"{c}.node").alias("end")).count() for c in ("low", "high")]
+    ends = [m.groupBy("node").agg(F.max_by("end", F.struct("count", "end")).alias("end")) for m in met]
     first = stash(ends[0].unionByName(ends[1]).select(F.greatest("node", "end").alias("u"), F.least("node", "end").alias("v")).distinct(), "pairs")
     passed = stash(similar_texts(first, sets, similarity), "links")
     apart = postings.join(components(passed), "node", "left").select("shingle", "node", "size", "place", F.coalesce("root", "node").alias("root"))
     groups = apart.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
     apart = stash(apart.join(groups, "shingle", "left_semi"), "apart")
     a, b = (apart.select("shingle", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "size", "place", "root")]) for x in "ab")
-    least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("a_size") + F.col("b_size")) - 1e-9)
-    reach = 1 + F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place")) - 1  # shared from here on; at the first common shingle, all that is shared
-    near = a.join(b, "shingle").where((F.col("a_node") > F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & (reach >= least))
-    rest = stash(near.select(F.col("a_node").alias("u"), F.col("b_node").alias("v")).distinct().join(first, ["u", "v"], "left_anti"), "pairs")
+    both = a.join(b, "shingle").where((F.col("a_node") > F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & near("a_", "b_"))
+    rest = stash(both.select(F.col("a_node").alias("u"), F.col("b_node").alias("v")).distinct().join(first, ["u", "v"], "left_anti"), "pairs")
     return passed.unionByName(stash(similar_texts(rest, sets, similarity), "links"))
 
 
@@ -407,7 +412,7 @@ def near_duplicate_components(docs: DataFrame, similarity: float = 0.8, shingle_
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     all_sets = stash(shingle_sets(rows, shingle_words).withColumn("row", F.monotonically_increasing_id()), "sets")
     classes = stash(all_sets.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"), F.count("*").alias("n")), "classes")
-    repeated = all_sets.join(classes.where("n > 1").select("node", F.col("row").alias("kept")), "node").where("row <> kept").select("row")
+    repeated = stash(all_sets.join(classes.where("n > 1").select("node", F.col("row").alias("kept")), "node").where("row <> kept").select("row"), "repeated")
     sets = all_sets.join(repeated, "row", "left_anti").select("node", "shingles")
     named = classes.select("node", "low").join(components(similar_pairs(sets, similarity)), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
