@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
@@ -280,7 +280,8 @@ def arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("diff1_similarity")
 def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First two turns of each conversation."""
-    turns = table(spark, sf_dir, "conversations").where("turn in (0, 1)")
-    pairs = turns.groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("a"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("b"))
+    """Every turn of a conversation against the next one."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.max("text").alias("a"))
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    pairs = turns.withColumn("b", F.lead("a").over(order)).withColumn("next", F.lead("turn").over(order)).where("next is not null").drop("next")
     return difference(pairs, "a", "b").drop("a", "b")

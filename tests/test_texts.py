@@ -60,3 +60,11 @@ def test_tokens_are_pairs_and_ascii(spark):
 def test_pointer_and_label(spark):
     assert column(spark, ["/a~1b/c~0d"], T.pointer_tokens) == [["a/b", "c~d"]]
     assert column(spark, ["  Ab--C d! "], T.normal_label) == ["ab_c_d"]
+
+
+def test_every_turn_is_compared_with_the_next(spark, tmp_path):
+    from corpusmill.plans.texts import similarity
+
+    rows = [(1, 0, "one"), (1, 1, "two"), (1, 2, "three"), (1, 4, "four"), (2, 0, "alone")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert sorted((r.conv_id, r.turn) for r in similarity(spark, str(tmp_path)).collect()) == [(1, 0), (1, 1), (1, 2)]
