@@ -1,9 +1,11 @@
-"""Text expressions: all return Columns that stay inside the JVM."""
+"""Text expressions: all return Columns, and all but duplicated_grams() stay inside the JVM."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,6 +55,46 @@ def duplicate_ratio(items: Column) -> Column:
     return bound(items, lambda xs: F.when(F.size(xs) > 0, (F.size(xs) - F.size(F.array_distinct(xs))) / F.size(xs)).otherwise(F.lit(0.0)))
 
 
+def duplication(text: str | None, n: int, floor: int = 0) -> float:
+    """The share of a text's n-character windows that repeat an earlier one; 0 for texts shorter than n or than floor.
+
+    Windows meet by a 64-bit hash; those of one hash are compared with each other, so the share is exact.
+    """
+    if text is None or len(text) < max(n, floor):
+        return 0.0
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    windows = np.lib.stride_tricks.sliding_window_view(codes, n)
+    h = np.zeros(len(windows), dtype=np.uint64)
+    for j in range(n):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + windows[:, j]
+    order = np.argsort(h)
+    again = h[order][1:] == h[order][:-1]
+    a, b = order[1:][again], order[:-1][again]
+    same = all(np.array_equal(codes[a + j], codes[b + j]) for j in range(n))
+    repeats = int(again.sum()) if same else len(windows) - len({text[i : i + n] for i in range(len(windows))})
+    return repeats / len(windows)
+
+
+def duplicated_grams(text: Column, n: int, floor: int = 0) -> Column:
+    """duplication() of a text; null for a null text."""
+
+    @F.pandas_udf("double")
+    def share(texts: pd.Series) -> pd.Series:
+        return pd.Series([duplication(t, n, floor) for t in texts], dtype=float)
+
+    return F.when(text.isNotNull(), share(text))
+
+
+def duplicated_grams_each(texts: Column, n: int, floor: int = 0) -> Column:
+    """duplication() of each text of an array."""
+
+    @F.pandas_udf("array<double>")
+    def shares(lists: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else [duplication(t, n, floor) for t in x] for x in lists], dtype=object)
+
+    return shares(texts)
+
+
 def words(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0))
@@ -66,6 +108,12 @@ def keyword_tokens(text: Column) -> Column:
     return F.concat(pairs, F.regexp_extract_all(low, F.lit(r"[a-z0-9_.:/-]{2,}"), F.lit(0)))
 
 
+def keyword_count(text: Column) -> Column:
+    """How many keyword_tokens() a text has, without making them."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.regexp_count(low, F.lit(f"{HAN}(?={HAN})")) + F.regexp_count(low, F.lit(r"[a-z0-9_.:/-]{2,}"))
+
+
 def sentences(text: Column) -> Column:
     """Parts between full stops, semicolons (either width) and line ends, blank ones left out."""
     return F.filter(F.split(text, r"[。；;\n]"), lambda s: F.trim(s) != "")
@@ -76,11 +124,41 @@ def sentences_kept(text: Column) -> Column:
     return F.filter(F.split(text, r"(?<=[。！？!?；;\n])"), lambda s: F.trim(s) != "")
 
 
-def sections(markdown: Column) -> Column:
-    """array<struct<title, body>> of the Markdown headings and what stands below each."""
-    titles = F.regexp_extract_all(markdown, F.lit(HEADING), F.lit(0))
+def keyword_density(text: Column, listed: tuple[str, ...]) -> Column:
+    """How many of the listed words stand in each 1000 characters."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{Nd}_]+"), F.lit(0))
+    return F.lit(1000.0) * F.size(F.filter(found, lambda w: w.isin(*listed))) / F.greatest(F.length(text), F.lit(1))
+
+
+# Fixed value: the title of a text without headings.
+UNTITLED = "正文"
+RULES = r"(?:-{3,}|\*{3,}|_{3,})[ \t]*"
+
+
+def heading_parts(markdown: Column) -> Column:
+    """array<struct<heading, body>>: each heading line, and all that stands below it up to the next."""
+    headings = F.regexp_extract_all(markdown, F.lit(HEADING), F.lit(0))
     bodies = F.slice(F.split(markdown, HEADING, -1), 2, 1 << 30)
-    return F.transform(F.arrays_zip(titles.alias("title"), bodies.alias("body")), lambda s: F.struct(F.trim(F.regexp_replace(s["title"], r"^#+\s*", "")).alias("title"), s["body"].alias("body")))
+    return F.arrays_zip(headings.alias("heading"), bodies.alias("body"))
+
+
+def sections(markdown: Column) -> Column:
+    """array<struct<title, body>> of the Markdown headings and what stands below each, without rules at its ends.
+
+    An empty section's body is its heading. A text without headings is one section with a fixed title; an
+    empty text, or null, has none.
+    """
+    text = F.trim(F.regexp_replace(F.coalesce(markdown, F.lit("")), rf"\A{SPACE}+|{SPACE}+\z", ""))
+
+    def section(p: Column) -> Column:
+        body = F.regexp_replace(p["body"], rf"\A(?:\s*{RULES}(?:\n|\z))+|(?:(?:\A|\n)\s*{RULES})+\s*\z", "")
+        body = F.regexp_replace(body, rf"\A{SPACE}+|{SPACE}+\z", "")
+        title = F.trim(F.regexp_replace(p["heading"], r"^#+\s*", ""))
+        return F.struct(title.alias("title"), F.when(body != "", body).otherwise(F.trim(p["heading"])).alias("body"))
+
+    alone = F.struct(F.lit(UNTITLED).alias("title"), text.alias("body"))
+    found = F.transform(heading_parts(text), section)
+    return F.when(F.size(found) > 0, found).when(text != "", F.array(alone)).otherwise(F.array().cast("array<struct<title:string,body:string>>"))
 
 
 def unbalanced_bold(text: Column) -> Column:

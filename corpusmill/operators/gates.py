@@ -125,18 +125,28 @@ def _field_coverage(accident: Column, body: Column, threshold: float) -> Column:
 
 def loop_ratio(text: Column, n: int = 12, floor: int = 400) -> Column:
     """Duplication of character n-grams; 0 for texts of fewer than `floor` characters."""
-    body = T.compact(text)
-    return F.when(F.length(body) >= floor, T.duplicate_ratio(T.char_grams(body, n))).otherwise(0.0)
+    return F.coalesce(T.duplicated_grams(T.compact(text), n, floor), F.lit(0.0))
+
+
+def loop_ratios(texts: Column, n: int = 12, floor: int = 400) -> Column:
+    """loop_ratio() of each text of an array."""
+    return T.duplicated_grams_each(F.transform(texts, T.compact), n, floor)
+
+
+def missing_cases(traces: DataFrame, cases: DataFrame) -> DataFrame:
+    """case_id, traces: how many traces name a case that is not there."""
+    return traces.join(cases.select("case_id").distinct(), "case_id", "left_anti").groupBy("case_id").agg(F.count("*").alias("traces"))
 
 
 def evaluate_gates(traces: DataFrame, cases: DataFrame) -> DataFrame:
     """traces(key, case_id, status, final_markdown, visible_snippets, tool_call_issues, any_truncated, retrieval_rounds,
     reasoning array<string>) joined to cases(case_id, accident_data map, guidance array<string>): one row per trace with
-    hard_fail, hard, warn and measures. Without a report the only code is no_report.
+    hard_fail, hard, warn and measures. Without a report the only code is no_report. Traces whose case is
+    not in cases are not evaluated; missing_cases() counts them.
     """
     report = F.coalesce("final_markdown", F.lit(""))
     given = F.col("status").eqNullSafe("ok") & (report != "")
-    joined = traces.join(F.broadcast(cases), "case_id")
+    joined = traces.join(cases, "case_id")
     corpus = F.concat_ws(" ", F.map_values("accident_data"), "guidance", F.transform("visible_snippets", snippet_text))
     rows = joined.withColumn("corpus", corpus).withColumn("numbers", known_numbers(F.col("corpus")))
     rows = rows.withColumns(
@@ -145,7 +155,7 @@ def evaluate_gates(traces: DataFrame, cases: DataFrame) -> DataFrame:
             "bad_articles": F.concat(unsupported_articles(report, F.col("visible_snippets")), unsupported_standards(report, F.col("corpus"))),
             "quantities": unsupported_quantities(report, F.col("numbers")),
             "asserted": F.filter(T.sentences(report), lambda s: s.rlike(LIABILITY) & ~s.rlike(HEDGE)),
-            "loop": F.coalesce(F.array_max(F.transform("reasoning", lambda r: loop_ratio(r))), F.lit(0.0)),
+            "loop": F.coalesce(F.array_max(loop_ratios(F.col("reasoning"))), F.lit(0.0)),
             "longest": F.coalesce(F.array_max(F.transform("reasoning", lambda r: F.length(r))), F.lit(0)),
             "titles": F.array_join(T.sections(report).getField("title"), " "),
             "english": F.size(F.filter(_all(F.regexp_replace(report, CITATION, ""), "[A-Za-z]{4,}"), lambda w: F.lower(w) != "markdown")),
@@ -190,7 +200,7 @@ def evaluate_gates(traces: DataFrame, cases: DataFrame) -> DataFrame:
         F.when(given, F.concat(soft_issues, warn)).otherwise(none).alias("warn"),
         F.when(given, F.length(T.compact(report))).alias("chars"),
         F.when(given, F.size(T.sections(report))).alias("sections"),
-        F.when(given, T.duplicate_ratio(T.char_grams(T.compact(report), 12))).alias("dup_12gram_ratio"),
+        F.when(given, T.duplicated_grams(T.compact(report), 12)).alias("dup_12gram_ratio"),
         F.when(given, F.size(_all(report, CITATION))).alias("citations"),
         F.when(given, F.aggregate(F.transform("reasoning", lambda r: F.length(r)), F.lit(0), lambda a, b: a + b)).alias("reasoning_chars"),
         F.when(given, F.col("loop")).alias("reasoning_loop_12gram"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
@@ -19,13 +19,16 @@ s AS (SELECT query, doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.
 k AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s)"""
 
 
-def _ranked(spark: SparkSession, sf_dir: str, limit: int = 24) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    tokens = T.keyword_tokens(F.col("text"))
-    index = R.postings(docs, "doc_id", tokens)
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("mean")).first()  # one row
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents for all benchmark items; only the items' tokens leave the documents."""
+    docs, tokens = table(spark, sf_dir, "documents"), T.keyword_tokens(F.col("text"))
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(tokens)).alias("token"))
-    return R.bm25(index, queries, stats["n"], stats["mean"] or 0.0, limit)
+    stats = docs.agg(F.count("*").alias("n"), F.avg(T.keyword_count(F.col("text"))).alias("mean")).first()  # one row
+    return R.bm25_scores(R.postings(docs, "doc_id", tokens, queries), queries, stats["n"], stats["mean"] or 0.0)
+
+
+def _ranked(spark: SparkSession, sf_dir: str, limit: int = 24) -> DataFrame:
+    return best_per_group(_scored(spark, sf_dir), ["query"], [F.desc("score"), "doc"], limit).withColumnRenamed("place", "rank")
 
 
 @query("bm25_topk", f"WITH {INDEX} SELECT query, doc, rank, round(score, 6) AS score FROM k WHERE rank <= 24")
@@ -43,7 +46,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even and odd documents as the two indexes."""
-    scored = _ranked(spark, sf_dir, 1 << 30).drop("rank").withColumn("tag", F.when(F.col("doc") % 2 == 0, "chunk").otherwise("rule"))
+    scored = _scored(spark, sf_dir).withColumn("tag", F.when(F.col("doc") % 2 == 0, "chunk").otherwise("rule"))
     ranked = best_per_group(scored, ["query", "tag"], [F.desc("score"), "doc"], 24).withColumnRenamed("place", "rank")
     return R.fuse(ranked, 8).select("query", "tag", "doc", F.round(F.col("fused") * 60, 4).alias("score"), "place")
 
@@ -63,14 +66,17 @@ def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "jaccard_sets",
     r"""WITH w AS (SELECT doc_id, source, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+')) AS g FROM documents),
-    p AS (SELECT a.source, a.doc_id AS left_id, b.doc_id AS right_id, len(list_intersect(a.g, b.g)) AS i, len(a.g) + len(b.g) AS t FROM w a JOIN w b ON b.doc_id = a.doc_id + 20)
+    n AS (SELECT source, g, lead(g) OVER o AS h, lead(doc_id) OVER o AS next FROM w WINDOW o AS (PARTITION BY source ORDER BY doc_id)),
+    p AS (SELECT source, len(list_intersect(g, h)) AS i, len(g) + len(h) AS t FROM n WHERE next IS NOT NULL)
     SELECT source, count(*) AS pairs, avg(CASE WHEN t > i THEN i / CAST(t - i AS DOUBLE) ELSE 0 END) AS mean_jaccard, avg(CASE WHEN i = 0 THEN 1.0 ELSE 0.0 END) AS no_overlap FROM p GROUP BY source""",
 )
 def jaccard_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word sets of each document and the next of its source."""
-    sets = table(spark, sf_dir, "documents").select("doc_id", "source", F.array_distinct(T.words(F.col("text"))).alias("g"))
-    right = sets.select((F.col("doc_id") - 20).alias("doc_id"), F.col("g").alias("h"))
-    pairs = sets.join(right, "doc_id").select("source", R.set_similarity(F.col("g"), F.col("h")).alias("j"))
+    order = Window.partitionBy("source").orderBy("doc_id")
+    ids = table(spark, sf_dir, "documents").select("doc_id", "source")
+    follow = ids.withColumn("next", F.lead("doc_id").over(order)).where("next is not null")
+    sets = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(T.words(F.col("text"))).alias("g"))
+    pairs = follow.join(sets, "doc_id").join(sets.toDF("next", "h"), "next").select("source", R.set_similarity(F.col("g"), F.col("h")).alias("j"))
     return pairs.groupBy("source").agg(F.count("*").alias("pairs"), F.avg("j").alias("mean_jaccard"), F.avg((F.col("j") == 0).cast("double")).alias("no_overlap"))
 
 
@@ -104,15 +110,35 @@ def stable_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "ret8_term_hits",
-    r"""WITH q AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+')[1:3] AS w FROM benchmark), t AS (SELECT item_id, unnest(w) AS term FROM q),
-    d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+'))) AS term FROM documents), h AS (SELECT DISTINCT doc_id, term FROM d JOIN t USING (term))
-    SELECT doc_id, 0.2e0 + 0.1e0 * count(*) AS score FROM h GROUP BY doc_id""",
+    r"""WITH t AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+')) AS term FROM benchmark),
+    d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+'))) AS term FROM documents),
+    h AS (SELECT item_id, doc_id, 0.2e0 + 0.1e0 * count(*) AS score FROM d JOIN t USING (term) GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM h)
+    SELECT item_id, doc_id, score, place FROM r WHERE place <= 20""",
 )
 def term_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's score rises with each distinct question term that it holds."""
-    terms = table(spark, sf_dir, "benchmark").select(F.explode(F.slice(T.words(F.col("text")), 1, 3)).alias("term")).distinct()
+    """For each question the 20 documents that hold most of its distinct terms."""
+    terms = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
-    return docs.join(terms, "term", "left_semi").groupBy("doc_id").agg((0.2 + 0.1 * F.count("*")).alias("score"))
+    return R.term_hits(docs, terms, "doc_id", "item_id", 20)
+
+
+@query(
+    "ret7_hybrid",
+    f"""WITH {INDEX}, two AS (SELECT query, CASE WHEN doc % 3 = 0 THEN 'rule' ELSE 'chunk' END AS tag, doc, score FROM s),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query, tag ORDER BY score DESC, doc) AS rank FROM two),
+    f AS (SELECT query, tag, doc, 1.0 / (60 + rank - 1) AS fused FROM r WHERE rank <= 24),
+    b AS (SELECT *, row_number() OVER (PARTITION BY query, tag ORDER BY fused DESC, tag, doc) AS n FROM f),
+    o AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY fused DESC, tag, doc) AS place FROM b WHERE n <= 5),
+    c AS (SELECT query, tag, doc, place, length(text) AS ln, coalesce(sum(length(text)) OVER (PARTITION BY query ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM o JOIN documents ON doc = doc_id WHERE place <= 8)
+    SELECT query, tag, doc, place, CAST(CASE WHEN ln <= 9000 - used THEN ln ELSE greatest(9000 - used - 1, 1) + 1 END AS BIGINT) AS chars, ln > 9000 - used AS content_truncated FROM c WHERE used < 9000""",
+)
+def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two indexes ranked apart, fused, at most five of a kind and eight in all, then cut to a budget of characters."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("content"))
+    tagged = _scored(spark, sf_dir).withColumn("tag", F.when(F.col("doc") % 3 == 0, "rule").otherwise("chunk"))
+    kept = R.hybrid(tagged, docs, per_index=24, most=8, per_kind=5, max_chars=9000)
+    return kept.select("query", "tag", "doc", "place", F.length("content").cast("long").alias("chars"), "content_truncated")
 
 
 @query(
