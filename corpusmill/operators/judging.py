@@ -103,11 +103,10 @@ def without_section(report: Column, title: str) -> Column:
 
 
 def longest_section_again(report: Column) -> Column:
-    """The report with its longest section repeated twice; a report of fewer than three sections is doubled."""
-    parts = T.sections(report)
-    longest = F.element_at(F.array_sort(F.transform(parts, lambda s: F.struct((-F.length(s["title"]) - F.length(s["body"])).alias("n"), s["title"].alias("title"), s["body"].alias("body")))), 1)
-    again = F.concat(F.lit("\n\n## "), longest["title"], F.rtrim(longest["body"]))
-    return F.when(F.size(parts) < 3, F.concat(report, F.lit("\n\n"), report)).otherwise(F.concat(F.rtrim(report), again, again, F.lit("\n")))
+    """The report with its longest section, heading and all, twice more; a report of fewer than three sections is doubled."""
+    parts = F.transform(T.heading_parts(report), lambda p, i: F.struct((-F.length(p["heading"]) - F.length(p["body"])).alias("n"), i.alias("i"), F.concat(p["heading"], p["body"]).alias("text")))
+    again = F.concat(F.lit("\n\n"), F.trim(F.regexp_replace(F.get(F.array_sort(parts), F.lit(0))["text"], r"\s+\z", "")))
+    return F.when(F.size(parts) < 3, F.concat(report, F.lit("\n\n"), report)).otherwise(F.concat(F.regexp_replace(report, r"\s+\z", ""), again, again, F.lit("\n")))
 
 
 def mutations(report: Column) -> Column:

@@ -30,6 +30,17 @@ def test_manifest(spark, tmp_path):
     assert (row.records, row.fields, row.bytes) == (2, ["a", "b"], 18)
 
 
+def test_manifest_of_equal_names_in_two_folders(spark, tmp_path):
+    for folder, text in (("x", '{"a": 1}\n'), ("y", '{"b": 1}\n{"c": 2}\n')):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "part.jsonl").write_text(text)
+    (tmp_path / "empty.jsonl").write_text("")
+    manifest = R.file_manifest(spark, str(tmp_path))
+    assert sorted((r.file.split("/")[-2], r.records, r.fields) for r in manifest.collect() if r.records) == [("x", 1, ["a"]), ("y", 2, ["b", "c"])]
+    assert manifest.count() == 2
+    assert sorted(r.name for r in R.missing_files(manifest, ["x/part.jsonl", "z/part.jsonl", "empty.jsonl"]).collect()) == ["empty.jsonl", "z/part.jsonl"]
+
+
 def test_sqlite_and_arrays(spark, tmp_path):
     with sqlite3.connect(tmp_path / "p.db") as db:
         db.execute("create table k(id int, name text)")
@@ -67,10 +78,32 @@ def test_busy_time_and_concurrency(spark):
     assert got[1, 0] == 3 and got[2, 0] == 3997 and got[1, 1] == 2 and got[None, 0] == 4000
 
 
+def test_blocks():
+    text = "**Label**：\na\n\nb。\nc\n- x\n  more\n1. y\n> q\n> r\n```\n# code\n```\n|a|b|\n|-|-|\n---\n# T\nend<br/>**k：**v"
+    assert normalise_lines(text).split("\n\n") == ["## Label", "a\nb。", "c", "- x\n  more\n1. y", "> q\n> r", "```\n# code\n```", "|a|b|\n|-|-|", "---", "# T", "end\n**k：** v"]
+    assert normalise_lines("|a|b||---|---||1|2|") == "|a|b||---|---||\n| 1|2|"
+    assert normalise_lines("") == "" and normalise_lines("```\nopen") == "```\nopen"
+
+
 def test_output_clean_up(spark):
-    raw = "<think>x # y</think>\r\nSure:\n```markdown\n## A\ntext\n```"
-    assert spark.createDataFrame([(raw,)], "v string").select(sanitise(F.col("v")).alias("x")).first().x == "## A\ntext"
-    assert normalise_lines("**Label**\na\nb\n- x\n- y\n> q").split("\n\n") == ["### Label", "a\nb", "- x\n- y", "> q"]
+    title = "# 交通事故分析报告"
+    cases = {
+        "<think>x # y</think>\r\nSure:\n```markdown\n## A\ntext\n```": f"{title}\n\n## A\n\ntext",
+        "": "",
+        None: "",
+        " \n": "",
+        "plain": f"{title}\n\nplain",
+        "Here it is:\n# A\nb": "# A\n\nb",
+        "one.\ntwo.\nthree.\nfour.\n# A\nb": "one.\n\ntwo.\n\nthree.\n\nfour.\n\n# A\n\nb",
+        "lead\n## B\n# A": "lead\n\n## B\n\n# A",
+        "```text\n# A\nb\n```": "# A\n\nb",
+        "```thinking\nhm\n```\n# A": "# A",
+        "\ufeff<Analysis id='1'>x\ny</ANALYSIS> # A": "# A",
+        "# A\n```md2\nx\n```": "# A\n\n```md2\nx\n```",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, v string")
+    got = {r.i: r.x for r in df.select("i", sanitise(F.col("v")).alias("x")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
 
 
 def test_streams(spark, tmp_path):
