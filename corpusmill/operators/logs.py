@@ -63,7 +63,7 @@ def concurrency(events: DataFrame) -> DataFrame:
     before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("chunk", F.coalesce(F.sum("sg").over(before), F.lit(0)).alias("bg"), F.coalesce(F.sum("sp").over(before), F.lit(0)).alias("bp"), F.lead("start").over(Window.orderBy("chunk")).alias("next_start"))
     inside = Window.partitionBy("chunk").orderBy("t")
-    states = moments.join(F.broadcast(bases), "chunk").select(
+    states = moments.join(bases, "chunk").select(
         (F.col("bg") + F.sum("dg").over(inside)).alias("generating"),
         (F.col("bp") + F.sum("dp").over(inside)).alias("prefilling"),
         (F.coalesce(F.lead("t").over(inside), F.col("next_start")) - F.col("t")).alias("seconds"),

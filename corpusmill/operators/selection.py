@@ -56,21 +56,44 @@ def preference_pairs(candidates: DataFrame, margin: float) -> DataFrame:
     return best.select("case_id", "chosen", F.col("name").alias("rejected"), names.alias("kind"))
 
 
-def round_robin(df: DataFrame, kind: str, order: list[str], per_kind: int, total: int) -> DataFrame:
-    """Rows taken in turns over kinds: per_kind of each at most, total at most.
+def round_robin(df: DataFrame, kind: str, order: list[str], per_kind: int, total: int, family: str | None = None, per_family: int = 0) -> DataFrame:
+    """Rows taken in turns over kinds: per_kind of each at most, per_family of each family among those, total at most.
 
-    The quotas cut each kind first, so the last ranking sees at most kinds * per_kind rows.
+    The quotas cut each kind first, so the last rankings see at most kinds * per_kind rows.
     """
     mine = best_per_group(df, [kind], order, per_kind)
+    if family is not None:
+        turn = Window.partitionBy(family).orderBy("place", kind)
+        mine = mine.withColumn("_f", F.row_number().over(turn)).where(F.col("_f") <= per_family).drop("_f")
     return mine.orderBy("place", kind).limit(total)
 
 
+def global_rank(df: DataFrame, order: list[str], name: str, ranges: int = 200) -> DataFrame:
+    """Adds each row's place, from 0, in the order over the whole table; equal rows have places next to each other.
+
+    Rows are dealt over ranges between keys drawn by hash, ranked inside their range, and moved up by
+    the sizes of the ranges before, so no task holds the table.
+    """
+    key = F.struct(*order)
+    drawn = df.select(*order).distinct().orderBy(F.xxhash64(*order), *order).limit(10 * ranges).orderBy(*order).collect()  # 10 * ranges keys
+    cuts = drawn[:: max(1, len(drawn) // ranges)][1:]
+    types = [df.schema[c].dataType for c in order]
+    bounds = F.array(*[F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(r, types, order, strict=True)]) for r in cuts])
+    place = F.size(F.filter(bounds, lambda b: b <= key)) if cuts else F.lit(0)
+    dealt = df.withColumn("_range", place)
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = sizes.select("_range", before.alias("_base"))  # a row per range
+    ranked = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1)
+    return ranked.join(F.broadcast(bases), "_range").withColumn(name, F.col("_at") + F.col("_base")).drop("_range", "_at", "_base")
+
+
 def stratified_sample(df: DataFrame, kind: str, key: Column, fraction: float, minimum: int) -> DataFrame:
     """Of each kind max(1, ceil(n * fraction)) rows by hash order; if that is fewer than minimum, more from the rest."""
     mine = Window.partitionBy(kind).orderBy("_key")
     rows = df.withColumn("_key", key)
     sizes = df.groupBy(kind).agg(F.greatest(F.ceil(F.count("*") * fraction), F.lit(1)).alias("_quota"))
-    ranked = rows.withColumn("_n", F.row_number().over(mine)).join(F.broadcast(sizes), kind)
+    ranked = rows.withColumn("_n", F.row_number().over(mine)).join(sizes, kind)
     first = ranked.where("_n <= _quota")
     rest = ranked.where("_n > _quota").orderBy("_key").limit(minimum).withColumn("_m", F.row_number().over(Window.orderBy("_key")))
     taken = first.agg(F.count("*").alias("_taken"))
@@ -81,7 +104,8 @@ def stratified_sample(df: DataFrame, kind: str, key: Column, fraction: float, mi
 def hold_out(df: DataFrame, group: str, n: int) -> DataFrame:
     """Adds held_out: the row is of one of the n last groups. The groups are counted on their distinct values."""
     last = df.select(group).distinct().orderBy(F.desc(group)).limit(n).select(F.col(group).alias("_last"))
-    return df.join(F.broadcast(last), F.col(group) == F.col("_last"), "left").withColumn("held_out", F.col("_last").isNotNull()).drop("_last")
+    last = F.broadcast(last)  # n rows
+    return df.join(last, F.col(group) == F.col("_last"), "left").withColumn("held_out", F.col("_last").isNotNull()).drop("_last")
 
 
 def first_wins(df: DataFrame, key: list[str], priority: list) -> DataFrame:
@@ -96,7 +120,9 @@ def select_unique(
 
     Rows go by sha256(call, seed, pair_id). caps: rows of each pass at most. A first run looks at rows of more than
     long_tokens until min_long are found, the second at all. The running counters make it sequential, so it runs
-    per batch, on the columns it needs, and the caller joins the chosen pair ids back.
+    per batch, on the columns it needs, and the caller joins the chosen pair ids back. No more than sum(caps)
+    calls are ever used, so of each kind, long and short apart, the first sum(caps) calls are enough, each
+    by its first row: a batch's group has a constant size.
     """
     passes = ("revised", "anchor_revised", "seeded", "anchor")
 
@@ -119,6 +145,10 @@ def select_unique(
         return pd.DataFrame(out, columns=[batch, "pair_id", "place"])
 
     keyed = candidates.select(batch, "call", "pair_id", "kind", "tokens", hash_order(F.col("call"), F.lit(seed), F.col("pair_id")).alias("_order"))
+    most = sum(caps.values())
+    keyed = keyed.withColumn("_long", F.col("tokens") > long_tokens)
+    keyed = best_per_group(keyed, [batch, "kind", "_long", "call"], ["_order"]).drop("place")
+    keyed = best_per_group(keyed, [batch, "kind", "_long"], ["_order"], most).drop("place", "_long")
     schema = f"{batch} {candidates.schema[batch].dataType.simpleString()}, pair_id string, place int"
     return keyed.groupBy(batch).applyInPandas(choose, schema)
 
@@ -137,6 +167,12 @@ def shares_prefix(a: Column, b: Column, n: Column) -> Column:
     return F.slice(a, F.lit(1), n) == F.slice(b, F.lit(1), n)
 
 
+def cut_terminal(rejected: Column, prompt_length: Column, kind: Column, most: int) -> Column:
+    """A rejected answer that is too long with its prompt: cut to fit where it fails by not ending, for a cut one fails alike; null (no pair) for any other failure."""
+    fits = prompt_length + F.size(rejected) <= most
+    return F.when(fits, rejected).when(kind == "terminal", F.slice(rejected, F.lit(1), F.greatest(F.lit(most) - prompt_length, F.lit(0))))
+
+
 def first_difference(a: Column, b: Column) -> Column:
     """Place (from 0) of the first difference of two arrays, the length of the shorter if one begins the other, null if they are equal."""
     n = F.least(F.size(a), F.size(b))

@@ -2,35 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def floor_percentile(values: str, q: float) -> Column:
-    """sorted[min(floor(q * n), n - 1)], as an aggregate; null without values."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.try_element_at(ordered, (F.least(F.floor(F.lit(q) * F.size(ordered)), F.size(ordered) - 1) + 1).cast("int"))
+RANGES = 64
 
 
 def exact_floor_percentile(df: DataFrame, group: list[str], value: str, q: float) -> DataFrame:
-    """floor_percentile for groups of any size: equal values are counted first, and no group is gathered in a list."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_c"))
-    sizes = counts.groupBy(*group).agg(F.sum("_c").alias("_n"))
-    upto = F.sum("_c").over(Window.partitionBy(*group).orderBy(value))
+    """group.., percentile: sorted[min(floor(q * n), n - 1)] of each group's values that are not null.
+
+    Equal values are counted first. Counts are then summed over ranges of values between rough quantiles of
+    the group, and only the range that holds the wanted place is put in order, so no group is gathered in
+    one task, however many values it has.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    cuts = counts.groupBy(*group).agg(F.sum("_c").alias("_n"), F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("_cuts"))
+    dealt = counts.join(cuts, group).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))).drop("_cuts")
+    sums = dealt.groupBy(*group, "_range").agg(F.sum("_c").alias("_s"), F.max("_n").alias("_n"))
+    upto = F.sum("_s").over(Window.partitionBy(*group).orderBy("_range"))
     wanted = F.least(F.floor(F.lit(q) * F.col("_n")), F.col("_n") - 1)
-    ranked = counts.withColumn("_upto", upto).join(sizes, group).where(F.col("_upto") > wanted)
-    return ranked.groupBy(*group).agg(F.min(value).alias("percentile"))
+    holding = sums.withColumn("_upto", upto).where((F.col("_upto") > wanted) & (F.col("_upto") - F.col("_s") <= wanted))
+    inside = dealt.drop("_n").join(holding.select(*group, "_range", (wanted - F.col("_upto") + F.col("_s")).alias("_left")), [*group, "_range"])
+    reached = F.sum("_c").over(Window.partitionBy(*group).orderBy("_v"))
+    return inside.withColumn("_reached", reached).where(F.col("_reached") > F.col("_left")).groupBy(*group).agg(F.min("_v").alias("percentile"))
 
 
 def nearest_rank(value: str, q: float) -> Column:
     return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})")
 
 
-def upper_median(value: str) -> Column:
-    """sorted[n // 2]."""
-    return floor_percentile(value, 0.5)
-
-
 def code_counts(df: DataFrame, group: list[str], codes: str) -> DataFrame:
     """group, code, n."""
     return df.select(*group, F.explode(codes).alias("code")).groupBy(*group, "code").agg(F.count("*").alias("n"))
@@ -55,18 +59,28 @@ def paired(df: DataFrame, key: list[str], system: str, value: str, left: str, ri
     )
 
 
-def bootstrap_counts(df: DataFrame, value: str, draws: int, seed: str, resamples: int) -> DataFrame:
-    """replicate, mean: each replicate draws `draws` rows with replacement; a draw is the hash of (seed, replicate, number).
+def bootstrap_means(df: DataFrame, value: str, resamples: int, seed: int) -> DataFrame:
+    """replicate, mean: means of resamples of as many rows as there are, by Poisson weights.
 
-    The values are numbered by hash order, the draws are generated and meet them in an equi-join on the number.
+    A row stands in a resample as often as a Poisson variable of mean 1 says, so a value that occurs c
+    times weighs in by one of mean c: only the histogram of values is drawn for. Each value's draws are
+    seeded by the value, so reruns agree, and the tasks sum weights and weighted values per replicate.
+    Null values are left out; without values there are no rows.
     """
-    df = df.where(F.col(value).isNotNull())
-    n = df.count()
-    numbered = df.select(F.row_number().over(Window.orderBy(value)).alias("i"), F.col(value).alias("v"))
-    spark = df.sparkSession
-    grid = spark.range(resamples).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    h = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.col("replicate").cast("string"), F.col("draw").cast("string")), 256), 1, 8), 16, 10).cast("long")
-    return grid.withColumn("i", h % n + 1).join(numbered, "i").groupBy("replicate").agg(F.avg("v").alias("mean"))
+    histogram = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c")).withColumn("h", F.abs(F.xxhash64("v")))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights, sums = np.zeros(resamples), np.zeros(resamples)
+        seen = False
+        for batch in batches:
+            for v, c, h in zip(batch.v, batch.c, batch.h, strict=True):
+                w = np.random.default_rng([seed, h]).poisson(c, resamples)
+                weights, sums, seen = weights + w, sums + w * v, True
+        if seen:
+            yield pd.DataFrame({"replicate": np.arange(resamples), "w": weights, "s": sums})
+
+    parts = histogram.mapInPandas(draw, "replicate long, w double, s double")
+    return parts.groupBy("replicate").agg((F.sum("s") / F.sum("w")).alias("mean"))
 
 
 def bootstrap_interval(replicates: DataFrame, level: float = 0.95) -> DataFrame:
@@ -88,6 +102,18 @@ def vector_means(df: DataFrame, group: list[str], vector: str) -> DataFrame:
     return df.select(*group, F.posexplode(vector).alias("i", "x")).groupBy(*group, "i").agg(F.avg("x").alias("mean"))
 
 
+def leave_one_out(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """df(key, vector), a row per key -> key, cosine of its vector with the mean of all others'; null for a single row.
+
+    The mean of the others is (sum - own) / (n - 1); sums are by component, so no vector but a row's own is held.
+    """
+    long = df.select(key, F.posexplode(vector).alias("i", "x"))
+    sums = long.groupBy("i").agg(F.sum("x").alias("total"), F.count("*").alias("n"))
+    both = long.join(sums, "i").withColumn("rest", F.when(F.col("n") > 1, (F.col("total") - F.col("x")) / (F.col("n") - 1)))
+    dot = lambda a, b: F.sum(F.col(a) * F.col(b))
+    return both.groupBy(key).agg((dot("x", "rest") / (F.sqrt(dot("x", "x")) * F.sqrt(dot("rest", "rest")) + F.lit(1e-12))).alias("cosine"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))

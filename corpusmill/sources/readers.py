@@ -6,7 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -55,15 +55,22 @@ def latest_run(paths: DataFrame, tag: str) -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """path, bytes, sha256, records, fields of the JSON-lines files under path; each file is hashed where it is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    hashed = files.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    lines = spark.read.text(path).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("line_file"), F.json_object_keys("value").alias("keys"))
-    records = lines.groupBy("line_file").agg(F.count("*").alias("records"))
-    fields = lines.select("line_file", F.explode_outer("keys").alias("key")).groupBy("line_file").agg(F.array_sort(F.collect_set("key")).alias("fields"))
-    name = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
-    shape = records.join(fields, "line_file").withColumn("name", name("line_file")).drop("line_file")
-    return hashed.withColumn("name", name("file")).join(shape, "name", "left")
+    """file, bytes, sha256, records, fields of the JSON-lines files under path, at any depth; each file is hashed where it is read. Empty files are left out."""
+    options = {"recursiveFileLookup": "true"}
+    place = F.col("_metadata.file_path")
+    hashed = spark.read.format("binaryFile").options(**options).load(path).select(place.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    lines = spark.read.options(**options).text(path).where(F.trim("value") != "").select(place.alias("file"), F.json_object_keys("value").alias("keys"))
+    records = lines.groupBy("file").agg(F.count("*").alias("records"))
+    fields = lines.select("file", F.explode_outer("keys").alias("key")).groupBy("file").agg(F.array_sort(F.collect_set("key")).alias("fields"))
+    return hashed.join(records, "file", "left").join(fields, "file", "left")
+
+
+def missing_files(manifest: DataFrame, wanted: list[str]) -> DataFrame:
+    """name: wanted files that no path of the manifest ends in."""
+    names = manifest.sparkSession.createDataFrame([(w,) for w in wanted], "name string")
+    last = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
+    files = manifest.select("file", last(F.col("file")).alias("last"))
+    return names.join(files, (last(F.col("name")) == F.col("last")) & F.expr("endswith(file, concat('/', name))"), "left_anti")
 
 
 def read_sqlite(spark: SparkSession, path: str, query: str, schema: str | StructType) -> DataFrame:
@@ -100,4 +107,6 @@ def read_array(spark: SparkSession, path: str, code: str) -> DataFrame:
 
 def numbered(df: DataFrame, order: list[str], parts: int) -> DataFrame:
     """Adds part: rows dealt in turn over `parts` by their place in the order."""
-    return df.withColumn("part", (F.row_number().over(Window.orderBy(*order)) - 1) % parts)
+    from corpusmill.operators.selection import global_rank
+
+    return global_rank(df, order, "_place").withColumn("part", F.col("_place") % parts).drop("_place")

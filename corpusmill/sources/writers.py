@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 def write_jsonl(df: DataFrame, path: str, digest_columns: list[str]) -> DataFrame:
     """Writes rows as JSON lines (the path must not exist) and returns a one-row manifest: rows, and an order-free digest."""
     df.write.mode("errorifexists").json(path)
+    return content_manifest(df, digest_columns).withColumn("path", F.lit(path))
+
+
+def content_manifest(df: DataFrame, digest_columns: list[str]) -> DataFrame:
+    """One row: rows, and a digest that does not depend on their order."""
     row = F.sha2(F.to_json(F.struct(*sorted(digest_columns))), 256)
     value = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.count("*").alias("rows"), F.sum(value).cast("string").alias("digest")).withColumn("path", F.lit(path))
+    return df.agg(F.count("*").alias("rows"), F.sum(value).cast("string").alias("digest"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -39,8 +44,8 @@ def markdown_table(df: DataFrame, columns: list[str], most: int = 1000) -> str:
 
 
 def blind_package(pairs: DataFrame, materials: str, answers: str) -> None:
-    """Two folders: what reviewers see (no side labels) and the answer key, apart from each other."""
+    """Two folders: what reviewers see (a file per pair, no side labels) and the answer key, apart from each other."""
     a = F.when(F.col("first_is_a"), F.col("chosen")).otherwise(F.col("rejected"))
     b = F.when(F.col("first_is_a"), F.col("rejected")).otherwise(F.col("chosen"))
-    pairs.select("pair_id", a.alias("text_a"), b.alias("text_b")).write.mode("errorifexists").json(materials)
+    pairs.select("pair_id", a.alias("text_a"), b.alias("text_b")).write.mode("errorifexists").option("maxRecordsPerFile", 1).json(materials)
     pairs.select("pair_id", F.when(F.col("first_is_a"), "A").otherwise("B").alias("chosen_side")).write.mode("errorifexists").json(answers)

@@ -1,10 +1,12 @@
 from collections import Counter
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusmill.functions import numerals, text as T
+from corpusmill.operators import ngrams as N
 
 
 def column(spark, values, expression, kind="string"):
@@ -22,6 +24,40 @@ def test_duplicate_ratio_is_that_of_counts(spark):
         assert abs(x - want) < 1e-12
 
 
+def test_duplication_is_that_of_counts(spark):
+    texts = [None, "", "abc", "a" * 3000, "abcabcabcabcabcabc", "日本" * 9, "\U0001f600x" * 40, "".join(chr(97 + i * i % 26) for i in range(2000))]
+    want = []
+    for text in texts:
+        grams = [text[i : i + 12] for i in range(len(text) - 11)] if text else []
+        want.append((len(grams) - len(set(grams))) / len(grams) if grams else 0.0)
+    assert column(spark, texts, lambda c: T.duplicated_grams(c, 12)) == [None, *want[1:]]
+    assert column(spark, [texts, None], lambda c: T.duplicated_grams_each(c, 12, 400), "array<string>") == [[w if t and len(t) >= 400 else 0.0 for t, w in zip(texts, want, strict=True)], None]
+
+
+def test_keyword_counts_are_those_of_the_tokens(spark):
+    texts = ["道路法 GB-7258 a x1", "", None, "一 二三四 a.b:c/d 五", "A" * 50 + "中文字" * 7]
+    assert column(spark, texts, T.keyword_count) == [len(x) for x in column(spark, texts, T.keyword_tokens)]
+
+
+def test_grams_values_and_quotes_are_brute_force(spark):
+    r = np.random.default_rng(0)
+    words = [f"w{i}" for i in range(12)]
+    docs = [(i, " ".join(r.choice(words, 30))) for i in range(40)] + [(90, ""), (91, None), (92, "short")]
+    items = [(i, " ".join(docs[i][1].split()[5 : 5 + n])) for i, n in enumerate([3, 4, 9, 12, 1])] + [(70, ""), (71, None)]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    grams = lambda t: {tuple(w[i : i + 3]) for w in [(t or "").split()] for i in range(len(w) - 2)}
+    want = {(i, j, len(grams(a) & grams(b))) for i, a in items for j, b in docs if grams(a) & grams(b)}
+    assert {tuple(x) for x in N.shared_grams(d, q, "doc_id", "item_id", 3).collect()} == want
+    bare = lambda t: (t or "").replace(" ", "")
+    want = {(i, j) for i, a in items for j, b in docs if bare(a) and bare(a) in bare(b)}
+    got = [tuple(x) for x in N.verbatim_quotes(d, q, "doc_id", "text", "item_id", "text", key_chars=10).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert N.verbatim_quotes(d, q.limit(0), "doc_id", "text", "item_id", "text").count() == 0
+    pairs = lambda t: {t[i : i + 2] for i in range(len(t) - 1)}
+    want = {(j, i, len(pairs(bare(a)) & pairs(bare(b))) / len(pairs(bare(a)))) for i, a in items for j, b in docs if pairs(bare(a)) and len(pairs(bare(a)) & pairs(bare(b))) >= 0.6 * len(pairs(bare(a)))}
+    assert {tuple(x) for x in N.value_hits(d, q, "doc_id", "item_id", 0.6, value="text").collect()} == want
+
+
 def test_compact_takes_out_every_kind_of_white_space(spark):
     assert column(spark, ["a b\tc　d e\n"], T.compact) == ["abcde"]
 
@@ -50,6 +86,8 @@ def test_law_item(spark):
 def test_sections_and_bold(spark):
     (got,) = column(spark, ["intro\n## One\nbody\n# Two  \n\nmore"], T.sections)
     assert [s.title for s in got] == ["One", "Two"] and "body" in got[0].body
+    got = column(spark, ["plain text", "", None, "# A\n---\n\n# B\n***\nx\n___\n"], T.sections)
+    assert [[(s.title, s.body) for s in x] for x in got] == [[("正文", "plain text")], [], [], [("A", "# A"), ("B", "x")]]
     assert column(spark, ["a **b** c", "a ** b\nc"], T.unbalanced_bold) == [False, True]
 
 
