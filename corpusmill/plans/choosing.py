@@ -215,8 +215,8 @@ def fold_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select(S.fold(F.col("source"), 5).alias("fold"), F.explode(T.words(F.col("text"))).alias("token"))
     counts = words.groupBy("fold", "token").agg(F.count("*").alias("n"))
     totals = counts.groupBy("token").agg(F.sum("n").alias("t"))
-    folds = counts.select("fold").distinct()
-    grid = totals.join(F.broadcast(folds)).join(counts, ["fold", "token"], "left").select("fold", "token", (F.col("t") - F.coalesce("n", F.lit(0))).alias("other")).where("other > 0")
+    folds = counts.select("fold").distinct()  # five rows
+    grid = totals.join(F.broadcast(folds), how="cross").join(counts, ["fold", "token"], "left").select("fold", "token", (F.col("t") - F.coalesce("n", F.lit(0))).alias("other")).where("other > 0")
     top = S.best_per_group(grid, ["fold"], [F.desc("other"), "token"], 500).select("fold", "token", F.lit(True).alias("in_top"))
     rows = counts.join(top, ["fold", "token"], "left")
     return rows.groupBy("fold").agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("in_top"), F.col("n")).otherwise(0)).alias("covered"))

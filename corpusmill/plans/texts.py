@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import gates, judging, markdown, ngrams
+from corpusmill.operators.ngrams import value_hits
 from corpusmill.operators.selection import cascade, difference
+from corpusmill.operators.summary import exact_floor_percentile
 from corpusmill.plans.catalogue import query, table
 
 BODY = r"regexp_replace(text, '\s+', '', 'g')"
@@ -20,7 +22,7 @@ ID_NUMBER = "regexp_matches(text, '(^|[^0-9])[0-9]{17}[0-9Xx]([^0-9]|$)')"
 
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = T.compact(F.col("text"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.length(body).alias("chars"), T.duplicate_ratio(T.char_grams(body, 12)).alias("dup"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.length(body).alias("chars"), T.duplicated_grams(body, 12).alias("dup"))
     private = F.col("text").rlike(gates.EMAIL) | F.col("text").rlike(gates.PHONE) | F.col("text").rlike(gates.ID_NUMBER)
     return docs.withColumn("private", private).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
 
@@ -60,7 +62,7 @@ def select_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dup_ratio", f"WITH b AS (SELECT doc_id, {BODY} AS body FROM documents), gr AS (SELECT doc_id, {GRAMS} AS g FROM b) SELECT doc_id, {RATIO} AS dup_12gram_ratio FROM gr")
 def dup_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.duplicate_ratio(T.char_grams(T.compact(F.col("text")), 12)).alias("dup_12gram_ratio"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.duplicated_grams(T.compact(F.col("text")), 12).alias("dup_12gram_ratio"))
 
 
 @query(
@@ -97,7 +99,7 @@ def unit_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def section_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = F.regexp_replace("html", "<h[1-6][^>]*>", "\n# ")
-    rows = table(spark, sf_dir, "pages").select("page_id", T.sections(marked).alias("s"))
+    rows = table(spark, sf_dir, "pages").select("page_id", T.heading_parts(marked).alias("s"))
     chars = F.aggregate(F.transform("s", lambda x: F.length(T.compact(x["body"]))), F.lit(0).cast("long"), lambda a, b: a + b)
     return rows.select("page_id", F.size("s").cast("long").alias("sections"), chars.alias("body_chars"))
 
@@ -129,17 +131,8 @@ def format_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT item_id, doc_id FROM b JOIN d ON contains(t, q) WHERE length(q) > 0""",
 )
 def quote_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates meet on the quote's first 24 characters before the whole quote is looked for."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("d_text"))
-    body = T.compact(F.col("d_text"))
-    starts = docs.select("doc_id", F.explode(F.array_distinct(T.char_grams(body, 24))).alias("key"))
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", T.compact(F.col("text")).alias("q")).where("length(q) > 0")
-    keyed = quotes.where("length(q) >= 24").withColumn("key", F.substring("q", 1, 24))
-    hits = starts.join(keyed, "key").select("item_id", "doc_id", "q").distinct()
-    found = hits.join(docs.select("doc_id", body.alias("t")), "doc_id").where(F.contains("t", "q")).select("item_id", "doc_id")
-    short = quotes.where("length(q) < 24")
-    few = docs.select("doc_id", body.alias("t")).join(short, F.contains(F.col("t"), F.col("q"))).select("item_id", "doc_id")
-    return found.unionByName(few)
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return ngrams.verbatim_quotes(table(spark, sf_dir, "documents"), quotes, "doc_id", "text", "item_id").select("item_id", "doc_id")
 
 
 @query(
@@ -151,11 +144,7 @@ def quote_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct 8-grams of words that a document and a benchmark item share."""
-
-    def grams(name: str, key: str) -> DataFrame:
-        return table(spark, sf_dir, name).select(key, F.explode(F.array_distinct(T.word_grams(T.words(F.col("text")), 8))).alias("g"))
-
-    return grams("documents", "doc_id").join(grams("benchmark", "item_id"), "g").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+    return ngrams.shared_grams(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", 8).select("item_id", "doc_id", "shared")
 
 
 TOKENS = r"""d AS (SELECT doc_id AS doc, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') AS w FROM documents),
@@ -211,28 +200,26 @@ def neighbour_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "agg27_keyword_density",
-    r"""WITH k AS (SELECT lang, 1000.0 * len(regexp_extract_all(lower(text), '\b(?:the|der|die|de|la|el)\b')) / greatest(length(text), 1) AS d FROM documents)
+    r"""WITH k AS (SELECT lang, 1000.0 * len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{Nd}_]+'), lambda w: w IN ('the', 'der', 'die', 'de', 'la', 'el'))) / greatest(length(text), 1) AS d FROM documents)
     SELECT lang, avg(d) AS mean_density, list_sort(list(d))[len(list(d)) // 2 + 1] AS upper_median FROM k GROUP BY lang""",
 )
 def keyword_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corpusmill.operators.summary import upper_median
-
-    hits = F.regexp_count(F.lower("text"), F.lit(r"\b(?:the|der|die|de|la|el)\b"))
-    rows = table(spark, sf_dir, "documents").select("lang", (F.lit(1000.0) * hits / F.greatest(F.length("text"), F.lit(1))).alias("d"))
-    return rows.groupBy("lang").agg(F.avg("d").alias("mean_density"), upper_median("d").alias("upper_median"))
+    """Listed words per 1000 characters; a word is a run of letters, digits and underscores."""
+    rows = table(spark, sf_dir, "documents").select("lang", T.keyword_density(F.col("text"), ("the", "der", "die", "de", "la", "el")).alias("d"))
+    means = rows.groupBy("lang").agg(F.avg("d").alias("mean_density"))
+    return means.join(exact_floor_percentile(rows, ["lang"], "d", 0.5).withColumnRenamed("percentile", "upper_median"), "lang")
 
 
 @query(
     "agg9_value_coverage",
     r"""WITH v AS (SELECT item_id, regexp_replace(text, '[^一-鿿A-Za-z0-9]', '', 'g') AS s FROM benchmark), g AS (SELECT item_id, list_distinct(list_transform(range(1, length(s)), lambda i: substring(s, i, 2))) AS g FROM v WHERE length(s) >= 2),
-    d AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS body FROM documents)
-    SELECT doc_id, item_id, len(list_filter(g.g, lambda x: contains(d.body, x))) / CAST(len(g.g) AS DOUBLE) AS hit FROM d JOIN g ON doc_id % 40 = item_id % 40""",
+    d AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS body FROM documents), b AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(body)), lambda i: substring(body, i, 2))) AS pair FROM d),
+    i AS (SELECT item_id, len(g) AS n, unnest(g) AS pair FROM g)
+    SELECT doc_id, item_id, count(*) / CAST(any_value(n) AS DOUBLE) AS hit FROM b JOIN i USING (pair) GROUP BY doc_id, item_id HAVING count(*) >= 0.9 * any_value(n)""",
 )
 def value_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark text against the documents that its number assigns to it."""
-    values = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("value"), (F.col("item_id") % 40).alias("k"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.compact(F.col("text")).alias("body"), (F.col("doc_id") % 40).alias("k"))
-    return docs.join(values, "k").select("doc_id", "item_id", T.coverage(F.col("value"), F.col("body")).alias("hit")).where("hit is not null")
+    """Every benchmark text against every document: pairs whose covered share of character pairs reaches 0.9."""
+    return value_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").withColumnRenamed("text", "value"), "doc_id", "item_id", 0.9)
 
 
 @query("str6_sanitised_pages")
@@ -265,17 +252,29 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.normal_label(F.col("url")).alias("label"))
 
 
-@query("src11_objects", """SELECT event_id, json_extract_string(props, '$.' || list_sort(json_keys(props))[1]) AS value FROM events WHERE json_valid(props) AND len(json_keys(props)) > 0""")
+@query("src11_objects", """SELECT event_id, json_extract_string(props, '$.k') AS value FROM events WHERE json_valid(props) AND json_extract(props, '$.k') IS NOT NULL""")
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = F.array_sort(F.json_object_keys("props"))
-    rows = table(spark, sf_dir, "events").where(F.size(keys) > 0).select("event_id", keys[0].alias("k"), F.from_json("props", "map<string,string>").alias("m"))
-    return rows.select("event_id", F.try_element_at("m", F.col("k")).alias("value"))
+    """The object with a wanted key, behind thinking, prose and a broken brace."""
+    said = F.concat(F.lit('<think>{"k": 0}</think> so {this: '), F.col("props"), F.lit(' and {"j": 1}'))
+    rows = table(spark, sf_dir, "events").select("event_id", judging.extract_object(said, "k").alias("found"))
+    return rows.where("found is not null").select("event_id", F.get_json_object("found", "$.k").alias("value"))
 
 
-@query("src12_arrays")
+@query("src12_arrays", "SELECT event_id, 2 AS items, json_extract_string(props, '$.k') AS last FROM events")
 def arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.concat(F.lit("<think>[1]</think> noted: ["), F.col("props"), F.lit("] end"))
-    return table(spark, sf_dir, "events").select("event_id", F.size(judging.split_objects(said)).alias("objects"))
+    """The last array of objects with a wanted key, behind a shorter one and an array of numbers."""
+    said = F.concat(F.lit("first: ["), F.col("props"), F.lit("] then ["), F.col("props"), F.lit(", "), F.col("props"), F.lit("] end [1, 2]"))
+    rows = table(spark, sf_dir, "events").select("event_id", judging.extract_array(said, "k").alias("found"))
+    items = F.from_json("found", "array<struct<k:string>>")
+    return rows.select("event_id", F.size(items).alias("items"), F.element_at(items, -1)["k"].alias("last"))
+
+
+@query("src13_split", "SELECT event_id, 2 + event_id % 2 AS objects FROM events")
+def split_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects that follow one another in a text; odd events have one more."""
+    more = F.when(F.col("event_id") % 2 == 1, F.col("props")).otherwise("")
+    said = F.concat(F.col("props"), F.lit("\n noted {"), F.col("props"), F.lit(" "), more)
+    return table(spark, sf_dir, "events").select("event_id", F.size(judging.split_objects(said)).cast("long").alias("objects"))
 
 
 @query("diff1_similarity")
