@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,23 +55,44 @@ def with_python_path(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for intermediate tables, from spark.checkpoint.dir.
 
-    Only where that is unset (a local test session) a temporary folder is made.
+    Only in a local session that leaves it unset (as tests do) a temporary folder is made; on a cluster
+    that is an error, for executors do not see each other's folders.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         base = getattr(spark.sparkContext, "_mill_dir", None)
         if base is None:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="mill-")
             spark.sparkContext._mill_dir = base
             spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/mill"
 
 
+BATCH_BYTES = 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None]:
+    """Arrow batches of about `most` bytes for what is planned inside, so whole texts of any length pass in bounded memory."""
+    names = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxBytesPerOutputBatch")
+    before = {n: spark.conf.get(n, None) for n in names}
+    for n in names:
+        spark.conf.set(n, str(most))
+    try:
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
 def stash(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    with small_batches(spark):
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -18,13 +18,14 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import pick, stash, with_python_path
 
 END_ID = 0
-CACHE_WORDS = 300_000  # cached words of a Python worker, at most
+CACHE_WORDS = 150_000  # cached words of a Python worker, at most
 _CACHES: dict[str, tuple] = {}
 
 
@@ -54,7 +55,8 @@ class CachedEncoder:
     The byte-level pattern never lets a pre-token cross from a word into the space behind it, so a
     text can be cut before each single space and its words encoded apart, most of them from a cache.
     Where white space stands on both sides of a space, its run may be split otherwise; such texts
-    are encoded whole. New words are encoded together, in one text: each begins with a token that
+    are encoded whole, and so are texts that hold the string of an added token, which tokenizers turns
+    into that token's id. New words are encoded together, in one text: each begins with a token that
     begins with a space, and no other token does.
     """
 
@@ -62,7 +64,8 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.doubled = re.compile(r"\s \s")
         self.plain = re.compile(r"\S+").fullmatch
         ranks = merge_ranks(path)
@@ -78,7 +81,7 @@ class CachedEncoder:
         self.words: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
-        if self.fast and len(text) < 1_000_000:
+        if self.fast and len(text) < 1_000_000 and not self.added.search(text):
             return np.array(self.fast.encode_ordinary(text), dtype="<u4")
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
@@ -95,7 +98,7 @@ class CachedEncoder:
         if len(words) > CACHE_WORDS:
             words.clear()
         for at in range(0, len(texts), 256):
-            parts = [None if self.doubled.search(t) else t.split(" ") for t in texts[at : at + 256]]
+            parts = [None if self.doubled.search(t) or self.added.search(t) else t.split(" ") for t in texts[at : at + 256]]
             fresh = {w for p in parts if p for w in p[1:]}.difference(words)
             if fresh:
                 self._learn(list(fresh))
@@ -119,36 +122,47 @@ def cut_points(n: int, capacity: int) -> list[int]:
 
 
 def tokenize_pieces(
-    docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, digest: bool = False
+    docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, digest: bool = False, flush_bytes: int = 1 << 21
 ) -> DataFrame:
     """doc_id, piece, start, length, and ids array<int> and/or ids_crc32 as asked for.
 
     A document is the ids of its text, then END_ID; null text counts as empty and gives END_ID alone.
     Documents of more than `capacity` ids are cut into pieces of that length, the first maybe shorter.
+    A task holds one batch of texts and up to flush_bytes of ids, or those of one document.
     """
     with_python_path(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long" + ", ids array<int>" * ids + ", ids_crc32 long" * digest
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def table(doc_ids: list, pieces: list, starts: list, lengths: list, parts: list[bytes]) -> pa.RecordBatch:
+        columns = {"doc_id": pa.array(doc_ids, pa.int64()), "piece": pa.array(pieces, pa.int32()), "start": pa.array(starts, pa.int64()), "length": pa.array(lengths, pa.int64())}
+        if ids:
+            ends = np.append(0, np.cumsum(np.array(lengths, dtype=np.int64))).astype(np.int32)
+            columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))
+        if digest:
+            columns["ids_crc32"] = pa.array([zlib.crc32(p) for p in parts], pa.int64())
+        return pa.RecordBatch.from_pydict(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
-            rows = []
-            for doc_id, data in zip(batch.doc_id, encode([t or "" for t in batch.text]), strict=True):
+            held: tuple[list, ...] = ([], [], [], [], [])
+            size = 0
+            for doc_id, data in zip(batch["doc_id"].to_pylist(), encode([t or "" for t in batch["text"].to_pylist()]), strict=True):
                 data += end
                 n = len(data) // 4
                 starts = cut_points(n, capacity)
                 for piece, (a, b) in enumerate(zip(starts, [*starts[1:], n], strict=True)):
-                    part = data[4 * a : 4 * b]
-                    row = [doc_id, piece, a, b - a]
-                    rows.append(row + [np.frombuffer(part, dtype="<u4").astype(np.int32)] * ids + [zlib.crc32(part)] * digest)
-            names = ["doc_id", "piece", "start", "length"] + ["ids"] * ids + ["ids_crc32"] * digest
-            out = pd.DataFrame(rows, columns=names)
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                    for to, value in zip(held, (doc_id, piece, a, b - a, data[4 * a : 4 * b]), strict=True):
+                        to.append(value)
+                size += len(data)
+                if size >= flush_bytes:
+                    yield table(*held)
+                    held, size = ([], [], [], [], []), 0
+            yield table(*held)
 
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 class OpenBins:
