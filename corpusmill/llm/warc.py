@@ -11,6 +11,7 @@ import base64
 import gzip
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,19 +59,44 @@ def _record(kind: Column | str, record_id: Column, block: Column, content_type:
     return F.concat(F.concat_ws(EOL, *head), F.lit(EOL + EOL), block)
 
 
-def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, pages_per_file: int = 2000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+def _decided(rows: DataFrame, min_bytes: int, archive_bytes: int) -> DataFrame:
+    """rows(page_id, url, html, bytes, sha, seq) with first (page_id, seq of the group's response; null where a payload is single), dealt for writing.
+
+    Groups are counted on their digests alone. The payloads that would fill a good part of a task, less
+    than 8 times as many as tasks, are broadcast, and their copies lose their html before the shuffle;
+    all other rows meet their group in a join on the digest.
+    """
+    spark = rows.sparkSession
+    light = stash(rows.select("page_id", "bytes", "sha", "seq"), "payloads")
+    size = light.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = light.where(F.col("bytes") >= min_bytes).groupBy("sha").agg(F.max(F.struct("page_id", "seq")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    groups = stash(groups, "payload-groups")
+    hot = F.col("n") * (8 * tasks) > size["n"]
+    often = groups.where(hot).select(F.col("sha").alias("h_sha"), F.col("first").alias("h_first"))
+    rows = rows.join(F.broadcast(often), F.col("sha") == F.col("h_sha"), "left")
+    copy = F.coalesce(~F.col("h_first").eqNullSafe(F.struct("page_id", "seq")), F.lit(False)) & F.col("h_first").isNotNull()
+    key = F.when(F.col("h_first").isNull(), F.col("sha")).otherwise(F.unhex(F.md5(F.col("seq").cast("string"))))
+    rows = rows.withColumns({"html": F.when(~copy, F.col("html")), "key": key})
+    files = max(tasks, -(-(size["bytes"] + 1000 * size["n"]) // archive_bytes))
+    others = groups.where(~hot).select(F.col("sha").alias("g_sha"), F.col("first").alias("g_first"))
+    met = rows.repartition(files, "key").join(others.repartition(files, "g_sha"), F.col("key") == F.col("g_sha"), "left")
+    return met.withColumn("first", F.coalesce("h_first", "g_first"))
+
+
+def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: int = 64 << 20, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Write three records per row under path: request, response or revisit, metadata.
 
     Of rows with equal payloads of at least min_bytes the largest id is the response and the others
     revisit it, without a payload of their own; rows repeated with one id are one response and
-    revisits. Null html is an empty payload; null ids and urls are allowed. White space and control
-    characters in a url are written as %20.
+    revisits (pages must be a stored table for that, whose rows come in the same order twice). Null html
+    is an empty payload; null ids and urls are allowed. White space and control characters in a url are
+    written as %20. Records are dealt over as many archives as hold about archive_bytes each.
     """
     rows = pick(pages, page_id=id_col, url=url_col, html=html_col).withColumn("html", F.coalesce("html", F.lit("")))
     rows = rows.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7f]", "%20").alias("url"), "html", F.monotonically_increasing_id().alias("seq"))
-    rows = rows.withColumns({"bytes": F.octet_length("html"), "sha": F.unhex(F.sha2("html", 256))})
-    groups = rows.where(F.col("bytes") >= min_bytes).groupBy("sha").agg(F.max(F.struct("page_id", "seq")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(groups.select(F.col("sha").alias("g_sha"), "first"), F.col("sha") == F.col("g_sha"), "left")
+    rows = rows.withColumns({"bytes": F.octet_length("html"), "sha": F.unhex(F.sha2("html", 256)), "sha1": base32_sha1(F.col("html"))})
+    rows = _decided(rows, min_bytes, archive_bytes)
     again = F.coalesce(F.col("first.seq") != F.col("seq"), F.lit(False))
     rid = _urn(F.lit("capture"), F.col("seq"))
     uri = F.concat(F.lit("WARC-Target-URI: "), F.col("url"))
@@ -82,7 +108,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, pages_per_file:
         F.when(again, http).otherwise(F.concat(http, F.col("html"))),
         "application/http; msgtype=response",
         uri,
-        F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32_sha1(F.col("html"))),
+        F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1")),
         F.when(again, F.lit("WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest")),
         F.when(again, F.concat(F.lit("WARC-Refers-To: "), _urn(F.lit("capture"), F.col("first.seq")))),
     )
@@ -90,7 +116,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, pages_per_file:
     fields = F.concat_ws(EOL, F.lit("via: table"), F.concat(F.lit("page-id: "), F.col("page_id").cast("string")), F.lit(""))
     metadata = _record("metadata", _urn(F.lit("metadata"), F.col("seq")), fields, "application/warc-fields", uri, beside)
     records = rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    records.write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", 3 * pages_per_file).options(compression="gzip", **{"zlib.compress.level": "BEST_SPEED"}).text(path)
+    records.write.option("lineSep", EOL + EOL).options(compression="gzip", **{"zlib.compress.level": "BEST_SPEED"}).text(path)
 
 
 def _lines(head: bytes) -> dict[str, str]:
@@ -118,29 +144,31 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     with_python_path(spark)
     schema = RECORD + ", payload binary" * payloads
 
+    names = [c.strip().split(" ")[0] for c in schema.replace("map<string,string>", "map").split(",")]
+
+    def row_of(head: dict[str, str], block: memoryview) -> list:
+        kind = head["warc-type"]
+        size = digest = ok = payload = None
+        fields = {}
+        if kind in ("response", "revisit"):
+            digest = head["warc-payload-digest"].removeprefix("sha1:")
+            if kind == "response":
+                raw = bytes(block)
+                payload = raw[raw.index(b"\r\n\r\n") + 4 :]
+                size, said = len(payload), digest
+                digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                ok = digest == said
+        elif kind == "metadata":
+            fields = _lines(bytes(block))
+        row = [head["warc-record-id"], kind, head.get("warc-concurrent-to"), head.get("warc-refers-to"), head.get("warc-target-uri"), size, digest, ok, fields]
+        return row + [payload] * payloads
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.strip().split(" ")[0] for c in schema.replace("map<string,string>", "map").split(",")]
         for batch in batches:
             for data in batch["content"]:
-                rows = []
-                for head, block in parse_records(gzip.decompress(data)):
-                    kind = head["warc-type"]
-                    size = digest = ok = payload = None
-                    fields = {}
-                    if kind in ("response", "revisit"):
-                        digest = head["warc-payload-digest"].removeprefix("sha1:")
-                        if kind == "response":
-                            raw = bytes(block)
-                            payload = raw[raw.index(b"\r\n\r\n") + 4 :]
-                            size, said = len(payload), digest
-                            digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                            ok = digest == said
-                    elif kind == "metadata":
-                        fields = _lines(bytes(block))
-                    row = [head["warc-record-id"], kind, head.get("warc-concurrent-to"), head.get("warc-refers-to"), head.get("warc-target-uri"), size, digest, ok, fields]
-                    rows.append(row + [payload] * payloads)
-                out = pd.DataFrame(rows, columns=names)
-                yield out.astype({"payload_bytes": "Int64", "digest_ok": "boolean"})
+                records = parse_records(gzip.decompress(data))
+                while rows := [row_of(*r) for r in islice(records, 500)]:
+                    yield pd.DataFrame(rows, columns=names).astype({"payload_bytes": "Int64", "digest_ok": "boolean"})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
     return files.select("content").mapInPandas(run, schema)
@@ -149,16 +177,18 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: capture_id, response, request, metadata (structs; null where a record is missing).
 
-    Requests and metadata name their capture in concurrent_to. Of several, the least record id is taken.
+    A capture's records are those that name it in concurrent_to, and its own. Records are read once and
+    grouped by that. Of several requests or metadata records, the least record id is taken; records of a
+    capture that is not there are left out.
     """
+    kind = F.col("type")
+    side = F.struct(*[F.col(c) for c in records.columns if c != "payload"])
     body = F.struct(*[F.col(c) for c in records.columns])
-    captures = records.where(F.col("type").isin("response", "revisit")).select(F.col("record_id").alias("capture_id"), body.alias("response"))
-    out = captures
-    for kind in ("request", "metadata"):
-        side = records.where(F.col("type") == kind).drop(*[c for c in ("payload",) if c in records.columns])
-        one = side.groupBy("concurrent_to").agg(F.min_by(F.struct(*[F.col(c) for c in side.columns]), "record_id").alias(kind))
-        out = out.join(one.withColumnRenamed("concurrent_to", "capture_id"), "capture_id", "left")
-    return out
+    main = kind.isin("response", "revisit")
+    keyed = records.withColumn("capture_id", F.when(main, F.col("record_id")).otherwise(F.col("concurrent_to"))).where("capture_id is not null")
+    least = lambda value, condition: F.min_by(value, F.when(condition, F.col("record_id")))
+    grouped = keyed.groupBy("capture_id").agg(least(body, main).alias("response"), *[least(side, kind == k).alias(k) for k in ("request", "metadata")])
+    return grouped.where("response is not null")
 
 
 def resolve_revisits(captures: DataFrame) -> DataFrame:
