@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import numerals as N
 from corpusmill.functions import text as T
-from corpusmill.operators import acceptance, datasets, gates, judging, metrics, reports, selection
+from corpusmill.operators import acceptance, datasets, gates, judging, metrics, reports, seeding, selection
 from corpusmill.operators import retrieval as R
 from corpusmill.plans.catalogue import query, table
 from corpusmill.sources import readers, writers
@@ -293,6 +293,27 @@ def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.groupBy("mutation").agg(F.count("*").alias("n"))
 
 
+@query("mut2_seeded_errors", "SELECT k AS kind, count(*) AS n FROM customer, (VALUES ('omit_key_fact'), ('empty_field_fabrication'), ('evaluation_as_fact'), ('obligation_mismatch')) v(k) GROUP BY k")
+def seeded_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as candidates, each with a place for four of the errors."""
+    name = F.concat(F.lit("名称："), "c_name", F.lit("。"))
+    region = F.concat(F.lit("材料显示地区："), "c_mktsegment", F.lit("。"))
+    note = F.lit("备注信息不足。")
+    base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"), "c_name", "c_mktsegment", F.array(name, region, note).alias("said"))
+    at = lambda i: sum((F.length(F.get("said", F.lit(k))) for k in range(i)), F.lit(0))
+    field = lambda n, v, k: F.struct(F.lit(n).alias("field"), v.alias("value"), F.lit(k).alias("kind"))
+    claim = lambda i, ref: F.struct(F.lit(str(i)).alias("claim_id"), at(i).alias("start"), at(i + 1).alias("end"), F.array(F.lit(ref)).alias("refs"))
+    duty = lambda n, t, r: F.struct(F.lit(n).alias("obligation_id"), F.lit(t).alias("treatment"), F.lit(r).alias("resolution"))
+    long = lambda c: base.select("case_id", F.explode(c).alias("x")).select("case_id", "x.*")
+    fields = long(F.array(field("名称", F.col("c_name"), "fact"), field("地区", F.col("c_mktsegment"), "evaluation"), field("备注", F.lit(""), "fact"), field("电话", F.lit(""), "fact")))
+    claims = long(F.array(claim(0, "accident:/名称"), claim(1, "accident:/地区"), claim(2, "accident:/备注")))
+    duties = long(F.array(duty("fact:名称", "covered", "已写"), duty("fact:地区", "covered", "已写"), duty("fact:备注", "not_relevant", "未提供"), duty("fact:电话", "not_relevant", "未提供")))
+    reports = base.select("case_id", F.concat(F.array_join("said", ""), F.repeat(F.lit("其余情况已经核对无误。"), 20)).alias("report"))
+    none = base.limit(0).select("case_id", F.lit("").alias("field"))
+    hidden = base.select("case_id", F.lit("不应出现的名字").alias("value"))
+    return seeding.seed_errors(fields, claims, duties, none, reports, hidden).groupBy("kind").agg(F.count("*").alias("n"))
+
+
 @query(
     "set2_shared_judges",
     """WITH e AS (SELECT user_id, avg(value) FILTER (event_type = 'view') AS v, avg(value) FILTER (event_type = 'click') AS c, avg(value) FILTER (event_type = 'error') AS x FROM events GROUP BY user_id)

@@ -1,5 +1,6 @@
 from corpusmill.operators import judging as J
 from corpusmill.operators import metrics as M
+from corpusmill.operators import seeding as S
 
 REPORT = "天气：晴。材料显示事故责任为甲方。路况信息不足。"
 
@@ -68,3 +69,22 @@ def test_mutations_change_what_they_say(spark):
     assert "drop_evidence_boundary" not in plan and plan["orig"] == report
     assert "原因" not in plan["drop_causation"] and "责任分析" in plan["drop_causation"]
     assert "[依据" not in plan["strip_citations"] and plan["duplicate_section"].count("长长的一段责任说明") == 3
+
+
+def test_seeded_errors_are_single(spark):
+    filler = "其余情况已经核对无误。" * 20
+    text = "天气：晴。材料显示事故责任为甲方。路况信息不足。车速两种记载存在冲突。"
+    fields = [("c", "天气", "晴", "fact", False), ("c", "事故责任", "甲方", "evaluation", False), ("c", "路况", "", "fact", False), ("c", "伤情", "", "fact", False), ("c", "车速", "六十", "fact", False)]
+    claims = [("c", "1", 0, 5, ["accident:/天气"]), ("c", "2", 5, 17, ["accident:/事故责任"]), ("c", "3", 17, 24, ["accident:/路况"]), ("c", "4", 24, 35, ["accident:/车速"])]
+    duties = [("c", "fact:天气", "covered", "已写"), ("c", "fact:事故责任", "covered", "已写"), ("c", "fact:路况", "not_relevant", "未提供"), ("c", "fact:伤情", "not_relevant", "未提供"), ("c", "fact:车速", "uncertain", "记载不一致")]
+    given = tables(spark, fields=fields, claims=claims, obligations=duties, conflicts=[("c", "车速")], reports=[("c", text + filler)])
+    bad = [r for r in M.evaluate_candidates(**given).collect() if r.status == "fail"]
+    assert not bad
+    got = {r.kind: r for r in S.seed_errors(**given).collect()}
+    assert set(got) == {"omit_key_fact", "empty_field_fabrication", "evaluation_as_fact", "obligation_mismatch", "swallow_conflict"}
+    assert got["omit_key_fact"].report == text[5:] + filler and "metric:coverage:天气" in got["omit_key_fact"].signals
+    assert got["empty_field_fabrication"].report.endswith("\n伤情：合成占位值。") and got["empty_field_fabrication"].signals == ["metric:empty_field:伤情"]
+    assert got["evaluation_as_fact"].report == text.replace("材料显示", "") + filler
+    assert got["obligation_mismatch"].report == text + filler and got["obligation_mismatch"].signals == ["metric:obligations:天气"]
+    assert "冲突" not in got["swallow_conflict"].report
+    assert S.seed_errors(**tables(spark, reports=[("c", REPORT.replace("晴", "雨"))])).count() == 0
