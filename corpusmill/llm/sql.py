@@ -27,7 +27,8 @@ _SPANS = """list_transform(range(1, len({m}) + 1), lambda i: {{'k': '{kind}', 'r
 def _secrets() -> str:
     from corpusmill.llm.secrets import ACCESS, ALLOWED, ASSIGN, CANDIDATE, CLASSES, HEX
 
-    q = lambda p: "'" + p.replace("'", "''") + "'"
+    plain = lambda p: p.replace("(?:[/", "([/").replace("++", "+").replace("*+", "*")  # noqa: E731  RE2 has no possessive loops and needs none
+    q = lambda p: "'" + plain(p).replace("'", "''") + "'"
     kinds = (("assign", ASSIGN, 2), ("access", ACCESS, 0), ("hex", HEX, 0), ("entropy", CANDIDATE, 0))
     cols = ", ".join(f"regexp_extract_all(t, {q(p)}, 0) AS m{i}, regexp_extract_all(t, {q(p)}, {g}) AS i{i}, string_split_regex(t, {q(p)}) AS g{i}" for i, (_, p, g) in enumerate(kinds))
     lists = ", ".join(_SPANS.format(m=f"m{i}", inner=f"i{i}", g=f"g{i}", kind=k, rank=i) + f" AS s{i}" for i, (k, _, _) in enumerate(kinds))

@@ -1,4 +1,5 @@
 import re
+import zlib
 from hashlib import sha256
 
 import numpy as np
@@ -152,3 +153,100 @@ def test_word_cache_does_not_change_scores(monkeypatch, limit):
     monkeypatch.setattr(T, "CACHE_WORDS", limit)
     scorer = T.Scorer(net)
     assert np.allclose(plain, np.concatenate([scorer([t]) for t in texts]), atol=1e-6)
+
+
+def test_long_texts_are_scanned_in_linear_time(make_docs):
+    """A megabyte of one path, which plain loops of the pattern could not match, one of a random string, and many matches."""
+    r = np.random.default_rng(3)
+    blob = "".join(r.choice(list("ABCDEFGHJKLNPQRTUVWXYZ23456789"), 1_000_000))
+    rows = [(1, "a-" * 500_000 + "a"), (2, blob), (3, "secret = abcdefgh1 " * 20_000), (4, "ab1-" * 250_000)]
+    got = {x.doc_id: x for x in X.scan_secrets(make_docs(rows)).collect()}
+    assert [len(got[i].entropy) for i in (1, 2, 3, 4)] == [0, 1, 0, 0]
+    spans = [(m.start, m.end) for m in got[3].assign]
+    assert spans == [(19 * i, 19 * i + 18) for i in range(20_000)]
+
+
+def test_secrets_of_an_empty_table_and_repeated_rows(make_docs):
+    rows = [(1, "token=abcdefgh12"), (1, "token=abcdefgh12"), (None, "token=abcdefgh12")]
+    assert [len(x.assign) for x in X.scan_secrets(make_docs(rows)).collect()] == [1, 1, 1]
+    assert X.scan_secrets(make_docs(rows).limit(0)).count() == 0
+
+
+def test_quality_scores_are_those_of_a_plain_discriminant(spark, make_docs):
+    """The score again with matrix inverses and determinants, from statistics gathered by hand; rows repeat and tie."""
+    r = np.random.default_rng(2)
+    rows = [(i, prose(i, 30 + i % 40) + ("!!" * (i % 3)) + " AB" * int(r.integers(0, 5))) for i in range(240)]
+    rows += rows[:5] + [(500, ""), (501, None), (502, "word " * 60_000), (503, rows[7][1])]
+    marks = {i: int(i % 3 != 0) for i, _ in rows if i < 240}
+    labels = spark.createDataFrame([(i, q, 0) for i, q in marks.items()], "doc_id long, quality int, toxic int")
+    got = Q.score_quality(make_docs(rows), labels).collect()
+    x = {i: np.array(Q.statistics(t or "")) for i, t in rows}
+    learnt = [(i, x[i]) for i, _ in rows if i in marks and zlib.crc32(str(i).encode()) % 5]
+    every = np.array([v for _, v in learnt])
+    d, cov_all, logs = every.shape[1], np.cov(every.T, bias=True), []
+    for y in (0, 1):
+        mine = np.array([v for i, v in learnt if marks[i] == y])
+        weight = 0.1 + 0.9 * d / (d + len(mine))
+        cov = (1 - weight) * np.cov(mine.T, bias=True) + weight * cov_all + 0.02 * np.diag(np.diag(cov_all) + 1e-6)
+        inverse, (_, det), mean = np.linalg.inv(cov), np.linalg.slogdet(cov), mine.mean(0)
+        prior = np.log((len(mine) + 1) / (len(every) + 2))
+        logs.append(lambda v, m=mean, a=inverse, k=prior - det / 2: k - 0.5 * (v - m) @ a @ (v - m))
+    assert len(got) == len(rows)
+    for row in got:
+        z = np.arcsinh(logs[1](x[row.doc_id]) - logs[0](x[row.doc_id])) + np.log(0.3 / 0.7)
+        assert abs(row.score - 1 / (1 + np.exp(-z))) < 1e-6
+
+
+def slow_score(net, text):
+    """The network again, word by word and window by window, without arrays of windows or caches."""
+    words = [w.strip(T.PUNCTUATION).lower() for w in T.UNSPACED.sub(r" \g<0> ", text).split()]
+    p, h, best = net.p, T.HIDDEN, -np.inf
+    vectors = [net.embed(T.word_features([w]))[0] for w in words]
+    starts = range(0, max(len(words) - T.WINDOW + T.STRIDE, 1), T.STRIDE) if len(words) > T.WINDOW else [0]
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    for a in starts:
+        window = vectors[a : a + T.WINDOW]
+        states = {}
+        for k, order in (("f", range(len(window))), ("b", reversed(range(len(window))))):
+            now = np.zeros(h)
+            for t in order:
+                g, u = window[t] @ p[f"W{k}"] + p[f"c{k}"], p[f"U{k}"]
+                z, r = sig(g[:h] + now @ u[:, :h]), sig(g[h : 2 * h] + now @ u[:, h : 2 * h])
+                now = (1 - z) * now + z * np.tanh(g[2 * h :] + (r * now) @ u[:, 2 * h :])
+                states[k, t] = now
+        both = np.array([np.concatenate([states["f", t], states["b", t]]) for t in range(len(window))])
+        pooled = np.zeros(2 * h)
+        if len(both):
+            e = np.tanh(both @ p["A"] + p["a"]) @ p["v"]
+            pooled = (np.exp(e - e.max()) / np.exp(e - e.max()).sum()) @ both
+        best = max(best, float(pooled @ p["o"] + p["q"][0]))
+    return float(net.probability(np.array([best]))[0])
+
+
+def test_scores_are_those_of_a_slow_network():
+    net = T.train(["good stone here", "bad slime there"] * 20, [0, 1] * 20, rounds=2, epochs=2)
+    texts = ["", "stone", "slime", prose(1, 32), prose(2, 33), prose(3, 49) + " Slime!", "bad 日本語の文 stone " * 9, prose(4, 1500) + " bad slime", "slime " * 40]
+    assert np.allclose(T.Scorer(net)(texts), [slow_score(net, t) for t in texts], atol=1e-4)
+
+
+def test_order_of_words_counts():
+    """The same words in two orders: only the recurrent part can tell them apart."""
+    r = np.random.default_rng(0)
+    texts, y = [], []
+    for i in range(800):
+        words = prose(i, 20).split()
+        at = int(r.integers(0, 18))
+        words[at:at] = ["alpha", "omega"] if i % 2 else ["omega", "alpha"]
+        texts.append(" ".join(words))
+        y.append(i % 2)
+    net = T.train(texts[:600], y[:600], rounds=4, epochs=12)
+    assert np.mean((T.Scorer(net)(texts[600:]) >= 0.5) == np.array(y[600:])) > 0.9
+
+
+def test_toxicity_of_very_long_texts(spark, make_docs):
+    rows = [(i, prose(i, 60) + (" grubwort" if i % 3 == 0 else "")) for i in range(150)] + [(900, prose(7, 40_000) + " grubwort " + prose(8, 40_000)), (901, prose(9, 80_000)), (902, "語" * 30_000)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(150)] + [(900, 1, 1)], "doc_id long, quality int, toxic int")
+    docs = make_docs(rows)
+    got = {x.doc_id: x.predicted for x in T.score_toxicity(docs, labels).collect()}
+    assert (got[900], got[901], got[902]) == (1, 0, 0)
+    assert max(len(x.text) for x in T.training_sample(docs.toDF("doc_id", "text", *"abcd"), labels).collect()) <= T.MAX_TRAINING_CHARS
