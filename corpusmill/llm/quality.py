@@ -124,7 +124,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     Labels are learnt from rows that are not held out (crc32 of the id modulo 5 is not 0); labels that
     are null or of unknown documents teach nothing, and only the text enters a score. Null text is an
-    empty text and gets a score too. Without any label all scores are the same. Extra columns are not read.
+    empty text and gets a score too. Without any label all scores are the same. Repeated rows are scored
+    alike, and count as often as they stand in the class moments; a document with both labels counts as 0.
+    An empty table gives an empty result. Extra columns are not read.
     """
     stats = stash(document_statistics(docs, id_col, text_col).withColumn("held_out", held_out(0, 5)), "statistics")
     marks = pick(labels, l_id="doc_id", y="quality").where("y in (0, 1)").groupBy("l_id").agg(F.min("y").cast("int").alias("y"))

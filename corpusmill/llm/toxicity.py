@@ -9,6 +9,7 @@ learning from it.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,6 +27,8 @@ HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
 WORD_ROWS, CHAR_ROWS = 1 << 14, 1 << 15
 GRAMS = (3, 4, 5)
 MAX_POSITIVE, MAX_NEGATIVE = 1500, 3000  # labelled documents that are read for training, at most
+MAX_TRAINING_CHARS = 20_000  # longer labelled documents are not read for training, so the sample's size is bounded; all are scored
+UNSPACED = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\uac00-\ud7af]")  # scripts without spaces between words: each character is a word
 CACHE_WORDS = 200_000
 PUNCTUATION = ".,;:!?\"'()[]{}<>*#$%&|-_/\\+=~`^@"
 
@@ -73,7 +76,7 @@ class Vocabulary:
 
     def ids(self, text: str) -> np.ndarray:
         raw = self.raw
-        words = text.split()
+        words = (text if text.isascii() else UNSPACED.sub(r" \g<0> ", text)).split()
         for w in {*words}.difference(raw):
             plain = w.strip(PUNCTUATION).lower()
             if plain not in self.plain:
@@ -309,11 +312,12 @@ class Scorer:
         return self.net.probability(np.maximum.reduceat(values, first))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (MAX_NEGATIVE, MAX_POSITIVE)) -> DataFrame:
-    """text, y of labelled rows that are not held out: most[y] of each label at most, the first by a hash of the id."""
+def training_sample(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (MAX_NEGATIVE, MAX_POSITIVE), most_chars: int = MAX_TRAINING_CHARS) -> DataFrame:
+    """doc_id, text, y of labelled rows that are not held out: most[y] of each label at most, the first by a hash of the id, without those of texts longer than most_chars."""
     marks = pick(labels, doc_id="doc_id", y="toxic").where("y in (0, 1)").where(~held_out(1, 3)).groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
     chosen = [marks.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in enumerate(most)]
-    return docs.join(F.broadcast(cut(chosen[0].unionByName(chosen[1]))), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "y")
+    short = docs.where(F.coalesce(F.char_length("text"), F.lit(0)) <= most_chars)
+    return short.join(F.broadcast(cut(chosen[0].unionByName(chosen[1]))), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "y")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, most: tuple[int, int] = (MAX_NEGATIVE, MAX_POSITIVE)) -> DataFrame:
@@ -322,12 +326,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Labels are learnt from rows that are not held out (crc32 of the id modulo 3 is not 1), from `most`
     documents of either label at most; only the text enters a score. Null and empty texts are one empty
     window and get a score too. Labels that are null or of unknown documents teach nothing; without both
-    labels all scores are the same. Repeated rows are scored alike; extra columns are not read.
+    labels all scores are the same. Repeated rows are scored alike; of rows repeated with one id one is
+    learnt from, and a document with both labels counts as toxic. An empty table gives an empty result.
+    Extra columns are not read. Training takes place on the driver, on `most` texts of MAX_TRAINING_CHARS at most.
     """
     spark = docs.sparkSession
     with_python_path(spark)
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    sample = sorted(training_sample(rows, labels, most).collect(), key=lambda r: r["doc_id"])  # bounded by `most`
+    sample = sorted(training_sample(rows, labels, most).collect(), key=lambda r: r["doc_id"])  # bounded by `most` and MAX_TRAINING_CHARS
     net = train([r["text"] or "" for r in sample], [r["y"] for r in sample])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
