@@ -87,15 +87,36 @@ def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None
             spark.conf.unset(n) if v is None else spark.conf.set(n, v)
 
 
-def stash(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
+_OPEN: list[list[str]] = []  # paths stored inside each discarded() that is open
+
+
+def stash(df: DataFrame, name: str, outer: bool = False, **options: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends there, and lost executors lose nothing.
+
+    Inside discarded() the table goes at its end; with `outer` it outlives it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    mine = _OPEN[: len(_OPEN) - outer]
+    if mine:
+        mine[-1].append(path)
     with small_batches(spark):
         df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def discarded(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are removed at the end; what is still wanted is stored with `outer` before that."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """checkpoint() in the shared folder; for small tables inside loops."""
     shared_dir(df.sparkSession)
