@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import cut, pick, stash, with_python_path
+from corpusmill.llm.common import cut, discarded, pick, stash, with_python_path
 
 BITS = 64
 NO_ID = (1 << 63) - (1 << 41)  # nodes from here on stand for classes whose ids are all null
@@ -302,103 +302,288 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
+SEEN = 500_000  # texts that a task remembers
+
+
 def shingle_sets(rows: DataFrame, shingle_words: int) -> DataFrame:
-    """rows(doc_id, text) -> doc_id, node, shingles: the text's hash (case of A-Z and white space aside), and the distinct hashes of the word shingles of the whole text, in order."""
+    """rows(doc_id, text) -> doc_id, node, shingles: the text's hash (case of A-Z and white space aside), and the distinct hashes of the word shingles of the whole text, in order.
+
+    A task leaves the shingles of a text out (null) where it has already given them for the same text.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
+        seen: set[int] = set()
         for batch in batches:
             nodes, sets = [], []
+            if len(seen) > SEEN:
+                seen.clear()
             for text in batch.text:
                 words = (text or "").encode("utf-8", "replace").lower().split()
                 joined = b" ".join(words)
+                nodes.append(xxhash.xxh64_intdigest(joined))
+                if nodes[-1] in seen:
+                    sets.append(None)
+                    continue
+                seen.add(nodes[-1])
                 ends = np.cumsum([len(w) + 1 for w in words])
                 stops = (ends - 1).tolist()[min(shingle_words, max(len(words), 1)) - 1 :] if words else []
                 hashes = [xxhash.xxh64_intdigest(joined[x:y]) for x, y in zip([0, *ends[:-1].tolist()], stops, strict=False)]
-                nodes.append(xxhash.xxh64_intdigest(joined))
                 sets.append(np.unique(np.array(hashes, dtype=np.uint64)).view(np.int64))
             yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "node": np.array(nodes, dtype=np.uint64).view(np.int64), "shingles": sets})
 
     return rows.mapInPandas(run, "doc_id long, node long, shingles array<long>")
 
 
-def frequent_shingles(sets: DataFrame, least: int = 4, most: int = 200_000) -> pd.DataFrame:
-    """shingle, n: those that several texts of a batch share, by their counts; they only set the order in prefixes(), so counts may be rough."""
+def shingle_counts(sets: DataFrame, counters: int = 1 << 21, chunk: int = 1 << 15) -> np.ndarray:
+    """How many texts hold a shingle, at most: counts over all texts, of all shingles that share a counter (the hash's low bits).
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values, n = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *batch.shingles]), return_counts=True)
-            yield pd.DataFrame({"shingle": values[n >= least], "n": n[n >= least]})
+    Each task counts into an array of fixed size and hands on what is not zero, part by part; the parts
+    are added up as a stream.
+    """
 
-    counts = sets.select("shingles").mapInPandas(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    return counts.orderBy(F.desc("n"), "shingle").limit(most).toPandas()  # at most 200,000 rows
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(counters, dtype=np.uint32)
+        for batch in batches:
+            every = np.concatenate([np.zeros(0, dtype=np.int64), *batch.shingles])
+            total += np.bincount(every & (counters - 1), minlength=counters).astype(np.uint32)
+        for at in range(0, counters, chunk):
+            found = np.flatnonzero(total[at : at + chunk])
+            if len(found):
+                yield pd.DataFrame({"part": [at // chunk], "places": [found.astype(np.uint16).tobytes()], "counts": [total[at : at + chunk][found].tobytes()]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, total = None, np.zeros(chunk, dtype=np.uint32)
+        for batch in batches:
+            for p, places, data in zip(batch.part, batch.places, batch.counts, strict=True):
+                if part is not None and p != part:
+                    yield pd.DataFrame({"part": [part], "counts": [total.tobytes()]})
+                    total = np.zeros(chunk, dtype=np.uint32)
+                part = p
+                total[np.frombuffer(places, dtype=np.uint16)] += np.frombuffer(data, dtype=np.uint32)
+        if part is not None:
+            yield pd.DataFrame({"part": [part], "counts": [total.tobytes()]})
+
+    out = np.zeros(counters, dtype=np.uint32)
+    with discarded(sets.sparkSession):
+        parts = stash(sets.select("shingles").mapInPandas(count, "part int, places binary, counts binary"), "counts")
+        sums = stash(parts.repartition("part").sortWithinPartitions("part").mapInPandas(add, "part int, counts binary"), "counts")
+        for part, data in sums.collect():  # four bytes a counter
+            out[part * chunk : (part + 1) * chunk] = np.frombuffer(data, dtype=np.uint32)
+    return out
 
 
 def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """sets(node, shingles) -> shingle, node, size, place: the rarest shingles of each text, as many as needed.
+    """sets(node, shingles) -> shingle, node, size, place, n, hot: the rarest shingles of each text, as many as needed.
 
     Two sets of the similarity share at least similarity * size of either, so under one order of all
     shingles the first size - ceil(similarity * size) + 1 of both have a common one. Any order will do;
-    frequent shingles are last, that few texts meet.
+    frequent shingles are last, that few texts meet. n: how many texts hold the shingle, at most; hot: so
+    many that they would fill a good part of a task.
     """
-    common = frequent_shingles(sets).sort_values("shingle")
-    shared = sets.sparkSession.sparkContext.broadcast((common.shingle.to_numpy(dtype=np.int64), common.n.to_numpy(dtype=np.int64)))
+    spark = sets.sparkSession
+    known = shingle_counts(sets)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot = max(int(known.sum(dtype=np.int64)) / (40 * tasks), 4 * float(known.mean()), 8.0)  # a fifth of all shingles are prefixes
+    shared = spark.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, counts = shared.value
+        counts = shared.value
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                some = batch.iloc[at : at + 1000]
+            for at in range(0, len(batch), 500):
+                some = batch.iloc[at : at + 500]
                 taken = [np.zeros(0, dtype=np.int64)]
                 for s in some.shingles:
-                    if len(known):
-                        where = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                        s = s[np.argsort(np.where(known[where] == s, counts[where], 0), kind="stable")]
+                    s = s[np.argsort(counts[s & (len(counts) - 1)], kind="stable")]
                     taken.append(s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1])
                 lengths, sizes = [len(t) for t in taken[1:]], [len(s) for s in some.shingles]
                 places = np.concatenate([np.zeros(0, dtype=np.int64), *[np.arange(n) for n in lengths]])
-                yield pd.DataFrame({"shingle": np.concatenate(taken), "node": np.repeat(some.node.to_numpy(), lengths), "size": np.repeat(sizes, lengths), "place": places})
+                every = np.concatenate(taken)
+                n = counts[every & (len(counts) - 1)]
+                yield pd.DataFrame({"shingle": every, "node": np.repeat(some.node.to_numpy(), lengths), "size": np.repeat(sizes, lengths), "place": places, "n": n.astype(np.int64), "hot": n > hot})
 
-    return sets.mapInPandas(run, "shingle long, node long, size int, place int")
+    return sets.mapInPandas(run, "shingle long, node long, size int, place int, n long, hot boolean")
 
 
 def similar_texts(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u, v) whose shingle sets have a Jaccard similarity of at least `similarity`; sets(node, shingles)."""
-    nodes = stash(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "nodes")
-    named = stash(sets.join(nodes, "node", "left_semi").select("node", "shingles"), "shingles")
-    both = pairs.join(named.toDF("u", "a"), "u").join(named.toDF("v", "b"), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v")
+    """Stored pairs (u, v) whose shingle sets have a Jaccard similarity of at least `similarity`; sets(node, shingles)."""
+    with discarded(pairs.sparkSession):
+        nodes = stash(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "nodes")
+        named = stash(sets.join(nodes, "node", "left_semi").select("node", "shingles").dropDuplicates(["node"]), "shingles")
+        both = pairs.join(named.toDF("u", "a"), "u").join(named.toDF("v", "b"), "v")
+        shared = F.size(F.array_intersect("a", "b"))
+        return stash(both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v"), "links", outer=True)
+
 
+NO_BOUND = 1 << 62
 
-def similar_pairs(sets: DataFrame, similarity: float) -> DataFrame:
-    """sets(node, shingles), one row a node -> pairs (u, v), all at the similarity or above, that connect all nodes which such pairs connect.
 
-    First each text meets the least and the greatest node of the prefix shingles that it shares most
-    often, which joins most of a group of copies by few pairs. Then every pair of nodes that are still
-    apart and share a prefix shingle is compared, so none is lost.
+def occupancy(shingles: np.ndarray, most: int = 1024) -> bytes:
+    """How many shingles fall into each of 64 to `most` cells, as many as shingles or more if that may be; a byte each.
+
+    Two sets share no more than the sum, over all cells, of the lesser of their counts. A count of 255 or
+    more has no byte; then all cells say 255, and there is no bound.
     """
-    every, posting = Window.partitionBy("shingle"), F.struct("node", "size", "place")
-    postings = prefixes(sets, similarity).select("*", F.min(posting).over(every).alias("low"), F.max(posting).over(every).alias("high"))
-    postings = stash(postings.where("low.node < high.node"), "postings")
+    cells = min(max(64, 1 << max(len(shingles) - 1, 1).bit_length()), most)
+    counts = np.bincount(shingles & (cells - 1), minlength=cells)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 255 else b"\xff" * cells
+
+
+def _halved(x: np.ndarray) -> np.ndarray:
+    """Counts in half as many cells."""
+    n = x.shape[1] // 2
+    return np.minimum(x[:, :n].astype(np.uint16) + x[:, n:], 255).astype(np.uint8)
+
+
+def may_share(a: bytes, b: bytes) -> int:
+    """At most how many shingles two texts of these cells have in common."""
+    x, y = (np.frombuffer(c, dtype=np.uint8)[None, :] for c in (a, b))
+    while x.shape[1] != y.shape[1]:
+        x, y = (_halved(x), y) if x.shape[1] > y.shape[1] else (x, _halved(y))
+    return NO_BOUND if 255 in (a[0], b[0]) else int(np.minimum(x, y).sum(dtype=np.int64))
+
+
+def text_cells(sets: DataFrame, postings: DataFrame) -> DataFrame:
+    """Stored node, size, cells of the texts that have a posting; see occupancy()."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"node": batch.node, "size": [len(s) for s in batch.shingles], "cells": [occupancy(s) for s in batch.shingles]})
+
+    wanted = sets.join(postings.select("node").distinct(), "node", "left_semi")
+    return stash(wanted.mapInPandas(run, "node long, size int, cells binary").dropDuplicates(["node"]), "cells")
 
-    def near(a: str, b: str) -> Column:
-        """Whether the shingles from this common one on are enough; at the first common shingle they are all that is shared."""
-        reach = F.least(F.col(f"{a}size") - F.col(f"{a}place"), F.col(f"{b}size") - F.col(f"{b}place"))
-        return reach >= F.ceil(F.lit(similarity / (1 + similarity)) * (F.col(f"{a}size") + F.col(f"{b}size")) - 1e-9)
 
-    met = [postings.where((F.col(f"{c}.node") != F.col("node")) & near("", f"{c}.")).groupBy("node", F.col(f"{c}.node").alias("end")).count() for c in ("low", "high")]
-    ends = [m.groupBy("node").agg(F.max_by("end", F.struct("count", "end")).alias("end")) for m in met]
-    first = stash(ends[0].unionByName(ends[1]).select(F.greatest("node", "end").alias("u"), F.least("node", "end").alias("v")).distinct(), "pairs")
-    passed = stash(similar_texts(first, sets, similarity), "links")
+def likely(pairs: DataFrame, cells: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) whose sizes and cells allow the similarity."""
+
+    @F.pandas_udf("boolean")
+    def allowed(n: pd.Series, a: pd.Series, m: pd.Series, b: pd.Series) -> pd.Series:
+        need = np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
+        return pd.Series([may_share(x, y) >= k for x, y, k in zip(a, b, need, strict=True)], dtype=bool)
+
+    both = pairs.join(cells.toDF("u", "n", "a"), "u").join(cells.toDF("v", "m", "b"), "v")
+    near = F.least("n", "m") >= F.lit(similarity - 1e-9) * F.greatest("n", "m")
+    return both.where(near).where(allowed("n", "a", "m", "b")).select("u", "v")
+
+
+def likely_pairs(size: np.ndarray, place: np.ndarray, root: np.ndarray, cells: list[bytes], similarity: float, tile: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of the pairs of different roots that may have the similarity, by their sizes, what stands behind their common shingle, and their cells.
+
+    tile: only pairs of one row of tile 0 and one of tile 1 count.
+    """
+    order = np.argsort(size, kind="stable")
+    size, place, root = size[order].astype(np.int64), place[order].astype(np.int64), root[order]
+    side = np.zeros(len(size), dtype=np.int8) if tile is None else tile[order]
+    left = size - place
+    width = np.array([len(cells[i]) for i in order])
+    own = {w: np.frombuffer(b"".join(cells[i] for i, v in zip(order, width, strict=True) if v == w), dtype=np.uint8).reshape(-1, w) for w in np.unique(width)}
+    half = {w: _halved(x) for w, x in own.items()}
+    rank = np.zeros(len(size), dtype=np.int64)
+    for w in own:
+        rank[width == w] = np.arange((width == w).sum())
+    open_ = np.array([cells[i][0] == 255 for i in order])
+    us, vs = [], []
+    for i in range(len(size)):
+        stop = np.searchsorted(size, size[i] / similarity + 1e-9, side="right")
+        js = np.arange(i + 1, stop)
+        need = np.ceil(similarity / (1 + similarity) * (size[i] + size[js]) - 1e-9)
+        ok = (root[js] != root[i]) & (np.minimum(left[i], left[js]) >= need)
+        if tile is not None:
+            ok &= side[js] != side[i]
+        js, need, w = js[ok], need[ok], width[i]
+        mine = own[w][rank[i]]
+        for v, table in ((w, own), (2 * w, half)):
+            same = width[js] == v
+            if same.any():
+                bound = np.minimum(table[v][rank[js[same]]], mine).sum(axis=1, dtype=np.int64)
+                hits = js[same][(bound >= need[same]) | open_[i] | open_[js[same]]]
+                us.append(np.full(len(hits), i))
+                vs.append(hits)
+        far = js[(width[js] != w) & (width[js] != 2 * w)]  # of so similar sizes there are none
+        us.append(np.full(len(far), i))
+        vs.append(far)
+    join = lambda x: order[np.concatenate(x)] if x else np.zeros(0, dtype=np.int64)
+    return join(us), join(vs)
+
+
+TILE = 2048  # members of a shingle that one task compares with each other
+
+
+def meeting_pairs(postings: DataFrame, cells: DataFrame, similarity: float, most: int = TILE) -> DataFrame:
+    """postings(shingle, node, size, place, root) -> pairs (u, v) of different roots that meet at a shingle and may have the similarity.
+
+    The members of a shingle are compared inside one task, in which only likely pairs are formed; a shingle
+    of more than `most` members is cut into tiles, and each two tiles are compared by themselves.
+    """
+    tiles = postings.groupBy("shingle").agg(F.ceil(F.count("*") / most).cast("int").alias("tiles")).where("tiles > 1")
+    tiled = postings.join(tiles, "shingle", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    dealt = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    key = F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    rows = dealt.select(key.alias("key"), "node", "size", "place", "root", side.cast("byte").alias("side")).join(cells.select("node", "cells"), "node")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        carried = None
+
+        def pairs(x: pd.DataFrame) -> pd.DataFrame:
+            key, node = x.key.to_numpy(), x.node.to_numpy()
+            cuts = np.append(0, np.append(np.flatnonzero(np.diff(key)) + 1, len(key)))
+            columns, held, side = [x[c].to_numpy() for c in ("size", "place", "root")], x.cells.to_list(), x.side.to_numpy()
+            us, vs = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b - a > 1:
+                    left, right = likely_pairs(*[c[a:b] for c in columns], held[a:b], similarity, side[a:b] if side[a] < 2 else None)
+                    us.append(node[a:b][left])
+                    vs.append(node[a:b][right])
+            u, v = np.concatenate(us), np.concatenate(vs)
+            return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)}).query("u != v").drop_duplicates()
+
+        for batch in batches:
+            x = batch if carried is None else pd.concat([carried, batch])
+            whole = x.key.to_numpy() != x.key.iloc[-1] if len(x) else np.zeros(0, dtype=bool)
+            carried = x[~whole]
+            if whole.any():
+                yield pairs(x[whole])
+        if carried is not None and len(carried):
+            yield pairs(carried)
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(run, "u long, v long").distinct()
+
+
+def similar_pairs(sets: DataFrame, similarity: float, most: int = TILE) -> DataFrame:
+    """sets(node, shingles), a few equal rows of a node at most -> pairs (u, v), all at the similarity or above, that connect all nodes which such pairs connect.
+
+    First each text meets two ends of the prefix shingles that it shares most often: the member that
+    shares most with others, which is where copies of one text come from, and the least node. That joins
+    most of a group of copies by few pairs. Then the nodes that are still apart and share a prefix shingle
+    are compared, so none is lost.
+    """
+    every = Window.partitionBy("shingle", F.when(F.col("hot"), F.col("node")))  # a hot shingle is shared, and its texts need not meet here
+    listed = prefixes(sets, similarity).withColumns({"low": F.min("node").over(every), "high": F.max("node").over(every)})
+    postings = stash(listed.where("hot or low < high").select("shingle", "node", "size", "place", "n").dropDuplicates(["shingle", "node"]), "postings")
+    cells = text_cells(sets, postings)
+    weights = postings.groupBy("node").agg(F.sum("n").alias("weight"))
+    at = F.struct("node", "size", "place")
+    ends = postings.join(weights, "node").groupBy("shingle").agg(F.min(at).alias("low"), F.max(F.struct("weight", "node", "size", "place")).alias("hub"))
+    met = postings.join(ends, "shingle")
+
+    def near(end: str) -> Column:
+        """Whether the shingles from this common one on are enough; at the first common shingle they are all that is shared."""
+        e = F.col(end)
+        reach = F.least(F.col("size") - F.col("place"), e["size"] - e["place"])
+        return reach >= F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("size") + e["size"]) - 1e-9)
+
+    counted = [met.where((F.col(f"{c}.node") != F.col("node")) & near(c)).groupBy("node", F.col(f"{c}.node").alias("end")).count() for c in ("low", "hub")]
+    best = [m.groupBy("node").agg(F.max_by("end", F.struct("count", "end")).alias("end")) for m in counted]
+    first = stash(best[0].unionByName(best[1]).select(F.greatest("node", "end").alias("u"), F.least("node", "end").alias("v")).distinct(), "pairs")
+    passed = similar_texts(stash(likely(first, cells, similarity), "pairs"), sets, similarity)
     apart = postings.join(components(passed), "node", "left").select("shingle", "node", "size", "place", F.coalesce("root", "node").alias("root"))
     groups = apart.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
     apart = stash(apart.join(groups, "shingle", "left_semi"), "apart")
-    a, b = (apart.select("shingle", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "size", "place", "root")]) for x in "ab")
-    both = a.join(b, "shingle").where((F.col("a_node") > F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & near("a_", "b_"))
-    rest = stash(both.select(F.col("a_node").alias("u"), F.col("b_node").alias("v")).distinct().join(first, ["u", "v"], "left_anti"), "pairs")
-    return passed.unionByName(stash(similar_texts(rest, sets, similarity), "links"))
+    rest = stash(meeting_pairs(apart, cells, similarity, most).join(first, ["u", "v"], "left_anti"), "pairs")
+    return passed.unionByName(similar_texts(rest, sets, similarity))
 
 
 def near_duplicate_components(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -406,18 +591,19 @@ def near_duplicate_components(docs: DataFrame, similarity: float = 0.8, shingle_
 
     Exact: pairs come from a prefix filter, which no similar pair escapes. Rows of one text (case of A-Z
     and white space aside) are one class. Null text counts as empty; empty texts are one class. Null ids
-    are linked too; a component of such rows alone has a null component_id.
+    are linked too; a component of such rows alone has a null component_id. Repeated rows say the same.
+    An empty table gives an empty result. Extra columns are not read.
     """
     with_python_path(docs.sparkSession)
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    all_sets = stash(shingle_sets(rows, shingle_words).withColumn("row", F.monotonically_increasing_id()), "sets")
-    classes = stash(all_sets.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"), F.count("*").alias("n")), "classes")
-    repeated = stash(all_sets.join(classes.where("n > 1").select("node", F.col("row").alias("kept")), "node").where("row <> kept").select("row"), "repeated")
-    sets = all_sets.join(repeated, "row", "left_anti").select("node", "shingles")
-    named = classes.select("node", "low").join(components(similar_pairs(sets, similarity)), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    found = named.join(least, "root").select("node", "component_id")
-    return all_sets.select("doc_id", "node").join(found, "node").select("doc_id", "component_id")
+    with discarded(docs.sparkSession):
+        all_sets = stash(shingle_sets(rows, shingle_words), "sets")
+        classes = stash(all_sets.groupBy("node").agg(F.min("doc_id").alias("low")), "classes")
+        sets = all_sets.where("shingles is not null").select("node", "shingles")
+        named = classes.select("node", "low").join(components(similar_pairs(sets, similarity)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        least = named.groupBy("root").agg(F.min("low").alias("component_id"))
+        found = named.join(least, "root").select("node", "component_id")
+        return stash(all_sets.select("doc_id", "node").join(found, "node").select("doc_id", "component_id"), "components", outer=True)
 
 
 def simhash_components(docs: DataFrame, shingle_words: int = 5, tau: int = 3, id_col: str = "doc_id", text_col: str = "text", most: int = 2048) -> DataFrame:
@@ -426,7 +612,8 @@ def simhash_components(docs: DataFrame, shingle_words: int = 5, tau: int = 3, id
     Texts are lower-cased in A-Z only, words are split at ASCII white space, and shingles count as often
     as they stand; a text with fewer words is one shingle, and one without words (null, empty) has
     fingerprint zero and is linked like any other. Rows with null ids are linked too; a component of
-    such rows alone has a null component_id. An empty table gives an empty result.
+    such rows alone has a null component_id. Repeated rows say the same. An empty table gives an empty
+    result. Extra columns are not read.
     """
     prints = stash(fingerprints(docs, shingle_words, id_col, text_col), "fingerprints")
     nameless = F.lit(NO_ID) + F.pmod(F.xxhash64("fp"), F.lit(1 << 40))
