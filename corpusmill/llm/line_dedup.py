@@ -9,10 +9,13 @@ changes the result. Decisions are kept as sparse 64-bit bitmap words per documen
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import ASCII_SPACE, LOWER, UPPER, numbered_columns, pick, restored, stash
+from corpusmill.functions.text import bound
+from corpusmill.llm.common import ASCII_SPACE, LOWER, UPPER, discarded, numbered_columns, pick, restored, stash
 
 MAX_HOT = 4000  # rows of the broadcast list of frequent lines, at most
 TRACKED = 16384  # items of the sketch
@@ -31,10 +34,18 @@ def line_hashes(rows: DataFrame, min_chars: int) -> DataFrame:
 
 
 def frequent(lines: DataFrame) -> DataFrame:
-    """Hashes of lines that may hold more than an eighth of a partition's even share; MAX_HOT at most."""
+    """Hashes of lines that may hold more than an eighth of a partition's even share; MAX_HOT at most.
+
+    Sketches of the tasks are merged per group of tasks first, so no task reads more than about the square
+    root of their number.
+    """
     spark = lines.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    top = lines.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(hex(h), {MAX_HOT}, {TRACKED})").alias("top"))
+    groups = max(1, math.isqrt(lines.rdd.getNumPartitions()))
+    parts = lines.groupBy(F.pmod(F.spark_partition_id(), F.lit(groups)).alias("part"))
+    sketches = parts.agg(F.count("*").alias("n"), F.expr(f"approx_top_k_accumulate(hex(h), {TRACKED})").alias("sketch"))
+    merged = sketches.groupBy(F.lit("all").alias("all")).agg(F.sum("n").alias("n"), F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch"))
+    top = merged.select("n", F.expr(f"approx_top_k_estimate(sketch, {MAX_HOT})").alias("top"))
     items = top.select("n", F.explode("top").alias("x")).where(F.col("x.count") * (8 * min(tasks, 500)) > F.col("n")).where("x.count > 1")
     return items.select(F.unhex("x.item").alias("h"))
 
@@ -62,8 +73,9 @@ def drop_bitmaps(dropped: DataFrame) -> DataFrame:
 
 def document_bitmaps(rows: DataFrame, min_chars: int) -> DataFrame:
     """rows(doc_id, th, text) -> m_id, m_th, dropped of the documents that lose a line."""
-    lines = stash(line_hashes(rows, min_chars), "lines")
-    return drop_bitmaps(dropped_lines(lines)).toDF("m_id", "m_th", "dropped")
+    with discarded(rows.sparkSession):
+        lines = stash(line_hashes(rows, min_chars), "lines")
+        return stash(drop_bitmaps(dropped_lines(lines)).toDF("m_id", "m_th", "dropped"), "bitmaps", outer=True)
 
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
@@ -89,10 +101,12 @@ def dropped_count(dropped: Column) -> Column:
 
 
 def kept_text(text: Column, dropped: Column) -> Column:
-    """The lines that stay, joined by \\n."""
-    word = lambda i: F.coalesce(F.try_element_at(dropped, F.floor(i / 64).cast("int")), F.lit(0).cast("long"))
-    stays = F.filter(F.split(text, "\n"), lambda _, i: F.getbit(word(i), i % 64) == 0)
-    return F.when(dropped.isNull(), text).otherwise(F.array_join(stays, "\n"))
+    """The lines that stay, joined by \\n; the bitmap's words are laid out as an array once, so each line costs one look."""
+    last = F.array_max(F.map_keys(dropped))
+    dense = F.transform(F.sequence(F.lit(0), last), lambda w: F.coalesce(F.try_element_at(dropped, w), F.lit(0).cast("long")))
+    word = lambda words, i: F.coalesce(F.get(words, F.floor(i / 64).cast("int")), F.lit(0).cast("long"))
+    stays = lambda words: F.array_join(F.filter(F.split(text, "\n"), lambda _, i: F.getbit(word(words, i), i % 64) == 0), "\n")
+    return F.when(dropped.isNull(), text).otherwise(bound(dense, stays))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
