@@ -58,6 +58,21 @@ def test_mixture_and_packing_keep_words(stages):
     assert all(n <= 2048 for n in (r["sum(length)"] for r in packed.groupBy("sequence_id").sum("length").collect()))
 
 
+def test_stages_take_odd_rows_and_empty_tables(spark, small_dir):
+    """Nulls in any column, empty, repeated and very long texts, columns whose names clash; then no rows at all."""
+    words = " ".join(f"word{i}" for i in range(30_000))
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "a text without an id, but with words", "en", "a", 36), (4, words, "en", "b", 7), (5, "a short text of some words here", None, None, None)]
+    rows += [(5, "a short text of some words here", None, None, None), (6, "x" * 1_000_000, "de", "b", 1_000_000)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for n in (len(rows), 0):
+        docs = spark.createDataFrame(rows[:n], schema).selectExpr("*", "1 as Seq", "2 as h", "3 as component_id", "'z' as Text")
+        for name, stage in corpus_pipeline.STAGES:
+            columns = docs.columns
+            docs = stage(spark, docs, small_dir)
+            assert name == "packing" or docs.columns == columns
+        assert (docs.count() > 0) == (n > 0)
+
+
 @pytest.mark.parametrize("name", [n for n in SQL if n.startswith("op")])
 def test_query_is_its_sql(spark, small_dir, name):
     db = duckdb.connect()
