@@ -10,6 +10,7 @@ slice of the sum downward, widened by that bound, and their scores are then comp
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,24 +30,34 @@ def quantised(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> D
     return rows.where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False))).select("vec_id", F.transform(x, lambda v: F.floor(v * scale).cast("long")).alias("e"))
 
 
+def _packed(bits: np.ndarray, words: int) -> np.ndarray:
+    return np.packbits(np.pad(bits, (0, words * 64 - len(bits))), bitorder="little").view(np.uint64)
+
+
+@dataclass
 class SlicedIndex:
-    """Bitmaps of a block of rows: attribute values less their minimum, places `low` and up."""
-
-    def __init__(self, values: np.ndarray, low: int):
-        self.values, self.low, self.rows = values, low, len(values)
-        self.base = values.min(axis=0)
-        shifted = values - self.base
-        self.top = shifted.max(axis=0)
-        words = -(-self.rows // 64)
-        self.valid = self._packed(np.ones(self.rows, dtype=bool), words)
-        self.slices = []
-        for d in range(values.shape[1]):
-            places = range(low, int(self.top[d]).bit_length())
-            self.slices.append([(b, self._packed((shifted[:, d] >> b & 1).astype(bool), words)) for b in places])
+    """A block of rows: attribute values, and bitmaps of the values less their minimum, places `low` and up."""
+
+    values: np.ndarray  # row, attribute
+    low: int
+    top: np.ndarray  # the highest value less the lowest, of each attribute
+    bitmaps: np.ndarray  # bitmap, word: attribute by attribute, from place `low` up
 
     @staticmethod
-    def _packed(bits: np.ndarray, words: int) -> np.ndarray:
-        return np.packbits(np.pad(bits, (0, words * 64 - len(bits))), bitorder="little").view(np.uint64)
+    def of(values: np.ndarray, low: int) -> SlicedIndex:
+        shifted = values - values.min(axis=0)
+        top, words = shifted.max(axis=0), -(-len(values) // 64)
+        maps = [_packed((shifted[:, d] >> b & 1).astype(bool), words) for d in range(values.shape[1]) for b in range(low, int(top[d]).bit_length())]
+        return SlicedIndex(values, low, top, np.array(maps, dtype=np.uint64).reshape(len(maps), words))
+
+    def __post_init__(self):
+        self.rows = len(self.values)
+        self.valid = _packed(np.ones(self.rows, dtype=bool), -(-self.rows // 64))
+        self.slices, at = [], 0
+        for t in self.top.tolist():
+            places = range(self.low, t.bit_length())
+            self.slices.append(list(zip(places, self.bitmaps[at : at + len(places)], strict=True)))
+            at += len(places)
 
     def add(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
         """Slices, least significant first, of the coarse sum, and the constant to add to it.
@@ -126,38 +137,64 @@ def block_best(index: SlicedIndex, ids: np.ndarray, query_id: int, query: np.nda
     own = ids == query_id
     rows = index.boundary(query, k + int(own.sum()))
     rows = rows[~own[rows]]
-    scores = index.values[rows] @ query
+    scores = index.values[rows].astype(np.int64) @ query
     order = np.lexsort((ids[rows], -scores))[:k]
     return ids[rows][order], scores[order]
 
 
-def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Stored blocks of up to `size` rows: name, ids binary, data binary (int64, row-major), width; shorter vectors are padded with zeros."""
+def _narrowed(values: np.ndarray) -> tuple[str, bytes]:
+    """The values in the narrowest integers that hold them."""
+    kind = np.result_type(np.min_scalar_type(int(values.min(initial=0))), np.min_scalar_type(int(values.max(initial=0))), np.int16)
+    return kind.str, values.astype(kind).tobytes()
+
+
+def _blocks(rows: DataFrame, block_rows: int, block_bytes: int, name: str, low: int | None = None) -> DataFrame:
+    """Stored blocks: name, ids, kind and data (row-major), width; with `low` also top and bitmaps, the block's slices.
+
+    A block holds block_rows rows at most, and no more than block_bytes at eight bytes a component (one row at least).
+    Shorter vectors are padded with zeros.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        held: list[tuple[int, np.ndarray]] = []
+        width = 0
 
-        def packed(x: pd.DataFrame) -> pd.DataFrame:
-            width = max(map(len, x.e), default=0)
-            data = np.zeros((len(x), width), dtype=np.int64)
-            for i, e in enumerate(x.e):
+        def packed() -> pd.DataFrame:
+            data = np.zeros((len(held), width), dtype=np.int64)
+            for i, (_, e) in enumerate(held):
                 data[i, : len(e)] = e
-            return pd.DataFrame({"ids": [x.vec_id.to_numpy(dtype=np.int64).tobytes()], "data": [data.tobytes()], "width": [width]})
+            kind, values = _narrowed(data)
+            out = {"ids": [np.array([i for i, _ in held], dtype=np.int64).tobytes()], "kind": [kind], "data": [values], "width": [width]}
+            if low is not None:
+                index = SlicedIndex.of(data, low)
+                out |= {"top": [index.top.astype(np.int64).tobytes()], "bitmaps": [index.bitmaps.tobytes()]}
+            return pd.DataFrame(out)
 
         for batch in batches:
-            held.append(batch)
-            if sum(map(len, held)) >= size:
-                every = pd.concat(held)
-                whole = len(every) // size * size
-                for a in range(0, whole, size):
-                    yield packed(every.iloc[a : a + size])
-                held = [every.iloc[whole:]]
-        every = pd.concat(held) if held else None
-        if every is not None and len(every):
-            yield packed(every)
+            for vec_id, e in zip(batch.vec_id, batch.e, strict=True):
+                wider = max(width, len(e))
+                if held and (len(held) == block_rows or (len(held) + 1) * wider * 8 > block_bytes):
+                    yield packed()
+                    held, wider = [], len(e)
+                held.append((vec_id, np.asarray(e, dtype=np.int64)))
+                width = wider
+        if held:
+            yield packed()
+
+    schema = "ids binary, kind string, data binary, width int" + ", top binary, bitmaps binary" * (low is not None)
+    return stash(rows.mapInPandas(run, schema).withColumn(name, F.monotonically_increasing_id()), name)
+
+
+def _matrix(kind: str, data: bytes, rows: int, width: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=kind).reshape(rows, width)
+
+
+def _wide(x: np.ndarray, width: int) -> np.ndarray:
+    return x if x.shape[1] == width else np.pad(x, ((0, 0), (0, width - x.shape[1])))
+
 
-    blocks = rows.mapInPandas(run, "ids binary, data binary, width int")
-    return stash(blocks.withColumn(name, F.monotonically_increasing_id()), name)
+BLOCK_BYTES = 32 << 20
+BROADCAST_BYTES = 32 << 20
 
 
 def top_k(
@@ -167,7 +204,7 @@ def top_k(
     scale: int = 1024,
     low: int = 3,
     block_rows: int = 65536,
-    query_rows: int = 128,
+    query_rows: int = 4096,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
@@ -176,32 +213,33 @@ def top_k(
     The score is the integer inner product of the quantised vectors; ties go to smaller ids, and a query
     gets all rows if they are fewer than k. Null vectors, null ids and vectors with null or non-finite
     components take no part; a shorter vector counts as padded with zeros. Rows repeated with one id are
-    candidates each; such a query is asked once. Queries and rows meet in blocks: each pair of blocks is
-    one task's work, and only k rows of each leave it. Extra columns are not read.
+    candidates each; such a query is asked once. The index is stored, slices and all. Queries and rows
+    meet in blocks, query blocks broadcast where they are small enough: each pair of blocks is one task's
+    work, and only k rows of each leave it. An empty table, or one without queries, gives an empty
+    result. Extra columns are not read.
     """
     spark = vectors.sparkSession
     with_python_path(spark)
     rows = quantised(vectors, scale, id_col, vector_col)
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"])
-    row_blocks = _blocks(rows, block_rows, "row_block")
-    query_blocks = _blocks(queries, query_rows, "query_block").withColumnsRenamed({"ids": "q_ids", "data": "q_data", "width": "q_width"})
-    names = [r["query_block"] for r in query_blocks.select("query_block").collect()]  # one number per block of queries
-    pairs = row_blocks.withColumn("query_block", F.explode(F.lit(names).cast("array<long>"))).join(query_blocks, "query_block")
+    index = _blocks(rows, block_rows, BLOCK_BYTES, "row_block", low)
+    asked = _blocks(queries, query_rows, BLOCK_BYTES // 4, "query_block").withColumnsRenamed({"ids": "q_ids", "kind": "q_kind", "data": "q_data", "width": "q_width"})
+    sizes = asked.select("query_block", (F.octet_length("q_data") + F.octet_length("q_ids")).alias("bytes")).collect()  # two numbers per block of queries
+    names = [r["query_block"] for r in sizes]
+    side = F.broadcast(asked) if sum(r["bytes"] for r in sizes) <= BROADCAST_BYTES else asked
+    pairs = index.withColumn("query_block", F.explode(F.lit(names).cast("array<long>"))).join(side, "query_block")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
                 ids, q_ids = np.frombuffer(r.ids, dtype=np.int64), np.frombuffer(r.q_ids, dtype=np.int64)
-                width = max(r.width, r.q_width)
-                data = np.zeros((len(ids), width), dtype=np.int64)
-                asked = np.zeros((len(q_ids), width), dtype=np.int64)
-                data[:, : r.width] = np.frombuffer(r.data, dtype=np.int64).reshape(len(ids), r.width)
-                asked[:, : r.q_width] = np.frombuffer(r.q_data, dtype=np.int64).reshape(len(q_ids), r.q_width)
-                index = SlicedIndex(data, low)
-                for query_id, query in zip(q_ids.tolist(), asked, strict=True):
-                    found, scores = block_best(index, ids, query_id, query, k)
-                    yield pd.DataFrame({"query_id": query_id, "vec_id": found, "score": scores})
-
-    best = pairs.select("ids", "data", "width", "q_ids", "q_data", "q_width").mapInPandas(run, "query_id long, vec_id long, score long")
+                found = SlicedIndex(_matrix(r.kind, r.data, len(ids), r.width), low, np.frombuffer(r.top, dtype=np.int64), np.frombuffer(r.bitmaps, dtype=np.uint64).reshape(-1, -(-len(ids) // 64)))
+                wanted = _wide(_matrix(r.q_kind, r.q_data, len(q_ids), r.q_width), r.width)[:, : r.width].astype(np.int64)
+                best = [(query_id, *block_best(found, ids, query_id, query, k)) for query_id, query in zip(q_ids.tolist(), wanted, strict=True)]
+                lengths = [len(b[1]) for b in best]
+                yield pd.DataFrame({"query_id": np.repeat(q_ids, lengths), "vec_id": np.concatenate([b[1] for b in best]), "score": np.concatenate([b[2] for b in best])})
+
+    names = ["ids", "kind", "data", "width", "top", "bitmaps", "q_ids", "q_kind", "q_data", "q_width"]
+    best = pairs.select(names).mapInPandas(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

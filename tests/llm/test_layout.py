@@ -16,12 +16,11 @@ from corpusmill.llm import topk as K
 from corpusmill.llm import warc as W
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-ODD = ["", " ", "a  b", "a   b", "a\n b", "a \nb", "a\n \nb", " x", "x  ", "<|endoftext|> hi", "it's  don't 're", " \n a", "日本 語　x", "a\t\tb c", "    x", "1234 5,6%!?"]
+ODD = ["", " ", "a  b", "a   b", "a\n b", "a \nb", "a\n \nb", " x", "x  ", "<|endoftext|> hi", "hi<|endoftext|>", "a <|endoftext|><|endoftext|> b", "x <|endoftext|>  y", "<|endoftext|", "it's  don't 're", " \n a", "日本 語　x", "a\t\tb c", "    x", "1234 5,6%!?"]
 
 
 def encoded(texts):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -172,3 +171,76 @@ def test_warc_round_trip(spark, tmp_path):
     assert sum(r.response.type == "revisit" for r in big) == 2
     assert W.archive_pages(pages.limit(0), str(tmp_path / "e")).count() == 0
     assert json.dumps(sorted(x for x in seen if x)) == '["1", "2", "3", "4", "5", "6", "7", "8"]'
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_shard_counts_are_whole_and_any_task_draws_alike(monkeypatch, seed):
+    monkeypatch.setattr(M, "SPAN_SLOTS", 1 << 9)
+    counts = np.random.default_rng(seed).integers(0, 3000, 7).tolist()
+    slots, shards = 64, -(-sum(counts) // 64)
+    every = dict(M.shard_counts(counts, slots, seed, 0, shards))
+    assert sorted(every) == list(range(shards)) and sum(every.values()).tolist() == counts
+    assert all(v.sum() == min(slots, sum(counts) - s * slots) and (v >= 0).all() for s, v in every.items())
+    part = dict(M.shard_counts(counts, slots, seed, 3, 9))
+    assert sorted(part) == list(range(3, 9)) and all((part[s] == every[s]).all() for s in part)
+
+
+def test_mixture_is_that_of_blocks_taken_by_hand(make_docs):
+    """Streams, blocks, draws and permutations again in plain Python, on the same order of documents."""
+    r = np.random.default_rng(4)
+    rows = [(i, " ".join(["w"] * int(r.integers(0, 200))), "abc"[i % 3]) for i in range(150)]
+    docs = make_docs(rows).coalesce(1)
+    key = docs.toDF("doc_id", "t", *"wxyz").select("doc_id", F.xxhash64("doc_id", F.xxhash64("t"), F.lit(7)).alias("o"))
+    order = {x.doc_id: ((x.o & (1 << 64) - 1) >> 52, x.o) for x in key.collect()}
+    taken = Counter()
+    sources = ["a", "b", "c"]
+    streams = [[d for d, t, _ in sorted((x for x in rows if x[2] == s), key=lambda x: order[x[0]]) for _ in t.split()] for s in sources]
+    goals = M.targets([len(x) for x in streams])
+    counts = [round(g / 64) for g in goals]
+    shards = list(M.shard_counts(counts, 1024, 7, 0, -(-sum(counts) // 1024)))
+    for i, stream in enumerate(streams):
+        blocks = [stream[a : a + 64] for a in range(0, len(stream), 64)]
+        n = sum(int(mine[i]) for _, mine in shards)
+        for g in range(n):
+            k = np.array([(i + 1) * 0xD6E8FEB86659FD93 % 2**64 ^ (g // len(blocks) + 7) * 0xA0761D6478BD642F % 2**64], dtype=np.uint64)
+            taken.update(blocks[int(M.permute(np.array([g % len(blocks)]), np.array([len(blocks)]), k)[0])])
+    got = {x.doc_id: x.taken for x in M.words_taken(M.mix(docs)).collect()}
+    assert got == {d: taken[d] for d, _, _ in rows}
+
+
+def test_text_of_words_keeps_what_stands_between(spark):
+    text = "  a  b\tc\n d e\r\n f g  "
+    runs = [[(0, 2)], [(2, 2), (0, 2)], [(0, 1), (3, 2)], [(0, 4), (4, 3)], [(6, 1)]]
+    df = spark.createDataFrame([(text, [{"word": a, "words": b} for a, b in r]) for r in runs], "t string, runs array<struct<word:long,words:long>>")
+    got = [x.o for x in df.select(M.text_of_words(F.col("t"), F.col("runs")).alias("o")).collect()]
+    assert got == ["a  b", "a  b\tc\n d", "a\nd e", text, "g"]
+
+
+def test_warc_of_hot_payloads_and_large_pages(spark, tmp_path):
+    """A third of all pages have one payload, and archives hold less than the largest page."""
+    rows = [(i, f"http://h/{i}", "<p>same</p>" * 20 if i % 3 == 0 else f"<p>{i // 2}</p>" * (1 + i % 50)) for i in range(900)] + [(1000, "u", "x" * 2_000_000), (1001, "u", "x" * 2_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    W.write_warc(pages, str(tmp_path / "w"), archive_bytes=20_000)
+    got = W.resolve_revisits(W.assemble(W.read_warc(spark, str(tmp_path / "w"), payloads=False))).collect()
+    groups = defaultdict(list)
+    for i, _, h in rows:
+        groups[h].append(i)
+    want = {(str(i), "response" if i == max(groups[h]) else "revisit", None if i == max(groups[h]) else str(max(groups[h])), len(h)) for i, _, h in rows}
+    assert {(r.metadata.fields["page-id"], r.response.type, r.original and r.original.page_id, (r.original or r.response).payload_bytes) for r in got} == want
+    assert len(list((tmp_path / "w").glob("part-*"))) > 10
+
+
+def test_top_k_of_odd_widths_and_blocks_by_bytes(spark, monkeypatch):
+    """Empty vectors, blocks of a few rows, query blocks too large to broadcast, and scores beyond 32 bits."""
+    monkeypatch.setattr(K, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(K, "BROADCAST_BYTES", 0)
+    r = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in r.normal(0, 5000, int(r.integers(0, 12)))]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: np.pad(np.floor(np.array(e) * 1024), (0, 12 - len(e))).astype(np.int64) for i, e in rows}
+    want = set()
+    for q in range(0, 300, 100):
+        best = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q)[:10]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    assert {tuple(x) for x in K.top_k(df).collect()} == want
+    assert K.top_k(df.where("vec_id % 100 > 0")).count() == 0
