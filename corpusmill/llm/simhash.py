@@ -406,11 +406,15 @@ def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     return sets.mapInPandas(run, "shingle long, node long, size int, place int, n long, hot boolean")
 
 
+MAX_BROADCAST = 1_000_000  # nodes of eight bytes
+
+
 def similar_texts(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Stored pairs (u, v) whose shingle sets have a Jaccard similarity of at least `similarity`; sets(node, shingles)."""
     with discarded(pairs.sparkSession):
         nodes = stash(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "nodes")
-        named = stash(sets.join(nodes, "node", "left_semi").select("node", "shingles").dropDuplicates(["node"]), "shingles")
+        few = nodes.count() <= MAX_BROADCAST  # then the sets stay where they are
+        named = stash(sets.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").select("node", "shingles").dropDuplicates(["node"]), "shingles")
         both = pairs.join(named.toDF("u", "a"), "u").join(named.toDF("v", "b"), "v")
         shared = F.size(F.array_intersect("a", "b"))
         return stash(both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v"), "links", outer=True)
@@ -451,8 +455,8 @@ def text_cells(sets: DataFrame, postings: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"node": batch.node, "size": [len(s) for s in batch.shingles], "cells": [occupancy(s) for s in batch.shingles]})
 
-    wanted = sets.join(postings.select("node").distinct(), "node", "left_semi")
-    return stash(wanted.mapInPandas(run, "node long, size int, cells binary").dropDuplicates(["node"]), "cells")
+    every = sets.mapInPandas(run, "node long, size int, cells binary")
+    return stash(every.join(postings.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "cells")
 
 
 def likely(pairs: DataFrame, cells: DataFrame, similarity: float) -> DataFrame:
