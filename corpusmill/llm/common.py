@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,19 +76,22 @@ BATCH_BYTES = 4 << 20
 
 @contextmanager
 def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None]:
-    """Arrow batches of about `most` bytes for what is planned inside, so whole texts of any length pass in bounded memory."""
-    names = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxBytesPerOutputBatch")
-    before = {n: spark.conf.get(n, None) for n in names}
-    for n in names:
-        spark.conf.set(n, str(most))
+    """Arrow batches of about `most` bytes into Python for what is planned inside, so whole texts of any length pass in bounded memory.
+
+    What Python gives back is not cut by Spark (its output limit fails on frames of unequal size); the
+    operators bound the frames that they yield.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(most))
     try:
         yield
     finally:
-        for n, v in before.items():
-            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-_OPEN: list[list[str]] = []  # paths stored inside each discarded() that is open
+# Paths stored inside each discarded() that is open, of this thread or task alone.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open_discards", default=())
 
 
 def stash(df: DataFrame, name: str, outer: bool = False, **options: str) -> DataFrame:
@@ -97,7 +101,8 @@ def stash(df: DataFrame, name: str, outer: bool = False, **options: str) -> Data
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    mine = _OPEN[: len(_OPEN) - outer]
+    inside = _OPEN.get()
+    mine = inside[: len(inside) - outer]
     if mine:
         mine[-1].append(path)
     with small_batches(spark):
@@ -108,11 +113,13 @@ def stash(df: DataFrame, name: str, outer: bool = False, **options: str) -> Data
 @contextmanager
 def discarded(spark: SparkSession) -> Iterator[None]:
     """Tables stored inside are removed at the end; what is still wanted is stored with `outer` before that."""
-    _OPEN.append([])
+    paths: list[str] = []
+    mark = _OPEN.set((*_OPEN.get(), paths))
     try:
         yield
     finally:
-        for path in _OPEN.pop():
+        _OPEN.reset(mark)
+        for path in paths:
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 

@@ -128,7 +128,7 @@ def tokenize_pieces(
 
     A document is the ids of its text, then END_ID; null text counts as empty and gives END_ID alone.
     Documents of more than `capacity` ids are cut into pieces of that length, the first maybe shorter.
-    A task holds one batch of texts and up to flush_bytes of ids, or those of one document.
+    A task holds one batch of texts, the ids of one document, and up to flush_bytes of pieces.
     """
     with_python_path(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long" + ", ids array<int>" * ids + ", ids_crc32 long" * digest
@@ -155,10 +155,10 @@ def tokenize_pieces(
                 for piece, (a, b) in enumerate(zip(starts, [*starts[1:], n], strict=True)):
                     for to, value in zip(held, (doc_id, piece, a, b - a, data[4 * a : 4 * b]), strict=True):
                         to.append(value)
-                size += len(data)
-                if size >= flush_bytes:
-                    yield table(*held)
-                    held, size = ([], [], [], [], []), 0
+                    size += 4 * (b - a)
+                    if size >= flush_bytes:
+                        yield table(*held)
+                        held, size = ([], [], [], [], []), 0
             yield table(*held)
 
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -4,9 +4,10 @@ If two fingerprints differ in at most tau bits and their bits are split into m p
 t_1..t_m that sum to tau - m + 1, some part differs in at most its threshold. Correlated bits share a
 part, and a dynamic programme gives each part its threshold (-1: skipped) from estimated candidate
 counts. Documents with one fingerprint are one class from the start; classes meet in buckets of one
-part's value and are verified there. A bucket yields a minimum spanning forest of its links, never all pairs;
-one with too many members is split by the values of its remaining parts, thresholds chosen anew, which
-loses no link. Components come from alternating large-star and small-star joins.
+part's value and are verified there. A bucket yields a minimum spanning forest of its links, never all pairs.
+One with too many members is split by the values of its remaining parts, thresholds chosen anew, or cut
+into tiles that are compared two by two in tasks of their own, whichever copies a member less often;
+neither loses a link. Components come from alternating large-star and small-star joins.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from corpusmill.llm.common import cut, discarded, pick, stash, with_python_path
 BITS = 64
 NO_ID = (1 << 63) - (1 << 41)  # nodes from here on stand for classes whose ids are all null
 SIGNATURE_COST, CANDIDATE_COST = 1.0, 0.2
+NO_BOUND = 1 << 62
+WHOLE = 2  # the side of rows that are compared with all others of their key
 
 
 def fingerprint(text: str, shingle_words: int = 3, seed: int = 42) -> int:
@@ -134,7 +137,8 @@ def _mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-MAX_BALL = 300  # flipped values per row and part
+MAX_BALL = 300  # flipped values per row and part of the plan; the last fine part has its whole ball (697 values for 3 bits of 16)
+FRAME_ROWS = 100_000  # of a yielded frame
 
 
 def fine_parts(tau: int) -> list[list[int]]:
@@ -172,7 +176,8 @@ def signatures(rows: DataFrame, parts: list[tuple[list[int], int]], tau: int) ->
     """
     places = [bits for bits, _ in parts] + fine_parts(tau)
     masks = [np.uint64(sum(1 << b for b in bits)) for bits in places]
-    flips = {(i, t): _flips(bits, t) for i, bits in enumerate(places) for t in range(tau + 1) if ball_size(len(bits), t) <= MAX_BALL or i < len(parts) and t <= parts[i][1]}
+    fine = lambda i: i >= len(parts)
+    flips = {(i, t): _flips(bits, t) for i, bits in enumerate(places) for t in range(tau + 1) if fine(i) or ball_size(len(bits), t) <= MAX_BALL or t <= parts[i][1]}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -181,8 +186,9 @@ def signatures(rows: DataFrame, parts: list[tuple[list[int], int]], tau: int) ->
                     if t < 0:
                         continue
                     ball = flips[i, t]
-                    for at in range(0, len(rows), max(1, 200_000 // len(ball))):
-                        some = rows.iloc[at : at + max(1, 200_000 // len(ball))]
+                    step = max(1, FRAME_ROWS // len(ball))
+                    for at in range(0, len(rows), step):
+                        some = rows.iloc[at : at + step]
                         fp, key = some.fp.to_numpy(dtype=np.int64).view(np.uint64), some.key.to_numpy(dtype=np.int64).view(np.uint64)
                         value = (fp & masks[i])[:, None] ^ ball[None, :]
                         hashed = _mix64(value ^ _mix64(key + np.uint64(i + 1))[:, None])
@@ -193,17 +199,29 @@ def signatures(rows: DataFrame, parts: list[tuple[list[int], int]], tau: int) ->
     return rows.mapInPandas(run, BUCKET)
 
 
-def bucket_links(fp: np.ndarray, own: np.ndarray, tau: int, before: list[tuple[np.uint64, int]] = ()) -> tuple[np.ndarray, np.ndarray]:
+def split_copies(parts: list[tuple[list[int], int]], used: int, tau: int, steps: int = 2) -> int:
+    """How many rows a member of a bucket gives when the bucket is split `steps` times more; NO_BOUND if no part is left."""
+    places = [bits for bits, _ in parts] + fine_parts(tau)
+    if used >> len(parts) == (1 << tau + 1) - 1:
+        return NO_BOUND
+    shares = {i: t for i, t in _thresholds(parts, used, tau).items() if t >= 0}
+    after = {i: min(split_copies(parts, used | 1 << i, tau, steps - 1), MAX_BALL) if steps > 1 else 1 for i in shares}
+    return sum(ball_size(len(places[i]), t) * after[i] for i, t in shares.items())
+
+
+def bucket_links(fp: np.ndarray, own: np.ndarray, tau: int, before: list[tuple[np.uint64, int]] = (), side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places (a, b) of the edges of a minimum spanning forest, by distance, of the links between own members and all members.
 
     before: (mask, threshold) of the parts in front of this bucket's: a pair that meets in one of them is
     left to it, and one between an own member and another is left to the smaller fingerprint's bucket. So
     each pair counts in one place, and the forests of all buckets together hold one of the whole graph.
+    side: only pairs of one member of tile 0 and one of tile 1 count.
     """
     rows, place = [], np.arange(len(fp))
     for a in np.flatnonzero(own):
         distance = np.bitwise_count(fp ^ fp[a])
-        hits = np.flatnonzero((distance <= tau) & np.where(own, place > a, fp > fp[a]))
+        close = (distance <= tau) & np.where(own, place > a, fp > fp[a])
+        hits = np.flatnonzero(close if side is None else close & (side != side[a]))
         for mask, t in before if len(hits) else ():
             hits = hits[np.bitwise_count((fp[hits] ^ fp[a]) & mask) > t]
         if len(hits):
@@ -222,7 +240,7 @@ def bucket_links(fp: np.ndarray, own: np.ndarray, tau: int, before: list[tuple[n
 
 
 def verify_buckets(rows: DataFrame, parts: list[tuple[list[int], int]], tau: int) -> DataFrame:
-    """Edges (u, v) of nodes within each key; rows are dealt and sorted by key, so a bucket streams past once."""
+    """Edges (u, v) of nodes within each key; rows are dealt and sorted by key, so a bucket, or a pair of its tiles, streams past once."""
 
     plan = [(np.uint64(sum(1 << b for b in bits)), t) for bits, t in parts]
     in_front = {1 << i: [p for p in plan[:i] if p[1] >= 0] for i in range(len(plan))}  # of buckets that were not split
@@ -235,10 +253,10 @@ def verify_buckets(rows: DataFrame, parts: list[tuple[list[int], int]], tau: int
             cuts = np.flatnonzero(np.diff(key)) + 1
             starts, stops = np.append(0, cuts), np.append(cuts, len(key))
             fp, node, own = x.fp.to_numpy(dtype=np.int64).view(np.uint64), x.node.to_numpy(), x.own.to_numpy(dtype=bool)
-            used = x.used.to_numpy()
+            used, side = x.used.to_numpy(), x.side.to_numpy()
             us, vs = [], []
             for a, b in zip(starts[stops - starts > 1], stops[stops - starts > 1], strict=True):
-                left, right = bucket_links(fp[a:b], own[a:b], tau, in_front.get(int(used[a]), []))
+                left, right = bucket_links(fp[a:b], own[a:b], tau, in_front.get(int(used[a]), []), side[a:b] if side[a] < WHOLE else None)
                 us.append(node[a:b][left])
                 vs.append(node[a:b][right])
             u, v = (np.concatenate(z) if z else np.zeros(0, dtype=np.int64) for z in (us, vs))
@@ -253,31 +271,48 @@ def verify_buckets(rows: DataFrame, parts: list[tuple[list[int], int]], tau: int
         if carried is not None and len(carried):
             yield edges(carried)
 
-    dealt = rows.select("key", "fp", "node", "own", "used").repartition("key").sortWithinPartitions("key")
+    dealt = rows.select("key", "fp", "node", "own", "used", "side").repartition("key").sortWithinPartitions("key")
     return dealt.mapInPandas(run, "u long, v long")
 
 
+def in_tiles(rows: DataFrame, key: str, member: str) -> DataFrame:
+    """rows with `tiles`, the number of tiles of their key -> a row for each two tiles that it is in: `key` of the two, and `side`.
+
+    Each two members of a key meet once: on the sides 0 and 1, or in a WHOLE tile.
+    """
+    dealt = rows.withColumn("mine", F.pmod(F.xxhash64(member), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles").cast("int") - 1)))
+    two = F.xxhash64(key, F.least("mine", "other"), F.greatest("mine", "other"))
+    side = F.when(F.col("mine") == F.col("other"), WHOLE).when(F.col("mine") < F.col("other"), 0).otherwise(1)
+    return dealt.withColumn(key, two).withColumn("side", side.cast("byte")).drop("mine", "other", "tiles")
+
+
 def similar_classes(classes: DataFrame, tau: int, most: int = 2048) -> DataFrame:
     """classes(fp, node) -> edges (u, v) at tau or fewer bits that connect all nodes which such links connect.
 
-    most: members of a bucket that one task compares; larger buckets are split first.
+    most: members of a bucket that are compared as they are; larger buckets are split, or cut into tiles of
+    so many members, where that copies them less.
     """
     with_python_path(classes.sparkSession)
     n, moments = bit_moments(classes)
     parts = plan_parts(n, moments, tau)
     rows = classes.select(F.lit(0).cast("long").alias("key"), "fp", "node", F.lit(True).alias("own"), F.lit(0).alias("used"))
-    coarse, fine = (1 << len(parts)) - 1, ((1 << tau + 1) - 1) << len(parts)
-    spent = (F.col("used").bitwiseAND(F.lit(coarse)) == coarse) | (F.col("used").bitwiseAND(F.lit(fine)) == fine)
     found = []
     while True:
         signed = stash(signatures(rows, parts, tau), "signatures")
-        large = stash(signed.groupBy("key").count().where(F.col("count") > most).select("key"), "large-buckets")
-        none = large.isEmpty()
-        small = signed if none else signed.join(large, "key", "left_anti").unionByName(signed.join(large, "key", "left_semi").where(spent))
-        found.append(stash(verify_buckets(small, parts, tau), "links"))
-        if none:
+        sizes = signed.groupBy("key").agg(F.count("*").alias("n"), F.first("used").alias("used")).where(F.col("n") > most)
+        large = stash(sizes.select("key", "used", F.ceil(F.col("n") / most).alias("tiles")), "large-buckets")
+        kinds = [r["used"] for r in large.select("used").distinct().collect()]  # sets of parts, a few hundred at most
+        if not kinds:
+            found.append(stash(verify_buckets(signed.withColumn("side", F.lit(WHOLE)), parts, tau), "links"))
+            break
+        copies = F.create_map(*[F.lit(x) for u in kinds for x in (u, split_copies(parts, u, tau))])
+        tiled, split = (stash(large.where(w).select("key", "tiles"), "large-buckets") for w in (F.col("tiles") <= copies[F.col("used")], F.col("tiles") > copies[F.col("used")]))
+        small = signed.join(large, "key", "left_anti").withColumn("side", F.lit(WHOLE))
+        cut_up = in_tiles(signed.join(tiled, "key"), "key", "fp")
+        found.append(stash(verify_buckets(small.unionByName(cut_up), parts, tau), "links"))
+        rows = signed.join(split, "key", "left_semi")
+        if split.isEmpty():
             break
-        rows = signed.join(large, "key", "left_semi").where(~spent)
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)
@@ -308,7 +343,8 @@ SEEN = 500_000  # texts that a task remembers
 def shingle_sets(rows: DataFrame, shingle_words: int) -> DataFrame:
     """rows(doc_id, text) -> doc_id, node, shingles: the text's hash (case of A-Z and white space aside), and the distinct hashes of the word shingles of the whole text, in order.
 
-    A task leaves the shingles of a text out (null) where it has already given them for the same text.
+    A task leaves the shingles of a text out (null) where it has already given them for the same text. A
+    frame holds FRAME_ROWS shingles, or those of one text.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -316,10 +352,14 @@ def shingle_sets(rows: DataFrame, shingle_words: int) -> DataFrame:
 
         seen: set[int] = set()
         for batch in batches:
-            nodes, sets = [], []
+            ids = batch.doc_id.astype("Int64")
+            nodes, sets, held, done = [], [], 0, 0
             if len(seen) > SEEN:
                 seen.clear()
-            for text in batch.text:
+            for i, text in enumerate(batch.text):
+                if held >= FRAME_ROWS:
+                    yield framed(ids[done:i], nodes, sets)
+                    nodes, sets, held, done = [], [], 0, i
                 words = (text or "").encode("utf-8", "replace").lower().split()
                 joined = b" ".join(words)
                 nodes.append(xxhash.xxh64_intdigest(joined))
@@ -331,7 +371,11 @@ def shingle_sets(rows: DataFrame, shingle_words: int) -> DataFrame:
                 stops = (ends - 1).tolist()[min(shingle_words, max(len(words), 1)) - 1 :] if words else []
                 hashes = [xxhash.xxh64_intdigest(joined[x:y]) for x, y in zip([0, *ends[:-1].tolist()], stops, strict=False)]
                 sets.append(np.unique(np.array(hashes, dtype=np.uint64)).view(np.int64))
-            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "node": np.array(nodes, dtype=np.uint64).view(np.int64), "shingles": sets})
+                held += len(sets[-1])
+            yield framed(ids[done:], nodes, sets)
+
+    def framed(ids: pd.Series, nodes: list[int], sets: list) -> pd.DataFrame:
+        return pd.DataFrame({"doc_id": ids.to_numpy(), "node": np.array(nodes, dtype=np.uint64).view(np.int64), "shingles": sets}).astype({"doc_id": "Int64"})
 
     return rows.mapInPandas(run, "doc_id long, node long, shingles array<long>")
 
@@ -420,9 +464,6 @@ def similar_texts(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
         return stash(both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v"), "links", outer=True)
 
 
-NO_BOUND = 1 << 62
-
-
 def occupancy(shingles: np.ndarray, most: int = 1024) -> bytes:
     """How many shingles fall into each of 64 to `most` cells, as many as shingles or more if that may be; a byte each.
 
@@ -522,11 +563,8 @@ def meeting_pairs(postings: DataFrame, cells: DataFrame, similarity: float, most
     of more than `most` members is cut into tiles, and each two tiles are compared by themselves.
     """
     tiles = postings.groupBy("shingle").agg(F.ceil(F.count("*") / most).cast("int").alias("tiles")).where("tiles > 1")
-    tiled = postings.join(tiles, "shingle", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    dealt = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    key = F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other"))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    rows = dealt.select(key.alias("key"), "node", "size", "place", "root", side.cast("byte").alias("side")).join(cells.select("node", "cells"), "node")
+    tiled = postings.join(tiles, "shingle", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumnRenamed("shingle", "key")
+    rows = in_tiles(tiled, "key", "node").select("key", "node", "size", "place", "root", "side").join(cells.select("node", "cells"), "node")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         carried = None
@@ -538,7 +576,7 @@ def meeting_pairs(postings: DataFrame, cells: DataFrame, similarity: float, most
             us, vs = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if b - a > 1:
-                    left, right = likely_pairs(*[c[a:b] for c in columns], held[a:b], similarity, side[a:b] if side[a] < 2 else None)
+                    left, right = likely_pairs(*[c[a:b] for c in columns], held[a:b], similarity, side[a:b] if side[a] < WHOLE else None)
                     us.append(node[a:b][left])
                     vs.append(node[a:b][right])
             u, v = np.concatenate(us), np.concatenate(vs)
