@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import mixing, secrets
-from corpusmill.llm.common import shared_dir, table
+from corpusmill.llm.common import shared_dir, stash, table
 from corpusmill.llm.exact_dedup import exact_dedup
+from corpusmill.llm.fim import fill_in_middle, restored
 from corpusmill.llm.line_dedup import keep_bitmaps, kept_text
 from corpusmill.llm.packing import best_fit_pack
 from corpusmill.llm.quality import score_quality
@@ -17,6 +18,8 @@ from corpusmill.llm.simhash import simhash_components
 from corpusmill.llm.sql import ORACLE_SQL  # noqa: F401
 from corpusmill.llm.topk import top_k
 from corpusmill.llm.toxicity import score_toxicity
+from corpusmill.llm.trie import prefix_trie
+from corpusmill.llm.urls import judge_urls
 from corpusmill.llm.warc import archive_pages
 
 
@@ -80,7 +83,31 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50)
+    text = restored(F.col("output"), F.col("form"))
+    return stash(made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256")), "fim")
+
+
+# The rules of the contract, (verdict, host, beginning of the path).
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"), base_of=100)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_toxicity, op3_exact_dedup, op4_simhash, op5_line_dedup, op6_mixing, op7_topk, op8_secrets, op9_quality, op10_warc)
+    for f in (op1_best_fit_packing, op2_toxicity, op3_exact_dedup, op4_simhash, op5_line_dedup, op6_mixing, op7_topk, op8_secrets, op9_quality, op10_warc, op11_fim, op12_url_filter, op13_prefix_trie)
 }

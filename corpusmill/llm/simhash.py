@@ -22,7 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import cut, discarded, pick, stash, with_python_path
+from corpusmill.llm.common import discarded, pick, stash, with_python_path
+from corpusmill.llm.graph import components
 
 BITS = 64
 NO_ID = (1 << 63) - (1 << 41)  # nodes from here on stand for classes whose ids are all null
@@ -319,24 +320,6 @@ def similar_classes(classes: DataFrame, tau: int, most: int = 2048) -> DataFrame
     return edges.distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges(u, v) -> (node, root): the least node that each node of an edge can reach."""
-    now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(low, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        joined = large.join(low, F.col("u") == F.col("k"))
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v")))
-        now = cut(small.distinct())
-        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if seen == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = seen
-
-
 SEEN = 500_000  # texts that a task remembers
 
 

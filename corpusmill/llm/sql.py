@@ -74,4 +74,86 @@ SELECT page_id, payload_bytes,
 FROM b
 """
 
-ORACLE_SQL = {"op3_exact_dedup": EXACT_DEDUP, "op5_line_dedup": LINE_DEDUP, "op7_topk": TOP_K, "op8_secrets": _secrets(), "op10_warc": WARC}
+# A hexadecimal digest's first four groups of eight digits as integers.
+_GROUP = "CAST(list_sum(list_transform(range(1, 9), lambda i: (strpos('0123456789abcdef', substring({h}, {at} + i, 1)) - 1) * CAST(pow(16, 8 - i) AS BIGINT))) AS BIGINT)"
+
+FIM = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+r AS (SELECT *, CAST(len(u) AS BIGINT) AS n, {_GROUP.format(h="h", at=0)} AS h1, {_GROUP.format(h="h", at=8)} AS h2, {_GROUP.format(h="h", at=16)} AS h3, {_GROUP.format(h="h", at=24)} AS h4 FROM d),
+c AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+             least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM r),
+p AS (SELECT doc_id, n, form, t, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256
+FROM p
+"""
+
+
+def _urls() -> str:
+    from corpusmill.llm.urls import CANONICAL, CONTENT, HREF, OTHER_SCHEME, REFRESH, TAGS, WAIT, WITH_HOST
+
+    q = lambda p: "'" + p.replace("'", "''") + "'"
+    host = "lower(regexp_extract({r}, '^[^/?#]*'))"
+    rest = "CASE WHEN strpos({u}, '://') > 0 THEN substring({u}, strpos({u}, '://') + 3) ELSE '' END"
+    tail = "substring({r}, length(regexp_extract({r}, '^[^/?#]*')) + 1)"
+    parts = lambda r: f"{host.format(r=r)} AS host, regexp_extract({tail.format(r=r)}, '^[^?#]*') AS path, regexp_extract({tail.format(r=r)}, '^[^#]*') AS query"
+    bare = r"""trim(regexp_replace({x}, '^["'']|["'']$', '', 'g'), ' ' || chr(9) || chr(10) || chr(12) || chr(13))"""
+    goal = f"""CASE WHEN regexp_matches(x, {q(CANONICAL)}) THEN {bare.format(x=f"regexp_extract(x, {q(HREF)}, 1)")}
+        ELSE regexp_replace(regexp_extract({bare.format(x=f"regexp_extract(x, {q(CONTENT)}, 1)")}, {q(WAIT + '.+')}), {q(WAIT)}, '') END"""
+    clean = "trim(replace({x}, '&amp;', '&'), ' ''\"' || chr(9) || chr(10) || chr(12) || chr(13))"
+    return f"""
+WITH RECURSIVE rules(h, p, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+pg AS (SELECT page_id, url, html, {rest.format(u="url")} AS r FROM (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages)),
+pages_cut AS (SELECT page_id, url, html, {parts("r")} FROM pg),
+tags AS (SELECT host, path, query, unnest(regexp_extract_all(html, {q(TAGS)})) AS x FROM pages_cut),
+goals AS (SELECT host, path, query, {clean.format(x="g")} AS g FROM (SELECT host, path, query, {goal} AS g FROM tags WHERE regexp_matches(x, {q(CANONICAL)}) OR regexp_matches(x, {q(REFRESH)}))),
+targets AS (SELECT host || query AS u, host, path, CASE WHEN g = '' OR starts_with(g, '#') THEN NULL WHEN regexp_matches(g, {q(WITH_HOST)}) THEN g WHEN starts_with(g, '//') THEN 'http:' || g
+    WHEN regexp_matches(g, {q(OTHER_SCHEME)}) THEN NULL WHEN starts_with(g, '/') THEN 'http://' || host || g WHEN starts_with(g, '?') THEN 'http://' || host || path || g
+    ELSE 'http://' || host || CASE WHEN regexp_replace(path, '[^/]*$', '') = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || g END AS v FROM goals WHERE host <> ''),
+ends AS (SELECT u, host, path, {rest.format(u="v")} AS r FROM targets WHERE v IS NOT NULL),
+two AS (SELECT u, host AS u_host, path AS u_path, {parts("r")} FROM ends),
+edges AS (SELECT DISTINCT u, u_host, u_path, host || query AS v, host, path FROM two WHERE host <> '' AND u <> host || query),
+nodes AS (SELECT u AS node, u_host AS host, u_path AS path FROM edges UNION SELECT v, host, path FROM edges),
+judged AS (SELECT node, (SELECT arg_max(verdict, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS verdict FROM nodes),
+steps AS (SELECT u AS a, v AS b FROM edges UNION SELECT v, u FROM edges),
+bad(node) AS (SELECT node FROM judged WHERE verdict = 'block' UNION SELECT b FROM bad JOIN steps ON a = node),
+found AS (SELECT page_id, host, path, query,
+    (SELECT arg_max(h || p, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule,
+    (SELECT arg_max(verdict, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS verdict FROM pages_cut)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host <> '' AND host || query IN (SELECT node FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM found
+"""
+
+
+TRIE = """
+WITH crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, CAST(n AS BIGINT))) AS tb),
+own AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(sha256(coalesce(role, '')) || coalesce(text, ''))) AS BIGINT) AS pos,
+               sha256(sha256(coalesce(role, '')) || coalesce(text, '')) AS sig, CAST(length(coalesce(text, '')) AS BIGINT) AS chars FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT conv_id FROM own),
+h AS (SELECT conv_id, conv_id - conv_id % 100 AS base,
+             xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: xor(tb[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) % 6 AS h FROM ids, crc_table),
+joined AS (SELECT h.conv_id, 0 AS part, pos, sig, chars FROM h JOIN own ON own.conv_id = h.base WHERE pos <= h
+           UNION ALL SELECT h.conv_id, 1, pos, sig, chars FROM h JOIN own USING (conv_id) WHERE pos > h),
+turns AS (SELECT conv_id, CAST(row_number() OVER w AS BIGINT) AS depth, chars, sha256(string_agg(sig, '') OVER w) AS node FROM joined WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)),
+member AS (SELECT conv_id, depth, chars, node FROM turns UNION ALL SELECT conv_id, 0, 0, 'root' FROM ids),
+lengths AS (SELECT conv_id, max(depth) AS length FROM member GROUP BY conv_id),
+nodes AS (SELECT depth, node, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+                 string_agg(CASE WHEN length = depth THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ends FROM member JOIN lengths USING (conv_id) GROUP BY depth, node),
+up AS (SELECT n.depth, n.node, n.conv_id, p.node AS parent, m.conv_id AS parent_conv_id FROM nodes n LEFT JOIN member p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1 LEFT JOIN nodes m ON m.node = p.node AND m.depth = n.depth - 1),
+kids AS (SELECT parent, count(*) AS n_children FROM up WHERE parent IS NOT NULL GROUP BY parent),
+above AS (SELECT a.node AS top, n.node, n.n_convs, n.chars, k.n_children FROM nodes n JOIN member a ON a.conv_id = n.conv_id AND a.depth <= n.depth LEFT JOIN kids k ON k.parent = n.node),
+sums AS (SELECT top, count(*) FILTER (n_children IS NULL) AS n_leaves, CAST(sum((n_convs - 1) * chars) AS BIGINT) AS saved_tokens FROM above GROUP BY top)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, up.parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM nodes n JOIN up USING (node) JOIN sums s ON s.top = n.node LEFT JOIN kids k ON k.parent = n.node
+"""
+
+ORACLE_SQL = {
+    "op3_exact_dedup": EXACT_DEDUP,
+    "op5_line_dedup": LINE_DEDUP,
+    "op7_topk": TOP_K,
+    "op8_secrets": _secrets(),
+    "op10_warc": WARC,
+    "op11_fim": FIM,
+    "op12_url_filter": _urls(),
+    "op13_prefix_trie": TRIE,
+}
