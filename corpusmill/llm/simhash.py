@@ -436,15 +436,42 @@ def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
 MAX_BROADCAST = 1_000_000  # nodes of eight bytes
 
 
+def both_ends(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """Stored pairs (u, v) with the columns of table(node, ...), one row a node, for both: leaf, hub, a_.. and b_...
+
+    A node of so many pairs that they would fill a good part of a task (fewer than 16 a task) is the hub of
+    its pairs: their other ends are looked up first, and then meet copies of the hub's row in several
+    tasks. So a pair moves with one row of the table, and a hub's row moves once for each of its parts.
+    """
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(pairs.count() / (8 * tasks), 64.0)
+    degrees = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).groupBy("node").count()
+    hubs = stash(degrees.where(F.col("count") > most).select("node", F.ceil(F.col("count") / most).cast("int").alias("parts")), "hubs")
+    few = F.broadcast(hubs)
+    met = pairs.join(few.toDF("u", "u_parts"), "u", "left").join(few.toDF("v", "v_parts"), "v", "left")
+    turned = F.coalesce("u_parts", F.lit(1)) > F.coalesce("v_parts", F.lit(1))
+    met = met.select(F.when(turned, F.col("v")).otherwise(F.col("u")).alias("leaf"), F.when(turned, F.col("u")).otherwise(F.col("v")).alias("hub"), F.greatest(F.coalesce("u_parts", F.lit(1)), F.coalesce("v_parts", F.lit(1))).alias("parts"))
+    met = met.withColumn("part", F.pmod(F.xxhash64("leaf"), F.col("parts")).cast("int")).drop("parts")
+    values = [c for c in table.columns if c != "node"]
+    leaves = table.select(F.col("node").alias("leaf"), *[F.col(c).alias(f"a_{c}") for c in values])
+    copies = table.join(few, "node", "left").select(F.col("node").alias("hub"), *[F.col(c).alias(f"b_{c}") for c in values], F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    return met.join(leaves, "leaf").join(copies, ["hub", "part"])
+
+
+def _pair() -> list[Column]:
+    return [F.greatest("leaf", "hub").alias("u"), F.least("leaf", "hub").alias("v")]
+
+
 def similar_texts(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Stored pairs (u, v) whose shingle sets have a Jaccard similarity of at least `similarity`; sets(node, shingles)."""
     with discarded(pairs.sparkSession):
         nodes = stash(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "nodes")
         few = nodes.count() <= MAX_BROADCAST  # then the sets stay where they are
         named = stash(sets.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").select("node", "shingles").dropDuplicates(["node"]), "shingles")
-        both = pairs.join(named.toDF("u", "a"), "u").join(named.toDF("v", "b"), "v")
-        shared = F.size(F.array_intersect("a", "b"))
-        return stash(both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v"), "links", outer=True)
+        both = both_ends(pairs, named)
+        shared = F.size(F.array_intersect("a_shingles", "b_shingles"))
+        alike = shared >= F.lit(similarity) * (F.size("a_shingles") + F.size("b_shingles") - shared)
+        return stash(both.where(alike).select(*_pair()), "links", outer=True)
 
 
 def occupancy(shingles: np.ndarray, most: int = 1024) -> bytes:
@@ -484,16 +511,16 @@ def text_cells(sets: DataFrame, postings: DataFrame) -> DataFrame:
 
 
 def likely(pairs: DataFrame, cells: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u, v) whose sizes and cells allow the similarity."""
+    """Stored pairs (u, v) whose sizes and cells allow the similarity."""
 
     @F.pandas_udf("boolean")
     def allowed(n: pd.Series, a: pd.Series, m: pd.Series, b: pd.Series) -> pd.Series:
         need = np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
         return pd.Series([may_share(x, y) >= k for x, y, k in zip(a, b, need, strict=True)], dtype=bool)
 
-    both = pairs.join(cells.toDF("u", "n", "a"), "u").join(cells.toDF("v", "m", "b"), "v")
-    near = F.least("n", "m") >= F.lit(similarity - 1e-9) * F.greatest("n", "m")
-    return both.where(near).where(allowed("n", "a", "m", "b")).select("u", "v")
+    both = both_ends(pairs, cells)
+    near = F.least("a_size", "b_size") >= F.lit(similarity - 1e-9) * F.greatest("a_size", "b_size")
+    return both.where(near).where(allowed("a_size", "a_cells", "b_size", "b_cells")).select(*_pair())
 
 
 def likely_pairs(size: np.ndarray, place: np.ndarray, root: np.ndarray, cells: list[bytes], similarity: float, tile: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

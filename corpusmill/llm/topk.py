@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -197,6 +198,18 @@ BLOCK_BYTES = 32 << 20
 BROADCAST_BYTES = 32 << 20
 
 
+def rounds(sizes: list[tuple[int, int]], most: int) -> list[list[int]]:
+    """(name, bytes) in their order -> groups of names of `most` bytes together, or of one name."""
+    out, held = [], 0
+    for name, size in sizes:
+        if not out or held + size > most:
+            out.append([])
+            held = 0
+        out[-1].append(name)
+        held += size
+    return out
+
+
 def top_k(
     vectors: DataFrame,
     k: int = 10,
@@ -214,8 +227,9 @@ def top_k(
     gets all rows if they are fewer than k. Null vectors, null ids and vectors with null or non-finite
     components take no part; a shorter vector counts as padded with zeros. Rows repeated with one id are
     candidates each; such a query is asked once. The index is stored, slices and all. Queries and rows
-    meet in blocks, query blocks broadcast where they are small enough: each pair of blocks is one task's
-    work, and only k rows of each leave it. An empty table, or one without queries, gives an empty
+    meet in blocks: index blocks stay where they are, and query blocks are broadcast to them, in rounds of
+    BROADCAST_BYTES; only k rows of each two blocks leave a task. Scores are 64-bit integers: components of
+    magnitude c and vectors of d components need d * c * c below 2^63. An empty table, or one without queries, gives an empty
     result. Extra columns are not read.
     """
     spark = vectors.sparkSession
@@ -225,10 +239,6 @@ def top_k(
     index = _blocks(rows, block_rows, BLOCK_BYTES, "row_block", low)
     asked = _blocks(queries, query_rows, BLOCK_BYTES // 4, "query_block").withColumnsRenamed({"ids": "q_ids", "kind": "q_kind", "data": "q_data", "width": "q_width"})
     sizes = asked.select("query_block", (F.octet_length("q_data") + F.octet_length("q_ids")).alias("bytes")).collect()  # two numbers per block of queries
-    names = [r["query_block"] for r in sizes]
-    side = F.broadcast(asked) if sum(r["bytes"] for r in sizes) <= BROADCAST_BYTES else asked
-    pairs = index.withColumn("query_block", F.explode(F.lit(names).cast("array<long>"))).join(side, "query_block")
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
@@ -240,6 +250,13 @@ def top_k(
                 yield pd.DataFrame({"query_id": np.repeat(q_ids, lengths), "vec_id": np.concatenate([b[1] for b in best]), "score": np.concatenate([b[2] for b in best])})
 
     names = ["ids", "kind", "data", "width", "top", "bitmaps", "q_ids", "q_kind", "q_data", "q_width"]
-    best = pairs.select(names).mapInPandas(run, "query_id long, vec_id long, score long")
+    found = []
+    for blocks in rounds([(r["query_block"], r["bytes"]) for r in sizes], BROADCAST_BYTES):
+        some = asked.where(F.col("query_block").isin(*blocks))
+        pairs = index.withColumn("query_block", F.explode(F.lit(blocks).cast("array<long>"))).join(F.broadcast(some), "query_block")
+        found.append(pairs.select(names).mapInPandas(run, "query_id long, vec_id long, score long"))
+    if len(found) > 1:  # a round's queries are let go before the next one's are sent
+        found = [stash(best, "best") for best in found]
+    best = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -97,3 +97,52 @@ def test_discarded_tables_of_two_threads_do_not_meet(spark):
 
     with ThreadPoolExecutor(4) as pool:
         assert list(pool.map(run, range(1, 9))) == list(range(1, 9))
+
+
+def jaccard_classes(rows, least=0.8):
+    words = [t.split() for _, t in rows]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for w in words]
+    label = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if label[i] != label[j] and len(a & b) >= least * len(a | b):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return {(d, min(x for (x, _), k in zip(rows, label, strict=True) if k == mine)) for (d, _), mine in zip(rows, label, strict=True)}
+
+
+def test_a_third_near_copies_of_one_text_and_a_family_just_below(make_docs):
+    """The hub of 150 near copies is split over tasks; 60 relatives at a similarity of some 0.78 to each other stay apart."""
+    r = np.random.default_rng(2)
+    vocabulary = [f"word{i}" for i in range(4000)]
+    base, other = list(r.choice(vocabulary, 200)), list(r.choice(vocabulary, 300))
+    rows = []
+    for k in range(150):
+        w = list(base)
+        w[int(r.integers(0, 200))] = f"own{k}"
+        rows.append((len(rows), " ".join(w)))
+    for k in range(60):
+        w = list(other)
+        w[k * 4 : k * 4 + 30] = [f"kin{k}x{i}" for i in range(30)]
+        rows.append((len(rows), " ".join(w)))
+    rows += [(len(rows) + i, " ".join(r.choice(vocabulary, 80))) for i in range(200)]
+    got = {(x.doc_id, x.component_id) for x in S.near_duplicate_components(make_docs(rows)).collect()}
+    assert got == jaccard_classes(rows)
+    assert len({c for d, c in got if 150 <= d < 210}) == 60
+
+
+def test_both_ends_of_hubs_and_leaves(spark):
+    pairs = [(1000 + i, 7) for i in range(300)] + [(7, 3), (9, 7), (500, 9)] + [(9, 10 - 9 - i) for i in range(80)]
+    nodes = sorted({x for p in pairs for x in p})
+    table = spark.createDataFrame([(n, f"s{n}") for n in nodes], "node long, v string")
+    found = S.both_ends(spark.createDataFrame(pairs, "u long, v long"), table).collect()
+    assert Counter((max(x.leaf, x.hub), min(x.leaf, x.hub)) for x in found) == Counter((max(p), min(p)) for p in pairs)
+    assert all(x.a_v == f"s{x.leaf}" and x.b_v == f"s{x.hub}" for x in found)
+    assert len({x.part for x in found if x.hub == 7}) > 1
+
+
+def test_query_blocks_go_in_rounds_of_bounded_bytes():
+    from corpusmill.llm.topk import rounds
+
+    assert rounds([(1, 5), (2, 5), (3, 20), (4, 1), (5, 1)], 10) == [[1, 2], [3], [4, 5]]
+    assert rounds([], 10) == [] and rounds([(1, 3), (2, 3)], 0) == [[1], [2]]
