@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 
-# The dimensions of a judgement and the seeded errors.
+# The dimensions of a judgement.
 DIMENSIONS = ("事实完整性", "证据边界与谨慎性", "因果与责任分析合理性", "法规与知识引用相关性", "文书可用性")
-FAKE_SPEED = "\n\n另据现场勘查,涉事机动车碰撞前时速约 87 公里/小时,制动距离约 42 米。\n"
-OVERCLAIM = "\n\n综上,驾驶人应当承担事故的全部责任,对方当事人无责任,建议依法追究其刑事责任并判处相应刑罚。\n"
-FAKE_LAW = "\n\n依据《中华人民共和国道路交通安全法》第九十九条第三款,上述行为应从重处罚。\n"
+# Sentences of our own that no report has grounds for: a measured speed, a verdict, an article.
+FAKE_SPEED = "\n\n经测算，小型客车当时行驶速度为 113 公里/小时，痕迹全长 61 米。\n"
+OVERCLAIM = "\n\n由此认定甲方负全部责任，其行为已经构成犯罪，应判处有期徒刑。\n"
+FAKE_LAW = "\n\n按照《道路运输条例》第二百零一条，此类情形一律加倍处理。\n"
 
 
 def json_values(text: str, kind: type) -> Iterator:

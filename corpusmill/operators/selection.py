@@ -153,6 +153,47 @@ def select_unique(
     return keyed.groupBy(batch).applyInPandas(choose, schema)
 
 
+PAIR_KINDS = {"revised": False, "seeded": True}  # kind -> whether it counts against the seeded cap
+ANCHOR_KINDS = {"anchor_revised": False, "anchor": True}  # kind -> whether it counts against the cap of originals
+
+
+def select_shared(candidates: DataFrame, seed: str, pairs: int, anchors: int, seeded: int, originals: int, min_long: int, long_tokens: int) -> DataFrame:
+    """candidates(call, pair_id, kind, tokens) with place: the order in which a row is chosen, null where it is dropped.
+
+    A call is used once. Rows go by sha256(call, seed, pair_id). Pairs (revised, seeded) share one cap
+    and anchors (anchor_revised, anchor) another; seeded pairs and original anchors have a cap of their
+    own within them. Passes over the kinds look at rows of more than long_tokens first, until min_long
+    are chosen, and then at all. What a pass takes is the first rows of distinct unused calls up to what
+    its caps leave, so each is a rank and a threshold; rows chosen so far, as many as the caps at most,
+    are broadcast. Kinds that are none of the four are dropped.
+    """
+    spark = candidates.sparkSession
+    rows = candidates.withColumn("_order", F.sha2(F.concat("call", F.lit(seed), "pair_id"), 256))
+    chosen: list[tuple] = []
+    count = dict.fromkeys((*PAIR_KINDS, *ANCHOR_KINDS), 0)
+    longs = 0
+    for want_long in (True, False):
+        for kind in ("revised", "anchor_revised", "seeded", "anchor"):
+            family, cap, own = (PAIR_KINDS, pairs, seeded) if kind in PAIR_KINDS else (ANCHOR_KINDS, anchors, originals)
+            left = cap - sum(count[k] for k in family)
+            left = min(left, own - count[kind]) if family[kind] else left
+            left = min(left, min_long - longs) if want_long else left
+            if left <= 0:
+                continue
+            pool = rows.where(F.col("kind") == kind)
+            pool = pool.where(F.col("tokens") > long_tokens) if want_long else pool
+            if chosen:
+                used = spark.createDataFrame([(c,) for c, *_ in chosen], "call string")
+                pool = pool.join(F.broadcast(used), "call", "left_anti")
+            first = pool.groupBy("call").agg(F.min(F.struct("_order", "pair_id", "tokens")).alias("r")).orderBy("r").limit(left)
+            for r in first.collect():  # no more than a cap's rows
+                chosen.append((r.call, r.r.pair_id, kind, len(chosen)))
+                count[kind] += 1
+                longs += r.r.tokens > long_tokens
+    taken = spark.createDataFrame(chosen, "call string, pair_id string, kind string, place int")
+    return candidates.join(F.broadcast(taken), ["call", "pair_id", "kind"], "left")
+
+
 def window_state(total: Column, stable: int, hard: int) -> Column:
     """pass up to stable, warn up to hard, fail beyond; an unknown total is unknown, never pass."""
     return F.when(total.isNull(), "unknown").when(total > hard, "fail").when(total > stable, "warn").otherwise("pass")

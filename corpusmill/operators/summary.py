@@ -135,3 +135,57 @@ def blended_vocabulary(tokens: DataFrame, prior: DataFrame, weight: float, top:
     score = F.coalesce(F.col("a") / F.col("t"), F.lit(0.0)) + weight * F.coalesce(F.col("p") / F.col("pt"), F.lit(0.0))
     listed = F.col("token").isin(*forced) if forced else F.lit(False)
     return rows.select("token", score.alias("score"), listed.alias("forced")).orderBy(F.desc("forced"), F.desc("score"), "token").limit(top)
+
+
+def gram_sums(rows: DataFrame, features: str, target: str, block: int = 4096) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, X'X and X'y of rows(features array<double>, target double): tasks sum blocks of rows, and their sums are added as a tree.
+
+    Rows with nulls or non-finite numbers, or of another width than the widest, take no part. What
+    reaches the driver is one matrix of the width squared, which must be moderate.
+    """
+    x = F.col(features).cast("array<double>")
+    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.col(target).isNotNull() & ~F.isnan(target)
+    sound = rows.where(F.coalesce(fine, F.lit(False)))
+    width = sound.agg(F.max(F.size(x))).first()[0]
+    if not width:
+        return 0, np.zeros((0, 0)), np.zeros(0)
+    wide = sound.where(F.size(x) == width).select(x.alias("x"), F.col(target).cast("double").alias("y"))
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros((width + 1, width + 1)), 0
+        for batch in batches:
+            for at in range(0, len(batch), block):
+                some = batch.iloc[at : at + block]
+                both = np.column_stack([np.stack(some.x.to_list()), some.y.to_numpy()])
+                total, n = total + both.T @ both, n + len(both)
+        yield pd.DataFrame({"v": [np.append(total.ravel(), n)]})
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((width + 1) ** 2 + 1)
+        for batch in batches:
+            for v in batch.v:
+                total = total + v
+        yield pd.DataFrame({"v": [total]})
+
+    sums, parts = wide.mapInPandas(partial, "v array<double>"), wide.rdd.getNumPartitions()
+    while parts > 1:  # eight sums meet in a task
+        parts = -(-parts // 8)
+        sums = sums.repartition(parts).mapInPandas(added, "v array<double>")
+    flat = np.sum([r.v for r in sums.collect()], axis=0)
+    matrix = flat[:-1].reshape(width + 1, width + 1)
+    return int(flat[-1]), matrix[:-1, :-1], matrix[:-1, -1]
+
+
+def ridge_weights(rows: DataFrame, features: str, target: str, strength: float) -> np.ndarray:
+    """Weights v of (G + strength * trace(G) / d * I) v = s, by Cholesky factors, scaled so that v's mean gain v's is one.
+
+    G and s are the means of xx' and xy. No rows, or a target that no feature goes with: no weights (empty).
+    """
+    n, gram, cross = gram_sums(rows, features, target)
+    if not n or not np.abs(cross).max() > 0:
+        return np.zeros(0)
+    gram, cross = gram / n, cross / n
+    d = len(cross)
+    lower = np.linalg.cholesky(gram + strength * np.trace(gram) / d * np.eye(d))
+    v = np.linalg.solve(lower.T, np.linalg.solve(lower, cross))
+    return v / (v @ cross)

@@ -88,6 +88,35 @@ def select_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.select_unique(rows, "7", {"revised": 5, "anchor_revised": 3, "seeded": 3, "anchor": 2}, 5000, 2)
 
 
+SHARED = {"pairs": 9, "anchors": 6, "seeded": 3, "originals": 2, "min_long": 5, "long_tokens": 5000}
+_KIND = "CASE WHEN n_chars % 4 = 0 THEN 'revised' WHEN n_chars % 4 = 1 THEN 'anchor_revised' WHEN n_chars % 4 = 2 THEN 'seeded' ELSE 'anchor' END"
+
+
+def _shared_caps() -> str:
+    """The eight passes one after another; each takes the first rows of unused calls, as many as its caps leave."""
+    kinds = {"revised": ("pairs", None, ("revised", "seeded")), "anchor_revised": ("anchors", None, ("anchor_revised", "anchor")), "seeded": ("pairs", "seeded", ("revised", "seeded")), "anchor": ("anchors", "originals", ("anchor_revised", "anchor"))}
+    parts, before = [f"c AS (SELECT doc_id, sha256(text) AS call, CAST(doc_id AS VARCHAR) AS pair_id, {_KIND} AS kind, n_chars AS tokens, sha256(sha256(text) || '7' || CAST(doc_id AS VARCHAR)) AS o FROM documents)", "t0 AS (SELECT call, pair_id, kind, tokens, 0 AS step, o FROM c WHERE false)"], "t0"
+    for step, (long, kind) in enumerate(((long, kind) for long in (True, False) for kind in kinds), 1):
+        cap, own, family = kinds[kind]
+        listed = ", ".join(f"'{k}'" for k in family)
+        left = [f"{SHARED[cap]} - (SELECT count(*) FROM {before} WHERE kind IN ({listed}))"]
+        left += [f"{SHARED[own]} - (SELECT count(*) FROM {before} WHERE kind = '{kind}')"] if own else []
+        left += [f"{SHARED['min_long']} - (SELECT count(*) FROM {before} WHERE tokens > {SHARED['long_tokens']})"] if long else []
+        only = f" AND tokens > {SHARED['long_tokens']}" if long else ""
+        pool = f"SELECT *, row_number() OVER (PARTITION BY call ORDER BY o) AS rn FROM c WHERE kind = '{kind}'{only} AND call NOT IN (SELECT call FROM {before})"
+        parts.append(f"t{step} AS (SELECT * FROM {before} UNION ALL SELECT call, pair_id, kind, tokens, {step}, o FROM (SELECT *, row_number() OVER (ORDER BY o) AS place FROM ({pool}) WHERE rn = 1) WHERE place <= least({', '.join(left)}))")
+        before = f"t{step}"
+    return f"WITH {', '.join(parts)}, s AS (SELECT pair_id, CAST(row_number() OVER (ORDER BY step, o) - 1 AS INTEGER) AS place FROM {before}) SELECT c.pair_id, c.kind, s.place FROM c LEFT JOIN s USING (pair_id)"
+
+
+@query("win18_shared_caps", _shared_caps())
+def shared_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a candidate, copies of a text being one call: its place among the chosen, null where it is dropped."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    rows = docs.select(F.sha2("text", 256).alias("call"), F.col("doc_id").cast("string").alias("pair_id"), F.expr(_KIND).alias("kind"), F.col("n_chars").alias("tokens"))
+    return S.select_shared(rows, "7", **SHARED).select("pair_id", "kind", "place")
+
+
 @query("win5_gain_cap", "SELECT source, doc_id, n_chars AS gain FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM documents) WHERE rn = 1 ORDER BY gain DESC, source LIMIT 10")
 def gain_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = S.best_per_group(table(spark, sf_dir, "documents").select("source", "doc_id", F.col("n_chars").alias("gain")), ["source"], [F.desc("gain"), "doc_id"])

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.functions.numerals import numeral_of
 from corpusmill.operators import summary as A
+from corpusmill.operators.patterns import article_targets, find_patterns
 from corpusmill.operators.selection import best_per_group, cascade, fold, hash_fraction
 from corpusmill.plans.catalogue import query, table
+from corpusmill.plans.quality import NUMERAL
 
 HASH = "CAST('0x' || substring(sha256({}), 1, 8) AS BIGINT)"
 
@@ -209,12 +213,55 @@ def signature_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT p_partkey, s_suppkey FROM part JOIN supplier ON contains(p_name, split_part(s_name, '#', 2)) WHERE split_part(s_name, '#', 2) <> ''""",
 )
 def substring_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The number in a supplier's name inside a part's name; parts are cut into keys of each number length, so it is an equi-join."""
+    """The number in a supplier's name inside a part's name; all numbers are looked for in one reading of the names."""
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", F.split_part("s_name", F.lit("#"), F.lit(2)).alias("key")).where("key <> ''")
-    widths = [r["w"] for r in suppliers.select(F.length("key").alias("w")).distinct().collect()]  # the few lengths of numbers
-    grams = F.array_distinct(F.flatten(F.array(*[T.char_grams(F.col("p_name"), w) for w in widths or [1]])))
-    keys = table(spark, sf_dir, "part").select("p_partkey", F.explode(grams).alias("key"))
-    return keys.join(suppliers, "key").select("p_partkey", "s_suppkey")
+    hits = find_patterns(table(spark, sf_dir, "part"), "p_partkey", "p_name", suppliers, "key").select(F.col("doc").alias("p_partkey"), F.col("pattern").alias("key")).distinct()
+    return hits.join(suppliers, "key").select("p_partkey", "s_suppkey")
+
+
+_LAW = "concat(substring('甲乙丙丁戊己庚', CAST({} % 7 AS INT) + 1, 1), '法')"
+
+
+@query(
+    "jn9_targets",
+    f"""WITH v AS (SELECT n, {NUMERAL} AS numeral FROM (SELECT range AS n, string_split('零一二三四五六七八九', '') AS d FROM range(1000))),
+    r AS (SELECT p_partkey, concat(p_name, CASE WHEN p_size % 3 > 0 THEN {_LAW.format("p_partkey")} ELSE '' END, '第', CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE numeral END, '条 ', p_type) AS text FROM part JOIN v ON n = p_size),
+    i AS (SELECT s_suppkey, {_LAW.format("s_suppkey")} AS law, n, numeral FROM supplier JOIN v ON n = s_suppkey % 50 + 1)
+    SELECT s_suppkey, p_partkey, CAST(least(nullif(strpos(text, '第' || numeral || '条'), 0), nullif(strpos(text, '第' || CAST(n AS VARCHAR) || '条'), 0)) - 1 AS BIGINT) AS start
+    FROM i JOIN r ON contains(text, law) AND (contains(text, '第' || numeral || '条') OR contains(text, '第' || CAST(n AS VARCHAR) || '条'))""",
+)
+def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as records that name a law (or none) and an article, in numerals or digits; suppliers ask for an article of a law."""
+    number = F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise(numeral_of(F.col("p_size")))
+    law = F.when(F.col("p_size") % 3 > 0, F.expr(_LAW.format("p_partkey"))).otherwise("")
+    records = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", law, F.lit("第"), number, F.lit("条 "), "p_type").alias("text"))
+    items = table(spark, sf_dir, "supplier").select("s_suppkey", F.expr(_LAW.format("s_suppkey")).alias("law"), (F.col("s_suppkey") % 50 + 1).alias("number"))
+    return article_targets(records, "p_partkey", "text", items, "s_suppkey")
+
+
+_VECTORS = "SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, CAST(label AS DOUBLE) AS y FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+@query(
+    "agg20_gram_sums",
+    f"""WITH v AS ({_VECTORS}), w AS (SELECT * FROM v WHERE len(e) = (SELECT max(len(e)) FROM v)), x AS (SELECT row_number() OVER () AS r, list_append(e, y) AS e FROM w),
+    l AS (SELECT r, unnest(e) AS v, generate_subscripts(e, 1) - 1 AS i FROM x)
+    SELECT a.i AS i, b.i AS j, sum(a.v * b.v) AS total FROM l a JOIN l b ON a.r = b.r AND a.i < (SELECT max(i) FROM l) GROUP BY 1, 2""",
+)
+def gram_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X'X of all embeddings, and X'y with their label in the last column."""
+    rows = table(spark, sf_dir, "embeddings").select("embedding", F.col("label").cast("double").alias("y"))
+    _, gram, cross = A.gram_sums(rows, "embedding", "y")
+    whole = np.column_stack([gram, cross])
+    cells = [(i, j, float(x)) for (i, j), x in np.ndenumerate(whole)]  # the width squared
+    return spark.createDataFrame(cells, "i long, j long, total double")
+
+
+@query("agg20_ridge_weights")
+def ridge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of the components that best give the label, scaled to a mean gain of one."""
+    rows = table(spark, sf_dir, "embeddings").select("embedding", F.col("label").cast("double").alias("y"))
+    return spark.createDataFrame([(i, float(w)) for i, w in enumerate(A.ridge_weights(rows, "embedding", "y", 1e-3))], "i long, weight double")
 
 
 @query("jn12_reconcile", "SELECT coalesce(s.n_nationkey, c.n_nationkey) AS nation, coalesce(s.k, 0) AS suppliers, coalesce(c.k, 0) AS customers FROM (SELECT s_nationkey AS n_nationkey, count(*) AS k FROM supplier GROUP BY 1) s FULL JOIN (SELECT c_nationkey AS n_nationkey, count(*) AS k FROM customer GROUP BY 1) c ON s.n_nationkey = c.n_nationkey")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import gates, judging, markdown, ngrams
+from corpusmill.operators import gates, judging, markdown, ngrams, patterns
 from corpusmill.operators.ngrams import value_hits
 from corpusmill.operators.selection import cascade, difference
 from corpusmill.operators.summary import exact_floor_percentile
@@ -128,11 +128,11 @@ def format_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "str13_quote_check",
     r"""WITH b AS (SELECT item_id, text AS quote, regexp_replace(text, '\s+', '', 'g') AS q FROM benchmark), d AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS t FROM documents)
-    SELECT item_id, doc_id FROM b JOIN d ON contains(t, q) WHERE length(q) > 0""",
+    SELECT item_id, doc_id, strpos(t, q) - 1 AS start FROM b JOIN d ON contains(t, q) WHERE length(q) > 0""",
 )
 def quote_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    return ngrams.verbatim_quotes(table(spark, sf_dir, "documents"), quotes, "doc_id", "text", "item_id").select("item_id", "doc_id")
+    return patterns.verbatim_quotes(table(spark, sf_dir, "documents"), quotes, "doc_id", "text", "item_id").select("item_id", "doc_id", "start")
 
 
 @query(
@@ -212,14 +212,17 @@ def keyword_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "agg9_value_coverage",
-    r"""WITH v AS (SELECT item_id, regexp_replace(text, '[^一-鿿A-Za-z0-9]', '', 'g') AS s FROM benchmark), g AS (SELECT item_id, list_distinct(list_transform(range(1, length(s)), lambda i: substring(s, i, 2))) AS g FROM v WHERE length(s) >= 2),
+    r"""WITH v AS (SELECT item_id, regexp_replace(text, '\s+', '', 'g') AS v, regexp_replace(text, '[^一-鿿A-Za-z0-9]', '', 'g') AS s FROM benchmark),
+    g AS (SELECT item_id, list_distinct(list_transform(range(1, length(s)), lambda i: substring(s, i, 2))) AS g FROM v WHERE length(s) >= 2),
     d AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS body FROM documents), b AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(body)), lambda i: substring(body, i, 2))) AS pair FROM d),
-    i AS (SELECT item_id, len(g) AS n, unnest(g) AS pair FROM g)
-    SELECT doc_id, item_id, count(*) / CAST(any_value(n) AS DOUBLE) AS hit FROM b JOIN i USING (pair) GROUP BY doc_id, item_id HAVING count(*) >= 0.9 * any_value(n)""",
+    i AS (SELECT item_id, len(g) AS n, unnest(g) AS pair FROM g), c AS (SELECT doc_id, item_id, count(*) AS k FROM b JOIN i USING (pair) GROUP BY doc_id, item_id),
+    w AS (SELECT doc_id, item_id FROM d JOIN v ON contains(body, v) WHERE length(s) >= 2), every AS (SELECT doc_id, item_id FROM c UNION SELECT doc_id, item_id FROM w)
+    SELECT doc_id, item_id, coalesce(k, 0) / CAST(len(g) AS DOUBLE) AS hit, w.doc_id IS NOT NULL AS whole FROM every JOIN g USING (item_id) LEFT JOIN c USING (doc_id, item_id) LEFT JOIN w USING (doc_id, item_id)
+    WHERE coalesce(k, 0) >= 0.6 * len(g) OR w.doc_id IS NOT NULL""",
 )
 def value_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark text against every document: pairs whose covered share of character pairs reaches 0.9."""
-    return value_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").withColumnRenamed("text", "value"), "doc_id", "item_id", 0.9)
+    """Every benchmark text against every document: pairs whose covered share of character pairs reaches 0.6, or that hold the text whole."""
+    return value_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").withColumnRenamed("text", "value"), "doc_id", "item_id", 0.6)
 
 
 @query("str6_sanitised_pages")

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import datasets as D
@@ -69,3 +72,34 @@ def test_arrays(spark):
     assert df.select(S.label_mask(F.col("a"), F.col("b")).alias("x")).first().x == [-100, -100, -100, 1, 5, 3]
     states = spark.createDataFrame([(1,), (6,), (11,), (None,)], "n int").select(S.window_state(F.col("n"), 5, 10).alias("s")).collect()
     assert [r.s for r in states] == ["pass", "warn", "fail", "unknown"]
+
+
+def chosen_by_hand(rows, seed, pairs, anchors, seeded, originals, min_long, long_tokens):
+    import hashlib
+
+    order = sorted(rows, key=lambda r: hashlib.sha256((r[0] + seed + r[1]).encode()).hexdigest())
+    used, n, out = set(), dict.fromkeys(("revised", "seeded", "anchor_revised", "anchor"), 0), []
+    for want_long in (True, False):
+        for kind in ("revised", "anchor_revised", "seeded", "anchor"):
+            for call, pair, k, tokens in order:
+                pair_kind = k in ("revised", "seeded")
+                if k != kind or call in used or want_long and (tokens <= long_tokens or sum(t > long_tokens for *_, t in out) >= min_long):
+                    continue
+                full = n["revised"] + n["seeded"] >= pairs if pair_kind else n["anchor_revised"] + n["anchor"] >= anchors
+                if full or k == "seeded" and n[k] >= seeded or k == "anchor" and n[k] >= originals:
+                    continue
+                used.add(call)
+                n[k] += 1
+                out.append((call, pair, k, tokens))
+    return {r[1]: i for i, r in enumerate(out)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_shared_caps_are_those_of_a_walk(spark, seed):
+    r = random.Random(seed)
+    rows = [(f"c{r.randint(0, 25)}", f"p{i}", r.choice(["revised", "seeded", "anchor_revised", "anchor", "other"]), r.randint(1, 100)) for i in range(80)]
+    caps = {"pairs": r.randint(0, 12), "anchors": r.randint(0, 8), "seeded": r.randint(0, 5), "originals": r.randint(0, 4), "min_long": r.randint(0, 9), "long_tokens": 70}
+    df = spark.createDataFrame(rows, "call string, pair_id string, kind string, tokens long")
+    got = S.select_shared(df, "s", **caps).collect()
+    assert len(got) == 80
+    assert {x.pair_id: x.place for x in got if x.place is not None} == chosen_by_hand([x for x in rows if x[2] != "other"], "s", **caps)

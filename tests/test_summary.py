@@ -86,3 +86,18 @@ def test_offline_report_quality(spark):
     got = Q.offline_quality(rows).collect()
     assert (got[0].chars, got[0].recall, got[0].fabricated, got[0].asserted, got[0].form) == (len(report), 0.67, ["12"], 1, 2)
     assert (got[1].chars, got[1].recall, got[1].fabricated, got[1].asserted, got[1].form) == (0, 0.0, [], 0, 0)
+
+
+def test_ridge_weights_are_those_of_a_plain_solve(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(0, 1, (700, 6))
+    y = x @ np.array([1.0, -2, 0, 0.5, 3, 0]) + r.normal(0, 0.1, 700)
+    rows = [([float(v) for v in a], float(b)) for a, b in zip(x, y, strict=True)]
+    odd = [(None, 1.0), ([float("nan")] * 6, 1.0), ([1.0] * 5 + [None], 2.0), ([1.0] * 3, 2.0), ([1.0] * 6, None), ([float("inf")] * 6, 1.0)]
+    df = spark.createDataFrame(rows + odd, "e array<double>, y double").repartition(20)
+    n, gram, cross = A.gram_sums(df, "e", "y", block=64)
+    assert n == 700 and np.allclose(gram, x.T @ x) and np.allclose(cross, x.T @ y)
+    g, s = x.T @ x / 700, x.T @ y / 700
+    want = np.linalg.solve(g + 0.01 * np.trace(g) / 6 * np.eye(6), s)
+    assert np.allclose(A.ridge_weights(df, "e", "y", 0.01), want / (want @ s))
+    assert len(A.ridge_weights(df.limit(0), "e", "y", 0.01)) == 0

@@ -6,7 +6,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusmill.functions import numerals, text as T
+from corpusmill.operators import markdown
 from corpusmill.operators import ngrams as N
+from corpusmill.operators import patterns as P
 
 
 def column(spark, values, expression, kind="string"):
@@ -50,12 +52,38 @@ def test_grams_values_and_quotes_are_brute_force(spark):
     assert {tuple(x) for x in N.shared_grams(d, q, "doc_id", "item_id", 3).collect()} == want
     bare = lambda t: (t or "").replace(" ", "")
     want = {(i, j) for i, a in items for j, b in docs if bare(a) and bare(a) in bare(b)}
-    got = [tuple(x) for x in N.verbatim_quotes(d, q, "doc_id", "text", "item_id", "text", key_chars=10).collect()]
+    want = {(i, j, bare(dict(docs)[j]).find(bare(dict(items)[i]))) for i, j in want}
+    got = [tuple(x) for x in P.verbatim_quotes(d, q, "doc_id", "text", "item_id", "text").collect()]
     assert len(got) == len(set(got)) and set(got) == want
-    assert N.verbatim_quotes(d, q.limit(0), "doc_id", "text", "item_id", "text").count() == 0
+    assert P.verbatim_quotes(d, q.limit(0), "doc_id", "text", "item_id", "text").count() == 0
     pairs = lambda t: {t[i : i + 2] for i in range(len(t) - 1)}
-    want = {(j, i, len(pairs(bare(a)) & pairs(bare(b))) / len(pairs(bare(a)))) for i, a in items for j, b in docs if pairs(bare(a)) and len(pairs(bare(a)) & pairs(bare(b))) >= 0.6 * len(pairs(bare(a)))}
-    assert {tuple(x) for x in N.value_hits(d, q, "doc_id", "item_id", 0.6, value="text").collect()} == want
+    kept = lambda t: "".join(c for c in bare(t) if c.isalnum())
+    more = items + [(80, "w1-w2"), (81, "w3, w4 -"), (82, "zz"), (83, "a")]
+    docs2 = docs + [(95, "x w1-w2 y"), (96, "w3,w4-"), (97, "w 1 w 2")]
+    d2, q2 = spark.createDataFrame(docs2, "doc_id long, text string"), spark.createDataFrame(more, "item_id long, value string")
+    for threshold in (0.6, 0.9, 1.0):
+        share = {(j, i): (len(pairs(kept(a)) & pairs(bare(b))) / len(pairs(kept(a))), bare(a) in bare(b)) for i, a in more for j, b in docs2 if pairs(kept(a))}
+        want = {(*k, *v) for k, v in share.items() if v[0] >= threshold - 1e-12 or v[1]}
+        assert {tuple(x) for x in N.value_hits(d2, q2, "doc_id", "item_id", threshold).collect()} == want
+
+
+def test_patterns_are_found_in_shards_and_overlapping(spark):
+    texts = [(1, "abcabcd 日本日本語"), (2, ""), (3, None), (4, "aaaa"), (4, "aaaa")]
+    words = ["abc", "bc", "日本", "日本語", "aa", "", None, "abc", "zz"]
+    d, p = spark.createDataFrame(texts, "id long, t string"), spark.createDataFrame([(w,) for w in words], "w string")
+    want = sorted((i, w, at) for i, t in texts for w in {w for w in words if w} for at in range(len(t or "")) if (t or "").startswith(w, at))
+    for shard_bytes in (1 << 20, 6):
+        assert sorted(tuple(x) for x in P.find_patterns(d, "id", "t", p, "w", shard_bytes).collect()) == want
+    assert P.find_patterns(d, "id", "t", p.limit(0), "w").count() == P.find_patterns(d.limit(0), "id", "t", p, "w").count() == 0
+
+
+def test_tables_in_one_line_and_lone_labels(spark):
+    one = "| 项目 | 内容 | |---|:---:| | 时间 | 10时 | | 地点 | | | 车速 | 60 |"
+    assert markdown.normalise_lines(one) == "| 项目 | 内容 |\n|---|:---:|\n| 时间 | 10时 |\n| 地点 |  |\n| 车速 | 60 |"
+    assert markdown.normalise_lines("表：| a | b |---|---| c | d |") == "表：| a | b |\n\n|---|---|\n| c | d |"
+    assert markdown.normalise_lines("| a | b |\n|---|---|\n| c | d |") == "| a | b |\n|---|---|\n| c | d |"
+    assert markdown.normalise_lines("a | b | c | d | e | f | g") == "a | b | c | d | e | f | g"
+    assert markdown.normalise_lines("**结论**：\n正文。\n**结论：**\n****：") == "## 结论\n\n正文。\n\n**结论：**\n\n****："
 
 
 def test_compact_takes_out_every_kind_of_white_space(spark):
