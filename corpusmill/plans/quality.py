@@ -154,9 +154,9 @@ def roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "met12_report_quality",
     r"""WITH b AS (SELECT d.doc_id, source, text, list_filter([lang, source], lambda v: length(v) >= 2) AS vals FROM documents d),
-    g AS (SELECT doc_id, source, text, vals, list_distinct(list_transform(range(1, length(regexp_replace(text, '\s', '', 'g'))), lambda i: substring(regexp_replace(text, '\s', '', 'g'), i, 2))) AS grams,
+    g AS (SELECT doc_id, source, text, vals, regexp_replace(text, '\s', '', 'g') AS body,
       list_distinct(list_filter(regexp_extract_all(regexp_replace(text, '(?m)^#+\s*[0-9]+(?:\.[0-9]+)*', '', 'g'), '[0-9]+(?:\.[0-9]+)?'), lambda x: x NOT IN ('1', '2', '3', '4', '5', '6', '7'))) AS numbers FROM b)
-    SELECT doc_id, length(text) AS chars, round(len(list_filter(vals, lambda v: len(list_filter(list_distinct(list_transform(range(1, length(v)), lambda i: substring(v, i, 2))), lambda p: list_contains(grams, p))) >= 0.6 * len(list_distinct(list_transform(range(1, length(v)), lambda i: substring(v, i, 2)))))) / greatest(1, len(vals)), 2) AS recall,
+    SELECT doc_id, length(text) AS chars, round(len(list_filter(vals, lambda v: len(list_filter(list_distinct(list_transform(range(1, length(v)), lambda i: substring(v, i, 2))), lambda p: contains(body, p))) >= 0.6 * len(list_distinct(list_transform(range(1, length(v)), lambda i: substring(v, i, 2)))))) / greatest(1, len(vals)), 2) AS recall,
     len(list_filter(numbers, lambda x: NOT contains(doc_id || ' ' || source, x))) AS fabricated FROM g""",
 )
 def report_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -411,3 +411,35 @@ def blind_package(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = spark.read.schema("pair_id string, text_a string, text_b string").json(f"{path}/materials").withColumn("file", F.col("_metadata.file_path"))
     answers = spark.read.schema("pair_id string, chosen_side string").json(f"{path}/answers")
     return seen.join(answers, "pair_id").agg(F.count("*").alias("pairs"), F.countDistinct("file").alias("files"))
+
+
+# ---- runs by name, and a summary table as text
+
+
+@query(
+    "src2_latest_run",
+    """WITH r AS (SELECT concat('/runs/', CAST(o_orderdate AS VARCHAR), '_', o_orderstatus, CASE WHEN o_totalprice > 150000 THEN '-retry' ELSE '' END) AS path FROM orders),
+    t(tag) AS (VALUES ('_F'), ('_O'), ('_P'), ('retry'), ('nothing')), k AS (SELECT tag, path, CASE WHEN ends_with(path, tag) THEN 1 ELSE 0 END AS rank FROM t JOIN r ON contains(split_part(path, '/', 3), tag))
+    SELECT tag, arg_max(path, {'rank': rank, 'path': path}) AS path FROM k GROUP BY tag""",
+)
+def latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as runs by date and status; for each tag the newest run that ends in it, or else holds it."""
+    name = F.concat(F.lit("/runs/"), F.col("o_orderdate").cast("string"), F.lit("_"), "o_orderstatus", F.when(F.col("o_totalprice") > 150000, "-retry").otherwise(""))
+    paths = table(spark, sf_dir, "orders").select(name.alias("path"))
+    found = [readers.latest_run(paths, tag).select(F.lit(tag).alias("tag"), "path") for tag in ("_F", "_O", "_P", "retry", "nothing")]
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.where("path is not null")
+
+
+@query(
+    "snk4_summary_table",
+    """WITH s AS (SELECT r_name, count(n_nationkey) AS nations FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name)
+    SELECT '| r_name | nations |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || r_name || ' | ' || nations || ' |', chr(10) ORDER BY r_name) AS markdown FROM s""",
+)
+def summary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions and how many nations each has, as a Markdown table."""
+    nations = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.count("*").alias("nations"))
+    rows = table(spark, sf_dir, "region").join(nations, "r_regionkey", "left").select("r_name", F.coalesce("nations", F.lit(0)).alias("nations")).orderBy("r_name")
+    return spark.createDataFrame([(writers.markdown_table(rows, ["r_name", "nations"]),)], "markdown string")

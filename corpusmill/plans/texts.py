@@ -239,7 +239,7 @@ def url_pages_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("str7_normalised_markdown")
 def normalised_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(markdown.normalise(F.col("text"))).alias("chars"))
+    return table(spark, sf_dir, "documents").select("doc_id", markdown.normalise(F.col("text")).alias("m")).select("doc_id", F.length("m").alias("chars"), F.sha2("m", 256).alias("sha"))
 
 
 @query(
