@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators import dispatch
 from corpusmill.operators import logs as L
 from corpusmill.plans.catalogue import query, table
 
@@ -93,3 +94,16 @@ def running_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("win16_longest_first", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50")
 def longest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(50)
+
+
+@query(
+    "win16_slots",
+    """WITH RECURSIVE j AS (SELECT length(coalesce(text, '')) // 64 AS length, row_number() OVER (ORDER BY length(coalesce(text, '')) // 64 DESC, doc_id) AS n FROM documents),
+    r AS (SELECT CAST(0 AS BIGINT) AS n, CAST(list_transform(range(16), lambda x: 0) AS BIGINT[]) AS loads, CAST(NULL AS BIGINT) AS length, CAST(NULL AS INT) AS slot, CAST(NULL AS BIGINT) AS start
+        UNION ALL SELECT j.n, list_transform(r.loads, lambda x, i: CASE WHEN i = list_position(r.loads, list_min(r.loads)) THEN x + j.length ELSE x END), j.length, CAST(list_position(r.loads, list_min(r.loads)) - 1 AS INT), list_min(r.loads) FROM r JOIN j ON j.n = r.n + 1)
+    SELECT length, slot, start FROM r WHERE n > 0""",
+)
+def longest_first_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, by lengths of 64 characters, on sixteen slots, longest first."""
+    size = F.floor(F.length(F.coalesce("text", F.lit(""))) / 64)
+    return dispatch.longest_first(table(spark, sf_dir, "documents"), "doc_id", size, 16).select("length", "slot", "start")

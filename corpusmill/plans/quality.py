@@ -10,7 +10,7 @@ from corpusmill.functions import text as T
 from corpusmill.operators import acceptance, datasets, gates, judging, metrics, reports, seeding, selection
 from corpusmill.operators import retrieval as R
 from corpusmill.plans.catalogue import query, table
-from corpusmill.sources import readers, writers
+from corpusmill.sources import arrays, manifests, readers, writers
 from corpusmill.sources.scratch import new_folder
 
 NUMERAL = """CASE WHEN n = 0 THEN '零' ELSE (CASE WHEN n >= 100 THEN d[n // 100 + 1] || '百' ELSE '' END) || (CASE WHEN n >= 100 AND (n // 10) % 10 = 0 AND n % 10 > 0 THEN '零' ELSE '' END)
@@ -375,6 +375,28 @@ def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.groupBy("folder").agg(F.sum("records").alias("records"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("fields")))), ",").alias("fields"))
 
 
+@query("src7_changed_files", "SELECT c_mktsegment AS segment, CAST(sum(CASE WHEN c_mktsegment = 'BUILDING' THEN 2 ELSE 1 END) AS BIGINT) AS records, c_mktsegment = 'BUILDING' AS fresh, 'c_custkey,c_name' AS fields FROM customer GROUP BY c_mktsegment")
+def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of JSON lines per market segment; one gets more files, and only those are hashed the second time."""
+    path, kept = new_folder(spark, "assets"), new_folder(spark, "manifest")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment"), "c_custkey", "c_name")
+    rows.write.partitionBy("segment").json(path)
+    manifests.current_manifest(spark, path).write.parquet(kept)
+    before = spark.read.schema(manifests.MANIFEST).parquet(kept)
+    rows.where("segment = 'BUILDING'").write.mode("append").partitionBy("segment").json(path)
+    files = manifests.current_manifest(spark, path, before).withColumn("segment", F.url_decode(F.regexp_extract("file", "segment=([^/]+)/", 1))).where("endswith(file, '.json')")
+    fields = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("fields")))), ",")
+    return files.groupBy("segment").agg(F.sum("records").alias("records"), F.bool_or("fresh").alias("fresh"), fields.alias("fields"))
+
+
+@query("src10_arrays", "SELECT CAST(round(o_totalprice * 100) AS BIGINT) % 1000 AS value, count(*) AS n FROM orders GROUP BY ALL")
+def flat_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices in cents as arrays of 64-bit integers, a file per task, read back by ranges of 64 KB."""
+    path = new_folder(spark, "arrays")
+    arrays.write_array(table(spark, sf_dir, "orders").select((F.round(F.col("o_totalprice") * 100).cast("long") % 1000).alias("value")), path, "q")
+    return arrays.read_array(spark, path, "q", split_bytes=1 << 16).groupBy("value").agg(F.count("*").alias("n"))
+
+
 @query("src9_join_on_text_ids", "SELECT r_name AS name, count(*) AS n FROM nation JOIN region ON CAST(n_regionkey AS VARCHAR) = CAST(r_regionkey AS VARCHAR) GROUP BY r_name")
 def join_on_text_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one SQL statement of a profile: names by a table of text ids."""

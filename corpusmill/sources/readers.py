@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import pandas as pd
@@ -87,24 +86,6 @@ def read_sqlite(spark: SparkSession, path: str, query: str, schema: str | Struct
     return spark.createDataFrame([(path,)], "path string").mapInPandas(run, schema)
 
 
-def read_array(spark: SparkSession, path: str, code: str) -> DataFrame:
-    """file, pos, value of flat little-endian arrays: code i (int32), q (int64), f (float32), d (float64)."""
-    width, kind = struct.calcsize(code), {"i": "int", "q": "long", "f": "float", "d": "double"}[code]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        for batch in batches:
-            for name, data in zip(batch["file"], batch["content"], strict=True):
-                values = np.frombuffer(data[: len(data) // width * width], dtype={'i': '<i4', 'q': '<i8', 'f': '<f4', 'd': '<f8'}[code])
-                for a in range(0, len(values), 100_000):
-                    part = values[a : a + 100_000]
-                    yield pd.DataFrame({"file": name, "pos": np.arange(a, a + len(part)), "value": part})
-
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
-    return files.mapInPandas(run, f"file string, pos long, value {kind}")
-
-
 def numbered(df: DataFrame, order: list[str], parts: int) -> DataFrame:
     """Adds part: rows dealt in turn over `parts` by their place in the order."""
     from corpusmill.operators.selection import global_rank

@@ -1,6 +1,5 @@
 import json
 import sqlite3
-import struct
 
 from pyspark.sql import functions as F
 
@@ -41,13 +40,11 @@ def test_manifest_of_equal_names_in_two_folders(spark, tmp_path):
     assert sorted(r.name for r in R.missing_files(manifest, ["x/part.jsonl", "z/part.jsonl", "empty.jsonl"]).collect()) == ["empty.jsonl", "z/part.jsonl"]
 
 
-def test_sqlite_and_arrays(spark, tmp_path):
+def test_sqlite(spark, tmp_path):
     with sqlite3.connect(tmp_path / "p.db") as db:
         db.execute("create table k(id int, name text)")
         db.execute("insert into k values (1, 'x'), (2, 'y')")
     assert R.read_sqlite(spark, str(tmp_path / "p.db"), "select id, name from k", "id long, name string").count() == 2
-    (tmp_path / "x.bin").write_bytes(struct.pack("<3i", 5, 6, 7))
-    assert [r.value for r in R.read_array(spark, str(tmp_path / "x.bin"), "i").orderBy("pos").collect()] == [5, 6, 7]
 
 
 def test_latest_run_prefers_exact_tags(spark):
@@ -82,6 +79,8 @@ def test_blocks():
     text = "**Label**：\na\n\nb。\nc\n- x\n  more\n1. y\n> q\n> r\n```\n# code\n```\n|a|b|\n|-|-|\n---\n# T\nend<br/>**k：**v"
     assert normalise_lines(text).split("\n\n") == ["## Label", "a\nb。", "c", "- x\n  more\n1. y", "> q\n> r", "```\n# code\n```", "|a|b|\n|-|-|", "---", "# T", "end\n**k：** v"]
     assert normalise_lines("|a|b||---|---||1|2|") == "|a|b||---|---||\n| 1|2|"
+    assert normalise_lines("| a | b | |:---|---:| | 1 | **2** | | 3 | | 4 |") == "| a | b | |:---|---:||\n| 1 | **2** ||\n| 3 ||\n| 4 |"
+    assert normalise_lines("|---|---|x|y|z|") == "|---|---|\n\nx|y|z|" and normalise_lines("|a|b||---|x||") == "|a|b||---|x||"
     assert normalise_lines("") == "" and normalise_lines("```\nopen") == "```\nopen"
 
 
