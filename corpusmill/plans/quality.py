@@ -293,6 +293,33 @@ def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.groupBy("mutation").agg(F.count("*").alias("n"))
 
 
+REPORT_PARTS = """w AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source, '文：' || regexp_replace(coalesce(text, ''), '[\\n\\r\\v\\f\\x{85}\\x{2028}\\x{2029}]', ' ', 'g') || '。' || chr(10) AS body FROM documents),
+    q AS (SELECT doc_id, '# 报告' || chr(10) || source AS p0, CASE WHEN regexp_matches(text, '[0-9]') THEN ' [依据：' || lang || ']' ELSE '' END AS cite, '。' || chr(10) AS stop,
+    CASE WHEN lang = 'en' THEN '## 二、事实与证据边界' || chr(10) || body ELSE '' END AS p1, CASE WHEN length(text) > 500 THEN '### 致因分析' || chr(10) || body ELSE '' END AS p2, '## 结论' || chr(10) || lang || '。' AS p3 FROM w),
+    r AS (SELECT *, p0 || cite || stop || p1 || p2 || p3 AS report, list_filter([p0 || cite || stop, p1, p2, p3], lambda x: x <> '') AS parts FROM q),
+    l AS (SELECT *, chr(10) || chr(10) || rtrim(parts[list_position(list_transform(parts, lambda x: length(x)), list_max(list_transform(parts, lambda x: length(x))))], chr(10)) AS again FROM r)"""
+
+
+@query(
+    "mut1_seeded_reports",
+    f"""WITH {REPORT_PARTS}, m AS (SELECT doc_id, report, unnest([{{'m': 'orig', 't': '', 'x': report}}, {{'m': 'drop_causation', 't': '{judging.DIMENSIONS[2]}', 'x': p0 || cite || stop || p1 || p3}}, {{'m': 'drop_evidence_boundary', 't': '{judging.DIMENSIONS[1]}', 'x': p0 || cite || stop || p2 || p3}},
+    {{'m': 'fake_speed', 't': '{judging.DIMENSIONS[0]}', 'x': report || '{judging.FAKE_SPEED}'}}, {{'m': 'overclaim_liability', 't': '{judging.DIMENSIONS[2]}', 'x': report || '{judging.OVERCLAIM}'}}, {{'m': 'fake_law', 't': '{judging.DIMENSIONS[3]}', 'x': report || '{judging.FAKE_LAW}'}},
+    {{'m': 'strip_citations', 't': '{judging.DIMENSIONS[3]}', 'x': p0 || stop || p1 || p2 || p3}},
+    {{'m': 'duplicate_section', 't': '{judging.DIMENSIONS[4]}', 'x': CASE WHEN len(parts) < 3 THEN report || chr(10) || chr(10) || report ELSE report || again || again || chr(10) END}}]) AS k FROM l)
+    SELECT doc_id, k.m AS mutation, k.t AS target, sha256(k.x) AS text_sha256 FROM m WHERE k.m = 'orig' OR k.x <> report""",
+)
+def seeded_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as reports: English ones state their evidence, long ones their causes, those with figures cite; an error is left out where it changes nothing."""
+    text, lang, source = (F.coalesce(c, F.lit("")) for c in ("text", "lang", "source"))
+    body = F.concat(F.lit("文："), F.regexp_replace(text, r"[\n\r\x0B\f\x85\u2028\u2029]", " "), F.lit("。\n"))
+    cite = F.when(text.rlike("[0-9]"), F.concat(F.lit(" [依据："), lang, F.lit("]"))).otherwise("")
+    evidence = F.when(lang == "en", F.concat(F.lit("## 二、事实与证据边界\n"), body)).otherwise("")
+    causes = F.when(F.length(text) > 500, F.concat(F.lit("### 致因分析\n"), body)).otherwise("")
+    report = F.concat(F.lit("# 报告\n"), source, cite, F.lit("。\n"), evidence, causes, F.lit("## 结论\n"), lang, F.lit("。"))
+    plan = judging.calibration_plan(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("report_id"), report.alias("text")))
+    return plan.select(F.col("report_id").alias("doc_id"), "mutation", "target", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("mut2_seeded_errors", "SELECT k AS kind, count(*) AS n FROM customer, (VALUES ('omit_key_fact'), ('empty_field_fabrication'), ('evaluation_as_fact'), ('obligation_mismatch')) v(k) GROUP BY k")
 def seeded_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as candidates, each with a place for four of the errors."""
