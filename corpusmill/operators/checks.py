@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import metrics as M
-from corpusmill.sources.scratch import new_folder
+from corpusmill.sources.scratch import stored
 
 CHECKS = ("coverage", "alignment", "empty_field", "attribution", "obligations", "conflicts", "privacy")
 # A number plate, and the characters that a value's hint is read without.
@@ -88,13 +88,6 @@ def claim_alignment(used: DataFrame, claims: DataFrame, evidence: DataFrame | No
     return rows.withColumn("status", status)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """A table that several checks read, written once."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _rows(df: DataFrame, check: str, item: Column | str = "field") -> DataFrame:
     return df.select("case_id", F.lit(check).alias("check"), (F.col(item) if isinstance(item, str) else item).alias("item"), "status")
 

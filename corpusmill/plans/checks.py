@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import checks, metrics
 from corpusmill.plans.catalogue import query, table
+from corpusmill.sources.scratch import stored
 
 
 BASE = {"n": "length(coalesce(text, ''))", "sound": "(doc_id * 7 + length(coalesce(text, ''))) % 3 = 0"}
@@ -53,10 +54,10 @@ _START = lambda i: " + ".join(["0", *[f"length(p{j})" for j in range(i)]])  # no
 def cases_of(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """One case per document, as the tables that field_checks() takes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    docs = checks.stored(docs.withColumns({name: F.expr(e) for name, e in BASE.items()}).withColumns({name: F.expr(e) for name, e in VALUES.items()}), "values")
+    docs = stored(docs.withColumns({name: F.expr(e) for name, e in BASE.items()}).withColumns({name: F.expr(e) for name, e in VALUES.items()}), "values")
     for made in (PIECES | REFS | STRETCH | RECORDS | IDS | TREATMENTS | ENDINGS | EXTRA, {"report": REPORT}):
         docs = docs.withColumns({name: F.expr(e) for name, e in made.items()})
-    base = checks.stored(docs.drop("text").withColumnRenamed("doc_id", "case_id"), "cases")
+    base = stored(docs.drop("text").withColumnRenamed("doc_id", "case_id"), "cases")
     many = lambda rows: base.select("case_id", F.inline(F.array(*[F.struct(*[F.expr(e).alias(n) for n, e in r.items()]) for r in rows])))
     clash = [("1", "array('天气', '年龄')", "clash1"), ("2", "array('accident:/事故责任')", "clash2"), ("3", "array('无此')", "clash3")]
     return {

@@ -102,11 +102,16 @@ SELECT t.key AS doc_id, coalesce(c.hard_fail, false) AS hard_fail, coalesce(c.co
 """
 
 
-def traces_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Traces and cases, one of each per document."""
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the article that their reports name, as a number and as a numeral."""
     from corpusmill.functions.numerals import numeral_of
 
-    docs = table(spark, sf_dir, "documents").withColumn("n", F.expr("doc_id % 90 + 2")).withColumn("numeral", numeral_of(F.col("n")))
+    return table(spark, sf_dir, "documents").withColumn("n", F.expr("doc_id % 90 + 2")).withColumn("numeral", numeral_of(F.col("n")))
+
+
+def traces_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Traces and cases, one of each per document."""
+    docs = numbered(spark, sf_dir)
     rows = docs.select("doc_id", "n", *[F.expr(e).alias(name) for name, e in TRACE.items()])
     none = F.lit(None).cast("string")
     law = F.struct(F.lit("law-1").alias("id"), F.lit("src").alias("source"), none.alias("title"), none.alias("authority"), F.col("law_text").alias("content"), none.alias("citation"))
