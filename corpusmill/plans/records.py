@@ -19,7 +19,7 @@ def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("signatures"), F.max("n").alias("largest"))
 
 
-@query("jsn1_canonical")
+@query("jsn1_canonical", "SELECT event_id, CASE WHEN json_valid(props) THEN sha256(replace(props, ' ', '')) END AS digest FROM events")
 def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", J.canonical_digest(F.col("props")).alias("digest"))
 
@@ -29,6 +29,23 @@ def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.size(J.string_leaves(F.col("props"))).alias("strings"))
 
 
+# A document as JSON: keys in one of two orders, spaces or none, strings of letters only, an unreadable one now and then.
+_KEYED = {"a": """concat('"note":', CASE WHEN n_chars % 3 = 0 THEN 'null' WHEN n_chars % 3 = 1 THEN '""' ELSE '" "' END)""", "b": """concat('"place":{"source":"', source, '","n":', CAST(n_chars AS STRING), '}')""", "c": """concat('"tags":["', lang, '",true,["', lang, source, '"],', CAST(n_chars % 7 AS STRING), ']')"""}
+_SORTED = f"""concat('{{', {_KEYED["a"]}, ',"place":{{"n":', CAST(n_chars AS VARCHAR), ',"source":"', source, '"}},', {_KEYED["c"].replace("STRING", "VARCHAR")}, '}}')"""
+_WRITTEN = f"""CASE WHEN doc_id % 13 = 0 THEN concat('{{', {_KEYED["a"]}) WHEN n_chars % 2 = 0 THEN concat('{{ ', {_KEYED["c"]}, ' , ', {_KEYED["a"]}, ',  ', {_KEYED["b"]}, '}}') ELSE concat('{{', {_KEYED["b"]}, ', ', {_KEYED["c"]}, ', ', {_KEYED["a"]}, ' }}') END"""
+
+
+@query(
+    "jsn1_nested",
+    f"""SELECT doc_id, CASE WHEN doc_id % 13 > 0 THEN sha256({_SORTED}) END AS digest,
+    CASE WHEN doc_id % 13 = 0 THEN [] ELSE list_sort(list_filter([CASE n_chars % 3 WHEN 1 THEN '' WHEN 2 THEN ' ' END, source, lang, lang || source], lambda x: x IS NOT NULL)) END AS strings FROM documents""",
+)
+def nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical digests and string leaves of nested JSON whose keys stand in any order; null and none where it does not parse."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(_WRITTEN).alias("json"))
+    return rows.select("doc_id", J.canonical_digest(F.col("json")).alias("digest"), F.array_sort(J.string_leaves(F.col("json"))).alias("strings"))
+
+
 @query("jsn5_key_check", "SELECT event_type, count(*) FILTER (len(list_filter(json_keys(props), lambda k: k <> 'k')) > 0) AS with_unknown, count(*) FILTER (NOT list_contains(json_keys(props), 'k')) AS with_missing FROM events WHERE json_valid(props) GROUP BY event_type")
 def key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").withColumn("keys", F.json_object_keys("props")).where("keys is not null")

@@ -231,7 +231,11 @@ def sanitised_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(markdown.sanitise(text), 256).alias("sha"), F.length(markdown.sanitise(text)).alias("chars"))
 
 
-@query("url_pages_clean")
+@query(
+    "url_pages_clean",
+    r"""SELECT page_id, nullif(regexp_extract(url, '^[^:/?#]+://([^/?#:]+)', 1), '') AS host,
+    length(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<nav[^>]*>.*?</nav>', '', 'g'), '<[^>]+>', chr(10), 'g'), '\s+', '', 'g')) AS chars FROM pages""",
+)
 def url_pages_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style|nav)[^>]*>.*?</\1>", ""), "<[^>]+>", "\n")
     return table(spark, sf_dir, "pages").select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.length(T.compact(body)).alias("chars"))
