@@ -3,32 +3,49 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.sources.scratch import stored
+
 RANGES = 64
 
 
-def exact_floor_percentile(df: DataFrame, group: list[str], value: str, q: float) -> DataFrame:
-    """group.., percentile: sorted[min(floor(q * n), n - 1)] of each group's values that are not null.
+def joined_by(left: DataFrame, right: DataFrame, group: list[str]) -> DataFrame:
+    """Rows of both sides with equal groups; a null is a group like any other."""
+    named = right.withColumnsRenamed({c: f"_of_{c}" for c in group})
+    return left.join(named, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group])).drop(*[f"_of_{c}" for c in group])
+
+
+def exact_floor_percentiles(df: DataFrame, group: list[str], value: str, places: dict[str, float]) -> DataFrame:
+    """group.., and for each name: q of places sorted[min(floor(q * n), n - 1)] of each group's values that are not null.
 
-    Equal values are counted first. Counts are then summed over ranges of values between rough quantiles of
-    the group, and only the range that holds the wanted place is put in order, so no group is gathered in
-    one task, however many values it has.
+    Equal values are counted first, once for all places. Counts are then summed over ranges of values between
+    rough quantiles of the group, and only the ranges that hold a wanted place are put in order, so no group
+    is gathered in one task, however many values it has. Rough quantiles differ from one run to the next,
+    so they are stored: both readings deal the counts by the same ones.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    cuts = counts.groupBy(*group).agg(F.sum("_c").alias("_n"), F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("_cuts"))
-    dealt = counts.join(cuts, group).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))).drop("_cuts")
-    sums = dealt.groupBy(*group, "_range").agg(F.sum("_c").alias("_s"), F.max("_n").alias("_n"))
-    upto = F.sum("_s").over(Window.partitionBy(*group).orderBy("_range"))
-    wanted = F.least(F.floor(F.lit(q) * F.col("_n")), F.col("_n") - 1)
-    holding = sums.withColumn("_upto", upto).where((F.col("_upto") > wanted) & (F.col("_upto") - F.col("_s") <= wanted))
-    inside = dealt.drop("_n").join(holding.select(*group, "_range", (wanted - F.col("_upto") + F.col("_s")).alias("_left")), [*group, "_range"])
-    reached = F.sum("_c").over(Window.partitionBy(*group).orderBy("_v"))
-    return inside.withColumn("_reached", reached).where(F.col("_reached") > F.col("_left")).groupBy(*group).agg(F.min("_v").alias("percentile"))
+    counts = stored(df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count("*").alias("_c")), "counts")
+    cuts = stored(counts.groupBy(*group).agg(F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("_cuts")), "cuts")
+    dealt = joined_by(counts, cuts, group).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))).drop("_cuts")
+    mine = Window.partitionBy(*group)
+    sums = dealt.groupBy(*group, "_range").agg(F.sum("_c").alias("_s"))
+    sums = sums.withColumns({"_n": F.sum("_s").over(mine), "_upto": F.sum("_s").over(mine.orderBy("_range"))})
+    asked = sums.withColumn("_q", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(q).alias("q")) for k, q in places.items()])))
+    asked = asked.withColumn("_wanted", F.least(F.floor(F.col("_q.q") * F.col("_n")), F.col("_n") - 1)).where((F.col("_upto") > F.col("_wanted")) & (F.col("_upto") - F.col("_s") <= F.col("_wanted")))
+    holding = stored(asked.select(*group, "_range", F.col("_q.name").alias("_name"), (F.col("_wanted") - F.col("_upto") + F.col("_s")).alias("_left")), "ranges")
+    reached = joined_by(dealt, holding, [*group, "_range"]).withColumn("_reached", F.sum("_c").over(Window.partitionBy(*group, "_name").orderBy("_v"))).where(F.col("_reached") > F.col("_left"))
+    return reached.groupBy(*group).agg(*[F.min(F.when(F.col("_name") == k, F.col("_v"))).alias(k) for k in places])
+
+
+def exact_floor_percentile(df: DataFrame, group: list[str], value: str, q: float) -> DataFrame:
+    """group.., percentile; see exact_floor_percentiles()."""
+    return exact_floor_percentiles(df, group, value, {"percentile": q})
 
 
 def nearest_rank(value: str, q: float) -> Column:

@@ -26,7 +26,8 @@ HASH = "CAST('0x' || substring(sha256({}), 1, 8) AS BIGINT)"
 def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     sums = rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 0).alias("hard_fails"), F.avg("quality").alias("mean_quality"), F.avg("n_chars").alias("mean_chars"), F.sum("n_chars").alias("chars"))
-    return sums.join(A.exact_floor_percentile(rows, ["source"], "n_chars", 0.9).withColumnRenamed("percentile", "p90_chars"), "source")
+    sums = A.joined_by(sums, A.exact_floor_percentiles(rows, ["source"], "n_chars", {"p90_chars": 0.9}), ["source"])
+    return sums.select("source", "n", "hard_fails", "mean_quality", "mean_chars", "p90_chars", "chars")
 
 
 @query("agg1_code_counts", "SELECT user_id, event_type AS code, count(*) AS n FROM events GROUP BY ALL")

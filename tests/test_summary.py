@@ -101,3 +101,13 @@ def test_ridge_weights_are_those_of_a_plain_solve(spark):
     want = np.linalg.solve(g + 0.01 * np.trace(g) / 6 * np.eye(6), s)
     assert np.allclose(A.ridge_weights(df, "e", "y", 0.01), want / (want @ s))
     assert len(A.ridge_weights(df.limit(0), "e", "y", 0.01)) == 0
+
+
+def test_percentiles_of_many_values_and_of_a_null_group(spark):
+    """Rough quantiles of so many values differ between two readings; a null is a group of its own."""
+    rows = spark.range(0, 300_000, 1, 23).selectExpr("nullif(id % 3, 2) AS g", "xxhash64(id) AS v")
+    got = {x.g: (x.p, x.m) for x in A.exact_floor_percentiles(rows, ["g"], "v", {"p": 0.9, "m": 0.5}).collect()}
+    for g in (0, 1, None):
+        values = sorted(x.v for x in rows.where(f"g <=> {'null' if g is None else g}").collect())
+        assert got[g] == (values[90_000], values[50_000])
+    assert {x.g for x in A.exact_floor_percentile(rows, ["g"], "v", 0.9).collect()} == {0, 1, None}
