@@ -41,8 +41,7 @@ def code_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def floor_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")
-    p90 = A.exact_floor_percentile(rows, ["l_returnflag"], "l_extendedprice", 0.9).withColumnRenamed("percentile", "p90")
-    return p90.join(A.exact_floor_percentile(rows, ["l_returnflag"], "l_extendedprice", 0.5).withColumnRenamed("percentile", "upper_median"), "l_returnflag")
+    return A.exact_floor_percentiles(rows, ["l_returnflag"], "l_extendedprice", {"p90": 0.9, "upper_median": 0.5})
 
 
 @query("agg3_nearest_rank", "SELECT o_orderpriority, quantile_disc(o_totalprice, 0.5) AS p50, quantile_disc(o_totalprice, 0.95) AS p95, max(o_totalprice) AS highest FROM orders GROUP BY o_orderpriority")
