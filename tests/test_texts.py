@@ -134,3 +134,18 @@ def test_every_turn_is_compared_with_the_next(spark, tmp_path):
     rows = [(1, 0, "one"), (1, 1, "two"), (1, 2, "three"), (1, 4, "four"), (2, 0, "alone")]
     spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert sorted((r.conv_id, r.turn) for r in similarity(spark, str(tmp_path)).collect()) == [(1, 0), (1, 1), (1, 2)]
+
+
+def test_values_meet_documents_where_they_stand(spark, monkeypatch):
+    """No row of a document is shuffled, and several shards of values find what one finds."""
+    from corpusmill.operators import ngrams
+
+    docs = spark.createDataFrame([(i, f"alpha beta {i} gamma delta") for i in range(40)] + [(None, "alpha"), (99, None)], "d long, text string")
+    values = spark.createDataFrame([(i, v) for i, v in enumerate(["alpha beta", "gam-ma", "delta 9", "zz", "x", "", None])], "i long, value string")
+    one = ngrams.value_hits(docs, values, "d", "i", 0.6)
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ngrams, "SHARD_CHARS", 8)
+    several = ngrams.value_hits(docs, values, "d", "i", 0.6)
+    got = sorted(map(tuple, one.collect()))
+    assert got == sorted(map(tuple, several.collect())) and (7, 0, 1.0, True) in got
+    assert ngrams.value_hits(docs, values.limit(0), "d", "i", 0.6).collect() == []
