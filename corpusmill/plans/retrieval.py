@@ -19,16 +19,15 @@ s AS (SELECT query, doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.
 k AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s)"""
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents for all benchmark items; only the items' tokens leave the documents."""
+def _scored(spark: SparkSession, sf_dir: str, limit: int, kinds: int = 1) -> DataFrame:
+    """Scores of the best documents of each kind (doc modulo kinds) for all benchmark items, `limit` or more of each."""
     docs, tokens = table(spark, sf_dir, "documents"), T.keyword_tokens(F.col("text"))
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(tokens)).alias("token"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg(T.keyword_count(F.col("text"))).alias("mean")).first()  # one row
-    return R.bm25_scores(R.postings(docs, "doc_id", tokens, queries), queries, stats["n"], stats["mean"] or 0.0)
+    return R.bm25_best(docs, "doc_id", tokens, queries.distinct(), limit, kinds)
 
 
 def _ranked(spark: SparkSession, sf_dir: str, limit: int = 24) -> DataFrame:
-    return best_per_group(_scored(spark, sf_dir), ["query"], [F.desc("score"), "doc"], limit).withColumnRenamed("place", "rank")
+    return best_per_group(_scored(spark, sf_dir, limit), ["query"], [F.desc("score"), "doc"], limit).withColumnRenamed("place", "rank")
 
 
 @query("bm25_topk", f"WITH {INDEX} SELECT query, doc, rank, round(score, 6) AS score FROM k WHERE rank <= 24")
@@ -46,7 +45,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even and odd documents as the two indexes."""
-    scored = _scored(spark, sf_dir).withColumn("tag", F.when(F.col("doc") % 2 == 0, "chunk").otherwise("rule"))
+    scored = _scored(spark, sf_dir, 24, 2).withColumn("tag", F.when(F.col("kind") == 0, "chunk").otherwise("rule"))
     ranked = best_per_group(scored, ["query", "tag"], [F.desc("score"), "doc"], 24).withColumnRenamed("place", "rank")
     return R.fuse(ranked, 8).select("query", "tag", "doc", F.round(F.col("fused") * 60, 4).alias("score"), "place")
 
@@ -136,7 +135,7 @@ def term_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two indexes ranked apart, fused, at most five of a kind and eight in all, then cut to a budget of characters."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("content"))
-    tagged = _scored(spark, sf_dir).withColumn("tag", F.when(F.col("doc") % 3 == 0, "rule").otherwise("chunk"))
+    tagged = _scored(spark, sf_dir, 24, 3).withColumn("tag", F.when(F.col("kind") == 0, "rule").otherwise("chunk"))
     kept = R.hybrid(tagged, docs, per_index=24, most=8, per_kind=5, max_chars=9000)
     return kept.select("query", "tag", "doc", "place", F.length("content").cast("long").alias("chars"), "content_truncated")
 
