@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.operators.gates import PLATE
 from corpusmill.operators.summary import worst_status
+from corpusmill.sources.scratch import stored
 
 # The marker words and prefixes of the checks.
 MISSING = ("信息不足", "未提供", "未记载", "缺少", "待核实", "无法确认", "未知", "空缺", "输入为空", "为空", "空白", "无记载", "没有记载", "未见记载", "未填写", "未给出", "缺失")
@@ -160,8 +161,8 @@ def coverage_check(fields: DataFrame, used: DataFrame) -> DataFrame:
 
 
 def evaluate_candidates(fields: DataFrame, claims: DataFrame, obligations: DataFrame, conflicts: DataFrame, reports: DataFrame, hidden: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
-    """All seven checks: case_id, check, field, status."""
-    used = used_fields(claims, fields, reports)
+    """All seven checks: case_id, check, field, status. The claims' fields, which six of them read, are stored."""
+    used = stored(used_fields(claims, fields, reports), "used")
     aligned = alignment(used.where(T.present(F.col("value"))), evidence).groupBy("case_id", "field").agg(worst_status(F.col("status")).alias("status")).select("case_id", F.lit("alignment").alias("check"), "field", "status")
     checks = [
         coverage_check(fields, used),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import metrics as M
+from corpusmill.sources.scratch import stored
 
 # The made-up value, and what the obligations then say.
 MADE_UP = "合成占位值"
@@ -105,12 +106,13 @@ def seed_errors(fields: DataFrame, claims: DataFrame, obligations: DataFrame, co
     """case_id, kind, field, report, signals, ratio of the errors that are taken.
 
     A case whose checks fail as it is has none. Of an edited case only checks of the error's kind, on the
-    edit's field, may fail, and one must; its report is from 0.85 to 1.15 times as long as before.
+    edit's field, may fail, and one must; its report is from 0.85 to 1.15 times as long as before. The
+    edits and the edited tables, which every check reads, are stored, so no plan holds all of them.
     """
-    made = edits(fields, claims, obligations, conflicts, reports)
-    edited = variants(made, fields, claims, obligations, conflicts, reports, hidden)
+    made = stored(edits(fields, claims, obligations, conflicts, reports), "edits")
+    edited = {name: stored(df, name) for name, df in variants(made, fields, claims, obligations, conflicts, reports, hidden).items()}
     failed = M.evaluate_candidates(**edited).where("status = 'fail'").select(F.col("case_id").alias("key"), F.struct("check", "field").alias("failure"))
-    failed = failed.groupBy("key").agg(F.array_sort(F.collect_set("failure")).alias("failures"))
+    failed = stored(failed.groupBy("key").agg(F.array_sort(F.collect_set("failure")).alias("failures")), "failures")
     rows = made.select("case_id", "kind", "field", F.concat_ws("::", "case_id", "kind").alias("key")).join(failed, "key", "left")
     sound = rows.where((F.col("kind") == "orig") & F.col("failures").isNull()).select("case_id")
     allowed = F.create_map(*[x for k, v in TARGETS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])

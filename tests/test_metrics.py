@@ -88,3 +88,11 @@ def test_seeded_errors_are_single(spark):
     assert got["obligation_mismatch"].report == text + filler and got["obligation_mismatch"].signals == ["metric:obligations:天气"]
     assert "冲突" not in got["swallow_conflict"].report
     assert S.seed_errors(**tables(spark, reports=[("c", REPORT.replace("晴", "雨"))])).count() == 0
+
+
+def test_seeded_errors_read_stored_tables(spark, small_dir):
+    """The plan of the result does not hold the checks of all edited tables."""
+    from corpusmill import plans
+
+    made = plans.QUERIES["mut2_seeded_errors"](spark, small_dir)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Join ") < 10
