@@ -184,7 +184,7 @@ def answer_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("win11_speculation")
 def speculation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngrams.speculation(_tokens(spark, sf_dir), 2, 8)
+    return ngrams.per_sequence(table(spark, sf_dir, "documents"), "doc_id", "text", ngrams.drafts_of(2, 8), ("steps", "accepted"))
 
 
 @query(

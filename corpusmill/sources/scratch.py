@@ -24,3 +24,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+BATCH_BYTES = 4 << 20
+
+
+def stored_in_small_batches(df: DataFrame, name: str) -> DataFrame:
+    """stored(), with rows passing to Python in Arrow batches of about BATCH_BYTES, however many rows or however long texts there are."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(key, None)
+    conf.set(key, str(BATCH_BYTES))
+    try:
+        return stored(df, name)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
