@@ -153,13 +153,9 @@ l AS (SELECT doc, pos, token || ' ' || lead(token, 1) OVER o || ' ' || lead(toke
 g AS (SELECT * FROM l WHERE gram IS NOT NULL)"""
 
 
-def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(T.words(F.col("text"))).alias("pos", "token"))
-
-
 @query("ngram_first_seen", f"WITH {TOKENS}, m AS (SELECT doc, min(pos) OVER (PARTITION BY doc, gram) < pos AS again FROM g) SELECT doc, count(*) FILTER (again) AS repeated, count(*) AS total FROM m GROUP BY doc")
 def ngram_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngrams.seen_before(ngrams.sequence_grams(_tokens(spark, sf_dir), 4))
+    return ngrams.per_sequence(table(spark, sf_dir, "documents"), "doc_id", "text", ngrams.repeats_of(4), ("repeated", "total"))
 
 
 @query(
@@ -168,7 +164,7 @@ def ngram_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     p AS (SELECT doc, unnest(range(pos, pos + 4)) AS place FROM g JOIN o USING (doc, gram)) SELECT doc, count(DISTINCT place) AS covered FROM p GROUP BY doc""",
 )
 def loop_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngrams.loop_coverage(ngrams.sequence_grams(_tokens(spark, sf_dir), 4), 4, 3)
+    return ngrams.per_sequence(table(spark, sf_dir, "documents"), "doc_id", "text", ngrams.loops_of(4, 3), ("covered",))
 
 
 @query(

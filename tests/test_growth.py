@@ -25,3 +25,10 @@ def in_rows_and_long(spark, measure, columns):
 def test_drafts_are_walked_where_the_texts_stand(spark):
     got, tokens = in_rows_and_long(spark, ngrams.drafts_of(2, 8), ("steps", "accepted"))
     assert got == {tuple(r) for r in ngrams.speculation(tokens, 2, 8).collect()} and {r[0] for r in got} == {1, 2, 4, 6}
+
+
+def test_loops_and_repeats_are_counted_where_the_texts_stand(spark):
+    got, tokens = in_rows_and_long(spark, ngrams.loops_of(2, 3), ("covered",))
+    assert got == {tuple(r) for r in ngrams.loop_coverage(ngrams.sequence_grams(tokens, 2), 2, 3).collect()} and {r[0] for r in got} == {1, 4}
+    got, _ = in_rows_and_long(spark, ngrams.repeats_of(4), ("repeated", "total"))
+    assert got == {tuple(r) for r in ngrams.seen_before(ngrams.sequence_grams(tokens, 4)).collect()}
