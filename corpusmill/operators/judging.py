@@ -126,12 +126,17 @@ def mutations(report: Column) -> Column:
     return F.array(*[F.struct(F.lit(m).alias("mutation"), F.lit(d).alias("target"), t.alias("text")) for m, d, t in texts])
 
 
-def calibration_plan(reports: DataFrame, seed: str = "7") -> DataFrame:
-    """reports(report_id, text) -> item_id, report_id, mutation, target, text in a seeded order; errors that change nothing are left out."""
+def seeded_items(reports: DataFrame) -> DataFrame:
+    """reports(report_id, text) -> item_id, report_id, mutation, target, text in no order; errors that change nothing are left out. Made where the reports stand: no text moves."""
     rows = reports.select("report_id", F.col("text").alias("_text"), F.explode(mutations(F.col("text"))).alias("m"))
     kept = rows.where((F.col("m.mutation") == "orig") | (F.col("m.text") != F.col("_text")))
     item = F.concat_ws("::", "report_id", "m.mutation")
-    return kept.select(item.alias("item_id"), "report_id", "m.mutation", "m.target", "m.text").orderBy(F.sha2(F.concat_ws(":", F.lit(seed), item), 256))
+    return kept.select(item.alias("item_id"), "report_id", "m.mutation", "m.target", "m.text")
+
+
+def calibration_plan(reports: DataFrame, seed: str = "7") -> DataFrame:
+    """seeded_items() in a seeded order."""
+    return seeded_items(reports).orderBy(F.sha2(F.concat_ws(":", F.lit(seed), "item_id"), 256))
 
 
 def calibration_summary(judged: DataFrame) -> DataFrame:

@@ -32,3 +32,10 @@ def test_loops_and_repeats_are_counted_where_the_texts_stand(spark):
     assert got == {tuple(r) for r in ngrams.loop_coverage(ngrams.sequence_grams(tokens, 2), 2, 3).collect()} and {r[0] for r in got} == {1, 4}
     got, _ = in_rows_and_long(spark, ngrams.repeats_of(4), ("repeated", "total"))
     assert got == {tuple(r) for r in ngrams.seen_before(ngrams.sequence_grams(tokens, 4)).collect()}
+
+
+def test_seeded_items_move_no_text(spark):
+    texts = spark.createDataFrame([("r", "# A\nb\n## 致因分析\nc\n"), ("s", "x")], "report_id string, text string").repartition(3)
+    items = judging.seeded_items(texts.localCheckpoint())
+    assert "Exchange" not in plan_of(items) and "Sort" not in plan_of(items)
+    assert sorted(items.collect()) == sorted(judging.calibration_plan(texts).collect())
