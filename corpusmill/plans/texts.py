@@ -11,6 +11,7 @@ from corpusmill.operators.ngrams import value_hits
 from corpusmill.operators.selection import cascade, difference
 from corpusmill.operators.summary import exact_floor_percentile
 from corpusmill.plans.catalogue import query, table
+from corpusmill.sources.scratch import stored_in_small_batches
 
 BODY = r"regexp_replace(text, '\s+', '', 'g')"
 GRAMS = "CASE WHEN length(body) >= 12 THEN list_transform(range(1, length(body) - 10), lambda i: substring(body, i, 12)) ELSE [] END"
@@ -224,7 +225,8 @@ def value_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("str6_sanitised_pages")
 def sanitised_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</\1>", ""), "<[^>]+>", " ")
-    return table(spark, sf_dir, "pages").select("page_id", F.sha2(markdown.sanitise(text), 256).alias("sha"), F.length(markdown.sanitise(text)).alias("chars"))
+    clean = stored_in_small_batches(markdown.sanitised(table(spark, sf_dir, "pages").select("page_id", text.alias("text")), "text"), "clean")
+    return clean.select("page_id", F.sha2("text", 256).alias("sha"), F.length("text").alias("chars"))
 
 
 @query(

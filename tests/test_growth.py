@@ -39,3 +39,19 @@ def test_seeded_items_move_no_text(spark):
     items = judging.seeded_items(texts.localCheckpoint())
     assert "Exchange" not in plan_of(items) and "Sort" not in plan_of(items)
     assert sorted(items.collect()) == sorted(judging.calibration_plan(texts).collect())
+
+
+def test_rows_pass_to_python_in_small_batches(spark):
+    rows = spark.range(3000).coalesce(1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+    sizes = scratch.stored_in_small_batches(rows.mapInPandas(lambda batches: (b.head(1).assign(n=len(b))[["n"]] for b in batches), "n long"), "sizes")
+    found = [r.n for r in sizes.collect()]
+    assert sum(found) == 3000 and max(found) * 10_000 <= 2 * scratch.BATCH_BYTES
+
+
+def test_sanitising_a_table_walks_each_text_once(spark):
+    texts = ["a\n# B\nc", "```md\n```", "", None, "<think>x</think> # A\nb", "x\r\ny"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    clean = markdown.sanitised(rows, "text")
+    twice = clean.select("i", F.sha2("text", 256).alias("sha"), F.length("text").alias("chars"))
+    assert plan_of(twice).split("Physical Plan")[1].count("walk(") == 1
+    assert sorted(clean.collect()) == sorted(rows.select("i", markdown.sanitise(F.col("text")).alias("text")).collect())
