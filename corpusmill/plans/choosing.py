@@ -10,6 +10,7 @@ from corpusmill.operators import datasets as D
 from corpusmill.operators import selection as S
 from corpusmill.operators.summary import blended_vocabulary
 from corpusmill.plans.catalogue import query, table
+from corpusmill.sources.scratch import stored
 
 FRACTION = "CAST('0x' || substring(sha256({}), 1, 8) AS BIGINT)"
 
@@ -242,7 +243,7 @@ def vocab_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fold_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of a fold's text the 500 most frequent words of the other folds cover."""
     words = table(spark, sf_dir, "documents").select(S.fold(F.col("source"), 5).alias("fold"), F.explode(T.words(F.col("text"))).alias("token"))
-    counts = words.groupBy("fold", "token").agg(F.count("*").alias("n"))
+    counts = stored(words.groupBy("fold", "token").agg(F.count("*").alias("n")), "counts")
     totals = counts.groupBy("token").agg(F.sum("n").alias("t"))
     folds = counts.select("fold").distinct()  # five rows
     grid = totals.join(F.broadcast(folds), how="cross").join(counts, ["fold", "token"], "left").select("fold", "token", (F.col("t") - F.coalesce("n", F.lit(0))).alias("other")).where("other > 0")

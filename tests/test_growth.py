@@ -62,3 +62,9 @@ def test_recall_looks_for_the_facts_pairs_alone(spark):
     found = rows.select(reports.fact_recall(F.col("facts"), F.col("report")).alias("x"))
     assert [r.x for r in found.collect()] == [1 / 3, 0.0, 0.0]
     assert "array_intersect" not in plan_of(found)
+
+
+def test_fold_coverage_counts_the_words_once(spark, small_dir, monkeypatch):
+    kept = []
+    monkeypatch.setattr(choosing, "stored", lambda df, name: kept.append(name) or scratch.stored(df, name))
+    assert "RegExpExtractAll" not in plan_of(choosing.fold_coverage(spark, small_dir)) and kept == ["counts"]
