@@ -1,5 +1,8 @@
 """Work that must not grow faster than its tables: what moves between tasks, what is computed twice, how much passes to Python at once."""
 
+from types import SimpleNamespace
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
@@ -7,6 +10,7 @@ from corpusmill.operators import evidence, judging, markdown, ngrams, reports
 from corpusmill.plans import choosing
 from corpusmill.plans import evidence as plans_evidence
 from corpusmill.sources import scratch
+from corpusmill.streaming import budgets
 
 
 def plan_of(df):
@@ -68,3 +72,56 @@ def test_fold_coverage_counts_the_words_once(spark, small_dir, monkeypatch):
     kept = []
     monkeypatch.setattr(choosing, "stored", lambda df, name: kept.append(name) or scratch.stored(df, name))
     assert "RegExpExtractAll" not in plan_of(choosing.fold_coverage(spark, small_dir)) and kept == ["counts"]
+
+
+def test_a_scope_writes_a_call_once_a_batch_and_has_one_timer():
+    class Store:
+        def __init__(self):
+            self.entries, self.writes, self.reads = {}, 0, 0
+
+        def exists(self):
+            return () in self.entries
+
+        def get(self):
+            return self.entries[()]
+
+        def update(self, value):
+            self.entries[()] = value
+
+        def clear(self):
+            self.entries.pop((), None)
+
+        def containsKey(self, key):
+            self.reads += 1
+            return key in self.entries
+
+        def getValue(self, key):
+            return self.entries[key]
+
+        def updateValue(self, key, value):
+            self.writes += 1
+            self.entries[key] = value
+
+        def removeKey(self, key):
+            del self.entries[key]
+
+        def iterator(self):
+            return iter(list(self.entries.items()))
+
+    class Handle:
+        timers = []
+        getValueState = getMapState = lambda self, *a: Store()
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    ledger = budgets.Reservations(1000.0, 100)
+    ledger.init(Handle())
+    rows = [("reserved", c, float(i)) for i in range(30) for c in ("a", "b")] + [("completed", "b", 1.0)]
+    batch = pd.DataFrame([(e, c, i, usd, i) for i, (e, c, usd) in enumerate(rows)], columns=["event", "call_id", "seq", "usd", "at"])
+    out = pd.concat(ledger.handleInputRows(("s",), iter([batch]), None))
+    assert list(out.outcome) == ["granted"] * 60 and ledger.committed.get() == (30.0,)
+    assert (ledger.held.writes, ledger.actual.writes, ledger.held.reads, len(Handle.timers)) == (1, 1, 0, 1)
+    watermark = SimpleNamespace(getCurrentWatermarkInMs=lambda: 158)
+    late = pd.concat(ledger.handleExpiredTimer(("s",), watermark, SimpleNamespace(getExpiryTimeInMs=lambda: 158)))
+    assert late.values.tolist() == [["s", "a", 58, "unsettled"]] and not ledger.timer.exists()
