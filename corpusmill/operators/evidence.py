@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.functions.numerals import folded_numbers, numeral_value
 from corpusmill.operators import gates as G
+from corpusmill.sources.scratch import stored_in_small_batches
 
 HARD = (
     "no_report",
@@ -121,11 +122,18 @@ def gate_masks(traces: DataFrame, cases: DataFrame) -> DataFrame:
 
     traces and cases as evaluate_gates() takes them. Keys are those of one trace each. Without a report
     the only code is no_report; issues of tool calls that have no code of their own are tool_call_other.
+    What traces have thought is measured before they meet their cases, so it moves nowhere; the met rows,
+    which every check reads, are stored.
     """
     report = F.coalesce("final_markdown", F.lit(""))
-    joined = traces.join(cases, "case_id").withColumn("snippets", F.coalesce("visible_snippets", F.expr("slice(visible_snippets, 1, 0)")))
+    thought = F.when((F.col("status") == "ok") & (report != ""), F.col("reasoning"))
+    looped = F.coalesce(F.array_max(G.loop_ratios(thought)), F.lit(0.0))
+    length = F.coalesce(F.array_max(F.transform(thought, lambda x: F.length(x))), F.lit(0))
+    narrow = traces.withColumns({"_loop": looped, "_longest": length}).drop("reasoning")
+    joined = narrow.join(cases, "case_id").withColumn("snippets", F.coalesce("visible_snippets", F.expr("slice(visible_snippets, 1, 0)")))
     corpus = F.concat_ws(" ", F.map_values("accident_data"), "guidance", F.transform("snippets", G.snippet_text))
-    rows = joined.withColumns({"report": report, "corpus": corpus})
+    wanted = ("key", "status", "report", "snippets", "corpus", "guidance", "tool_call_issues", "any_truncated", "retrieval_rounds", "_loop", "_longest")
+    rows = stored_in_small_batches(joined.withColumns({"report": report, "corpus": corpus}).select(*wanted), "traces")
     given = rows.where((F.col("status") == "ok") & (F.col("report") != ""))
     held = evidence(given)
 
@@ -136,8 +144,6 @@ def gate_masks(traces: DataFrame, cases: DataFrame) -> DataFrame:
         missing = missing | ~F.contains("titles", F.lit(title))
     r = F.col("report")
     english = F.filter(F.regexp_extract_all(F.regexp_replace(r, G.CITATION, ""), F.lit("[A-Za-z]{4,}"), F.lit(0)), lambda w: F.lower(w) != "markdown")
-    loop = F.coalesce(F.array_max(G.loop_ratios(F.col("reasoning"))), F.lit(0.0))
-    longest = F.coalesce(F.array_max(F.transform("reasoning", lambda x: F.length(x))), F.lit(0))
     own = _mask(
         ("truncated_output", F.coalesce("any_truncated", F.lit(False))),
         ("tool_call_unknown_tool", F.array_contains(issues, "unknown_tool")),
@@ -156,7 +162,7 @@ def gate_masks(traces: DataFrame, cases: DataFrame) -> DataFrame:
         ("english_leakage", F.size(english) > 8),
         ("missing_sections", missing),
         ("unbalanced_bold", T.unbalanced_bold(r)),
-        ("reasoning_loop", (loop > 0.3) & (longest >= 2000)),
+        ("reasoning_loop", (F.col("_loop") > 0.3) & (F.col("_longest") >= 2000)),
     )
     zero = F.lit(0).cast("long")
     standards = F.size(F.array_distinct(G.unsupported_standards(r, F.col("corpus")))).cast("long")

@@ -125,3 +125,10 @@ def test_a_scope_writes_a_call_once_a_batch_and_has_one_timer():
     watermark = SimpleNamespace(getCurrentWatermarkInMs=lambda: 158)
     late = pd.concat(ledger.handleExpiredTimer(("s",), watermark, SimpleNamespace(getExpiryTimeInMs=lambda: 158)))
     assert late.values.tolist() == [["s", "a", 58, "unsettled"]] and not ledger.timer.exists()
+
+
+def test_gates_store_rows_without_what_was_thought(spark, small_dir, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(evidence, "stored_in_small_batches", lambda df, name: kept.setdefault(name, df) and scratch.stored_in_small_batches(df, name))
+    plan = plan_of(plans_evidence.all_gates(spark, small_dir))
+    assert "reasoning" not in kept["traces"].columns and "documents.parquet" not in plan.split("Physical Plan")[1]
