@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators.sourcing import seed_source_errors
 from corpusmill.plans.catalogue import query, table
+from corpusmill.sources.scratch import stored
 
 # Columns that both engines make of a document: two claims on its first two sentences, two fields, three sources, a call.
 _SQL = """
@@ -46,11 +47,13 @@ def source_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.withColumn("e2", F.locate(". ", F.col("rest"))).where("e1 > 1 and e2 > 1").withColumnRenamed("doc_id", "case_id")
     word, k = F.regexp_extract("text", "^[^ ]*", 0), F.col("n_chars")
     reports = docs.select("case_id", F.col("text").alias("report"))
+    cut = F.substr(F.col("text"), F.lit(1), F.col("e1")), F.substr(F.col("rest"), F.lit(1), F.col("e2"))
+    docs = stored(docs.select("case_id", "e1", "e2", "n_chars", "lang", word.alias("word"), cut[0].alias("q1"), cut[1].alias("q2")), "cases")
     none = F.lit(None).cast("string")
-    first = F.struct(F.lit("c1").alias("claim_id"), F.lit(0).alias("start"), F.col("e1").alias("end"), F.substr(F.col("text"), F.lit(1), F.col("e1")).alias("quote"), F.lit("first").alias("ref"), F.array(F.lit("s0")).alias("knowledge"))
-    second = F.struct(F.lit("c2").alias("claim_id"), (F.col("e1") + 1).alias("start"), (F.col("e1") + 1 + F.col("e2")).alias("end"), F.substr(F.col("rest"), F.lit(1), F.col("e2")).alias("quote"), none.alias("ref"), F.array().cast("array<string>").alias("knowledge"))
+    first = F.struct(F.lit("c1").alias("claim_id"), F.lit(0).alias("start"), F.col("e1").alias("end"), F.col("q1").alias("quote"), F.lit("first").alias("ref"), F.array(F.lit("s0")).alias("knowledge"))
+    second = F.struct(F.lit("c2").alias("claim_id"), (F.col("e1") + 1).alias("start"), (F.col("e1") + 1 + F.col("e2")).alias("end"), F.col("q2").alias("quote"), none.alias("ref"), F.array().cast("array<string>").alias("knowledge"))
     claims = docs.select("case_id", F.explode(F.array(first, second)).alias("c")).select("case_id", "c.*")
-    fields = docs.select("case_id", F.explode(F.create_map(F.lit("first"), word, F.lit("lang"), F.coalesce("lang", F.lit("")))).alias("field", "value"))
+    fields = docs.select("case_id", F.explode(F.create_map(F.lit("first"), F.col("word"), F.lit("lang"), F.coalesce("lang", F.lit("")))).alias("field", "value"))
     needs = k % 5 > 0
     source = lambda name, rule, read, needed: F.struct(F.lit(name).alias("source_id"), rule.alias("rule"), F.lit(read).alias("read"), needed.alias("needed"))
     sources = docs.select("case_id", F.explode(F.array(source("s0", F.lit(False), True, needs), source("s1", F.lit(False), False, F.lit(False)), source("s2", k % 4 == 0, True, F.lit(False)))).alias("s")).select("case_id", "s.*")

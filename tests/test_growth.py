@@ -6,9 +6,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import evidence, judging, markdown, ngrams, reports
+from corpusmill.operators import evidence, judging, markdown, ngrams, reports, sourcing
 from corpusmill.plans import choosing
 from corpusmill.plans import evidence as plans_evidence
+from corpusmill.plans import sourcing as plans_sourcing
 from corpusmill.sources import scratch
 from corpusmill.streaming import budgets
 
@@ -132,3 +133,11 @@ def test_gates_store_rows_without_what_was_thought(spark, small_dir, monkeypatch
     monkeypatch.setattr(evidence, "stored_in_small_batches", lambda df, name: kept.setdefault(name, df) and scratch.stored_in_small_batches(df, name))
     plan = plan_of(plans_evidence.all_gates(spark, small_dir))
     assert "reasoning" not in kept["traces"].columns and "documents.parquet" not in plan.split("Physical Plan")[1]
+
+
+def test_source_errors_keep_texts_and_quotes_once_a_case(spark, small_dir, monkeypatch):
+    kept = []
+    monkeypatch.setattr(sourcing, "_stored", lambda df, name: kept.append((name, df.columns)) or scratch.stored(df, name))
+    found = plans_sourcing.source_errors(spark, small_dir)
+    assert {n for n, _ in kept} >= {"kinds", "splices", "claims", "calls", "failures"} and not [n for n, c in kept if {"report", "quote"} & set(c)]
+    assert found.where("kind = 'several' and taken").count() > 0
