@@ -40,7 +40,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8), the smallest id stays; rows without an id stay, and so do all rows repeated with an id that stays."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8: SimHash links by the generalised pigeonhole, verified, and an exact filter for the rest), the smallest id stays; rows without an id stay, and so do all rows repeated with an id that stays."""
     return without(docs, near_duplicate_components(docs).where("doc_id <> component_id"))
 
 

@@ -45,6 +45,11 @@ def fingerprint(text: str, shingle_words: int = 3, seed: int = 42) -> int:
     stops = (ends - 1).tolist()[min(shingle_words, len(words)) - 1 :]
     digest = partial(xxhash.xxh64_intdigest, seed=seed)
     hashes = np.fromiter((digest(joined[a:b]) for a, b in zip(starts, stops, strict=False)), dtype=np.uint64, count=len(stops))
+    return majority_bits(hashes)
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The 64 bits that are each set in more than half of the hashes, as a signed integer; zero without hashes."""
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 15):
         ones += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -500,16 +505,27 @@ def may_share(a: bytes, b: bytes) -> int:
 
 
 def text_cells(sets: DataFrame, postings: DataFrame) -> DataFrame:
-    """Stored node, size, cells of the texts that have a posting; see occupancy()."""
+    """Stored node, size, cells, fp of the texts that have a posting; see occupancy() and majority_bits()."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"node": batch.node, "size": [len(s) for s in batch.shingles], "cells": [occupancy(s) for s in batch.shingles]})
+            yield pd.DataFrame({"node": batch.node, "size": [len(s) for s in batch.shingles], "cells": [occupancy(s) for s in batch.shingles], "fp": [majority_bits(np.asarray(s, dtype=np.int64)) for s in batch.shingles]})
 
-    every = sets.mapInPandas(run, "node long, size int, cells binary")
+    every = sets.mapInPandas(run, "node long, size int, cells binary, fp long")
     return stash(every.join(postings.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "cells")
 
 
+TAU = 3  # bits in which the fingerprints of two shingle sets may differ to be linked
+
+
+def fingerprint_links(prints: DataFrame, tau: int = TAU) -> DataFrame:
+    """prints(node, fp) -> pairs (u, v), u > v: each node and the least of its fingerprint, and least nodes at tau bits or fewer, as similar_classes() links them."""
+    classes = stash(prints.groupBy("fp").agg(F.min("node").alias("node")), "classes")
+    equal = prints.select(F.col("node").alias("u"), "fp").join(classes, "fp").where(F.col("u") != F.col("node")).select("u", F.col("node").alias("v"))
+    near = similar_classes(classes, tau)
+    return equal.unionByName(near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+
+
 def likely(pairs: DataFrame, cells: DataFrame, similarity: float) -> DataFrame:
     """Stored pairs (u, v) whose sizes and cells allow the similarity."""
 
@@ -518,7 +534,7 @@ def likely(pairs: DataFrame, cells: DataFrame, similarity: float) -> DataFrame:
         need = np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
         return pd.Series([may_share(x, y) >= k for x, y, k in zip(a, b, need, strict=True)], dtype=bool)
 
-    both = both_ends(pairs, cells)
+    both = both_ends(pairs, cells.select("node", "size", "cells"))
     near = F.least("a_size", "b_size") >= F.lit(similarity - 1e-9) * F.greatest("a_size", "b_size")
     return both.where(near).where(allowed("a_size", "a_cells", "b_size", "b_cells")).select(*_pair())
 
@@ -607,10 +623,11 @@ def meeting_pairs(postings: DataFrame, cells: DataFrame, similarity: float, most
 def similar_pairs(sets: DataFrame, similarity: float, most: int = TILE) -> DataFrame:
     """sets(node, shingles), a few equal rows of a node at most -> pairs (u, v), all at the similarity or above, that connect all nodes which such pairs connect.
 
-    First each text meets two ends of the prefix shingles that it shares most often: the member that
-    shares most with others, which is where copies of one text come from, and the least node. That joins
-    most of a group of copies by few pairs. Then the nodes that are still apart and share a prefix shingle
-    are compared, so none is lost.
+    First come the links of the sets' fingerprints by the generalised pigeonhole, and each text meets two
+    ends of the prefix shingles that it shares most often: the member that shares most with others, which
+    is where copies of one text come from, and the least node. All these pairs are compared as sets; they
+    join most of a group of copies. Fingerprints alone would miss similar texts that differ in more bits,
+    so the nodes that are still apart and share a prefix shingle are then compared, and none is lost.
     """
     every = Window.partitionBy("shingle", F.when(F.col("hot"), F.col("node")))  # a hot shingle is shared, and its texts need not meet here
     listed = prefixes(sets, similarity).withColumns({"low": F.min("node").over(every), "high": F.max("node").over(every)})
@@ -629,7 +646,8 @@ def similar_pairs(sets: DataFrame, similarity: float, most: int = TILE) -> DataF
 
     counted = [met.where((F.col(f"{c}.node") != F.col("node")) & near(c)).groupBy("node", F.col(f"{c}.node").alias("end")).count() for c in ("low", "hub")]
     best = [m.groupBy("node").agg(F.max_by("end", F.struct("count", "end")).alias("end")) for m in counted]
-    first = stash(best[0].unionByName(best[1]).select(F.greatest("node", "end").alias("u"), F.least("node", "end").alias("v")).distinct(), "pairs")
+    nearest = best[0].unionByName(best[1]).select(F.greatest("node", "end").alias("u"), F.least("node", "end").alias("v"))
+    first = stash(fingerprint_links(cells.select("node", "fp")).unionByName(nearest).distinct(), "pairs")
     passed = similar_texts(stash(likely(first, cells, similarity), "pairs"), sets, similarity)
     apart = postings.join(components(passed), "node", "left").select("shingle", "node", "size", "place", F.coalesce("root", "node").alias("root"))
     groups = apart.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
@@ -641,7 +659,8 @@ def similar_pairs(sets: DataFrame, similarity: float, most: int = TILE) -> DataF
 def near_duplicate_components(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, component_id over all pairs whose Jaccard similarity on word shingles is at least `similarity`.
 
-    Exact: pairs come from a prefix filter, which no similar pair escapes. Rows of one text (case of A-Z
+    Exact: pairs come from SimHash links, each verified, and for texts that these leave apart from a prefix
+    filter, which no similar pair escapes. Rows of one text (case of A-Z
     and white space aside) are one class. Null text counts as empty; empty texts are one class. Null ids
     are linked too; a component of such rows alone has a null component_id. Repeated rows say the same.
     An empty table gives an empty result. Extra columns are not read.

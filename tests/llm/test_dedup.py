@@ -235,6 +235,24 @@ def test_a_pair_is_found_among_relatives_that_are_not_similar_enough(make_docs):
     assert {(x.doc_id, x.component_id) for x in S.near_duplicate_components(make_docs(rows)).collect()} == want
 
 
+def test_near_duplicates_come_from_fingerprint_links_first(spark, make_docs, monkeypatch):
+    prose = lambda seed, n: " ".join(f"w{k}" for k in np.random.default_rng(seed).integers(0, 5000, n))
+    long = prose(5, 400).split()
+    edited = [" ".join(["new", "words", *long[2:]]), " ".join([*long[:-1], "end"])]
+    rows = [(1, " ".join(long)), (2, edited[0]), (3, edited[1]), (4, prose(6, 400)), (5, "one two")]
+    sets = S.shingle_sets(pick(make_docs(rows), "doc_id", "text"), 5).where("shingles is not null")
+    prints = {r.doc_id: S.majority_bits(np.array(r.shingles, dtype=np.int64)) for r in sets.collect()}
+    table = spark.createDataFrame([*prints.items(), (6, prints[4])], "node long, fp long")
+    links = {(r.u, r.v) for r in S.fingerprint_links(table).collect()}
+    near = {(a, b) for a in prints for b in prints if a > b and bin((prints[a] ^ prints[b]) & (1 << 64) - 1).count("1") <= S.TAU}
+    assert (6, 4) in links and links - {(6, 4)} <= near and {a for a, _ in near} <= {a for link in links for a in link}
+    asked = []
+    real = S.similar_classes
+    monkeypatch.setattr(S, "similar_classes", lambda classes, tau, most=2048: asked.append(classes.count()) or real(classes, tau, most))
+    got = {(x.doc_id, x.component_id) for x in S.near_duplicate_components(make_docs(rows)).collect()}
+    assert got == jaccard_components_by_hand(rows) and asked and asked[0] > 0
+
+
 def test_likely_pairs_lose_none_that_is_similar():
     """Of sets of all sizes, also with cells that overflow, every similar pair is among the likely ones, and most others are not."""
     r = np.random.default_rng(6)
