@@ -23,6 +23,9 @@ from corpusmill.sources.scratch import stored
 CHECKS = ("coverage", "alignment", "empty_field", "attribution", "obligations", "conflicts", "privacy")
 # A number plate, and the characters that a value's hint is read without.
 FULL_PLATE = "(?<![A-Za-z0-9])[京沪津渝冀豫云辽黑湘皖鲁新苏浙赣鄂桂甘晋蒙陕吉闽贵粤青藏川宁琼][A-Z][A-Z0-9]{5}(?![A-Za-z0-9])"
+# The same plates, sought from the letter behind the place: a class of plain letters is told apart faster than one of Han characters.
+PLATE_TAIL = r"[A-Z][A-Z0-9]{5}(?![A-Za-z0-9])"
+PLATE_SEARCH = PLATE_TAIL + "(?<=" + FULL_PLATE.replace("(?![A-Za-z0-9])", "") + ")"
 HINT_OMITS = r"[\s，。,.;；:：、（）()]"
 KEY = ["case_id", "field"]
 
@@ -37,18 +40,20 @@ def possible_fields(ref: Column) -> Column:
     Behind a prefix these are the whole pointer and its first part; else the reference itself, and
     every end of it that stands behind a slash or a colon, longest first.
     """
-    bare = F.regexp_replace(F.trim(ref), M.REF_PREFIX, "")
+    name = F.trim(ref)
+    bare = F.regexp_replace(name, M.REF_PREFIX, "")
     pointer = F.array(_decoded(bare), _decoded(F.substring_index(bare, "/", 1)))
-    parts = F.split(F.trim(ref), "(?<=[/:])")
-    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ""))
-    return F.when(F.trim(ref).rlike(M.REF_PREFIX), pointer).otherwise(ends)
+    ends = lambda parts: F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ""))
+    cut = T.bound(F.split(name, "(?<=[/:])"), ends)
+    return F.when(name.rlike(M.REF_PREFIX), pointer).when(F.contains(name, F.lit("/")) | F.contains(name, F.lit(":")), cut).otherwise(F.array(name))
 
 
 def _resolve(rows: DataFrame, ref: Column, fields: DataFrame) -> DataFrame:
     """rows(case_id, .., no) with field: the first possible field of ref that the case has; rows without one go."""
     tried = rows.select("*", F.posexplode(possible_fields(ref)).alias("_at", "field"))
     met = tried.join(fields.select(*KEY), KEY)
-    return met.groupBy(*rows.columns).agg(F.min_by("field", "_at").alias("field"))
+    first = met.groupBy(*rows.columns).agg(F.min("_at").alias("_at"))  # a number, which is grouped without a sort
+    return first.withColumn("field", F.get(possible_fields(ref), F.col("_at"))).drop("_at")
 
 
 def referring_claims(claims: DataFrame, fields: DataFrame, reports: DataFrame) -> DataFrame:
@@ -63,29 +68,26 @@ def labelled_value(text: Column, field: Column) -> Column:
     """What the first `field:` is followed by, up to the sentence's end; null without such a label."""
     pattern = F.concat(F.lit(r"\Q"), F.replace(field, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\s*[：:]\s*([^。！？!?；;\n]+)"))
     said = F.regexp_extract_all(text, pattern, F.lit(1))
-    return F.when(F.size(said) > 0, F.btrim(F.trim(F.get(said, F.lit(0))), F.lit(" ，,")))
+    return F.btrim(F.trim(F.get(said, F.lit(0))), F.lit(" ，,"))
 
 
 def claim_alignment(used: DataFrame, claims: DataFrame, evidence: DataFrame | None) -> DataFrame:
-    """used with status: whether the claim's own words, or a record it refers to, hold the field's value."""
-    rows = used
-    if evidence is not None:
-        records = claims.select("case_id", "claim_id", F.explode("refs").alias("id")).distinct().join(evidence, ["case_id", "id"])
-        backed = used.join(records.select("case_id", "claim_id", F.col("text").alias("_record")), ["case_id", "claim_id"]).where(F.contains("_record", "value"))
-        rows = rows.join(backed.select("case_id", "claim_id", "field").distinct().withColumn("backed", F.lit(True)), ["case_id", "claim_id", "field"], "left")
-    else:
-        rows = rows.withColumn("backed", F.lit(False))
+    """case_id, field, status of each used reference: whether the claim's own words, or a record it refers to, hold the field's value."""
     text, field, value = F.col("text"), F.col("field"), F.col("value")
-    said, local = labelled_value(text, field), M.local_sentence(text, field, value)
-    status = (
+    rows = used.withColumn("_said", labelled_value(text, field))
+    own = (
         F.when(~T.present(text), "fail")
-        .when(said.isNotNull(), F.when(F.contains(said, value), "pass").otherwise("fail"))
-        .when(F.contains(local, value), "pass")
+        .when(F.col("_said").isNotNull(), F.when(F.contains("_said", value), "pass").otherwise("fail"))
+        .when(F.contains(M.local_sentence(text, field, value), value), "pass")
         .when(F.contains(text, field), F.when(text.rlike("[：:]"), "fail").otherwise("unknown"))
-        .when(F.col("backed"), "pass")
-        .otherwise("unknown")
     )
-    return rows.withColumn("status", status)
+    rows = rows.select("case_id", "claim_id", "no", "field", "value", own.alias("status"))
+    if evidence is not None:
+        records = claims.select("case_id", "claim_id", F.explode("refs").alias("id")).join(evidence, ["case_id", "id"]).select("case_id", "claim_id", F.col("text").alias("_record"))
+        met = rows.join(records, ["case_id", "claim_id"], "left")
+        backed = F.when(F.col("status").isNull() & F.contains("_record", value), "pass")
+        rows = met.groupBy(*rows.columns).agg(F.max(backed.isNotNull()).alias("_backed")).withColumn("status", F.coalesce("status", F.when(F.col("_backed"), "pass")))
+    return rows.select(*KEY, F.coalesce("status", F.lit("unknown")).alias("status"))
 
 
 def _rows(df: DataFrame, check: str, item: Column | str = "field") -> DataFrame:
@@ -151,8 +153,9 @@ def conflict_states(clashes: DataFrame, conflicts: DataFrame, used: DataFrame, d
     claimed = used.where(M.has_any(F.col("text"), M.CONFLICT)).select(*KEY)
     solved = duties.where(M.has_any(F.col("resolution"), M.CONFLICT)).select(*KEY)
     at = F.instr("report", F.col("field"))
-    near = F.substr(F.col("report"), F.greatest(at - 80, F.lit(1)), F.length("field") + 160 + F.least(at - 1, F.lit(80)))
-    told = clashes.select(*KEY).distinct().join(reports, "case_id").where((at > 0) & M.has_any(near, M.CONFLICT)).select(*KEY)
+    near = F.substr(F.col("report"), F.greatest(F.col("_at") - 80, F.lit(1)), F.length("field") + 160 + F.least(F.col("_at") - 1, F.lit(80)))
+    found = clashes.select(*KEY).distinct().join(reports, "case_id").withColumn("_at", at).where("_at > 0")
+    told = found.withColumn("_near", near).where(M.has_any(F.col("_near"), M.CONFLICT)).select(*KEY)
     open_ = claimed.unionByName(solved).unionByName(told).distinct().withColumn("open", F.lit(True))
     known = clashes.join(open_, KEY, "left").groupBy("case_id", "conflict_id").agg(F.max(F.coalesce("open", F.lit(False))).alias("open"))
     rows = conflicts.select("case_id", "conflict_id").join(known, ["case_id", "conflict_id"], "left")
@@ -163,7 +166,7 @@ def conflict_states(clashes: DataFrame, conflicts: DataFrame, used: DataFrame, d
 def privacy_states(reports: DataFrame, hidden: DataFrame) -> DataFrame:
     """A row per hidden value that is not blank, and a failing one for a report with a number plate."""
     told = hidden.where(T.present(F.col("value"))).join(reports, "case_id").select("case_id", "value", F.when(F.contains("report", "value"), "fail").otherwise("pass").alias("status"))
-    plates = reports.where(F.col("report").rlike(FULL_PLATE)).select("case_id", F.lit("plate").alias("field"), F.lit("fail").alias("status"))
+    plates = reports.where(F.col("report").rlike(PLATE_SEARCH)).select("case_id", F.lit("plate").alias("field"), F.lit("fail").alias("status"))
     return _rows(told, "privacy", F.sha2("value", 256)).unionByName(_rows(plates, "privacy"))
 
 
@@ -178,11 +181,12 @@ def field_checks(fields: DataFrame, claims: DataFrame, obligations: DataFrame, c
     used = stored(referring_claims(claims, fields, reports), "used")
     duties = obligations.withColumn("field", named_field(F.col("obligation_id")))
     named = conflicts.select("case_id", "conflict_id", F.posexplode("fields").alias("no", "name"))
-    clashes = _resolve(named, F.col("name"), fields).select("case_id", "conflict_id", "field").distinct()
+    clashes = stored(_resolve(named, F.col("name"), fields).select("case_id", "conflict_id", "field").distinct(), "clashes")
+    valued = used.where((F.col("kind") == "evaluation") & T.present(F.col("value")))  # the others' sentences are not asked for
     parts = [
         coverage_and_alignment(fields, used, claims, evidence),
         empty_fields(fields, used, reports, latent),
-        M.attribution_check(fields, used).withColumnRenamed("field", "item"),
+        M.attribution_check(fields, valued).withColumnRenamed("field", "item"),
         obligation_states(fields, used, duties, clashes.select(*KEY).distinct()),
         conflict_states(clashes, conflicts, used, duties, reports),
         privacy_states(reports, hidden),

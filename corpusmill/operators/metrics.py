@@ -52,11 +52,18 @@ def used_fields(claims: DataFrame, fields: DataFrame, reports: DataFrame) -> Dat
 
 def local_sentence(text: Column, field: Column, value: Column) -> Column:
     """The one sentence that names the field (and holds the value), or else the one that holds the value; null if there is not just one."""
-    parts = T.sentences_kept(text)
-    named = F.filter(parts, lambda p: F.contains(p, field))
-    valued = F.filter(parts, lambda p: (F.length(value) > 0) & F.contains(p, value))
-    by_name = F.when((F.size(named) == 1) & ((F.length(value) == 0) | F.contains(F.element_at(named, 1), value)), F.element_at(named, 1))
-    return F.when(F.size(named) > 0, by_name).when(F.size(valued) == 1, F.element_at(valued, 1))
+
+    def chosen(v: Column) -> Column:
+        named, valued = v["named"], v["valued"]
+        by_name = F.when((F.size(named) == 1) & ((F.length(value) == 0) | F.contains(F.get(named, F.lit(0)), value)), F.get(named, F.lit(0)))
+        return F.when(F.size(named) > 0, by_name).when(F.size(valued) == 1, F.get(valued, F.lit(0)))
+
+    def found(parts: Column) -> Column:
+        named = F.filter(parts, lambda p: F.contains(p, field))
+        valued = F.filter(parts, lambda p: (F.length(value) > 0) & F.contains(p, value))
+        return T.bound(F.struct(named.alias("named"), valued.alias("valued")), chosen)
+
+    return T.bound(T.sentences_kept(text), found)
 
 
 def explicit_value(text: Column, field: Column) -> Column:

@@ -54,8 +54,7 @@ _START = lambda i: " + ".join(["0", *[f"length(p{j})" for j in range(i)]])  # no
 def cases_of(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """One case per document, as the tables that field_checks() takes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    docs = stored(docs.withColumns({name: F.expr(e) for name, e in BASE.items()}).withColumns({name: F.expr(e) for name, e in VALUES.items()}), "values")
-    for made in (PIECES | REFS | STRETCH | RECORDS | IDS | TREATMENTS | ENDINGS | EXTRA, {"report": REPORT}):
+    for made in (BASE, VALUES, PIECES | REFS | STRETCH | RECORDS | IDS | TREATMENTS | ENDINGS | EXTRA, {"report": REPORT}):  # each reads those before it
         docs = docs.withColumns({name: F.expr(e) for name, e in made.items()})
     base = stored(docs.drop("text").withColumnRenamed("doc_id", "case_id"), "cases")
     many = lambda rows: base.select("case_id", F.inline(F.array(*[F.struct(*[F.expr(e).alias(n) for n, e in r.items()]) for r in rows])))

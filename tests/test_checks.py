@@ -97,3 +97,9 @@ def test_labelled_values(spark):
     rows = [("天气好，天气 ： 晴，。", "天气", "晴"), ("天气：。", "天气", None), ("天气： 。", "天气", ""), ("a.*b:c", "a.*b", "c"), ("axb:c", "a.*b", None), (r"q\Ez：1；", r"q\Ez", "1"), (None, "天气", None)]
     df = spark.createDataFrame(rows, "t string, f string, v string")
     assert [r.got for r in df.select(C.labelled_value(F.col("t"), F.col("f")).alias("got")).collect()] == [v for _, _, v in rows]
+
+
+def test_plates_are_sought_from_their_letters(spark):
+    texts = ["京A12345", "x京A12345", "，京A12345。", "京A123456", "京a12345", "京京A12345", "AB12345", "京A1234", "9京A12345，沪B99999", "京AAA京A12345z 川Z00000", "", None, "\n京A12345\n", "😀京A12345", "京A12345京A12345"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.col("t").rlike(C.FULL_PLATE).alias("a"), F.col("t").rlike(C.PLATE_SEARCH).alias("b")).collect()
+    assert all(r.a == r.b for r in rows) and {r.a for r in rows} == {True, False, None}

@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import evidence, judging, markdown, ngrams, reports, sourcing
+from corpusmill.operators import checks, evidence, judging, markdown, metrics, ngrams, reports, sourcing
+from corpusmill.plans import checks as plans_checks
 from corpusmill.plans import choosing
 from corpusmill.plans import evidence as plans_evidence
 from corpusmill.plans import sourcing as plans_sourcing
@@ -141,3 +142,21 @@ def test_source_errors_keep_texts_and_quotes_once_a_case(spark, small_dir, monke
     found = plans_sourcing.source_errors(spark, small_dir)
     assert {n for n, _ in kept} >= {"kinds", "splices", "claims", "calls", "failures"} and not [n for n, c in kept if {"report", "quote"} & set(c)]
     assert found.where("kind = 'several' and taken").count() > 0
+
+
+def test_checks_cut_a_claim_into_sentences_once(spark):
+    """A step's plan names an expression as often as it is computed."""
+    rows = spark.createDataFrame([("a. b", "a", "b")], "text string, field string, value string")
+    local = plan_of(rows.select(metrics.local_sentence(F.col("text"), F.col("field"), F.col("value")).alias("x"))).split("Physical Plan")[1]
+    assert local.count("split(text") == 1
+    names = plan_of(rows.select(checks.possible_fields(F.col("text")).alias("x"))).split("Physical Plan")[1]
+    assert names.count("split(") == 1
+    used = spark.createDataFrame([("c", "1", 0, "f", "v", "fact", "f: v")], "case_id string, claim_id string, no int, field string, value string, kind string, text string")
+    assert plan_of(checks.claim_alignment(used, None, None)).split("Physical Plan")[1].count("regexp_extract_all(") == 1
+
+
+def test_cases_write_their_texts_once(spark, small_dir, monkeypatch):
+    kept = []
+    monkeypatch.setattr(plans_checks, "stored", lambda df, name: kept.append((name, df.columns)) or scratch.stored(df, name))
+    plans_checks.cases_of(spark, small_dir)
+    assert [n for n, columns in kept if {"text", "report"} & set(columns)] == ["cases"]
