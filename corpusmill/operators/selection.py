@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions import matching
+
 
 def cascade(*steps: tuple[str, Column]) -> Column:
     """The name of the first condition that holds; null where none does (a null condition does not hold)."""
@@ -229,14 +232,10 @@ def difference(pairs: DataFrame, left: str, right: str) -> DataFrame:
     schema = StructType.fromJson(pairs.schema.jsonValue()).add("ratio", "double").add("equal", "long").add("deleted", "long").add("inserted", "long")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import difflib
-
         for x in batches:
-            rows = []
-            for a, b in zip(x[left], x[right], strict=True):
-                matcher = difflib.SequenceMatcher(None, a or "", b or "", autojunk=False)
-                equal = sum(m.size for m in matcher.get_matching_blocks())
-                rows.append((matcher.ratio(), equal, len(a or "") - equal, len(b or "") - equal))
-            yield x.assign(**dict(zip(("ratio", "equal", "deleted", "inserted"), zip(*rows, strict=True) if rows else ([], [], [], []), strict=True)))
+            a, b = x[left].fillna(""), x[right].fillna("")
+            equal, before, after = matching.in_groups(list(zip(a, b, strict=True))), a.str.len().to_numpy("int64"), b.str.len().to_numpy("int64")
+            ratio = np.where(before + after > 0, 2.0 * equal / np.maximum(before + after, 1), 1.0)
+            yield x.assign(ratio=ratio, equal=equal, deleted=before - equal, inserted=after - equal)
 
     return pairs.mapInPandas(run, schema)
