@@ -56,11 +56,32 @@ def _resolve(rows: DataFrame, ref: Column, fields: DataFrame) -> DataFrame:
     return first.withColumn("field", F.get(possible_fields(ref), F.col("_at"))).drop("_at")
 
 
-def referring_claims(claims: DataFrame, fields: DataFrame, reports: DataFrame) -> DataFrame:
+def told_by_reports(reports: DataFrame, claims: DataFrame, latent: DataFrame | None, hidden: DataFrame, clashes: DataFrame) -> DataFrame:
+    """case_id, kind, claim_id, field, value, text, held: all that is asked of reports, so that a report meets it once.
+
+    A claim has its text. Of a latent or hidden value it is held whether the report has it; of a field in conflict,
+    which has a row if the report names it, whether a conflict is told of near its first mention.
+    """
+    asked = [claims.select("case_id", "claim_id", "start", "end", F.lit("claim").alias("kind")), clashes.select(*KEY, F.lit("near").alias("kind")).distinct()]
+    asked.append(hidden.where(T.present(F.col("value"))).select("case_id", "value", F.lit("hidden").alias("kind")))
+    if latent is not None:
+        asked.append(latent.where(T.present(F.col("value"))).select(*KEY, "value", F.lit("latent").alias("kind")))
+    near = F.substr(F.col("report"), F.greatest(F.col("_at") - 80, F.lit(1)), F.length("field") + 160 + F.least(F.col("_at") - 1, F.lit(80)))
+    met = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), asked).join(reports, "case_id")
+    met = met.withColumn("_at", F.when(F.col("kind") == "near", F.instr("report", F.col("field")))).where("_at IS NULL OR _at > 0")
+    met = met.withColumn("text", F.when(F.col("kind") == "claim", M.claim_text(F.col("report"), F.col("start"), F.col("end"))).when(F.col("_at") > 0, near))
+    held = F.when(F.col("_at") > 0, M.has_any(F.col("text"), M.CONFLICT)).otherwise(F.contains("report", "value"))
+    return met.select("case_id", "kind", "claim_id", "field", "value", F.when(F.col("kind") == "claim", F.col("text")).alias("text"), held.alias("held"))
+
+
+def referring_claims(claims: DataFrame, fields: DataFrame, reports: DataFrame, told: DataFrame | None = None) -> DataFrame:
     """case_id, field, value, kind, claim_id, text, no: a row for each reference (the no-th of its claim) that means a known field."""
     refs = claims.select("case_id", "claim_id", F.posexplode("refs").alias("no", "ref"))
     found = _resolve(refs, F.col("ref"), fields).select("case_id", "claim_id", "no", "field")
-    texts = claims.join(reports, "case_id").select("case_id", "claim_id", M.claim_text(F.col("report"), F.col("start"), F.col("end")).alias("text"))
+    if told is None:
+        texts = claims.join(reports, "case_id").select("case_id", "claim_id", M.claim_text(F.col("report"), F.col("start"), F.col("end")).alias("text"))
+    else:
+        texts = told.where("kind = 'claim'").select("case_id", "claim_id", "text")
     return found.join(texts, ["case_id", "claim_id"]).join(fields.select(*KEY, "value", "kind"), KEY)
 
 
@@ -103,15 +124,12 @@ def coverage_and_alignment(fields: DataFrame, used: DataFrame, claims: DataFrame
     return _rows(covered, "coverage").unionByName(_rows(rows, "alignment"))
 
 
-def empty_fields(fields: DataFrame, used: DataFrame, reports: DataFrame, latent: DataFrame | None) -> DataFrame:
+def empty_fields(fields: DataFrame, used: DataFrame, told: DataFrame) -> DataFrame:
     """Blank fields: pass if all claims about one say that it is missing, fail if one does not or the report tells the true value."""
     marked = used.groupBy(*KEY).agg(F.every(M.has_any(F.col("text"), M.MISSING)).alias("marked"))
     rows = fields.where(~T.present(F.col("value"))).select(*KEY).join(marked, KEY, "left")
-    if latent is not None:
-        told = latent.where(T.present(F.col("value"))).join(reports, "case_id").where(F.contains("report", "value"))
-        rows = rows.join(told.select(*KEY).distinct().withColumn("told", F.lit(True)), KEY, "left")
-    else:
-        rows = rows.withColumn("told", F.lit(False))
+    true = told.where("kind = 'latent' AND held").select(*KEY).distinct().withColumn("told", F.lit(True))
+    rows = rows.join(true, KEY, "left")
     status = F.when(F.col("told"), "fail").when(F.col("marked").isNull(), "unknown").when(F.col("marked"), "pass").otherwise("fail")
     return _rows(rows.withColumn("status", status), "empty_field")
 
@@ -148,26 +166,22 @@ def obligation_states(fields: DataFrame, used: DataFrame, duties: DataFrame, cla
     return _rows(rows.withColumn("status", status), "obligations").unionByName(_rows(strays, "obligations"))
 
 
-def conflict_states(clashes: DataFrame, conflicts: DataFrame, used: DataFrame, duties: DataFrame, reports: DataFrame) -> DataFrame:
+def conflict_states(clashes: DataFrame, conflicts: DataFrame, used: DataFrame, duties: DataFrame, told: DataFrame) -> DataFrame:
     """A row per conflict: pass if a claim or an obligation about one of its fields, or the report near that field's first mention, tells of a conflict; unknown if it names no known field."""
     claimed = used.where(M.has_any(F.col("text"), M.CONFLICT)).select(*KEY)
     solved = duties.where(M.has_any(F.col("resolution"), M.CONFLICT)).select(*KEY)
-    at = F.instr("report", F.col("field"))
-    near = F.substr(F.col("report"), F.greatest(F.col("_at") - 80, F.lit(1)), F.length("field") + 160 + F.least(F.col("_at") - 1, F.lit(80)))
-    found = clashes.select(*KEY).distinct().join(reports, "case_id").withColumn("_at", at).where("_at > 0")
-    told = found.withColumn("_near", near).where(M.has_any(F.col("_near"), M.CONFLICT)).select(*KEY)
-    open_ = claimed.unionByName(solved).unionByName(told).distinct().withColumn("open", F.lit(True))
+    open_ = claimed.unionByName(solved).unionByName(told.where("kind = 'near' AND held").select(*KEY)).distinct().withColumn("open", F.lit(True))
     known = clashes.join(open_, KEY, "left").groupBy("case_id", "conflict_id").agg(F.max(F.coalesce("open", F.lit(False))).alias("open"))
     rows = conflicts.select("case_id", "conflict_id").join(known, ["case_id", "conflict_id"], "left")
     status = F.when(F.col("open").isNull(), "unknown").when(F.col("open"), "pass").otherwise("fail")
     return _rows(rows.withColumn("status", status), "conflicts", F.col("conflict_id").cast("string"))
 
 
-def privacy_states(reports: DataFrame, hidden: DataFrame) -> DataFrame:
+def privacy_states(reports: DataFrame, told: DataFrame) -> DataFrame:
     """A row per hidden value that is not blank, and a failing one for a report with a number plate."""
-    told = hidden.where(T.present(F.col("value"))).join(reports, "case_id").select("case_id", "value", F.when(F.contains("report", "value"), "fail").otherwise("pass").alias("status"))
+    leaks = told.where("kind = 'hidden'").select("case_id", "value", F.when(F.col("held"), "fail").otherwise("pass").alias("status"))
     plates = reports.where(F.col("report").rlike(PLATE_SEARCH)).select("case_id", F.lit("plate").alias("field"), F.lit("fail").alias("status"))
-    return _rows(told, "privacy", F.sha2("value", 256)).unionByName(_rows(plates, "privacy"))
+    return _rows(leaks, "privacy", F.sha2("value", 256)).unionByName(_rows(plates, "privacy"))
 
 
 def field_checks(fields: DataFrame, claims: DataFrame, obligations: DataFrame, conflicts: DataFrame, reports: DataFrame, hidden: DataFrame, latent: DataFrame | None = None, evidence: DataFrame | None = None) -> DataFrame:
@@ -178,18 +192,19 @@ def field_checks(fields: DataFrame, claims: DataFrame, obligations: DataFrame, c
     """
     fields = fields.withColumn("value", F.coalesce("value", F.lit("")))
     reports = reports.select("case_id", F.coalesce("report", F.lit("")).alias("report"))
-    used = stored(referring_claims(claims, fields, reports), "used")
     duties = obligations.withColumn("field", named_field(F.col("obligation_id")))
     named = conflicts.select("case_id", "conflict_id", F.posexplode("fields").alias("no", "name"))
     clashes = stored(_resolve(named, F.col("name"), fields).select("case_id", "conflict_id", "field").distinct(), "clashes")
+    told = stored(told_by_reports(reports, claims, latent, hidden, clashes), "told")
+    used = stored(referring_claims(claims, fields, reports, told), "used")
     valued = used.where((F.col("kind") == "evaluation") & T.present(F.col("value")))  # the others' sentences are not asked for
     parts = [
         coverage_and_alignment(fields, used, claims, evidence),
-        empty_fields(fields, used, reports, latent),
+        empty_fields(fields, used, told),
         M.attribution_check(fields, valued).withColumnRenamed("field", "item"),
         obligation_states(fields, used, duties, clashes.select(*KEY).distinct()),
-        conflict_states(clashes, conflicts, used, duties, reports),
-        privacy_states(reports, hidden),
+        conflict_states(clashes, conflicts, used, duties, told),
+        privacy_states(reports, told),
     ]
     return reduce(DataFrame.unionByName, parts)
 

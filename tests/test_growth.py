@@ -160,3 +160,11 @@ def test_cases_write_their_texts_once(spark, small_dir, monkeypatch):
     monkeypatch.setattr(plans_checks, "stored", lambda df, name: kept.append((name, df.columns)) or scratch.stored(df, name))
     plans_checks.cases_of(spark, small_dir)
     assert [n for n, columns in kept if {"text", "report"} & set(columns)] == ["cases"]
+
+
+def test_a_report_moves_once_for_all_checks(spark, small_dir, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(checks, "stored", lambda df, name: kept.setdefault(name, df) and scratch.stored(df, name))
+    plan = plan_of(checks.field_checks(**plans_checks.cases_of(spark, small_dir))).split("Physical Plan")[1]
+    reads = [line for line in plan.split("Join")[1:] if "report#" in line.split("\n")[0]]
+    assert "told" in kept and not reads and "report#" not in plan_of(kept["used"]).split("Physical Plan")[1]
