@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import tempfile
@@ -94,12 +95,33 @@ def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None
 _OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open_discards", default=())
 
 
-def stash(df: DataFrame, name: str, outer: bool = False, **options: str) -> DataFrame:
+FILE_ROWS = 10_000
+
+
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """A small table of about `rows` narrow rows, dealt to a task for every FILE_ROWS; all others stay as they are.
+
+    For sessions that do not merge small partitions themselves: there each small table would be written in as
+    many files as there are shuffle partitions, and a local executor starts a child process for each file's
+    permissions, which for a moment counts with all of the executor's memory. `rows` is no limit: more rows
+    make larger files.
+    """
+    conf = df.sparkSession.conf
+    if all(conf.get(f"spark.sql.adaptive.{x}enabled") == "true" for x in ("", "coalescePartitions.")):
+        return df
+    files = max(1, math.ceil(rows / FILE_ROWS))
+    return df.repartition(files) if 2 * files <= int(conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def stash(df: DataFrame, name: str, outer: bool = False, rows: int | None = None, **options: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and lost executors lose nothing.
 
-    Inside discarded() the table goes at its end; with `outer` it outlives it.
+    Inside discarded() the table goes at its end; with `outer` it outlives it. rows: about how many there
+    are, where they are narrow; see few_files().
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = few_files(df, rows)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     inside = _OPEN.get()
     mine = inside[: len(inside) - outer]

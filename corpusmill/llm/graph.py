@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import cut
+from corpusmill.llm.common import cut, few_files
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges(u, v) -> (node, root): the least node that each node of an edge can reach."""
-    now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """edges(u, v) -> (node, root): the least node that each node of an edge can reach. rows: about how many edges, if known."""
+    now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    now = cut(now if rows is None else few_files(now, rows))
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -19,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         joined = large.join(low, F.col("u") == F.col("k"))
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v")))
-        now = cut(small.distinct())
+        now = cut(small.distinct() if mark is None else few_files(small.distinct(), mark[0]))
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

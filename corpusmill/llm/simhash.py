@@ -302,20 +302,20 @@ def similar_classes(classes: DataFrame, tau: int, most: int = 2048) -> DataFrame
     n, moments = bit_moments(classes)
     parts = plan_parts(n, moments, tau)
     rows = classes.select(F.lit(0).cast("long").alias("key"), "fp", "node", F.lit(True).alias("own"), F.lit(0).alias("used"))
-    found = []
+    found, about = [], n * sum(ball_size(len(bits), t) for bits, t in parts if t >= 0)
     while True:
-        signed = stash(signatures(rows, parts, tau), "signatures")
+        signed = stash(signatures(rows, parts, tau), "signatures", rows=None if found else about)
         sizes = signed.groupBy("key").agg(F.count("*").alias("n"), F.first("used").alias("used")).where(F.col("n") > most)
-        large = stash(sizes.select("key", "used", F.ceil(F.col("n") / most).alias("tiles")), "large-buckets")
+        large = stash(sizes.select("key", "used", F.ceil(F.col("n") / most).alias("tiles")), "large-buckets", rows=about // most)
         kinds = [r["used"] for r in large.select("used").distinct().collect()]  # sets of parts, a few hundred at most
         if not kinds:
-            found.append(stash(verify_buckets(signed.withColumn("side", F.lit(WHOLE)), parts, tau), "links"))
+            found.append(stash(verify_buckets(signed.withColumn("side", F.lit(WHOLE)), parts, tau), "links", rows=2 * n))
             break
         copies = F.create_map(*[F.lit(x) for u in kinds for x in (u, split_copies(parts, u, tau))])
-        tiled, split = (stash(large.where(w).select("key", "tiles"), "large-buckets") for w in (F.col("tiles") <= copies[F.col("used")], F.col("tiles") > copies[F.col("used")]))
+        tiled, split = (stash(large.where(w).select("key", "tiles"), "large-buckets", rows=about // most) for w in (F.col("tiles") <= copies[F.col("used")], F.col("tiles") > copies[F.col("used")]))
         small = signed.join(large, "key", "left_anti").withColumn("side", F.lit(WHOLE))
         cut_up = in_tiles(signed.join(tiled, "key"), "key", "fp")
-        found.append(stash(verify_buckets(small.unionByName(cut_up), parts, tau), "links"))
+        found.append(stash(verify_buckets(small.unionByName(cut_up), parts, tau), "links", rows=2 * n))
         rows = signed.join(split, "key", "left_semi")
         if split.isEmpty():
             break
@@ -451,7 +451,7 @@ def both_ends(pairs: DataFrame, table: DataFrame) -> DataFrame:
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     most = max(pairs.count() / (8 * tasks), 64.0)
     degrees = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).groupBy("node").count()
-    hubs = stash(degrees.where(F.col("count") > most).select("node", F.ceil(F.col("count") / most).cast("int").alias("parts")), "hubs")
+    hubs = stash(degrees.where(F.col("count") > most).select("node", F.ceil(F.col("count") / most).cast("int").alias("parts")), "hubs", rows=16 * tasks)
     few = F.broadcast(hubs)
     met = pairs.join(few.toDF("u", "u_parts"), "u", "left").join(few.toDF("v", "v_parts"), "v", "left")
     turned = F.coalesce("u_parts", F.lit(1)) > F.coalesce("v_parts", F.lit(1))
@@ -469,14 +469,15 @@ def _pair() -> list[Column]:
 
 def similar_texts(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Stored pairs (u, v) whose shingle sets have a Jaccard similarity of at least `similarity`; sets(node, shingles)."""
+    about = pairs.count()
     with discarded(pairs.sparkSession):
-        nodes = stash(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "nodes")
+        nodes = stash(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "nodes", rows=2 * about)
         few = nodes.count() <= MAX_BROADCAST  # then the sets stay where they are
         named = stash(sets.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").select("node", "shingles").dropDuplicates(["node"]), "shingles")
         both = both_ends(pairs, named)
         shared = F.size(F.array_intersect("a_shingles", "b_shingles"))
         alike = shared >= F.lit(similarity) * (F.size("a_shingles") + F.size("b_shingles") - shared)
-        return stash(both.where(alike).select(*_pair()), "links", outer=True)
+        return stash(both.where(alike).select(*_pair()), "links", outer=True, rows=about)
 
 
 def occupancy(shingles: np.ndarray, most: int = 1024) -> bytes:
@@ -504,23 +505,23 @@ def may_share(a: bytes, b: bytes) -> int:
     return NO_BOUND if 255 in (a[0], b[0]) else int(np.minimum(x, y).sum(dtype=np.int64))
 
 
-def text_cells(sets: DataFrame, postings: DataFrame) -> DataFrame:
-    """Stored node, size, cells, fp of the texts that have a posting; see occupancy() and majority_bits()."""
+def text_cells(sets: DataFrame, postings: DataFrame, texts: int | None = None) -> DataFrame:
+    """Stored node, size, cells, fp of the texts that have a posting; see occupancy() and majority_bits(). texts: about how many."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"node": batch.node, "size": [len(s) for s in batch.shingles], "cells": [occupancy(s) for s in batch.shingles], "fp": [majority_bits(np.asarray(s, dtype=np.int64)) for s in batch.shingles]})
 
     every = sets.mapInPandas(run, "node long, size int, cells binary, fp long")
-    return stash(every.join(postings.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "cells")
+    return stash(every.join(postings.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "cells", rows=texts)
 
 
 TAU = 3  # bits in which the fingerprints of two shingle sets may differ to be linked
 
 
-def fingerprint_links(prints: DataFrame, tau: int = TAU) -> DataFrame:
+def fingerprint_links(prints: DataFrame, tau: int = TAU, texts: int | None = None) -> DataFrame:
     """prints(node, fp) -> pairs (u, v), u > v: each node and the least of its fingerprint, and least nodes at tau bits or fewer, as similar_classes() links them."""
-    classes = stash(prints.groupBy("fp").agg(F.min("node").alias("node")), "classes")
+    classes = stash(prints.groupBy("fp").agg(F.min("node").alias("node")), "classes", rows=texts)
     equal = prints.select(F.col("node").alias("u"), "fp").join(classes, "fp").where(F.col("u") != F.col("node")).select("u", F.col("node").alias("v"))
     near = similar_classes(classes, tau)
     return equal.unionByName(near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
@@ -580,6 +581,8 @@ def likely_pairs(size: np.ndarray, place: np.ndarray, root: np.ndarray, cells: l
 
 
 TILE = 2048  # members of a shingle that one task compares with each other
+POSTINGS = 20  # of a text, about
+FRAME_PAIRS = 1_000_000  # of a yielded frame, before those of one more shingle or two tiles
 
 
 def meeting_pairs(postings: DataFrame, cells: DataFrame, similarity: float, most: int = TILE) -> DataFrame:
@@ -595,16 +598,24 @@ def meeting_pairs(postings: DataFrame, cells: DataFrame, similarity: float, most
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         carried = None
 
-        def pairs(x: pd.DataFrame) -> pd.DataFrame:
+        def pairs(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
             key, node = x.key.to_numpy(), x.node.to_numpy()
             cuts = np.append(0, np.append(np.flatnonzero(np.diff(key)) + 1, len(key)))
             columns, held, side = [x[c].to_numpy() for c in ("size", "place", "root")], x.cells.to_list(), x.side.to_numpy()
-            us, vs = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            us, vs, ready = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], 0
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if ready >= FRAME_PAIRS:
+                    yield framed(us, vs)
+                    us, vs, ready = [], [], 0
                 if b - a > 1:
                     left, right = likely_pairs(*[c[a:b] for c in columns], held[a:b], similarity, side[a:b] if side[a] < WHOLE else None)
                     us.append(node[a:b][left])
                     vs.append(node[a:b][right])
+                    ready += len(left)
+            if us:
+                yield framed(us, vs)
+
+        def framed(us: list[np.ndarray], vs: list[np.ndarray]) -> pd.DataFrame:
             u, v = np.concatenate(us), np.concatenate(vs)
             return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)}).query("u != v").drop_duplicates()
 
@@ -613,16 +624,18 @@ def meeting_pairs(postings: DataFrame, cells: DataFrame, similarity: float, most
             whole = x.key.to_numpy() != x.key.iloc[-1] if len(x) else np.zeros(0, dtype=bool)
             carried = x[~whole]
             if whole.any():
-                yield pairs(x[whole])
+                yield from pairs(x[whole])
         if carried is not None and len(carried):
-            yield pairs(carried)
+            yield from pairs(carried)
 
     return rows.repartition("key").sortWithinPartitions("key").mapInPandas(run, "u long, v long").distinct()
 
 
-def similar_pairs(sets: DataFrame, similarity: float, most: int = TILE) -> DataFrame:
+def similar_pairs(sets: DataFrame, similarity: float, most: int = TILE, *, texts: int | None = None) -> DataFrame:
     """sets(node, shingles), a few equal rows of a node at most -> pairs (u, v), all at the similarity or above, that connect all nodes which such pairs connect.
 
+    texts: about how many nodes there are, if known.
+
     First come the links of the sets' fingerprints by the generalised pigeonhole, and each text meets two
     ends of the prefix shingles that it shares most often: the member that shares most with others, which
     is where copies of one text come from, and the least node. All these pairs are compared as sets; they
@@ -631,8 +644,8 @@ def similar_pairs(sets: DataFrame, similarity: float, most: int = TILE) -> DataF
     """
     every = Window.partitionBy("shingle", F.when(F.col("hot"), F.col("node")))  # a hot shingle is shared, and its texts need not meet here
     listed = prefixes(sets, similarity).withColumns({"low": F.min("node").over(every), "high": F.max("node").over(every)})
-    postings = stash(listed.where("hot or low < high").select("shingle", "node", "size", "place", "n").dropDuplicates(["shingle", "node"]), "postings")
-    cells = text_cells(sets, postings)
+    postings = stash(listed.where("hot or low < high").select("shingle", "node", "size", "place", "n").dropDuplicates(["shingle", "node"]), "postings", rows=texts and POSTINGS * texts)
+    cells = text_cells(sets, postings, texts)
     weights = postings.groupBy("node").agg(F.sum("n").alias("weight"))
     at = F.struct("node", "size", "place")
     ends = postings.join(weights, "node").groupBy("shingle").agg(F.min(at).alias("low"), F.max(F.struct("weight", "node", "size", "place")).alias("hub"))
@@ -647,12 +660,13 @@ def similar_pairs(sets: DataFrame, similarity: float, most: int = TILE) -> DataF
     counted = [met.where((F.col(f"{c}.node") != F.col("node")) & near(c)).groupBy("node", F.col(f"{c}.node").alias("end")).count() for c in ("low", "hub")]
     best = [m.groupBy("node").agg(F.max_by("end", F.struct("count", "end")).alias("end")) for m in counted]
     nearest = best[0].unionByName(best[1]).select(F.greatest("node", "end").alias("u"), F.least("node", "end").alias("v"))
-    first = stash(fingerprint_links(cells.select("node", "fp")).unionByName(nearest).distinct(), "pairs")
-    passed = similar_texts(stash(likely(first, cells, similarity), "pairs"), sets, similarity)
-    apart = postings.join(components(passed), "node", "left").select("shingle", "node", "size", "place", F.coalesce("root", "node").alias("root"))
+    pairs = texts and 3 * texts  # a link and two ends
+    first = stash(fingerprint_links(cells.select("node", "fp"), texts=texts).unionByName(nearest).distinct(), "pairs", rows=pairs)
+    passed = similar_texts(stash(likely(first, cells, similarity), "pairs", rows=pairs), sets, similarity)
+    apart = postings.join(components(passed, pairs), "node", "left").select("shingle", "node", "size", "place", F.coalesce("root", "node").alias("root"))
     groups = apart.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
-    apart = stash(apart.join(groups, "shingle", "left_semi"), "apart")
-    rest = stash(meeting_pairs(apart, cells, similarity, most).join(first, ["u", "v"], "left_anti"), "pairs")
+    apart = stash(apart.join(groups, "shingle", "left_semi"), "apart", rows=texts and POSTINGS * texts)
+    rest = stash(meeting_pairs(apart, cells, similarity, most).join(first, ["u", "v"], "left_anti"), "pairs", rows=pairs)
     return passed.unionByName(similar_texts(rest, sets, similarity))
 
 
@@ -669,12 +683,14 @@ def near_duplicate_components(docs: DataFrame, similarity: float = 0.8, shingle_
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     with discarded(docs.sparkSession):
         all_sets = stash(shingle_sets(rows, shingle_words), "sets")
-        classes = stash(all_sets.groupBy("node").agg(F.min("doc_id").alias("low")), "classes")
+        every = all_sets.count()
+        classes = stash(all_sets.groupBy("node").agg(F.min("doc_id").alias("low")), "classes", rows=every)
+        texts = classes.count()
         sets = all_sets.where("shingles is not null").select("node", "shingles")
-        named = classes.select("node", "low").join(components(similar_pairs(sets, similarity)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = classes.select("node", "low").join(components(similar_pairs(sets, similarity, texts=texts), 3 * texts), "node", "left").withColumn("root", F.coalesce("root", "node"))
         least = named.groupBy("root").agg(F.min("low").alias("component_id"))
         found = named.join(least, "root").select("node", "component_id")
-        return stash(all_sets.select("doc_id", "node").join(found, "node").select("doc_id", "component_id"), "components", outer=True)
+        return stash(all_sets.select("doc_id", "node").join(found, "node").select("doc_id", "component_id"), "components", outer=True, rows=every)
 
 
 def simhash_components(docs: DataFrame, shingle_words: int = 5, tau: int = 3, id_col: str = "doc_id", text_col: str = "text", most: int = 2048) -> DataFrame:

@@ -146,3 +146,51 @@ def test_query_blocks_go_in_rounds_of_bounded_bytes():
 
     assert rounds([(1, 5), (2, 5), (3, 20), (4, 1), (5, 1)], 10) == [[1, 2], [3], [4, 5]]
     assert rounds([], 10) == [] and rounds([(1, 3), (2, 3)], 0) == [[1], [2]]
+
+
+@pytest.mark.parametrize("setting", ["spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.adaptive.enabled"])
+def test_small_tables_of_near_duplicates_are_few_files_where_spark_merges_no_partitions(spark, make_docs, monkeypatch, tmp_path, setting):
+    prose = lambda seed: " ".join(f"w{k}" for k in np.random.default_rng(seed).integers(0, 3000, 60))
+    rows = [(i, prose(i // 3) + f" {i % 2}") for i in range(240)]
+    files = {}
+
+    def counted(df, name, *args, **kwargs):
+        out = stash(df, name, *args, **kwargs)
+        files.setdefault(name, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(S, "stash", counted)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set(setting, "false")
+    try:
+        got = {x.doc_id: x.component_id for x in S.near_duplicate_components(make_docs(rows)).collect()}
+    finally:
+        spark.conf.unset(setting)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == {i: i - i % 3 for i in range(240)}
+    assert max(n for name in files.keys() - {"sets", "shingles", "counts"} for n in files[name]) == 1
+
+
+def test_pairs_of_many_shingles_come_in_bounded_frames(spark, monkeypatch):
+    monkeypatch.setattr(S, "FRAME_PAIRS", 100)
+    sizes = []
+    real = pd.DataFrame.drop_duplicates
+    n, keys = 12, 40
+    rows = [(k, 100 * k + i, 50, 0, 100 * k + i) for k in range(keys) for i in range(n)]
+    postings = spark.createDataFrame(rows, "shingle long, node long, size int, place int, root long").coalesce(1)
+    cell = S.occupancy(np.arange(50))
+    cells = spark.createDataFrame([(r[1], bytearray(cell)) for r in rows], "node long, cells binary")
+    # the map itself, as a task runs it
+    kept = {}
+    frame = type(postings)
+    plain = frame.mapInPandas
+    monkeypatch.setattr(frame, "mapInPandas", lambda self, f, *a, **b: kept.update(f=f) or plain(self, f, *a, **b))
+    found = S.meeting_pairs(postings, cells, 0.8)
+    batch = pd.DataFrame(rows, columns=["key", "node", "size", "place", "root"]).assign(side=S.WHOLE, cells=[cell] * len(rows))
+    monkeypatch.setattr(pd.DataFrame, "drop_duplicates", lambda self, *a, **b: sizes.append(len(self)) or real(self, *a, **b))
+    frames = list(kept["f"](iter([batch])))
+    each = n * (n - 1) // 2
+    assert sum(map(len, frames)) == keys * each and max(sizes) <= 100 + each
+    monkeypatch.undo()
+    want = {(100 * k + a, 100 * k + b) for k in range(keys) for a in range(n) for b in range(a)}
+    assert {tuple(x) for x in found.collect()} == want
