@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.functions.joins import sorted_join
 from corpusmill.functions.numerals import folded_numbers, numeral_value
 from corpusmill.operators import gates as G
 from corpusmill.sources.scratch import stored_in_small_batches
@@ -89,16 +90,16 @@ def references(rows: DataFrame) -> DataFrame:
 def unsupported_references(asked: DataFrame, held: Evidence) -> DataFrame:
     """The references that no snippet supports: one that names the law (any, for a bare one) and has the number."""
     laws = asked.select("key", "law").distinct()
-    naming = laws.join(held.snippets, "key").where(F.contains("text", "law")).select("key", "law", "sid")
-    supported = naming.join(held.numbers, ["key", "sid"]).select("key", "law", "number").distinct()
-    return asked.join(supported, ["key", "law", "number"], "left_anti")
+    naming = sorted_join(laws, held.snippets, "key").where(F.contains("text", "law")).select("key", "law", "sid")
+    supported = sorted_join(naming, held.numbers, ["key", "sid"]).select("key", "law", "number").distinct()
+    return sorted_join(asked, supported, ["key", "law", "number"], "left_anti")
 
 
 def invisible_ids(rows: DataFrame, held: Evidence) -> DataFrame:
     """key, id of cited ids that no snippet has, neither whole nor behind the last #."""
     cited = rows.select("key", F.explode(G.cited_ids(F.col("report"))).alias("cited")).distinct()
     for tried in (F.col("cited"), F.substring_index("cited", "#", -1)):
-        cited = cited.withColumn("id", tried).join(held.ids, ["key", "id"], "left_anti").select("key", "cited")
+        cited = sorted_join(cited.withColumn("id", tried), held.ids, ["key", "id"], "left_anti").select("key", "cited")
     return cited.withColumnRenamed("cited", "id")
 
 
@@ -108,12 +109,12 @@ def unsupported_quantities(rows: DataFrame, held: Evidence) -> DataFrame:
     found = rows.select("key", F.explode(units).alias("q")).select("key", "q.n", "q.unit").distinct()
     short = F.when(F.contains("n", F.lit(".")), F.regexp_replace("n", r"\.?0+$", "")).otherwise(F.col("n"))
     for tried in (F.col("n"), short):
-        found = found.withColumn("number", tried).join(held.quantities, ["key", "number"], "left_anti").select("key", "n", "unit")
+        found = sorted_join(found.withColumn("number", tried), held.quantities, ["key", "number"], "left_anti").select("key", "n", "unit")
     measured = found.select("key", F.concat("n", "unit").alias("shown"), F.col("unit").isin(*G.SPEED_UNITS).alias("hard"))
     times = F.arrays_zip(*[F.regexp_extract_all("report", F.lit(G.CLOCK), F.lit(i)).alias(n) for i, n in ((1, "h"), (2, "m"))])
     hours = rows.select("key", F.explode(times).alias("c")).select("key", "c.h", "c.m").distinct().withColumn("bare", F.ltrim("h", F.lit("0")))
     known = held.quantities.select("key", F.ltrim("number", F.lit("0")).alias("bare")).distinct()
-    clocks = hours.join(known, ["key", "bare"], "left_anti").select("key", F.concat("h", F.lit("时"), "m").alias("shown"), F.lit(True).alias("hard"))
+    clocks = sorted_join(hours, known, ["key", "bare"], "left_anti").select("key", F.concat("h", F.lit("时"), "m").alias("shown"), F.lit(True).alias("hard"))
     return measured.unionByName(clocks)
 
 
@@ -130,7 +131,7 @@ def gate_masks(traces: DataFrame, cases: DataFrame) -> DataFrame:
     looped = F.coalesce(F.array_max(G.loop_ratios(thought)), F.lit(0.0))
     length = F.coalesce(F.array_max(F.transform(thought, lambda x: F.length(x))), F.lit(0))
     narrow = traces.withColumns({"_loop": looped, "_longest": length}).drop("reasoning")
-    joined = narrow.join(cases, "case_id").withColumn("snippets", F.coalesce("visible_snippets", F.expr("slice(visible_snippets, 1, 0)")))
+    joined = sorted_join(narrow, cases, "case_id").withColumn("snippets", F.coalesce("visible_snippets", F.expr("slice(visible_snippets, 1, 0)")))
     corpus = F.concat_ws(" ", F.map_values("accident_data"), "guidance", F.transform("snippets", G.snippet_text))
     wanted = ("key", "status", "report", "snippets", "corpus", "guidance", "tool_call_issues", "any_truncated", "retrieval_rounds", "_loop", "_longest")
     rows = stored_in_small_batches(joined.withColumns({"report": report, "corpus": corpus}).select(*wanted), "traces")

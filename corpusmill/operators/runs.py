@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.functions.joins import sorted_join
 from corpusmill.operators import evidence
 from corpusmill.operators import gates as G
 from corpusmill.operators.summary import exact_floor_percentile
@@ -34,7 +35,7 @@ def gate_results(traces: DataFrame, cases: DataFrame) -> DataFrame:
     given = traces.where((F.col("status") == "ok") & (F.coalesce("final_markdown", F.lit("")) != ""))
     report = F.col("final_markdown")
     measures = given.select("key", F.length(T.compact(report)).alias("chars"), rounded(T.duplicated_grams(T.compact(report), 12), 4).alias("dup"), F.regexp_count(report, F.lit(G.CITATION)).alias("citations"))
-    return hard.join(measures, "key", "left")
+    return sorted_join(hard, measures, "key", "left")
 
 
 def model_summary(traces: DataFrame, gated: DataFrame, judged: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ def model_summary(traces: DataFrame, gated: DataFrame, judged: DataFrame) -> Dat
     """
     runs = traces.withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
     models = runs.select("key", "model")
-    both = stored(gated.join(models, "key"), "gated")
+    both = stored(sorted_join(gated, models, "key"), "gated")
     base = runs.groupBy("model").agg(
         F.count("*").alias("n"),
         F.count_if(~F.col("status").eqNullSafe("ok")).alias("errors"),
@@ -61,10 +62,10 @@ def model_summary(traces: DataFrame, gated: DataFrame, judged: DataFrame) -> Dat
     )
     as_map = lambda df, k, v, name: df.groupBy("model").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, v)))).alias(name))
     codes = as_map(both.select("model", F.explode("hard").alias("code")).groupBy("model", "code").agg(F.count("*").alias("n")), "code", "n", "hard_codes")
-    totals = judged.where("valid and total is not null").join(models, "key").groupBy("model", "judge").agg(rounded(F.avg("total"), 2).alias("mean"))
+    totals = sorted_join(judged.where("valid and total is not null"), models, "key").groupBy("model", "judge").agg(rounded(F.avg("total"), 2).alias("mean"))
     place = lambda df, column, name: exact_floor_percentile(df.select("model", column), ["model"], column, 0.9).select("model", rounded(F.col("percentile"), 1).alias(name))
     parts = [measured, codes, as_map(totals, "judge", "mean", "judge_mean_total"), place(both, "chars", "chars_p90"), place(runs, "total_tokens", "total_tokens_p90")]
-    return reduce(lambda left, right: left.join(right, "model", "left"), parts, base)
+    return reduce(lambda left, right: sorted_join(left, right, "model", "left"), parts, base)
 
 
 def shown_map(entries: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.functions.joins import sorted_join
 from corpusmill.operators import evidence as E
 from corpusmill.operators import gates as G
 from corpusmill.operators import runs
@@ -50,11 +51,11 @@ SELECT s.*, coalesce(hard_codes, '-') AS hard_codes, coalesce(judge_mean_total,
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' traces by source, judged by two judges: one from the labels, one from the language."""
     docs = table(spark, sf_dir, "documents")
-    marks = docs.join(table(spark, sf_dir, "labels"), "doc_id")
+    marks = sorted_join(docs, table(spark, sf_dir, "labels"), "doc_id")
     judged = marks.select(F.col("doc_id").alias("key"), F.lit("strict").alias("judge"), (F.col("quality") == 1).alias("valid"), (5 + F.col("n_chars") % 21).alias("total")).unionByName(
         docs.select(F.col("doc_id").alias("key"), F.lit("mild").alias("judge"), (F.col("lang") != "de").alias("valid"), (10 + F.col("n_chars") % 16).alias("total"))
     )
     traces, cases = (stored(t, "traces") for t in evidence.traces_of(spark, sf_dir))
     numbered = evidence.numbered(spark, sf_dir).select(F.col("doc_id").alias("key"), F.col("source").alias("model"), *[F.expr(e).cast("double" if n in ("latency_s", "cost_usd") else "long").alias(n) for n, e in TOTALS.items()])
-    rows = runs.model_summary(stored(numbered.join(traces.select("key", "status"), "key"), "totals"), runs.gate_results(traces, cases), judged)
+    rows = runs.model_summary(stored(sorted_join(numbered, traces.select("key", "status"), "key"), "totals"), runs.gate_results(traces, cases), judged)
     return rows.withColumns({c: runs.shown_map(F.col(c)) for c in ("hard_codes", "judge_mean_total")})

@@ -1,15 +1,17 @@
-"""Work that must not grow faster than its tables: what moves between tasks, what is computed twice, how much passes to Python at once."""
+"""Work that must not grow faster than its tables: what moves between tasks, what is computed twice, how much passes to Python or the driver at once."""
 
+import re
 from types import SimpleNamespace
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import checks, evidence, judging, markdown, metrics, ngrams, reports, sourcing
+from corpusmill.operators import checks, evidence, judging, markdown, metrics, ngrams, reports, runs, sourcing
 from corpusmill.plans import checks as plans_checks
 from corpusmill.plans import choosing
 from corpusmill.plans import evidence as plans_evidence
+from corpusmill.plans import runs as plans_runs
 from corpusmill.plans import sourcing as plans_sourcing
 from corpusmill.sources import scratch
 from corpusmill.streaming import budgets
@@ -168,3 +170,21 @@ def test_a_report_moves_once_for_all_checks(spark, small_dir, monkeypatch):
     plan = plan_of(checks.field_checks(**plans_checks.cases_of(spark, small_dir))).split("Physical Plan")[1]
     reads = [line for line in plan.split("Join")[1:] if "report#" in line.split("\n")[0]]
     assert "told" in kept and not reads and "report#" not in plan_of(kept["used"]).split("Physical Plan")[1]
+
+
+def broadcast_by(*frames):
+    """The first keys of the joins for which a side is gathered and broadcast, nothing at all among them."""
+    return {k for df in frames for k in re.findall(r"BroadcastHashJoin \[(\w+)#|(BroadcastNestedLoopJoin)", plan_of(df)) for k in k if k}
+
+
+def keeping(monkeypatch, kept, *modules):
+    """The tables that the modules store."""
+    for module in modules:
+        monkeypatch.setattr(module, "stored", lambda df, name: kept.append(df) or scratch.stored(df, name))
+
+
+def test_a_run_summary_broadcasts_no_table_by_trace(spark, small_dir, monkeypatch):
+    kept = []
+    keeping(monkeypatch, kept, plans_runs, runs)
+    found = plans_runs.run_summary(spark, small_dir)
+    assert len(kept) == 4 and broadcast_by(found, *kept) <= {"model"}
