@@ -188,3 +188,9 @@ def test_a_run_summary_broadcasts_no_table_by_trace(spark, small_dir, monkeypatc
     keeping(monkeypatch, kept, plans_runs, runs)
     found = plans_runs.run_summary(spark, small_dir)
     assert len(kept) == 4 and broadcast_by(found, *kept) <= {"model"}
+
+
+def test_gates_broadcast_no_table_by_trace(spark, small_dir, monkeypatch):
+    kept = []
+    monkeypatch.setattr(evidence, "stored_in_small_batches", lambda df, name: kept.append(df) or scratch.stored_in_small_batches(df, name))
+    assert not broadcast_by(plans_evidence.all_gates(spark, small_dir), *kept) and len(kept) == 1
