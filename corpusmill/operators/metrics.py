@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.functions.joins import sorted_join
 from corpusmill.operators.gates import PLATE
 from corpusmill.operators.summary import worst_status
 from corpusmill.sources.scratch import stored
@@ -45,9 +46,9 @@ def ref_field(ref: Column) -> Column:
 
 def used_fields(claims: DataFrame, fields: DataFrame, reports: DataFrame) -> DataFrame:
     """case_id, field, value, kind, claim_id, text: one row for each known field that a claim refers to."""
-    rows = claims.join(reports, "case_id").select("case_id", "claim_id", claim_text(F.col("report"), F.col("start"), F.col("end")).alias("text"), F.explode("refs").alias("ref"))
+    rows = sorted_join(claims, reports, "case_id").select("case_id", "claim_id", claim_text(F.col("report"), F.col("start"), F.col("end")).alias("text"), F.explode("refs").alias("ref"))
     refs = rows.select("case_id", "claim_id", "text", ref_field(F.col("ref")).alias("field")).distinct()
-    return refs.join(fields.select("case_id", "field", "value", "kind"), ["case_id", "field"])
+    return sorted_join(refs, fields.select("case_id", "field", "value", "kind"), ["case_id", "field"])
 
 
 def local_sentence(text: Column, field: Column, value: Column) -> Column:
@@ -77,7 +78,7 @@ def alignment(used: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
     """case_id, field, claim_id, status of each claim against the value it refers to; evidence(case_id, field, text) is optional."""
     rows = used
     if evidence is not None:
-        rows = rows.join(evidence.select("case_id", "field", F.col("text").alias("evidence")), ["case_id", "field"], "left")
+        rows = sorted_join(rows, evidence.select("case_id", "field", F.col("text").alias("evidence")), ["case_id", "field"], "left")
     else:
         rows = rows.withColumn("evidence", F.lit(None).cast("string"))
     said = explicit_value(F.col("text"), F.col("field"))
@@ -97,7 +98,7 @@ def alignment(used: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
 def empty_field_check(fields: DataFrame, used: DataFrame) -> DataFrame:
     """Blank fields: unknown if no claim refers to them, fail if one does without a missing-marker, else pass."""
     marked = used.withColumn("marked", has_any(F.col("text"), MISSING)).groupBy("case_id", "field").agg(F.min("marked").alias("all_marked"))
-    blank = fields.where(~T.present(F.col("value"))).join(marked, ["case_id", "field"], "left")
+    blank = sorted_join(fields.where(~T.present(F.col("value"))), marked, ["case_id", "field"], "left")
     status = F.when(F.col("all_marked").isNull(), "unknown").when(~F.col("all_marked"), "fail").otherwise("pass")
     return blank.select("case_id", F.lit("empty_field").alias("check"), "field", status.alias("status"))
 
@@ -108,7 +109,7 @@ def attribution_check(fields: DataFrame, used: DataFrame) -> DataFrame:
     one = F.when(~T.present(F.col("text")), "fail").when(local.isNull(), "unknown").when(has_any(local, ATTRIBUTION), "pass").otherwise("fail")
     rolled = used.withColumn("one", one).groupBy("case_id", "field").agg(worst_status(F.col("one")).alias("status"))
     stated = fields.where((F.col("kind") == "evaluation") & T.present(F.col("value")))
-    return stated.join(rolled, ["case_id", "field"], "left").select("case_id", F.lit("attribution").alias("check"), "field", F.coalesce("status", F.lit("unknown")).alias("status"))
+    return sorted_join(stated, rolled, ["case_id", "field"], "left").select("case_id", F.lit("attribution").alias("check"), "field", F.coalesce("status", F.lit("unknown")).alias("status"))
 
 
 def obligation_check(fields: DataFrame, used: DataFrame, obligations: DataFrame, conflicts: DataFrame) -> DataFrame:
@@ -117,7 +118,9 @@ def obligation_check(fields: DataFrame, used: DataFrame, obligations: DataFrame,
     per_field = mapped.groupBy("case_id", "field").agg(F.count("*").alias("n"), F.first("treatment").alias("treatment"), F.first(F.coalesce("resolution", F.lit(""))).alias("resolution"))
     uses = used.select("case_id", "field").distinct().withColumn("used", F.lit(True))
     clash = conflicts.select("case_id", "field").distinct().withColumn("clash", F.lit(True))
-    rows = fields.join(per_field, ["case_id", "field"], "left").join(uses, ["case_id", "field"], "left").join(clash, ["case_id", "field"], "left")
+    rows = fields
+    for told in (per_field, uses, clash):
+        rows = sorted_join(rows, told, ["case_id", "field"], "left")
     state = F.when(F.col("clash"), "conflict").when(T.present(F.col("value")), "present").otherwise("missing")
     is_, treat, text = (lambda s: state == s), F.col("treatment"), F.col("resolution")
     used_here, spoken = F.coalesce("used", F.lit(False)), T.present(F.col("resolution"))
@@ -135,16 +138,18 @@ def obligation_check(fields: DataFrame, used: DataFrame, obligations: DataFrame,
         .otherwise("fail")
     )
     known = rows.select("case_id", F.lit("obligations").alias("check"), "field", status.alias("status"))
-    strays = mapped.join(fields.select("case_id", "field"), ["case_id", "field"], "left_anti")
+    strays = sorted_join(mapped, fields.select("case_id", "field"), ["case_id", "field"], "left_anti")
     return known.unionByName(strays.select("case_id", F.lit("obligations").alias("check"), "field", F.lit("fail").alias("status")))
 
 
 def conflict_check(conflicts: DataFrame, fields: DataFrame, used: DataFrame, obligations: DataFrame, reports: DataFrame) -> DataFrame:
     """Conflicts need a marker in a claim, a resolution, or near the field's first mention in the report."""
-    known = conflicts.join(fields.select("case_id", "field").withColumn("known", F.lit(True)), ["case_id", "field"], "left").join(reports, "case_id")
+    known = sorted_join(sorted_join(conflicts, fields.select("case_id", "field").withColumn("known", F.lit(True)), ["case_id", "field"], "left"), reports, "case_id")
     in_claims = used.where(has_any(F.col("text"), CONFLICT)).select("case_id", "field").distinct().withColumn("in_claim", F.lit(True))
     solved = obligations.withColumn("field", F.regexp_replace(F.trim("obligation_id"), OBLIGATION_PREFIX, "")).where(has_any(F.col("resolution"), CONFLICT))
-    rows = known.join(in_claims, ["case_id", "field"], "left").join(solved.select("case_id", "field").distinct().withColumn("solved", F.lit(True)), ["case_id", "field"], "left")
+    rows = known
+    for told in (in_claims, solved.select("case_id", "field").distinct().withColumn("solved", F.lit(True))):
+        rows = sorted_join(rows, told, ["case_id", "field"], "left")
     at = F.instr("report", F.col("field"))
     near = F.when(at > 0, F.substr(F.col("report"), F.greatest(at - 80, F.lit(1)), F.length("field") + 160 + F.least(at - 1, F.lit(80))))
     held = F.coalesce("in_claim", "solved", has_any(near, CONFLICT))
@@ -154,8 +159,8 @@ def conflict_check(conflicts: DataFrame, fields: DataFrame, used: DataFrame, obl
 
 def privacy_check(reports: DataFrame, hidden: DataFrame) -> DataFrame:
     """hidden(case_id, value): a hidden value or a number plate in the report fails; without hidden values it is unknown."""
-    leaks = hidden.join(reports, "case_id").groupBy("case_id").agg(F.max((T.present(F.col("value")) & F.contains(F.col("report"), F.col("value"))).cast("int")).alias("leak"))
-    rows = reports.join(leaks, "case_id", "left")
+    leaks = sorted_join(hidden, reports, "case_id").groupBy("case_id").agg(F.max((T.present(F.col("value")) & F.contains(F.col("report"), F.col("value"))).cast("int")).alias("leak"))
+    rows = sorted_join(reports, leaks, "case_id", "left")
     status = F.when((F.col("leak") == 1) | F.col("report").rlike(PLATE), "fail").when(F.col("leak").isNull(), "unknown").otherwise("pass")
     return rows.select("case_id", F.lit("privacy").alias("check"), F.lit("").alias("field"), status.alias("status"))
 
@@ -163,7 +168,7 @@ def privacy_check(reports: DataFrame, hidden: DataFrame) -> DataFrame:
 def coverage_check(fields: DataFrame, used: DataFrame) -> DataFrame:
     """Fields with a value: pass if a claim refers to them, else fail."""
     uses = used.select("case_id", "field").distinct().withColumn("used", F.lit(True))
-    rows = fields.where(T.present(F.col("value"))).join(uses, ["case_id", "field"], "left")
+    rows = sorted_join(fields.where(T.present(F.col("value"))), uses, ["case_id", "field"], "left")
     return rows.select("case_id", F.lit("coverage").alias("check"), "field", F.when(F.col("used"), "pass").otherwise("fail").alias("status"))
 
 

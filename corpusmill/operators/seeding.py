@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.functions.joins import sorted_join
 from corpusmill.operators import metrics as M
 from corpusmill.sources.scratch import stored
 
@@ -56,14 +57,14 @@ def _least(rows: DataFrame, *order: str) -> DataFrame:
 
 def edits(fields: DataFrame, claims: DataFrame, obligations: DataFrame, conflicts: DataFrame, reports: DataFrame) -> DataFrame:
     """case_id, kind and the edit: an unchanged row per case, and one for each error that the case has a place for."""
-    used = M.used_fields(claims, fields, reports).join(claims.select("case_id", "claim_id", "start", "end", F.size("refs").alias("n")), ["case_id", "claim_id"])
+    used = sorted_join(M.used_fields(claims, fields, reports), claims.select("case_id", "claim_id", "start", "end", F.size("refs").alias("n")), ["case_id", "claim_id"])
     stated = used.where(T.present(F.col("value")) & (F.col("n") == 1))
     facts = _least(stated.where("kind = 'fact'"), "claim_id", "field")
     said = _least(stated.where("kind = 'evaluation'"), "claim_id", "field")
     bare = F.regexp_replace("text", "|".join(M.ATTRIBUTION), "")
-    blank = fields.where((F.col("kind") == "fact") & ~T.present(F.col("value"))).join(used.select("case_id", "field"), ["case_id", "field"], "left_anti")
-    blank = _least(blank.select("case_id", "field"), "field").join(reports, "case_id")
-    clash = _least(used.join(conflicts.select("case_id", "field"), ["case_id", "field"], "left_semi").where(M.has_any(F.col("text"), M.CONFLICT)), "claim_id", "field")
+    blank = sorted_join(fields.where((F.col("kind") == "fact") & ~T.present(F.col("value"))), used.select("case_id", "field"), ["case_id", "field"], "left_anti")
+    blank = sorted_join(_least(blank.select("case_id", "field"), "field"), reports, "case_id")
+    clash = _least(sorted_join(used, conflicts.select("case_id", "field"), ["case_id", "field"], "left_semi").where(M.has_any(F.col("text"), M.CONFLICT)), "claim_id", "field")
     calm = F.regexp_replace("text", "|".join(M.CONFLICT), "")
     parts = [
         _edit(reports, "orig"),
@@ -81,15 +82,15 @@ def variants(made: DataFrame, fields: DataFrame, claims: DataFrame, obligations:
     key = F.concat_ws("::", "case_id", "kind").alias("case_id")
     delta = F.length("insert") - (F.col("until") - F.col("at"))
     keys = made.select("case_id", F.col("kind").alias("e_kind"))
-    copy = lambda df: df.join(keys, "case_id").withColumn("case_id", F.concat_ws("::", "case_id", "e_kind")).drop("e_kind")
+    copy = lambda df: sorted_join(df, keys, "case_id").withColumn("case_id", F.concat_ws("::", "case_id", "e_kind")).drop("e_kind")
     moved = lambda c: F.when(F.col(c) >= F.col("until"), F.col(c) + delta).otherwise(F.col(c))
     start = F.when((F.col("start") >= F.col("until")) & (F.col("until") > F.col("at")) | (F.col("start") > F.col("until")), F.col("start") + delta).otherwise(F.col("start"))
-    kept = claims.join(made, "case_id").where(~F.coalesce(F.col("claim_id") == F.col("drop"), F.lit(False)))
+    kept = sorted_join(claims, made, "case_id").where(~F.coalesce(F.col("claim_id") == F.col("drop"), F.lit(False)))
     kept = kept.select(key, "claim_id", start.alias("start"), F.when(F.col("until") > F.col("at"), moved("end")).otherwise(F.col("end")).alias("end"), "refs")
     added = made.where("ref is not null").select(key, F.lit("seed").alias("claim_id"), (F.col("at") + 1).alias("start"), (F.col("at") + F.length("insert")).alias("end"), F.array("ref").alias("refs"))
     about = F.regexp_replace(F.trim("obligation_id"), M.OBLIGATION_PREFIX, "")
     hit = F.coalesce((about == F.col("field")) & F.col("e_treatment").isNotNull(), F.lit(False))
-    duties = obligations.join(made.select("case_id", "kind", "field", F.col("treatment").alias("e_treatment"), F.col("resolution").alias("e_resolution")), "case_id")
+    duties = sorted_join(obligations, made.select("case_id", "kind", "field", F.col("treatment").alias("e_treatment"), F.col("resolution").alias("e_resolution")), "case_id")
     duties = duties.select(key, "obligation_id", F.when(hit, F.col("e_treatment")).otherwise(F.col("treatment")).alias("treatment"), F.when(hit, F.col("e_resolution")).otherwise(F.col("resolution")).alias("resolution"))
     text = F.concat(F.substr("report", F.lit(1), F.col("at")), "insert", F.substr(F.col("report"), F.col("until") + 1))
     return {
@@ -97,7 +98,7 @@ def variants(made: DataFrame, fields: DataFrame, claims: DataFrame, obligations:
         "claims": kept.unionByName(added),
         "obligations": duties,
         "conflicts": copy(conflicts),
-        "reports": reports.join(made, "case_id").select(key, text.alias("report")),
+        "reports": sorted_join(reports, made, "case_id").select(key, text.alias("report")),
         "hidden": copy(hidden),
     }
 
@@ -113,12 +114,13 @@ def seed_errors(fields: DataFrame, claims: DataFrame, obligations: DataFrame, co
     edited = {name: stored(df, name) for name, df in variants(made, fields, claims, obligations, conflicts, reports, hidden).items()}
     failed = M.evaluate_candidates(**edited).where("status = 'fail'").select(F.col("case_id").alias("key"), F.struct("check", "field").alias("failure"))
     failed = stored(failed.groupBy("key").agg(F.array_sort(F.collect_set("failure")).alias("failures")), "failures")
-    rows = made.select("case_id", "kind", "field", F.concat_ws("::", "case_id", "kind").alias("key")).join(failed, "key", "left")
+    rows = made.select("case_id", "kind", "field", F.concat_ws("::", "case_id", "kind").alias("key"))
+    rows = sorted_join(rows, failed, "key", "left")
     sound = rows.where((F.col("kind") == "orig") & F.col("failures").isNull()).select("case_id")
     allowed = F.create_map(*[x for k, v in TARGETS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     own = F.forall("failures", lambda f: F.array_contains(F.try_element_at(allowed, F.col("kind")), f["check"]) & (f["field"] == F.col("field")))
-    taken = rows.where(F.col("kind") != "orig").where(F.coalesce(own & (F.size("failures") > 0), F.lit(False))).join(sound, "case_id", "left_semi")
+    taken = sorted_join(rows.where(F.col("kind") != "orig").where(F.coalesce(own & (F.size("failures") > 0), F.lit(False))), sound, "case_id", "left_semi")
     texts = edited["reports"].select(F.col("case_id").alias("key"), "report")
-    both = taken.join(texts, "key").join(reports.select("case_id", F.length("report").alias("before")), "case_id")
+    both = sorted_join(sorted_join(taken, texts, "key"), reports.select("case_id", F.length("report").alias("before")), "case_id")
     signals = F.transform("failures", lambda f: F.concat_ws(":", F.lit("metric"), f["check"], f["field"]))
     return both.select("case_id", "kind", "field", "report", signals.alias("signals"), (F.length("report") / F.col("before")).alias("ratio")).where(F.col("ratio").between(*RATIO))

@@ -7,10 +7,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import checks, evidence, judging, markdown, metrics, ngrams, reports, runs, sourcing
+from corpusmill.operators import checks, evidence, judging, markdown, metrics, ngrams, reports, runs, seeding, sourcing
 from corpusmill.plans import checks as plans_checks
 from corpusmill.plans import choosing
 from corpusmill.plans import evidence as plans_evidence
+from corpusmill.plans import quality as plans_quality
 from corpusmill.plans import runs as plans_runs
 from corpusmill.plans import sourcing as plans_sourcing
 from corpusmill.sources import scratch
@@ -194,3 +195,9 @@ def test_gates_broadcast_no_table_by_trace(spark, small_dir, monkeypatch):
     kept = []
     monkeypatch.setattr(evidence, "stored_in_small_batches", lambda df, name: kept.append(df) or scratch.stored_in_small_batches(df, name))
     assert not broadcast_by(plans_evidence.all_gates(spark, small_dir), *kept) and len(kept) == 1
+
+
+def test_seeded_errors_broadcast_no_table_by_case(spark, small_dir, monkeypatch):
+    kept = []
+    keeping(monkeypatch, kept, seeding, metrics)
+    assert not broadcast_by(plans_quality.seeded_errors(spark, small_dir), *kept) and len(kept) == 9
