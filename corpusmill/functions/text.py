ret2_index: a row's tokens are counted where it is read

Symptom: the tasks that read documents grouped every (document, token) pair of their split in memory, 336 MB in the largest of 32 tasks for 16 MB of input, and then shuffled all pairs; larger splits have to spill. No spill showed at the sizes measured (0 MB before and after).
Evidence: at 0.51 GB 74,210,665 pairs left the first stage (1095 MB), 193 MB were held in the largest task of the next; in all 1304 MB shuffled, 351 task seconds a GB, 334 of JVM CPU.
Fix: postings() counts each row's tokens in its sorted array, so a task holds one row; ids with several rows (null too) are found from the ids alone, and only their rows are grouped by document and token. Their texts meet the ids by a shuffle, nothing is broadcast.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 1318 -> 818 s, shuffle 2.65 -> 0.17 GB, spill 1.93 -> 0.00 GB, read 0.97 -> 0.97 GB, longest task 92 -> 65 s, most memory of a task 839 -> 101 MB; at 6 GB of input CPU 6971 -> 3761 s, shuffle 15.93 -> 0.86 GB, spill 11.74 -> 0.00 GB, read 5.89 -> 5.89 GB, longest task 145 -> 86 s, most memory of a task 839 -> 101 MB; with hot keys, at 1 GB of input CPU 355 -> 292 s, shuffle 0.62 -> 0.06 GB, spill 0.00 -> 0.00 GB, read 0.18 -> 0.19 GB, longest task 20 -> 19 s, most memory of a task 377 -> 42 MB.

@@ -30,6 +30,17 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
 
 
+def item_counts(items: Column) -> Column:
+    """Structs (item, n): each different item of an array and how often it is there; null without items. Sorts the array, and a run ends where the next item differs."""
+
+    def of(xs: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.size(xs)), lambda i: (i == F.size(xs)) | ~F.get(xs, i).eqNullSafe(F.get(xs, i - 1)))
+        run = lambda at, end, i: F.struct(F.get(xs, end - 1).alias("item"), (end - F.coalesce(F.get(at, i - 1), F.lit(0))).cast("long").alias("n"))
+        return F.when(F.size(xs) > 0, bound(ends, lambda at: F.transform(at, lambda end, i: run(at, end, i))))
+
+    return bound(F.sort_array(items), of)
+
+
 def grams(items: Column, n: int, joiner: str = "") -> Column:
     """Arrays joined from n neighbouring items (strings); none if there are fewer than n."""
 
